@@ -2,6 +2,7 @@
 
 _MODULES = (
     "searchlane.plans.retrieval_plans",
+    "searchlane.plans.text_plans",
 )
 
 
