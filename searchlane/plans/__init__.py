@@ -3,6 +3,7 @@
 _MODULES = (
     "searchlane.plans.retrieval_plans",
     "searchlane.plans.text_plans",
+    "searchlane.plans.rl_plans",
 )
 
 

@@ -140,15 +140,15 @@ def _sql_fixtures():
     [p_brand, p_name] AS golden_answers
   FROM part)"""
     token_rows = """token_rows AS (
-  SELECT g.row_id, o.o_custkey AS group_id, g.row_id % 50 AS batch_id, o.o_totalprice / 100000.0 AS score,
+  SELECT g.row_id, o.o_custkey AS group_id, g.row_id % 50 AS batch_id, o.o_totalprice / 99991.0 AS score,
          g.responses, g.attention_mask, g.info_mask, g.old_log_probs, g.ref_log_prob, g."values"
   FROM (SELECT l_orderkey AS row_id,
-               list(l_partkey ORDER BY l_linenumber) AS responses,
-               list(1 ORDER BY l_linenumber) AS attention_mask,
-               list(CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END ORDER BY l_linenumber) AS info_mask,
-               list(-(l_discount + 0.05) ORDER BY l_linenumber) AS old_log_probs,
-               list(-(l_tax + 0.05) ORDER BY l_linenumber) AS ref_log_prob,
-               list(l_extendedprice / 100000.0 ORDER BY l_linenumber) AS "values"
+               list(l_partkey ORDER BY l_linenumber, l_partkey, -(l_discount + 0.05), -(l_tax + 0.05), l_extendedprice / 99991.0, CASE WHEN l_returnflag = 'R' AND l_linenumber > 1 THEN 0 ELSE 1 END) AS responses,
+               list(1 ORDER BY l_linenumber, l_partkey, -(l_discount + 0.05), -(l_tax + 0.05), l_extendedprice / 99991.0, CASE WHEN l_returnflag = 'R' AND l_linenumber > 1 THEN 0 ELSE 1 END) AS attention_mask,
+               list(CASE WHEN l_returnflag = 'R' AND l_linenumber > 1 THEN 0 ELSE 1 END ORDER BY l_linenumber, l_partkey, -(l_discount + 0.05), -(l_tax + 0.05), l_extendedprice / 99991.0, CASE WHEN l_returnflag = 'R' AND l_linenumber > 1 THEN 0 ELSE 1 END) AS info_mask,
+               list(-(l_discount + 0.05) ORDER BY l_linenumber, l_partkey, -(l_discount + 0.05), -(l_tax + 0.05), l_extendedprice / 99991.0, CASE WHEN l_returnflag = 'R' AND l_linenumber > 1 THEN 0 ELSE 1 END) AS old_log_probs,
+               list(-(l_tax + 0.05) ORDER BY l_linenumber, l_partkey, -(l_discount + 0.05), -(l_tax + 0.05), l_extendedprice / 99991.0, CASE WHEN l_returnflag = 'R' AND l_linenumber > 1 THEN 0 ELSE 1 END) AS ref_log_prob,
+               list(l_extendedprice / 99991.0 ORDER BY l_linenumber, l_partkey, -(l_discount + 0.05), -(l_tax + 0.05), l_extendedprice / 99991.0, CASE WHEN l_returnflag = 'R' AND l_linenumber > 1 THEN 0 ELSE 1 END) AS "values"
         FROM lineitem GROUP BY l_orderkey) g
   JOIN orders o ON o.o_orderkey = g.row_id)"""
     return dict(responses=responses, sequences=sequences, rollout_log=rollout_log, qa=qa,

@@ -110,17 +110,17 @@ def token_rows(t: Tables) -> DataFrame:
     """Token batch per order: one response token per line item in line order.
 
     responses = part keys, old/ref log-probs and values scaled from discount,
-    tax and price, info_mask = 0 on returned ('R') lines, group = customer,
+    tax and price, info_mask = 0 on returned ('R') lines after the first, group = customer,
     batch = order key % 50, scalar score from the order's total price.
     """
     li = t.lineitem
     el = F.struct(li.l_linenumber.alias("n"), li.l_partkey.alias("tok"),
                   (-(li.l_discount + 0.05)).alias("old_lp"), (-(li.l_tax + 0.05)).alias("ref_lp"),
-                  (li.l_extendedprice / 100000.0).alias("val"),
-                  F.when(li.l_returnflag == "R", 0).otherwise(1).alias("info"))
+                  (li.l_extendedprice / 99991.0).alias("val"),
+                  F.when((li.l_returnflag == "R") & (li.l_linenumber > 1), 0).otherwise(1).alias("info"))
     g = li.groupBy(li.l_orderkey.alias("row_id")).agg(F.array_sort(F.collect_list(el)).alias("_e"))
     o = t.orders.select(F.col("o_orderkey").alias("row_id"), F.col("o_custkey").alias("group_id"),
-                        (F.col("o_totalprice") / 100000.0).alias("score"))
+                        (F.col("o_totalprice") / 99991.0).alias("score"))
     j = g.join(o, "row_id")
     return j.select(
         "row_id", "group_id", (F.col("row_id") % 50).alias("batch_id"), "score",
