@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from searchlane.operators.bm25 import bm25_search, build_bm25
 from searchlane.operators.observe import attach_docs, passages_to_string
-from searchlane.plans.registry import SQL_BM25_HITS, SQL_CORPUS, SQL_TEXT, SQL_TITLE, register
+from searchlane.plans.registry import (SQL_BM25_HITS, SQL_CORPUS, SQL_TERMS, SQL_TEXT, SQL_TITLE,
+                                       register, sql_strip)
 from searchlane.sources import fixtures as fx
 from searchlane.sources.tables import Tables
 
@@ -51,3 +52,174 @@ blk AS (SELECT query_id, count(*) AS n_hits,
         FROM docs GROUP BY query_id)
 SELECT q.query_id, coalesce(b.n_hits, 0)::BIGINT AS n_hits, coalesce(b.result, '') AS observation
 FROM q LEFT JOIN blk b ON b.query_id = q.query_id""")(search_observations)
+
+
+# ---------------------------------------------------------------- dense (V5, V6)
+DENSE_K = 10
+_SQL_CENTROIDS = """e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+dm AS (SELECT label, i, avg(v[i]) AS x FROM e, generate_series(1, len(v)) AS g(i) GROUP BY label, i),
+c AS (SELECT label, list(x ORDER BY i) AS v FROM dm GROUP BY label),
+cn AS (SELECT label, v, sqrt(list_sum(list_transform(v, lambda y: y * y))) AS nrm FROM c),
+qv AS (SELECT label::BIGINT AS query_id, list_transform(v, lambda y: y / nrm) AS q FROM cn)"""
+
+
+@register("dense_topk", sql=f"""
+WITH {_SQL_CENTROIDS},
+s AS (SELECT query_id, vec_id AS doc_id, round(list_inner_product(q, v), 6) AS score FROM qv, e),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= {DENSE_K}""")
+def dense_topk(spark, sf_dir):
+    """V5 + V6: label-centroid queries, exact inner-product top-10 over all vectors."""
+    from searchlane.operators.dense import dense_search
+    t = Tables(spark, sf_dir)
+    q = fx.label_centroid_queries(t)
+    return dense_search(q, t.embeddings, k=DENSE_K).select(
+        "query_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
+
+
+@register("hashed_dense_search")
+def hashed_dense_search(spark, sf_dir):
+    """V3, V8, T5: encode the corpus and the benchmark queries with the
+    (pluggable) encoder, e5-style prefixes, dispatch by method name."""
+    from searchlane.operators.bm25 import retrieve
+    from searchlane.operators.dense import encode_texts
+    t = Tables(spark, sf_dir)
+    vecs = encode_texts(fx.corpus(t), None, "id", "contents", is_query=False, model_name="e5-hash") \
+        .withColumnRenamed("id", "doc_id")
+    return retrieve(fx.queries(t), "e5-hash", k=TOPK, dense_index=vecs).select(
+        "query_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
+
+
+@register("ivf_recall")
+def ivf_recall(spark, sf_dir):
+    """V7: k-means cells (Spark ML) + probed-cell exact search; recall@10 vs V6."""
+    from searchlane.operators.dense import build_ivf, dense_search, ivf_search, recall_at_k
+    t = Tables(spark, sf_dir)
+    q = fx.label_centroid_queries(t)
+    model = build_ivf(t.embeddings, n_cells=8)
+    approx = ivf_search(q, t.embeddings, model, k=DENSE_K, n_probe=3)
+    return recall_at_k(approx, dense_search(q, t.embeddings, k=DENSE_K))
+
+
+# ---------------------------------------------------------------- rerank
+def _sql_terms_distinct(x):
+    return f"list_distinct({SQL_TERMS.format(x=x)})"
+
+
+_PAIR_SQL = ("'(Title: ' || regexp_replace(" + SQL_TITLE.format(c="contents") +
+             ", '^\"+|\"+$', '', 'g') || ') ' || " + SQL_TEXT.format(c="contents"))
+
+
+@register("rerank_top3", sql=f"""
+WITH {SQL_CORPUS}, {_SQL_Q}, {SQL_BM25_HITS.replace('{k}', '10')},
+cand AS (SELECT h.query_id, h.doc_id, q.query, {_PAIR_SQL} AS pair_text
+         FROM hits h JOIN corpus c ON c.id = h.doc_id JOIN q ON q.query_id = h.query_id),
+sc AS (SELECT *, round(len(list_intersect({_sql_terms_distinct('query')}, {_sql_terms_distinct('pair_text')}))::DOUBLE
+                       / len({_sql_terms_distinct('query')}), 6) AS rerank_score FROM cand),
+rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, doc_id) AS rerank_rank FROM sc)
+SELECT query_id, rerank_rank::INTEGER AS rerank_rank, doc_id, rerank_score,
+       md5(regexp_replace(pair_text, '(?s)^\\(Title:\\s*([^)]+)\\)\\s*(.+)$', '"\\1"' || chr(10) || '\\2')) AS document_md5
+FROM rr WHERE rerank_rank <= 3""")
+def rerank_top3(spark, sf_dir):
+    """BM25 top-10 -> lexical cross-scorer -> top-3 -> title format back."""
+    from searchlane.operators.retrieval_extras import retrieve_rerank
+    t = Tables(spark, sf_dir)
+    corpus = fx.corpus(t)
+    rr = retrieve_rerank(fx.queries(t), corpus, build_bm25(corpus), 10, 3)
+    return rr.select("query_id", F.col("rerank_rank").cast("int").alias("rerank_rank"), "doc_id",
+                     "rerank_score", F.md5("document").alias("document_md5"))
+
+
+# ---------------------------------------------------------------- RAG context
+@register("rag_context", sql=f"""
+WITH {SQL_CORPUS}, {_SQL_Q}, {SQL_BM25_HITS.replace('{k}', '5')},
+docs AS (SELECT h.query_id, h.rank, c.contents FROM hits h JOIN corpus c ON c.id = h.doc_id WHERE h.rank <= 3),
+ctx AS (SELECT query_id, string_agg('Doc ' || rank || '(Title: ' || {SQL_TITLE.format(c='contents')} || ') '
+                 || {SQL_TEXT.format(c='contents')} || chr(10), '' ORDER BY rank) AS context FROM docs GROUP BY query_id)
+SELECT q.query_id, md5(coalesce(ctx.context, '')) AS context_md5, length(coalesce(ctx.context, ''))::BIGINT AS context_chars
+FROM q LEFT JOIN ctx ON ctx.query_id = q.query_id""")
+def rag_context(spark, sf_dir):
+    """A top-5 retrieval cache (ordered id lists) -> first 3 passages as context."""
+    from searchlane.operators.retrieval_extras import add_context
+    t = Tables(spark, sf_dir)
+    corpus = fx.corpus(t)
+    qs = fx.queries(t)
+    hits = bm25_search(qs, build_bm25(corpus), k=5)
+    cache = hits.groupBy("query_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias("doc_ids"))
+    out = add_context(qs, cache, corpus, 3, key="query_id")
+    return out.select("query_id", F.md5("context").alias("context_md5"),
+                      F.length("context").cast("long").alias("context_chars"))
+
+
+# ---------------------------------------------------------------- pages
+_SQL_PTEXT = ("array_to_string(list_transform(regexp_extract_all(regexp_replace(html, "
+              "'(?is)<script\\b.*?</script>|<style\\b.*?</style>', '', 'g'), '(?is)<p(?:\\s[^>]*)?>(.*?)</p>', 1), "
+              "lambda b: regexp_replace(b, '<[^>]*>', '', 'g')), chr(10))")
+
+
+@register("page_paragraphs", sql=f"""
+SELECT page_id, md5({_SQL_PTEXT}) AS text_md5, length({_SQL_PTEXT})::BIGINT AS text_chars FROM pages""")
+def page_paragraphs(spark, sf_dir):
+    """T17 (regex variant): closed paragraph text per page."""
+    from searchlane.operators.retrieval_extras import page_text_regex
+    p = Tables(spark, sf_dir).pages
+    txt = page_text_regex("html")
+    return p.select("page_id", F.md5(txt).alias("text_md5"), F.length(txt).cast("long").alias("text_chars"))
+
+
+@register("page_paragraphs_parser")
+def page_paragraphs_parser(spark, sf_dir):
+    """Tolerant HTML parser (unclosed <p>) in Arrow batches."""
+    from searchlane.operators.retrieval_extras import page_text
+    p = page_text(Tables(spark, sf_dir).pages)
+    return p.select("page_id", F.length("text").cast("long").alias("text_chars"),
+                    F.size(F.split("text", "\n")).cast("long").alias("n_paragraphs"))
+
+
+def _snippets(p):
+    from searchlane.operators.retrieval_extras import page_text_regex
+    txt = page_text_regex("html")
+    # snippet = the page's paragraphs glued by ' ... ' (as a search engine shows them)
+    return p.select("page_id", txt.alias("text"),
+                    F.concat_ws(" ... ", F.split(txt, "\n")).alias("snippet"))
+
+
+_SQL_SNIP = f"""pt AS (SELECT page_id, {_SQL_PTEXT} AS text FROM pages),
+sn AS (SELECT page_id, text, array_to_string(string_split(text, chr(10)), ' ... ') AS snippet FROM pt),
+seg AS (SELECT page_id, s.pos AS spos, s.seg FROM sn,
+        LATERAL (SELECT unnest(list_filter(list_transform(string_split(snippet, '...'), lambda x: {sql_strip('x')}),
+                                        lambda x: len(regexp_split_to_array(x, '\\s+')) > 5)) AS seg,
+                        generate_subscripts(list_filter(list_transform(string_split(snippet, '...'), lambda x: {sql_strip('x')}),
+                                        lambda x: len(regexp_split_to_array(x, '\\s+')) > 5), 1) AS pos) s),
+ln AS (SELECT page_id, l.pos AS lpos, l.line FROM pt,
+       LATERAL (SELECT unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos) l),
+hit AS (SELECT seg.page_id, spos, arg_min(line, lpos) AS line FROM seg JOIN ln ON ln.page_id = seg.page_id
+        WHERE strpos(line, seg) > 0 GROUP BY seg.page_id, spos),
+para AS (SELECT page_id, {sql_strip('line')} AS para, min(spos) AS spos FROM hit GROUP BY page_id, {sql_strip('line')})"""
+
+
+@register("snippet_context", sql=f"""
+WITH {_SQL_SNIP}
+SELECT page_id, md5(string_agg(para, chr(10) ORDER BY spos)) AS context_md5, count(*)::BIGINT AS n_paragraphs
+FROM para GROUP BY page_id""")
+def snippet_context(spark, sf_dir):
+    """T15 + T16 + J6: snippet segments located in the same page's lines."""
+    from searchlane.operators.retrieval_extras import collect_context
+    s = _snippets(Tables(spark, sf_dir).pages)
+    ctx = collect_context(s, s, key="page_id")
+    return ctx.select("page_id", F.md5("context").alias("context_md5"),
+                      (F.size(F.split("context", "\n"))).cast("long").alias("n_paragraphs"))
+
+
+@register("link_filter", sql="""
+WITH it AS (SELECT page_id, url AS link, CASE WHEN page_id % 7 = 0 THEN 'application/pdf' END AS mime FROM pages),
+x AS (SELECT *, regexp_extract(regexp_extract(link, '([^/]*)$', 1), '^\\.*[^.].*(\\.[^.]*)$', 1) AS ext FROM it)
+SELECT page_id, link FROM x WHERE mime IS NULL AND ext IN ('', '.html', '.htm', '.shtml')""")
+def link_filter(spark, sf_dir):
+    """P15 with the reference's whole-URL extension rule."""
+    from searchlane.operators.retrieval_extras import filter_links
+    p = Tables(spark, sf_dir).pages
+    items = p.select("page_id", F.col("url").alias("link"),
+                     F.when(F.col("page_id") % 7 == 0, F.lit("application/pdf")).alias("mime"))
+    return filter_links(items, whole_url=True).select("page_id", "link")
