@@ -14,3 +14,207 @@ def prompt_lengths(df: DataFrame, key: str, order: str, text: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return (df.withColumn("cum_chars", F.sum(F.length(text)).over(w).cast("long"))
             .withColumn("cum_tokens", F.sum(token_count(text)).over(w).cast("long")))
+
+
+from searchlane.functions.actions import parse_action  # noqa: E402,F401
+from searchlane.functions.text import strip, truncate_tokens_text, whitespace_tokens  # noqa: E402
+from searchlane.operators.observe import (INVALID_ACTION_HINT, format_observation,  # noqa: E402
+                                          information_block, passages_to_string)
+
+
+
+def search_requests(steps: DataFrame, keys: list[str], parsed: str = "act") -> DataFrame:
+    """J4 fan-out: one row per (step, query position, query) of search actions."""
+    return (steps.filter(F.col(f"{parsed}.action") == "search")
+            .select(*keys, F.posexplode(f"{parsed}.queries").alias("qpos", "query")))
+
+
+def search_observations(requests: DataFrame, keys: list[str], retrieve_fn, corpus: DataFrame,
+                        max_obs_tokens: int = 500) -> DataFrame:
+    """Distinct queries -> retrieval -> passage block truncated to the token
+    budget -> regrouped per step (J4 + V11 dedupe + A1-A3)."""
+    from searchlane.operators.observe import attach_docs
+    uniq = requests.select(F.col("query").alias("query_id"), F.col("query")).distinct()
+    hits = retrieve_fn(uniq)
+    block = passages_to_string(attach_docs(hits, corpus), key="query_id")
+    res = block.select(F.col("query_id").alias("query"),
+                       truncate_tokens_text("result", max_obs_tokens).alias("result"))
+    per_q = requests.join(res, "query", "left").withColumn("result", F.coalesce("result", F.lit("")))
+    key = F.struct(*[F.col(k) for k in keys])
+    return (format_observation(per_q.withColumn("_k", key), "_k", "qpos", "query", "result")
+            .select(*[F.col(f"_k.{k}").alias(k) for k in keys], "observation"))
+
+
+def env_step(steps: DataFrame, keys: list[str], text_col: str = "response", active_col: str | None = None,
+             do_search: bool = True, retrieve_fn=None, corpus: DataFrame | None = None,
+             max_obs_tokens: int = 500, ignore_case: bool = False) -> DataFrame:
+    """A4: one environment step for every row.
+
+    next_obs: search -> ``<information>`` block, answer -> '', invalid -> hint,
+    inactive -> ''. Flags: done, valid_action, is_search, obs_budget (null for
+    search observations: each query result is already capped).
+    """
+    s = steps.withColumn("act", parse_action(text_col, ignore_case))
+    active = F.col(active_col) if active_col else F.lit(True)
+    a = F.col("act.action")
+    if do_search and retrieve_fn is not None:
+        obs = search_observations(search_requests(s, keys), keys, retrieve_fn, corpus, max_obs_tokens)
+        s = s.join(obs, keys, "left")
+        search_obs = information_block(F.coalesce("observation", F.lit("")))
+    else:
+        search_obs = information_block(F.lit(""))
+    next_obs = (F.when(~active, F.lit("")).when(a == "answer", F.lit(""))
+                .when(a == "search", search_obs).otherwise(F.lit(INVALID_ACTION_HINT)))
+    out = s.select(
+        "*", next_obs.alias("next_obs"),
+        F.when(~active | (a == "answer"), 1).otherwise(0).alias("done"),
+        F.when(active & a.isin("answer", "search"), 1).otherwise(0).alias("valid_action"),
+        F.when(active & (a == "search"), 1).otherwise(0).alias("is_search"),
+        F.when(active & (a == "search"), F.lit(None).cast("int"))
+        .otherwise(F.lit(max_obs_tokens)).alias("obs_budget"))
+    return out.drop("observation") if "observation" in out.columns else out
+
+
+def cap_observation(obs_col, budget_col) -> F.Column:
+    """A5: cap only observations that carry a budget (non-search ones)."""
+    return F.when(F.col(budget_col).isNull(), F.col(obs_col)) \
+        .otherwise(truncate_tokens_text(obs_col, F.col(budget_col)))
+
+
+def replay_rollouts(responses: DataFrame, max_turns: int, sample: str = "sample_id",
+                    turn: str = "turn_idx", text: str = "response") -> DataFrame:
+    """Windowed replay of the multi-turn loop from a (sample, turn, text) table.
+
+    Step s of a sample is its s-th response (s = 0..max_turns, the last one
+    being the final step without search). With a = first answer step:
+    turns = 1 + min(a, max_turns); valid actions / searches count steps up to
+    a; still-active = no answer at all. One partial aggregate per sample; no
+    group is collected.
+    """
+    w = Window.partitionBy(sample).orderBy(turn)
+    s = (responses.withColumn("step", F.row_number().over(w) - 1)
+         .filter(F.col("step") <= max_turns)
+         .withColumn("action", parse_action(text)["action"]))
+    g = s.groupBy(sample).agg(
+        F.min(F.when(F.col("action") == "answer", F.col("step"))).alias("answer_step"),
+        F.max("step").alias("last_step"))
+    j = s.join(g, sample)
+    upto = F.col("step") <= F.coalesce(F.col("answer_step"), F.lit(max_turns))
+    agg = j.groupBy(sample).agg(
+        F.first("answer_step").alias("answer_step"),
+        F.sum(F.when(upto & F.col("action").isin("answer", "search"), 1).otherwise(0)).cast("long")
+        .alias("valid_actions"),
+        F.sum(F.when(upto & (F.col("action") == "search"), 1).otherwise(0)).cast("long").alias("valid_searches"))
+    return agg.select(
+        sample,
+        (1 + F.least(F.coalesce("answer_step", F.lit(max_turns)), F.lit(max_turns))).cast("long").alias("turns"),
+        "valid_actions", "valid_searches", F.col("answer_step").isNull().alias("active"))
+
+
+def collect_status(replay: DataFrame, errors: DataFrame | None = None, sample: str = "sample_id") -> DataFrame:
+    """Collector status: completed when an answer exists, failed when still
+    no answer after the forced final turn or when the sample errored."""
+    st = F.when(~F.col("active"), F.lit("completed")).otherwise(F.lit("failed"))
+    out = replay.withColumn("collector_status", st)
+    if errors is not None:
+        out = out.join(errors.select(sample, "error"), sample, "left") \
+            .withColumn("collector_status", F.when(F.col("error").isNotNull(), F.lit("failed"))
+                        .otherwise(F.col("collector_status")))
+    return out
+
+
+def build_messages(steps: DataFrame, sample: str = "sample_id", order: str = "turn_idx",
+                   text: str = "response", obs: str = "next_obs", ignore_case: bool = True) -> DataFrame:
+    """Long message table (sample, msg_idx, role, content): each assistant
+    text, then an ``<information>`` user message for a search or the invalid
+    hint for an invalid action; nothing after an answer."""
+    a = parse_action(text, ignore_case)["action"]
+    base = steps.select(sample, order, text, obs, a.alias("_a"))
+    asst = base.select(sample, order, F.lit(0).alias("_sub"), F.lit("assistant").alias("role"),
+                       F.col(text).alias("content"))
+    usr = (base.filter(F.col("_a").isNull() | (F.col("_a") == "search"))
+           .select(sample, order, F.lit(1).alias("_sub"), F.lit("user").alias("role"),
+                   F.when(F.col("_a") == "search", F.col(obs))
+                   .otherwise(F.concat(F.lit("\n"), F.lit(INVALID_ACTION_HINT.strip()), F.lit("\n")))
+                   .alias("content")))
+    allm = asst.unionByName(usr)
+    w = Window.partitionBy(sample).orderBy(order, "_sub")
+    return allm.withColumn("msg_idx", (F.row_number().over(w) - 1).cast("long")).drop("_sub")
+
+
+def truncate_messages(messages: DataFrame, budget: int, sample: str = "sample_id",
+                      order: str = "msg_idx", content: str = "content") -> DataFrame:
+    """Keep the newest messages whose token total fits the budget; the
+    first message that does not fit keeps its longest fitting token suffix;
+    older ones are dropped. Whitespace tokens by default."""
+    toks = whitespace_tokens(content)
+    w = Window.partitionBy(sample).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    m = messages.withColumn("_n", F.size(toks)).withColumn("_suffix", F.sum("_n").over(w))
+    m = m.withColumn("_before", F.col("_suffix") - F.col("_n"))
+    keep_all = F.col("_suffix") <= budget
+    boundary = (F.col("_before") < budget) & ~keep_all
+    room = F.lit(budget) - F.col("_before")
+    cut = F.array_join(F.slice(toks, -room.cast("int"), room.cast("int")), " ")
+    return (m.filter(keep_all | boundary)
+            .withColumn(content, F.when(keep_all, F.col(content)).otherwise(cut))
+            .withColumn("token_len", F.least(F.col("_n"), F.when(keep_all, F.col("_n")).otherwise(room)).cast("long"))
+            .drop("_n", "_suffix", "_before"))
+
+
+def turn_stats(steps: DataFrame, sample: str = "sample_id", text: str = "response") -> DataFrame:
+    """Per sample counts of assistant, search and invalid turns."""
+    a = parse_action(text, True)["action"]
+    return steps.groupBy(sample).agg(
+        F.count(F.lit(1)).alias("assistant_turns"),
+        F.sum(F.when(a == "search", 1).otherwise(0)).cast("long").alias("search_turn_count"),
+        F.sum(F.when(a.isNull(), 1).otherwise(0)).cast("long").alias("invalid_action_count"))
+
+
+def observation_diff(retrieval_turns: DataFrame, info_messages: DataFrame, keys: list[str],
+                     left_col: str = "expected", right_col: str = "actual") -> DataFrame:
+    """Full outer join of expected observations and information messages
+    on (sample, turn) with a match / mismatch / missing status."""
+    j = retrieval_turns.join(info_messages, keys, "full")
+    st = (F.when(F.col(left_col).isNull(), F.lit("missing_expected"))
+          .when(F.col(right_col).isNull(), F.lit("missing_actual"))
+          .when(strip(F.col(left_col)) == strip(F.col(right_col)), F.lit("match"))
+          .otherwise(F.lit("mismatch")))
+    return j.withColumn("status", st)
+
+
+def gather_samples(samples: DataFrame, prompt_key: str, sample_idx: str, text: str) -> DataFrame:
+    """N samples per prompt regrouped as an ordered ``responses`` array
+    (n is the sampling parameter, so groups are bounded)."""
+    return samples.groupBy(prompt_key).agg(F.transform(
+        F.array_sort(F.collect_list(F.struct(F.col(sample_idx).alias("i"), F.col(text).alias("t")))),
+        lambda x: x["t"]).alias("responses"))
+
+
+def resume_pending(prompts: DataFrame, done_log: DataFrame, key: str = "sample_key") -> DataFrame:
+    """Rows not yet completed (left anti join). A null key never matches,
+    so it is always kept (re-run), as the reference does."""
+    return prompts.join(done_log.select(key).filter(F.col(key).isNotNull()).distinct(), key, "left_anti")
+
+
+def zip_batches(left: DataFrame, right: DataFrame, row_id: str = "row_id") -> DataFrame:
+    """Column-wise union of two batches of the same rows; shared columns
+    must be equal (raises otherwise)."""
+    shared = [c for c in left.columns if c in right.columns and c != row_id]
+    r = right.select(row_id, *[F.col(c).alias(f"_r_{c}") for c in right.columns if c != row_id])
+    j = left.join(r, row_id, "inner")
+    for c in shared:
+        j = j.withColumn(c, F.when(F.col(c).eqNullSafe(F.col(f"_r_{c}")), F.col(c))
+                         .otherwise(F.raise_error(F.lit(f"column {c} differs between batches"))))
+    extra = [F.col(f"_r_{c}").alias(c) for c in right.columns if c != row_id and c not in shared]
+    return j.select(*left.columns, *extra)
+
+
+def sample_key(uid_col: str = "uid", index_col: str = "index") -> F.Column:
+    """Section 1.3 key: ``uid:<uid>`` else ``index:<index>`` else null; blank,
+    'none', 'nan' (any case) count as missing."""
+    def clean(c):
+        s = strip(F.col(c).cast("string"))
+        return F.when(s.isNull() | (s == "") | F.lower(s).isin("none", "nan"), F.lit(None)).otherwise(s)
+    u, i = clean(uid_col), clean(index_col)
+    return F.when(u.isNotNull(), F.concat(F.lit("uid:"), u)) \
+        .when(i.isNotNull(), F.concat(F.lit("index:"), i))

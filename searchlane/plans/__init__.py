@@ -4,6 +4,7 @@ _MODULES = (
     "searchlane.plans.retrieval_plans",
     "searchlane.plans.text_plans",
     "searchlane.plans.rl_plans",
+    "searchlane.plans.agent_plans",
 )
 
 
