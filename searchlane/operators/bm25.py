@@ -44,8 +44,13 @@ class BM25Index:
 
 
 def build_bm25(corpus: DataFrame, id_col: str = "id", text_col: str = "contents",
-               num_shards: int | None = None) -> BM25Index:
-    """V1: tokenise -> explode -> tf per (doc, term), document lengths."""
+               num_shards: int | None = None, materialize: bool = True) -> BM25Index:
+    """V1: tokenise -> explode -> tf per (doc, term), document lengths.
+
+    ``materialize`` writes the index once (reliable checkpoint into the shared
+    ``spark.checkpoint.dir``), so searches scan postings instead of
+    re-tokenising the corpus; the doc-id partitioning survives the checkpoint.
+    """
     spark = corpus.sparkSession
     n = num_shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = (corpus.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
@@ -56,6 +61,10 @@ def build_bm25(corpus: DataFrame, id_col: str = "id", text_col: str = "contents"
                             F.explode("_terms").alias("term"))
                 .groupBy("doc_id", "term")
                 .agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len")))
+    if materialize:
+        from searchlane.session import cut_lineage
+        postings = cut_lineage(postings)
+        doc_stats = postings.groupBy("doc_id").agg(F.first("doc_len").alias("doc_len"))
     return BM25Index(postings=postings, doc_stats=doc_stats)
 
 

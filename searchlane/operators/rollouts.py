@@ -34,11 +34,12 @@ def search_observations(requests: DataFrame, keys: list[str], retrieve_fn, corpu
     """Distinct queries -> retrieval -> passage block truncated to the token
     budget -> regrouped per step (J4 + V11 dedupe + A1-A3)."""
     from searchlane.operators.observe import attach_docs
-    uniq = requests.select(F.col("query").alias("query_id"), F.col("query")).distinct()
+    # distinct queries get a 64-bit hash id: scoring then groups by a long, not by text
+    uniq = requests.select("query").distinct().withColumn("query_id", F.xxhash64("query"))
     hits = retrieve_fn(uniq)
     block = passages_to_string(attach_docs(hits, corpus), key="query_id")
-    res = block.select(F.col("query_id").alias("query"),
-                       truncate_tokens_text("result", max_obs_tokens).alias("result"))
+    res = block.join(uniq, "query_id").select(
+        "query", truncate_tokens_text("result", max_obs_tokens).alias("result"))
     per_q = requests.join(res, "query", "left").withColumn("result", F.coalesce("result", F.lit("")))
     key = F.struct(*[F.col(k) for k in keys])
     return (format_observation(per_q.withColumn("_k", key), "_k", "qpos", "query", "result")

@@ -5,6 +5,7 @@ _MODULES = (
     "searchlane.plans.text_plans",
     "searchlane.plans.rl_plans",
     "searchlane.plans.agent_plans",
+    "searchlane.plans.dataset_plans",
 )
 
 
