@@ -6,6 +6,7 @@ _MODULES = (
     "searchlane.plans.rl_plans",
     "searchlane.plans.agent_plans",
     "searchlane.plans.dataset_plans",
+    "searchlane.plans.streaming_plans",
 )
 
 
