@@ -76,7 +76,7 @@ OUT_SCHEMA = ("sample_id long, turns long, valid_actions long, valid_searches lo
 
 
 def rollout_state(stream: DataFrame, max_turns: int, sample: str = "sample_id", step: str = "step",
-                  text: str = "response", ts: str = "ts", timeout: str = "1 hour") -> DataFrame:
+                  text: str = "response", ts: str = "ts", timeout_ms: int | None = None) -> DataFrame:
     """Turn-by-turn rollout state keyed by sample, as the replay
     computes it, updated incrementally; abandoned samples time out.
 
@@ -108,18 +108,21 @@ def rollout_state(stream: DataFrame, max_turns: int, sample: str = "sample_id",
                     vs += 1
                 if a == "answer":
                     answered = True
-                elif s < max_turns:
-                    turns += 1
+                    turns = 1 + min(s, max_turns)
                 steps = max(steps, s + 1)
+        if not answered:
+            # an active sample runs every regular step of the loop
+            turns = 1 + max_turns
         state.update((turns, va, vs, answered, steps))
-        state.setTimeoutDuration(3600 * 1000)
+        if timeout_ms:
+            state.setTimeoutDuration(timeout_ms)
         done = answered or steps > max_turns
         status = "completed" if answered else ("failed" if done else "running")
         yield pd.DataFrame({"sample_id": [key[0]], "turns": [turns], "valid_actions": [va],
                             "valid_searches": [vs], "active": [not answered], "collector_status": [status]})
 
-    return parsed.groupBy("sample_id").applyInPandasWithState(
-        update, OUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    mode = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
+    return parsed.groupBy("sample_id").applyInPandasWithState(update, OUT_SCHEMA, STATE_SCHEMA, "update", mode)
 
 
 # ------------------------------------------------------------------ X5
@@ -139,9 +142,10 @@ def serve_misses(retrieve_fn, cache_path: str, query_col: str = "query"):
     return write
 
 
-def start(query_df: DataFrame, sink, name: str, checkpoint: str | None = None, output_mode: str = "append",
-          trigger_once: bool = True):
+def start(query_df: DataFrame, sink, name: str | None = None, checkpoint: str | None = None,
+          output_mode: str = "append", trigger_once: bool = True):
     """Start a streaming query with a checkpoint under the shared folder."""
+    name = name or (sink.split(":", 1)[1] if isinstance(sink, str) and ":" in sink else "job")
     ck = checkpoint or scratch_path(query_df.sparkSession, f"stream-{name}")
     w = query_df.writeStream.option("checkpointLocation", ck).outputMode(output_mode)
     if trigger_once:
