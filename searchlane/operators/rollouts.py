@@ -219,3 +219,18 @@ def sample_key(uid_col: str = "uid", index_col: str = "index") -> F.Column:
     u, i = clean(uid_col), clean(index_col)
     return F.when(u.isNotNull(), F.concat(F.lit("uid:"), u)) \
         .when(i.isNotNull(), F.concat(F.lit("index:"), i))
+
+
+def preference_pairs(pairs: DataFrame, max_length: int, prompt: str = "prompt", chosen: str = "chosen",
+                     rejected: str = "rejected", eos: str = "<eos>", pad: str = "<pad>") -> DataFrame:
+    """prompt+chosen+eos and prompt+rejected+eos token sequences, right
+    padded / truncated to ``max_length`` (whitespace tokens by default). The
+    reference's quirk (the returned mask stacks rejected ids) is not copied:
+    ``chosen_mask`` is the chosen sequence's own mask."""
+    def seq(c):
+        s = F.concat(whitespace_tokens(prompt), whitespace_tokens(c), F.array(F.lit(eos)))
+        cut = F.slice(s, 1, max_length)
+        return F.concat(cut, F.array_repeat(F.lit(pad), F.greatest(F.lit(max_length) - F.size(cut), F.lit(0))))
+    out = pairs.withColumn("chosen_ids", seq(chosen)).withColumn("rejected_ids", seq(rejected))
+    return (out.withColumn("chosen_mask", F.transform("chosen_ids", lambda x: F.when(x != pad, 1).otherwise(0)))
+            .withColumn("rejected_mask", F.transform("rejected_ids", lambda x: F.when(x != pad, 1).otherwise(0))))

@@ -236,3 +236,56 @@ def q_zip_batches(spark, sf_dir):
     a = tr.select("row_id", "batch_id", F.size("responses").cast("long").alias("n_tokens"))
     b = tr.select("row_id", "batch_id", F.round("score", 6).alias("score"))
     return RO.zip_batches(a, b)
+
+
+PREF_LEN = 64
+
+
+@register("preference_pairs", sql=f"""
+WITH c AS (SELECT conv_id, turn, role, text,
+                  lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev_text,
+                  lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prev_role
+           FROM conversations),
+a AS (SELECT conv_id, turn, text AS chosen, CASE WHEN prev_role = 'user' THEN prev_text ELSE '' END AS prompt,
+             lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS rejected
+      FROM c WHERE role = 'assistant')
+SELECT conv_id, turn,
+       least({_sql_ntok('prompt')} + {_sql_ntok('chosen')} + 1, {PREF_LEN})::BIGINT AS chosen_len,
+       least({_sql_ntok('prompt')} + {_sql_ntok('rejected')} + 1, {PREF_LEN})::BIGINT AS rejected_len
+FROM a WHERE rejected IS NOT NULL""")
+def q_preference_pairs(spark, sf_dir):
+    """Each assistant turn paired with the next assistant turn of the same
+    conversation (consecutive pairs: linear, never all pairs), prompt = the
+    user turn just before; 64-token right-padded sequences."""
+    from pyspark.sql import Window
+    c = Tables(spark, sf_dir).conversations
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    prev = c.withColumn("prev_text", F.lag("text").over(w)).withColumn("prev_role", F.lag("role").over(w))
+    a = prev.filter(F.col("role") == "assistant").select(
+        "conv_id", "turn", F.col("text").alias("chosen"),
+        F.when(F.col("prev_role") == "user", F.col("prev_text")).otherwise(F.lit("")).alias("prompt"))
+    a = a.withColumn("rejected", F.lead("chosen").over(w)).filter(F.col("rejected").isNotNull())
+    p = RO.preference_pairs(a, PREF_LEN)
+    s = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda x, y: x + y)
+    return p.select("conv_id", "turn", s("chosen_mask").alias("chosen_len"), s("rejected_mask").alias("rejected_len"))
+
+
+@register("distinct_queries", sql=f"""
+WITH {SQL_FX['responses']},
+p AS (SELECT sample_id, turn_idx, {_qs} AS queries, {_a} AS action FROM responses),
+req AS (SELECT sample_id, turn_idx, g.i - 1 AS qpos, queries[g.i] AS query
+        FROM p, generate_series(1, len(queries)) AS g(i) WHERE action = 'search')
+SELECT md5(query) AS query_md5, arg_min(sample_id, (sample_id, turn_idx, qpos)) AS first_sample,
+       arg_min(turn_idx, (sample_id, turn_idx, qpos)) AS first_turn, count(*)::BIGINT AS n_requests
+FROM req GROUP BY query""")
+def q_distinct_queries(spark, sf_dir):
+    """W13 + V11 dedupe: distinct search queries with first-seen position."""
+    from searchlane.functions.actions import parse_action
+    from searchlane.operators.retrieval_extras import distinct_first_seen
+    r = fx.responses(Tables(spark, sf_dir)).withColumn("act", parse_action("response"))
+    req = RO.search_requests(r, ["sample_id", "turn_idx"])
+    d = distinct_first_seen(req, "query", ("sample_id", "turn_idx", "qpos"))
+    n = req.groupBy("query").agg(F.count(F.lit(1)).alias("n_requests"))
+    return d.join(n, "query").select(F.md5("query").alias("query_md5"),
+                                     F.col("first_seen.sample_id").alias("first_sample"),
+                                     F.col("first_seen.turn_idx").alias("first_turn"), "n_requests")

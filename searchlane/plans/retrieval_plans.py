@@ -223,3 +223,40 @@ def link_filter(spark, sf_dir):
     items = p.select("page_id", F.col("url").alias("link"),
                      F.when(F.col("page_id") % 7 == 0, F.lit("application/pdf")).alias("mime"))
     return filter_links(items, whole_url=True).select("page_id", "link")
+
+
+@register("nested_results", sql=f"""
+WITH {SQL_CORPUS}, {_SQL_Q}, {SQL_BM25_HITS.replace('{k}', str(TOPK))}
+SELECT q.query_id, count(h.doc_id)::BIGINT AS n_results,
+       coalesce(string_agg(h.doc_id::VARCHAR || ':' || h.score::VARCHAR, ',' ORDER BY h.rank), '') AS ranked
+FROM q LEFT JOIN hits h ON h.query_id = q.query_id GROUP BY q.query_id""")
+def nested_results(spark, sf_dir):
+    """One row per query (request order kept by query id), ordered
+    ``{document{id, contents}, score}`` lists; empty lists survive."""
+    from searchlane.operators.observe import nest_results
+    t = Tables(spark, sf_dir)
+    corpus = fx.corpus(t)
+    qs = fx.queries(t)
+    docs = attach_docs(bm25_search(qs, build_bm25(corpus), k=TOPK), corpus)
+    n = nest_results(qs, docs)
+    ranked = F.array_join(F.transform("result", lambda e: F.concat(
+        e["document"]["id"].cast("string"), F.lit(":"), e["score"].cast("string"))), ",")
+    return n.select("query_id", F.size("result").cast("long").alias("n_results"), ranked.alias("ranked"))
+
+
+@register("online_results")
+def online_results(spark, sf_dir):
+    """V15 + V16: search-engine JSON built per page (title, snippet from the
+    paragraphs, link) normalised into passages; missing fields get defaults."""
+    from searchlane.operators.retrieval_extras import normalize_serp, page_text_regex
+    p = Tables(spark, sf_dir).pages
+    snippet = F.concat_ws(" ... ", F.slice(F.split(page_text_regex("html"), "\n"), 1, 3))
+    title = F.regexp_extract("html", r"<title>(.*?)</title>", 1)
+    js = F.to_json(F.struct(
+        F.when(F.col("page_id") % 5 == 0, F.struct(title.alias("title"), snippet.alias("answer"))).alias("answer_box"),
+        F.array(F.struct(title.alias("title"), snippet.alias("snippet"), F.col("url").alias("link")),
+                F.struct(F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("snippet"),
+                         F.col("url").alias("link"))).alias("organic_results")))
+    out = normalize_serp(p.select("page_id", js.alias("serp")), "serp", k=3)
+    return out.select("page_id", F.size("passages").cast("long").alias("n_passages"),
+                      F.md5(F.array_join("passages", "\n")).alias("passages_md5"))
