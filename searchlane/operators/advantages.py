@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from searchlane.functions import rl
-from searchlane.operators.common import bounded_broadcast
 
 
 def response_mask(df: DataFrame, mask_col: str = "attention_mask") -> Column:
@@ -85,7 +84,8 @@ def masked_whiten(df: DataFrame, col: str, mask_col: str, by: str = "batch_id",
     s1 = (df.groupBy(by).agg(F.sum(rl.masked_sum(col, mask_col)).alias("_sx"),
                              F.sum(rl.array_sum(m)).alias("_n"))
           .withColumn("_mean", F.col("_sx") / F.col("_n")))
-    j = df.join(bounded_broadcast(s1.select(by, "_mean", "_n")), by)
+    # batch statistics: one row per batch; AQE broadcasts them from measured sizes
+    j = df.join(s1.select(by, "_mean", "_n"), by)
     dev = F.zip_with(F.col(col), m, lambda x, k: (x - F.col("_mean")) * (x - F.col("_mean")) * k)
     s2 = (j.groupBy(by).agg(F.sum(F.aggregate(dev, F.lit(0.0), lambda a, x: a + x)).alias("_ss"),
                             F.first("_n").alias("_n2"), F.first("_mean").alias("_mean2")))
@@ -93,7 +93,7 @@ def masked_whiten(df: DataFrame, col: str, mask_col: str, by: str = "batch_id",
            .when(F.col("_n2") == 1, F.raise_error(F.lit("The sum of the mask is one, which can cause a division by zero.")))
            .otherwise(F.col("_ss") / F.col("_n2") * (F.col("_n2") / (F.col("_n2") - 1.0))))
     stats = s2.select(by, F.col("_mean2").alias("_mu"), var.cast("double").alias("_var"))
-    res = df.join(bounded_broadcast(stats), by)
+    res = df.join(stats, by)
     res = res.withColumn(out, F.transform(col, lambda x: (x - F.col("_mu")) / F.sqrt(F.col("_var") + 1e-8)))
     return res.drop("_mu", "_var")
 
@@ -122,7 +122,8 @@ def compute_grpo(df: DataFrame, group_col: str = "group_id", rewards_col: str =
     st = st.select(group_col,
                    F.when(F.col("_n") == 1, F.lit(0.0)).otherwise(F.col("_mu")).alias("_mu"),
                    F.when(F.col("_n") == 1, F.lit(1.0)).otherwise(F.col("_sd")).alias("_sd"))
-    j = s.join(bounded_broadcast(st), group_col)
+    # one row per group; AQE picks broadcast (or a skew-split shuffle join) at run time
+    j = s.join(st, group_col)
     a = (F.col("_score") - F.col("_mu")) / (F.col("_sd") + eps)
     j = j.withColumn("grpo_score", a)
     j = j.withColumn("advantages", F.transform(mask_col, lambda m: F.col("grpo_score") * m))

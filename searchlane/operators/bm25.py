@@ -57,10 +57,12 @@ def build_bm25(corpus: DataFrame, id_col: str = "id", text_col: str = "contents"
             .repartition(n, "doc_id")
             .select("doc_id", analyzer_terms("_text").alias("_terms")))
     doc_stats = docs.select("doc_id", F.size("_terms").cast("long").alias("doc_len"))
+    # explode_outer keeps term-less documents as one (doc, NULL, tf=0) row, so the
+    # document statistics can be read back from the postings alone
     postings = (docs.select("doc_id", F.size("_terms").cast("long").alias("doc_len"),
-                            F.explode("_terms").alias("term"))
+                            F.explode_outer("_terms").alias("term"))
                 .groupBy("doc_id", "term")
-                .agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len")))
+                .agg(F.count("term").alias("tf"), F.first("doc_len").alias("doc_len")))
     if materialize:
         from searchlane.session import cut_lineage
         postings = cut_lineage(postings)
@@ -90,16 +92,18 @@ def bm25_search(queries: DataFrame, index: BM25Index, k: int = 3, query_id: str
                 query_col: str = "query") -> DataFrame:
     """V2: top-k (query_id, rank, doc_id, score); queries with fewer than k
     matching documents return fewer rows, queries with none return no rows."""
-    qt = bounded_broadcast(query_terms(queries, query_id, query_col))
+    qt = query_terms(queries, query_id, query_col)
     n_docs, avgdl = index.corpus_stats()
-    matched = index.postings.join(qt, "term")
     vocab = qt.select("term").distinct()
-    df_t = (index.postings.join(bounded_broadcast(vocab), "term")
+    df_t = (index.postings.join(bounded_broadcast(vocab, proxy=qt), "term")
             .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     idf = F.log(F.lit(1.0) + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    # per (query, term) weight qtf * idf lives on the small broadcast side, so each
+    # matched posting costs one multiply-divide and a hash-aggregate update
+    qw = qt.join(df_t, "term").select("term", "query_id", (F.col("qtf") * idf).alias("w"))
     norm = F.lit(index.k1) * (F.lit(1.0 - index.b) + F.lit(index.b) * F.col("doc_len") / avgdl)
-    term_score = F.col("qtf") * idf * F.col("tf") * (index.k1 + 1.0) / (F.col("tf") + norm)
-    scored = (matched.join(F.broadcast(df_t), "term")
+    term_score = F.col("w") * (F.col("tf") * (index.k1 + 1.0) / (F.col("tf") + norm))
+    scored = (index.postings.join(bounded_broadcast(qw, proxy=qt), "term")
               .groupBy("query_id", "doc_id")
               .agg(F.round(F.sum(term_score), SCORE_DIGITS).alias("score")))
     return top_k(scored, ["query_id"], [F.col("score").desc(), F.col("doc_id").asc()], k)

@@ -10,14 +10,19 @@ from pyspark.sql import functions as F
 DEFAULT_BROADCAST_ROWS = 2_000_000
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
+                      proxy: DataFrame | None = None, per_row: int = 1) -> DataFrame:
     """Broadcast ``df`` only after proving it has at most ``max_rows`` rows.
 
-    The count is a cheap action on the small side (query batches, hit lists);
-    beyond the bound the DataFrame is returned unchanged and joins shuffle.
+    The proof counts ``proxy`` (a cheap input whose row count times
+    ``per_row`` bounds ``df``, e.g. queries x k for a top-k hit list) or ``df``
+    itself; beyond the bound the DataFrame is returned unchanged and the join
+    shuffles (AQE may still pick broadcast from measured stage sizes).
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    src = proxy if proxy is not None else df
+    limit = max_rows // max(per_row, 1)
+    n = src.limit(limit + 1).count()
+    return F.broadcast(df) if n <= limit else df
 
 
 def top_k(df: DataFrame, partition_cols: list[str], order_cols: list[Column], k: int,

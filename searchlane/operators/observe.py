@@ -21,14 +21,16 @@ INVALID_ACTION_HINT = (
 
 
 def attach_docs(hits: DataFrame, corpus: DataFrame, id_col: str = "id",
-                contents_col: str = "contents") -> DataFrame:
+                contents_col: str = "contents", queries: DataFrame | None = None,
+                k: int = 1) -> DataFrame:
     """Equi-join hits to passages by the real document id.
 
-    Hits are |queries| x k rows, so they are the broadcast side (size-checked)
-    while the corpus streams through unshuffled.
+    Hits are at most |queries| x k rows, so they are the broadcast side while
+    the corpus streams through unshuffled; the bound is proven on the (cheap)
+    query table when it is given, else on the hits themselves.
     """
     docs = corpus.select(F.col(id_col).alias("doc_id"), F.col(contents_col).alias("contents"))
-    return docs.join(bounded_broadcast(hits), "doc_id")
+    return docs.join(bounded_broadcast(hits, proxy=queries, per_row=k), "doc_id")
 
 
 def passage_line(rank_col: str = "rank", contents_col: str = "contents"):

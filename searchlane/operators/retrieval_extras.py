@@ -67,7 +67,7 @@ def retrieve_rerank(queries: DataFrame, corpus: DataFrame, index, k_retrieve: in
     ``(Title: t) text`` pair form to ``"t"\\ntext``."""
     from searchlane.operators.bm25 import bm25_search
     hits = bm25_search(queries, index, k_retrieve)
-    cand = attach_docs(hits, corpus).join(queries, "query_id")
+    cand = attach_docs(hits, corpus, queries=queries, k=k_retrieve).join(queries, "query_id")
     rr = rerank(cand, k_rerank, scorer)
     return rr.withColumn("document", convert_title_format("pair_text"))
 
@@ -78,7 +78,7 @@ def add_context(qa: DataFrame, cache: DataFrame, corpus: DataFrame, k: int,
     """``context`` = ``Doc i(Title: t) text\\n`` for the first k cached ids
     of each question, in cache order (equi-join on id, ordered regroup)."""
     ex = cache.select(key, F.posexplode(F.slice(ids_col, 1, k)).alias("pos", "doc_id"))
-    docs = attach_docs(ex.withColumn("rank", F.col("pos") + 1), corpus)
+    docs = attach_docs(ex.withColumn("rank", F.col("pos") + 1), corpus, queries=cache, k=k)
     ctx = (docs.groupBy(key).agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("rank", passage_line().alias("line")))),
         lambda x: x["line"]), "").alias("context")))

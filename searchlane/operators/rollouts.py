@@ -37,7 +37,8 @@ def search_observations(requests: DataFrame, keys: list[str], retrieve_fn, corpu
     # distinct queries get a 64-bit hash id: scoring then groups by a long, not by text
     uniq = requests.select("query").distinct().withColumn("query_id", F.xxhash64("query"))
     hits = retrieve_fn(uniq)
-    block = passages_to_string(attach_docs(hits, corpus), key="query_id")
+    # the retriever returns at most k rows per query; 16 bounds every k used here
+    block = passages_to_string(attach_docs(hits, corpus, queries=uniq, k=16), key="query_id")
     res = block.join(uniq, "query_id").select(
         "query", truncate_tokens_text("result", max_obs_tokens).alias("result"))
     per_q = requests.join(res, "query", "left").withColumn("result", F.coalesce("result", F.lit("")))

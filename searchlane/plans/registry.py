@@ -60,9 +60,9 @@ stats AS (SELECT count(*) AS n, avg(doc_len)::DOUBLE AS avgdl FROM doc_stats),
 dft AS (SELECT term, count(*) AS df FROM postings WHERE term IN (SELECT term FROM qt) GROUP BY term),
 scored AS (
   SELECT qt.query_id, p.doc_id,
-         round(sum(qt.qtf * ln(1.0::DOUBLE + (s.n - dft.df + 0.5::DOUBLE) / (dft.df + 0.5::DOUBLE))
-                   * p.tf * 1.9::DOUBLE
-                   / (p.tf + 0.9::DOUBLE * (0.6::DOUBLE + 0.4::DOUBLE * ds.doc_len / s.avgdl))), 6) AS score
+         round(sum((qt.qtf * ln(1.0::DOUBLE + (s.n - dft.df + 0.5::DOUBLE) / (dft.df + 0.5::DOUBLE)))
+                   * (p.tf * 1.9::DOUBLE
+                      / (p.tf + 0.9::DOUBLE * (0.6::DOUBLE + 0.4::DOUBLE * ds.doc_len / s.avgdl)))), 6) AS score
   FROM qt JOIN postings p ON p.term = qt.term JOIN dft ON dft.term = qt.term
        JOIN doc_stats ds ON ds.doc_id = p.doc_id, stats s
   GROUP BY qt.query_id, p.doc_id),

@@ -35,7 +35,7 @@ def search_observations(spark, sf_dir):
     corpus = fx.corpus(t)
     qs = fx.queries(t)
     hits = bm25_search(qs, build_bm25(corpus), k=TOPK)
-    docs = attach_docs(hits, corpus)
+    docs = attach_docs(hits, corpus, queries=qs, k=TOPK)
     block = passages_to_string(docs, key="query_id")
     n = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"))
     return (qs.select("query_id").join(block, "query_id", "left").join(n, "query_id", "left")
@@ -237,7 +237,7 @@ def nested_results(spark, sf_dir):
     t = Tables(spark, sf_dir)
     corpus = fx.corpus(t)
     qs = fx.queries(t)
-    docs = attach_docs(bm25_search(qs, build_bm25(corpus), k=TOPK), corpus)
+    docs = attach_docs(bm25_search(qs, build_bm25(corpus), k=TOPK), corpus, queries=qs, k=TOPK)
     n = nest_results(qs, docs)
     ranked = F.array_join(F.transform("result", lambda e: F.concat(
         e["document"]["id"].cast("string"), F.lit(":"), e["score"].cast("string"))), ",")
