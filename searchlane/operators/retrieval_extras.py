@@ -31,7 +31,8 @@ def model_scores(pairs: DataFrame, scorer_factory: Callable, query_col: str = "q
     """Pluggable cross-encoder: ``scorer.predict(list[(q, d)]) -> list[float]``
     in Arrow batches, the model loaded once per Python worker."""
     cache: dict = {}
-    out_schema = pairs.schema.add("rerank_score", "double")
+    from pyspark.sql import types as T
+    out_schema = T.StructType(list(pairs.schema.fields) + [T.StructField("rerank_score", T.DoubleType())])
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if "m" not in cache:

@@ -235,3 +235,44 @@ def preference_pairs(pairs: DataFrame, max_length: int, prompt: str = "prompt",
     out = pairs.withColumn("chosen_ids", seq(chosen)).withColumn("rejected_ids", seq(rejected))
     return (out.withColumn("chosen_mask", F.transform("chosen_ids", lambda x: F.when(x != pad, 1).otherwise(0)))
             .withColumn("rejected_mask", F.transform("rejected_ids", lambda x: F.when(x != pad, 1).otherwise(0))))
+
+
+def generate(prompts: DataFrame, model_factory, text_col: str = "prompt_text", batch_size: int = 16) -> DataFrame:
+    """Pluggable language-model call in Arrow batches with per-row error
+    capture: ``model.generate(list[str]) -> list[dict(text, finish_reason, usage)]``;
+    a failing batch is retried row by row and failures become ``error`` values
+    instead of failing the task. The model is loaded once per Python worker."""
+    import pandas as pd
+
+    cache: dict = {}
+    from pyspark.sql import types as T
+    # a new StructType: DataFrame.schema may be cached, never mutate it
+    schema = T.StructType(list(prompts.schema.fields) + [
+        T.StructField("text", T.StringType()), T.StructField("finish_reason", T.StringType()),
+        T.StructField("usage", T.LongType()), T.StructField("error", T.StringType())])
+
+    def run(it):
+        if "m" not in cache:
+            cache["m"] = model_factory()
+        m = cache["m"]
+        for pdf in it:
+            out = []
+            for s in range(0, len(pdf), batch_size):
+                part = pdf[text_col].iloc[s:s + batch_size].tolist()
+                try:
+                    out.extend([(r.get("text"), r.get("finish_reason"), r.get("usage"), None)
+                                for r in m.generate(part)])
+                except Exception:
+                    for p in part:
+                        try:
+                            r = m.generate([p])[0]
+                            out.append((r.get("text"), r.get("finish_reason"), r.get("usage"), None))
+                        except Exception as e:  # noqa: BLE001
+                            out.append((None, None, None, f"{type(e).__name__}: {e}"))
+            cols = list(zip(*out)) if out else [[], [], [], []]
+            yield pdf.assign(text=pd.Series(cols[0], dtype="object").values,
+                             finish_reason=pd.Series(cols[1], dtype="object").values,
+                             usage=pd.Series(cols[2], dtype="Int64").values,
+                             error=pd.Series(cols[3], dtype="object").values)
+
+    return prompts.mapInPandas(run, schema)

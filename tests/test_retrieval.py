@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from searchlane.operators.bm25 import bm25_search, build_bm25
 from searchlane.operators.dense import HashingEncoder, dense_search, encode_texts, l2_normalize
@@ -33,3 +34,18 @@ def test_encoder_and_normalize(spark):
     assert abs(np.linalg.norm(vecs[1]) - 1) < 1e-5 and np.allclose(vecs[2], 0)
     n = spark.createDataFrame([([3.0, 4.0],)], "v array<double>").select(l2_normalize("v").alias("n")).first()["n"]
     assert n == [0.6, 0.8]
+
+
+class _LenScorer:
+    def predict(self, pairs):
+        return [float(len(d)) for _, d in pairs]
+
+
+def test_rerank_with_pluggable_scorer(spark):
+    from searchlane.operators.retrieval_extras import rerank
+    cand = spark.createDataFrame([(1, 10, "q", '"a"\nshort'), (1, 11, "q", '"b"\nmuch longer text'),
+                                  (1, 12, "q", '"c"\nmid text')], "query_id long, doc_id long, query string, contents string")
+    got = [r["doc_id"] for r in rerank(cand, 2, scorer=_LenScorer).orderBy("rerank_rank").collect()]
+    assert got == [11, 12]
+    lex = [r["doc_id"] for r in rerank(cand.withColumn("query", F.lit("mid text")), 1).collect()]
+    assert lex == [12]

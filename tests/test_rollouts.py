@@ -87,3 +87,20 @@ def test_zip_batches_checks_shared_columns(spark):
         RO.zip_batches(a, b).collect()
     ok = RO.zip_batches(a, b.withColumn("b", F.lit(5))).first()
     assert (ok["c"], ok["d"]) == ("x", 2.0)
+
+
+class _EchoModel:
+    def generate(self, prompts):
+        if any("boom" in p for p in prompts):
+            raise RuntimeError("quota exceeded: insufficient balance")
+        return [{"text": p.upper(), "finish_reason": "stop", "usage": len(p)} for p in prompts]
+
+
+def test_generate_captures_errors(spark):
+    df = spark.createDataFrame([(1, "hi"), (2, "boom"), (3, "ok")], "sample_id long, prompt_text string")
+    out = {r["sample_id"]: r for r in RO.generate(df, _EchoModel).collect()}
+    assert out[1]["text"] == "HI" and out[1]["error"] is None
+    assert out[2]["text"] is None and "insufficient balance" in out[2]["error"]
+    from searchlane.functions.text import is_quota_error
+    flagged = RO.generate(df, _EchoModel).filter(is_quota_error("error")).count()
+    assert flagged == 1
