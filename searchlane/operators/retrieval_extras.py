@@ -230,3 +230,19 @@ def page_text_regex(html) -> Column:
     no_script = F.regexp_replace(_c(html), r"(?is)<script\b.*?</script>|<style\b.*?</style>", "")
     blocks = F.regexp_extract_all(no_script, F.lit(r"(?is)<p(?:\s[^>]*)?>(.*?)</p>"), 1)
     return F.array_join(F.transform(blocks, lambda b: F.regexp_replace(b, "<[^>]*>", "")), "\n")
+
+
+def normalize_cse(items: DataFrame, k: int, key: str = "query_id", pos_col: str = "pos",
+                  title_col: str = "title", snippet_col: str = "snippet") -> DataFrame:
+    """Snippet-only results: context = kept snippet segments joined by a
+    space; an item is dropped when title and context are both empty; missing
+    ones get defaults; the first k surviving items per query (by position)."""
+    from searchlane.operators.common import top_k as _top_k
+    title = F.coalesce(F.col(title_col), F.lit(""))
+    ctx = F.array_join(parse_snippet(F.coalesce(F.col(snippet_col), F.lit(""))), " ")
+    kept = (items.select(key, pos_col, title.alias("_t"), ctx.alias("_c"))
+            .filter((F.col("_t") != "") | (F.col("_c") != "")))
+    doc = F.concat(F.lit('"'), F.when(F.col("_t") == "", F.lit("No title.")).otherwise(F.col("_t")),
+                   F.lit('"\n'), F.when(F.col("_c") == "", F.lit("No snippet available.")).otherwise(F.col("_c")))
+    out = kept.withColumn("contents", doc)
+    return _top_k(out, [key], [F.col(pos_col).asc()], k).drop("_t", "_c")

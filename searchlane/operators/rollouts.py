@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -276,3 +277,45 @@ def generate(prompts: DataFrame, model_factory, text_col: str = "prompt_text", b
                              error=pd.Series(cols[3], dtype="object").values)
 
     return prompts.mapInPandas(run, schema)
+
+
+def sample_id(split, index, row_pos, data_source=None, compat: bool = True) -> F.Column:
+    """Section 1.3: ``split-<extra_info.index or row position>``. The
+    reference's index restarts per data source, so these ids collide across
+    sources; ``compat=False`` adds the data source to make them unique."""
+    idx = F.coalesce(F.col(index).cast("string"), F.col(row_pos).cast("string"))
+    if compat or data_source is None:
+        return F.concat(F.col(split), F.lit("-"), idx)
+    return F.concat(F.col(split), F.lit("-"), F.col(data_source), F.lit("-"), idx)
+
+
+class WhitespaceTokenizer:
+    """Default tokenizer: whitespace tokens, no chat template."""
+    chat_template = None
+
+    def encode(self, text: str) -> list[str]:
+        return (text or "").split()
+
+
+def render_messages(messages_col, tokenizer=None) -> F.Column:
+    """U4 fallback rendering when the tokenizer has no chat template:
+    ``role: content`` lines joined by newlines (JVM-side)."""
+    return F.array_join(F.transform(messages_col, lambda m: F.concat(
+        F.coalesce(m["role"], F.lit("user")), F.lit(": "), F.coalesce(m["content"], F.lit("")))), "\n")
+
+
+def token_counts(col, tokenizer_factory=WhitespaceTokenizer) -> F.Column:
+    """U4: pluggable tokenizer as an Arrow-batched pandas UDF (token count per
+    text); the tokenizer is built once per Python worker."""
+    import pandas as pd
+
+    cache: dict = {}
+
+    @F.pandas_udf("long")
+    def count(s: pd.Series) -> pd.Series:
+        if "t" not in cache:
+            cache["t"] = tokenizer_factory()
+        tok = cache["t"]
+        return s.map(lambda x: len(tok.encode(x)) if x is not None else 0).astype("int64")
+
+    return count(F.col(col) if isinstance(col, str) else col)

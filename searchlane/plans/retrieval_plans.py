@@ -260,3 +260,31 @@ def online_results(spark, sf_dir):
     out = normalize_serp(p.select("page_id", js.alias("serp")), "serp", k=3)
     return out.select("page_id", F.size("passages").cast("long").alias("n_passages"),
                       F.md5(F.array_join("passages", "\n")).alias("passages_md5"))
+
+
+_SQL_CSE = """it AS (SELECT regexp_extract(url, '/([a-z][a-z])/', 1) AS query_id, page_id AS pos,
+                    regexp_extract(html, '<title>(.*?)</title>', 1) AS title,
+                    array_to_string(string_split({ptext}, chr(10)), ' ... ') AS snippet FROM pages),
+c AS (SELECT *, coalesce(title, '') AS t,
+             array_to_string(list_filter(list_transform(string_split(coalesce(snippet, ''), '...'), lambda x: {sx}),
+                                         lambda x: len(regexp_split_to_array(x, '\\s+')) > 5), ' ') AS cx FROM it),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS rank FROM c WHERE t <> '' OR cx <> '')"""
+
+
+@register("cse_results", sql=f"""
+WITH {_SQL_CSE.format(ptext=_SQL_PTEXT, sx=sql_strip('x'))}
+SELECT query_id, pos, rank::INTEGER AS rank,
+       md5('"' || CASE WHEN t = '' THEN 'No title.' ELSE t END || '"' || chr(10)
+           || CASE WHEN cx = '' THEN 'No snippet available.' ELSE cx END) AS contents_md5
+FROM k WHERE rank <= 3""")
+def cse_results(spark, sf_dir):
+    """Pages as search-engine items grouped by the URL's language path;
+    snippet-only passages, empty items dropped, first 3 per query."""
+    from searchlane.operators.retrieval_extras import normalize_cse, page_text_regex
+    p = Tables(spark, sf_dir).pages
+    items = p.select(F.regexp_extract("url", r"/([a-z][a-z])/", 1).alias("query_id"), F.col("page_id").alias("pos"),
+                     F.regexp_extract("html", r"<title>(.*?)</title>", 1).alias("title"),
+                     F.concat_ws(" ... ", F.split(page_text_regex("html"), "\n")).alias("snippet"))
+    out = normalize_cse(items, 3)
+    return out.select("query_id", "pos", F.col("rank").cast("int").alias("rank"),
+                      F.md5("contents").alias("contents_md5"))
