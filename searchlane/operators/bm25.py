@@ -52,7 +52,8 @@ def build_bm25(corpus: DataFrame, id_col: str = "id", text_col: str = "contents"
     re-tokenising the corpus; the doc-id partitioning survives the checkpoint.
     """
     spark = corpus.sparkSession
-    n = num_shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_shards or int(spark.conf.get("searchlane.bm25.shards", "0")) or \
+        int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = (corpus.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
             .repartition(n, "doc_id")
             .select("doc_id", analyzer_terms("_text").alias("_terms")))

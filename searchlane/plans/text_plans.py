@@ -22,6 +22,7 @@ def _t(spark, sf_dir):
 @register("normalize_answer", sql=f"""
 SELECT conv_id, turn, {sql_normalize_answer('text')} AS normalized FROM conversations""")
 def q_normalize_answer(spark, sf_dir):
+    """T1 over every conversation text (Unicode word boundaries)."""
     c = _t(spark, sf_dir).conversations
     return c.select("conv_id", "turn", X.normalize_answer("text").alias("normalized"))
 
@@ -42,6 +43,7 @@ SELECT id, {SQL_TITLE.format(c='contents')} AS title,
        md5(regexp_replace({_PAIR}, '(?s)^\\(Title:\\s*([^)]+)\\)\\s*(.+)$', '"\\1"' || chr(10) || '\\2')) AS converted_md5
 FROM corpus""")
 def q_passage_fields(spark, sf_dir):
+    """Title / text split, quote stripping, e5 input, pair text round trip."""
     c = fx.corpus(_t(spark, sf_dir))
     title = X.passage_title("contents")
     bare = X.passage_title("contents", strip_quotes=True)
@@ -86,6 +88,7 @@ SELECT sample_id, turn_idx, {_a} AS action, len({_qs})::BIGINT AS n_queries,
        replace(response || '<|endoftext|>', '<|endoftext|>', '') = response AS pad_removed
 FROM responses""")
 def q_parse_actions(spark, sf_dir):
+    """First action of every agent response in both case modes."""
     r = fx.responses(_t(spark, sf_dir))
     p = A.parse_action("response")
     pci = A.parse_action("response", ignore_case=True)
@@ -132,6 +135,7 @@ SELECT row_id, {sql_extract_answer('full_sequence')} AS answer,
        {SQL_VALID} AS valid_format
 FROM sequences""")
 def q_extract_tags(spark, sf_dir):
+    """Answers, last query, information blocks, tag counts, format validity."""
     s = fx.sequences(_t(spark, sf_dir))
     bal = A.tag_balance("full_sequence")
     info = A.information_blocks("full_sequence")
@@ -151,6 +155,7 @@ WITH {SQL_FX['responses']}, s AS (
   SELECT sample_id, turn_idx, '<|im_start|>assistant' || chr(10) || response AS full_sequence FROM responses)
 SELECT sample_id, turn_idx, {SQL_VALID} AS valid_format FROM s""")
 def q_format_validity_responses(spark, sf_dir):
+    """T13 over every agent response behind an assistant marker."""
     r = fx.responses(_t(spark, sf_dir))
     s = r.select("sample_id", "turn_idx",
                  F.concat(F.lit("<|im_start|>assistant\n"), "response").alias("full_sequence"))
@@ -164,6 +169,7 @@ SELECT item_id, {sql_strip(
     "'[\\t\\r\\f\\v\\n]', ' ', 'g'), '\\s+', ' ', 'g')")} AS sanitized
 FROM benchmark""")
 def q_sanitize_queries(spark, sf_dir):
+    """T14 over the benchmark texts."""
     b = _t(spark, sf_dir).benchmark
     return b.select("item_id", X.sanitize_query("text").alias("sanitized"))
 
@@ -174,6 +180,7 @@ _KW = " OR ".join(f"contains(lower(text), '{k}')" for k in X.QUOTA_ERROR_KEYWORD
 @register("quota_errors", sql=f"""
 SELECT conv_id, turn, coalesce({_KW}, false) AS is_quota_error FROM conversations""")
 def q_quota_errors(spark, sf_dir):
+    """T20 keyword detection over conversation texts."""
     c = _t(spark, sf_dir).conversations
     return c.select("conv_id", "turn", X.is_quota_error("text").alias("is_quota_error"))
 
@@ -189,6 +196,7 @@ SELECT conv_id, turn, sum(length(text)) OVER w::BIGINT AS cum_chars,
 FROM conversations
 WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def q_prompt_lengths(spark, sf_dir):
+    """Running prompt length (chars, tokens) per conversation turn."""
     from searchlane.operators.rollouts import prompt_lengths
     c = _t(spark, sf_dir).conversations
     return prompt_lengths(c, key="conv_id", order="turn", text="text").select(
@@ -206,6 +214,7 @@ SELECT row_id,
   (CASE WHEN {_ANS} IS NULL THEN 0.0 WHEN {sql_subem(_ANS, 'golden_answers')} THEN 1.0 ELSE 0.0 END)::DOUBLE AS subem_score
 FROM sequences""")
 def q_em_scores(spark, sf_dir):
+    """EM and SubEM scores of every sequence."""
     s = fx.sequences(_t(spark, sf_dir))
     s = R.score_em(s, out="em_score")
     s = R.score_subem(s, out="subem_score")
@@ -224,6 +233,7 @@ SELECT row_id, {SQL_VALID} AS valid_format, {SQL_VALID} AND {SQL_RETRIEVED} AS r
        {_EMF} AS score
 FROM sequences""")
 def q_em_format_scores(spark, sf_dir):
+    """R4 + R13 + T13: format-aware EM with retrieval credit."""
     s = fx.sequences(_t(spark, sf_dir))
     ok = A.valid_sequence("full_sequence")
     return R.score_em_format(s).select(
@@ -236,6 +246,7 @@ def q_em_format_scores(spark, sf_dir):
 WITH {SQL_FX['sequences']}
 SELECT row_id, data_source, {_EMF} AS score FROM sequences""")
 def q_reward_dispatch(spark, sf_dir):
+    """Reward dispatch by data source (format-aware registry)."""
     s = fx.sequences(_t(spark, sf_dir))
     return R.score_rollouts(s, registry="em_format").select("row_id", "data_source", "score")
 
@@ -246,6 +257,7 @@ SELECT split, coalesce(data_source, 'unknown') AS data_source, avg(score)::DOUBL
        count(score)::BIGINT AS n_scored
 FROM rollout_log GROUP BY split, coalesce(data_source, 'unknown')""")
 def q_score_by_source(spark, sf_dir):
+    """Mean score per split and data source over the rollout log."""
     log = fx.rollout_log(_t(spark, sf_dir))
     return (log.groupBy("split", F.coalesce("data_source", F.lit("unknown")).alias("data_source"))
             .agg(F.avg("score").alias("mean_score"), F.count("score").alias("n_scored")))
@@ -306,6 +318,7 @@ SELECT l_orderkey, l_linenumber,
   (CASE WHEN {_FLEX} IS NULL THEN 0.0 WHEN {_FLEX} = ground_truth THEN 1.0 ELSE 0.0 END)::DOUBLE AS flexible_score
 FROM g""")
 def q_gsm8k_scores(spark, sf_dir):
+    """Strict and flexible gsm8k scoring over line items."""
     g = _gsm_fixture_spark(_t(spark, sf_dir))
     g = R.score_gsm8k(g, "solution", "ground_truth", "strict", out="strict_score")
     g = R.score_gsm8k(g, "solution", "ground_truth", "flexible", out="flexible_score")
@@ -327,6 +340,7 @@ a AS (SELECT *, TRY_CAST(trim(regexp_extract_all(substr(solution, strpos(solutio
 SELECT o_orderkey, (CASE WHEN NOT has_marker OR ans IS NULL THEN 0.0 WHEN ans = gt THEN 1.0 ELSE 0.1 END)::DOUBLE AS score
 FROM a""")
 def q_multiply_scores(spark, sf_dir):
+    """Multiply-task scoring over orders."""
     o = _t(spark, sf_dir).orders
     gt = o.o_custkey * o.o_orderkey
     m = o.o_orderkey % 4
