@@ -40,9 +40,10 @@ def search_observations(requests: DataFrame, keys: list[str], retrieve_fn, corpu
     hits = retrieve_fn(uniq)
     # the retriever returns at most k rows per query; 16 bounds every k used here
     block = passages_to_string(attach_docs(hits, corpus, queries=uniq, k=16), key="query_id")
-    res = block.join(uniq, "query_id").select(
-        "query", truncate_tokens_text("result", max_obs_tokens).alias("result"))
-    per_q = requests.join(res, "query", "left").withColumn("result", F.coalesce("result", F.lit("")))
+    res = block.select("query_id", truncate_tokens_text("result", max_obs_tokens).alias("result"))
+    # join back on the 64-bit id, never on the (long) query text
+    per_q = (requests.withColumn("query_id", F.xxhash64("query")).join(res, "query_id", "left")
+             .withColumn("result", F.coalesce("result", F.lit(""))).drop("query_id"))
     key = F.struct(*[F.col(k) for k in keys])
     return (format_observation(per_q.withColumn("_k", key), "_k", "qpos", "query", "result")
             .select(*[F.col(f"_k.{k}").alias(k) for k in keys], "observation"))

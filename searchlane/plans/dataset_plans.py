@@ -164,10 +164,11 @@ def q_mini_batches(spark, sf_dir):
 
 @register("balanced_partitions")
 def q_balanced_partitions(spark, sf_dir):
-    """Length-balanced partitions (largest differencing) per batch
-    of the token table, with the per-batch spread and micro-batch count."""
-    tr = fx.token_rows(Tables(spark, sf_dir)).select("row_id", "batch_id", F.size("responses").alias("seqlen"))
-    idx = tr.withColumnRenamed("row_id", "row_idx")
+    """Length-balanced partitions (largest differencing) inside each
+    fixed 256-row training batch of the token table (batches are bounded by
+    construction), with the per-batch spread and micro-batch count."""
+    tr = fx.token_rows(Tables(spark, sf_dir)).select("row_id", F.size("responses").alias("seqlen"))
+    idx = BT.mini_batches(BT.with_row_index(tr, ["row_id"]), 256)
     assigned = BT.balance_partitions(idx, 4, equal_size=False)
     rep = BT.balance_report(assigned, idx)
-    return rep.join(BT.micro_batch_count(idx, 64).withColumn("batch_id", F.col("batch_id").cast("long")), "batch_id")
+    return rep.join(BT.micro_batch_count(idx, 64), "batch_id")
