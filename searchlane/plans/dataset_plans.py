@@ -144,7 +144,7 @@ SELECT o_orderkey AS row_idx, r AS rep FROM orders, generate_series(0, 4) AS g(r
 def q_repeat_rows(spark, sf_dir):
     """Every order repeated 5 times (interleaved order key)."""
     o = Tables(spark, sf_dir).orders.select(F.col("o_orderkey").alias("row_idx"))
-    return BT.repeat_rows(o, 5).select("row_idx", "rep")
+    return BT.repeat_rows(o, 5).select("row_idx", F.col("rep").cast("long").alias("rep"))
 
 
 @register("mini_batches", sql="""
