@@ -131,12 +131,13 @@ def sample_exact(df: DataFrame, n: int, key: str, seed: int = 42, by: str | None
         if cnt < n:
             raise ValueError(f"only {cnt} rows, {n} requested")
         return df.withColumn("_h", h).orderBy("_h", key).limit(n).drop("_h")
-    w = Window.partitionBy(by).orderBy(h, F.col(key))
-    out = df.withColumn("_r", F.row_number().over(w))
-    short = out.groupBy(by).agg(F.max("_r").alias("_n")).filter(F.col("_n") < n)
+    short = df.groupBy(by).count().filter(F.col("count") < n)   # partial aggregate, no window
     if short.limit(1).count():
         raise ValueError("a group has fewer rows than requested")
-    return out.filter(F.col("_r") <= n).drop("_r")
+    # row_number <= n plans a partial WindowGroupLimit: a hot group ships at most
+    # n rows per map partition
+    w = Window.partitionBy(by).orderBy(h, F.col(key))
+    return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
 
 
 def sample_at_most(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:

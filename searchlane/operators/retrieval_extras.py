@@ -163,16 +163,27 @@ def filter_links(items: DataFrame, link_col: str = "link", mime_col: str = "mime
 
 def collect_context(snippets: DataFrame, pages_text: DataFrame, key: str = "page_id",
                     snippet_col: str = "snippet", text_col: str = "text") -> DataFrame:
-    """Each snippet segment of more than five words is located in the
-    page of the *same key* (equi-join first, containment second); the
-    enclosing line is kept once, in segment order, newline-joined."""
+    """Every snippet segment of more than five words is located in the
+    page of the *same key* (newlines read as spaces while searching), widened
+    to the enclosing line bounds, stripped, kept once in segment order and
+    newline-joined. One row per segment: the page text is an equi-joined
+    column and the search is ``instr``, so no (segment, line) pairs exist."""
     seg = snippets.select(key, F.posexplode(parse_snippet(snippet_col)).alias("spos", "seg"))
-    lines = pages_text.select(key, F.posexplode(F.split(text_col, "\n")).alias("lpos", "line"))
-    hit = (seg.join(lines, key)
-           .filter(F.instr(F.col("line"), F.col("seg")) > 0)
-           .groupBy(key, "spos").agg(F.min(F.struct("lpos", "line")).alias("first")))
-    para = hit.select(key, "spos", strip(F.col("first.line")).alias("para"))
-    first_pos = para.groupBy(key, "para").agg(F.min("spos").alias("spos"))
+    j = seg.join(pages_text.select(key, F.col(text_col).alias("_doc")), key)
+    doc = F.col("_doc")
+    pos = F.instr(F.replace(doc, F.lit("\n"), F.lit(" ")), F.col("seg"))      # 1-based, 0 = absent
+    before = F.expr("substring(_doc, 1, greatest(_pos - 1, 0))")
+    # 0-based index of the last newline before the match (0 when none)
+    sta = F.length(before) - F.length(F.substring_index(before, "\n", -1))
+    sta0 = F.when(sta > 0, sta - 1).otherwise(F.lit(0))
+    after_start = F.col("_pos") + F.length("seg")                             # 1-based first char after
+    nl = F.instr(F.expr("substring(_doc, _pos + length(seg))"), F.lit("\n"))
+    end0 = F.when(nl == 0, F.length(doc)).otherwise(after_start - 1 + nl - 1)  # 0-based exclusive end
+    para = strip(F.expr("substring(_doc, _sta0 + 1, _end0 - _sta0)"))
+    hit = (j.withColumn("_pos", pos).filter(F.col("_pos") > 0)
+           .withColumn("_sta0", sta0).withColumn("_end0", end0)
+           .select(key, "spos", para.alias("para")))
+    first_pos = hit.groupBy(key, "para").agg(F.min("spos").alias("spos"))
     return (first_pos.groupBy(key).agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("spos", "para"))), lambda x: x["para"]), "\n").alias("context")))
 

@@ -192,11 +192,15 @@ seg AS (SELECT page_id, s.pos AS spos, s.seg FROM sn,
                                         lambda x: len(regexp_split_to_array(x, '\\s+')) > 5)) AS seg,
                         generate_subscripts(list_filter(list_transform(string_split(snippet, '...'), lambda x: {sql_strip('x')}),
                                         lambda x: len(regexp_split_to_array(x, '\\s+')) > 5), 1) AS pos) s),
-ln AS (SELECT page_id, l.pos AS lpos, l.line FROM pt,
-       LATERAL (SELECT unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos) l),
-hit AS (SELECT seg.page_id, spos, arg_min(line, lpos) AS line FROM seg JOIN ln ON ln.page_id = seg.page_id
-        WHERE strpos(line, seg) > 0 GROUP BY seg.page_id, spos),
-para AS (SELECT page_id, {sql_strip('line')} AS para, min(spos) AS spos FROM hit GROUP BY page_id, {sql_strip('line')})"""
+m AS (SELECT seg.page_id, spos, seg, pt.text AS doc, strpos(replace(pt.text, chr(10), ' '), seg) AS p
+      FROM seg JOIN pt ON pt.page_id = seg.page_id),
+b AS (SELECT *, substr(doc, 1, greatest(p - 1, 0)) AS before FROM m WHERE p > 0),
+e AS (SELECT *, length(before) - length(split_part(before, chr(10), -1)) AS sta,
+             strpos(substr(doc, p + length(seg)), chr(10)) AS nl FROM b),
+g AS (SELECT *, CASE WHEN sta > 0 THEN sta - 1 ELSE 0 END AS sta0,
+             CASE WHEN nl = 0 THEN length(doc) ELSE p + length(seg) - 1 + nl - 1 END AS end0 FROM e),
+hit AS (SELECT page_id, spos, {sql_strip('substr(doc, sta0 + 1, end0 - sta0)')} AS para FROM g),
+para AS (SELECT page_id, para, min(spos) AS spos FROM hit GROUP BY page_id, para)"""
 
 
 @register("snippet_context", sql=f"""

@@ -94,3 +94,15 @@ def test_stream_dedupe_and_cached_retrieval(spark):
     new = spark.read.parquet(f"{d}/cache").collect()
     assert [(r["query"], r["doc_id"]) for r in new] == [("b", 9)]
     assert np.isfinite(len(new))
+
+
+def test_collect_context_position_search(spark):
+    from searchlane.operators.retrieval_extras import collect_context
+    doc = "intro line\nalpha beta gamma delta\nepsilon zeta eta theta\nlast one here"
+    pages = spark.createDataFrame([(1, doc)], "page_id long, text string")
+    snip = spark.createDataFrame([(1, "gamma delta epsilon zeta eta theta ... a b c ... alpha beta gamma delta epsilon zeta")],
+                                 "page_id long, snippet string")
+    ctx = collect_context(snip, pages).first()["context"]
+    # the first segment spans two lines: both lines are kept as one paragraph; the
+    # third segment maps to the same paragraph and is not repeated
+    assert ctx == "alpha beta gamma delta\nepsilon zeta eta theta"
