@@ -52,10 +52,11 @@ def build_bm25(corpus: DataFrame, id_col: str = "id", text_col: str = "contents"
     re-tokenising the corpus and the planner still knows the doc-id layout.
     """
     spark = corpus.sparkSession
-    # shards: explicit, else configured, else 4 per core (smaller per-task hash
-    # tables for the (query, doc) sums), never fewer than the shuffle partitions
+    # shards: explicit, else configured, else one per input split of the corpus
+    # (splits follow spark.sql.files.maxPartitionBytes, so shards grow with the
+    # data) and at least 4 per core for small corpora
     n = num_shards or int(spark.conf.get("searchlane.bm25.shards", "0")) or \
-        max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+        max(corpus.rdd.getNumPartitions(), 4 * spark.sparkContext.defaultParallelism)
     docs = (corpus.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
             .repartition(n, "doc_id")
             .select("doc_id", analyzer_terms("_text").alias("_terms")))
