@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from searchlane.functions.text import analyzer_terms
-from searchlane.operators.common import bounded_broadcast, top_k
+from searchlane.operators.common import DEFAULT_BROADCAST_ROWS, top_k
 
 K1 = 0.9
 B = 0.4
@@ -82,9 +82,13 @@ def _write_bucketed(postings: DataFrame, n: int) -> DataFrame:
     from searchlane.session import scratch_path
     spark = postings.sparkSession
     name = f"bm25_postings_{uuid.uuid4().hex[:12]}"
-    (postings.write.mode("overwrite").option("path", scratch_path(spark, name))
-     .bucketBy(n, "doc_id").saveAsTable(name))
-    return spark.table(name)
+    try:
+        (postings.write.mode("overwrite").option("path", scratch_path(spark, name))
+         .bucketBy(n, "doc_id").saveAsTable(name))
+        return spark.table(name)
+    except Exception:  # noqa: BLE001 - a catalog that refuses tables: keep the data, lose the layout hint
+        from searchlane.session import cut_lineage
+        return cut_lineage(postings)
 
 
 def write_bm25(index: BM25Index, path: str) -> None:
@@ -112,7 +116,10 @@ def bm25_search(queries: DataFrame, index: BM25Index, k: int = 3, query_id: str
     qt = query_terms(queries, query_id, query_col)
     n_docs, avgdl = index.corpus_stats()
     vocab = qt.select("term").distinct()
-    df_t = (index.postings.join(bounded_broadcast(vocab, proxy=qt), "term")
+    # one count of the (query, term) table bounds both broadcast sides below
+    n_qt = qt.limit(DEFAULT_BROADCAST_ROWS + 1).count()
+    small = n_qt <= DEFAULT_BROADCAST_ROWS
+    df_t = (index.postings.join(F.broadcast(vocab) if small else vocab, "term")
             .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     idf = F.log(F.lit(1.0) + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     # per (query, term) weight qtf * idf lives on the small broadcast side, so each
@@ -120,7 +127,7 @@ def bm25_search(queries: DataFrame, index: BM25Index, k: int = 3, query_id: str
     qw = qt.join(df_t, "term").select("term", "query_id", (F.col("qtf") * idf).alias("w"))
     norm = F.lit(index.k1) * (F.lit(1.0 - index.b) + F.lit(index.b) * F.col("doc_len") / avgdl)
     term_score = F.col("w") * (F.col("tf") * (index.k1 + 1.0) / (F.col("tf") + norm))
-    scored = (index.postings.join(bounded_broadcast(qw, proxy=qt), "term")
+    scored = (index.postings.join(F.broadcast(qw) if small else qw, "term")
               .groupBy("query_id", "doc_id")
               .agg(F.round(F.sum(term_score), SCORE_DIGITS).alias("score")))
     return top_k(scored, ["query_id"], [F.col("score").desc(), F.col("doc_id").asc()], k)

@@ -49,3 +49,11 @@ def test_rerank_with_pluggable_scorer(spark):
     assert got == [11, 12]
     lex = [r["doc_id"] for r in rerank(cand.withColumn("query", F.lit("mid text")), 1).collect()]
     assert lex == [12]
+
+
+def test_dense_ties_by_id(spark):
+    vecs = spark.createDataFrame([(5, [1.0, 0.0]), (2, [1.0, 0.0]), (9, [0.0, 1.0]), (1, [0.6, 0.8])],
+                                 "vec_id long, embedding array<float>")
+    q = spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, embedding array<double>")
+    got = [(r["doc_id"], r["rank"]) for r in dense_search(q, vecs, k=3).orderBy("rank").collect()]
+    assert got == [(2, 1), (5, 2), (1, 3)]
