@@ -7,6 +7,7 @@ _MODULES = (
     "searchlane.plans.agent_plans",
     "searchlane.plans.dataset_plans",
     "searchlane.plans.streaming_plans",
+    "searchlane.plans.io_plans",
 )
 
 
