@@ -96,13 +96,16 @@ def replay_rollouts(responses: DataFrame, max_turns: int, sample: str = "sample_
     group is collected.
     """
     w = Window.partitionBy(sample).orderBy(turn)
-    s = (responses.withColumn("step", F.row_number().over(w) - 1)
-         .filter(F.col("step") <= max_turns)
+    # filter on the row number itself: Spark plans a partial WindowGroupLimit, so
+    # at most max_turns + 1 rows of any sample leave a map partition
+    s = (responses.withColumn("_rn", F.row_number().over(w))
+         .filter(F.col("_rn") <= max_turns + 1)
+         .withColumn("step", F.col("_rn") - 1).drop("_rn")
          .withColumn("action", parse_action(text)["action"]))
-    g = s.groupBy(sample).agg(
-        F.min(F.when(F.col("action") == "answer", F.col("step"))).alias("answer_step"),
-        F.max("step").alias("last_step"))
-    j = s.join(g, sample)
+    # first answer step per sample as a window over the (limited) rows: the data
+    # is already partitioned by sample, so no self-join and no second exchange
+    j = s.withColumn("answer_step", F.min(F.when(F.col("action") == "answer", F.col("step")))
+                     .over(Window.partitionBy(sample)))
     upto = F.col("step") <= F.coalesce(F.col("answer_step"), F.lit(max_turns))
     agg = j.groupBy(sample).agg(
         F.first("answer_step").alias("answer_step"),
