@@ -139,24 +139,46 @@ def _query_matrix(queries: DataFrame, query_id: str, vector_col: str, extra: lis
     return (ids, mat, rest), n, dim_row
 
 
+def _arrow_matrix(col) -> np.ndarray:
+    """An Arrow list<float> column as an (n, dim) float64 matrix: one flatten
+    and reshape when every row has the same length (no per-row Python)."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    n = len(col)
+    if n == 0:
+        return np.zeros((0, 0))
+    lens = pc.list_value_length(col).to_numpy(zero_copy_only=False)
+    if (lens == lens[0]).all() and col.null_count == 0:
+        flat = pc.list_flatten(col).to_numpy(zero_copy_only=False)
+        return flat.astype(np.float64).reshape(n, int(lens[0]))
+    return np.stack([np.asarray(v, dtype=np.float64) for v in col.to_pylist()])
+
+
 def _local_topk(ids_q, qmat, vid, vmat, k, allowed=None):
     """Scores of a vector block against all queries; keep top-k per query by
-    (score desc, id asc). ``allowed`` masks (query x vector) pairs out."""
+    (score desc, id asc). ``allowed`` masks (query x vector) pairs out.
+    Selection is O(block) per query (partition at the k-th value, then an
+    exact order only among the few rows at or above it, ties included)."""
     s = qmat @ vmat.T                                    # (nq, nv)
     s = np.round(s, SCORE_DIGITS)
     if allowed is not None:
         s = np.where(allowed, s, -np.inf)
     out_q, out_v, out_s = [], [], []
     kk = min(k, s.shape[1])
-    for qi in range(s.shape[0]):
+    for qi in range(s.shape[0] if kk else 0):
         row = s[qi]
-        order = np.lexsort((vid, -row))[:kk]
+        kth = np.partition(row, row.shape[0] - kk)[row.shape[0] - kk]
+        cand = np.nonzero(row >= kth)[0]
+        order = cand[np.lexsort((vid[cand], -row[cand]))][:kk]
         keep = order[np.isfinite(row[order])]
         out_q.append(np.full(len(keep), ids_q[qi], dtype=np.int64))
-        out_v.append(vid[keep])
-        out_s.append(row[keep])
+        out_v.append(vid[keep].astype(np.int64))
+        out_s.append(row[keep].astype(np.float64))
     if not out_q:
-        return pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
+        return pd.DataFrame({"query_id": np.zeros(0, np.int64), "doc_id": np.zeros(0, np.int64),
+                             "score": np.zeros(0, np.float64)})
     return pd.DataFrame({"query_id": np.concatenate(out_q), "doc_id": np.concatenate(out_v),
                          "score": np.concatenate(out_s)})
 
@@ -182,18 +204,20 @@ def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 10, query_id:
         return out
     bq = spark.sparkContext.broadcast(packed)
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(it):
+        import pyarrow as pa
         ids_q, qmat, _ = bq.value
-        for pdf in it:
-            for s in range(0, len(pdf), block_rows):
-                part = pdf.iloc[s:s + block_rows]
-                if len(part) == 0 or len(ids_q) == 0:
+        for batch in it:
+            for s in range(0, batch.num_rows, block_rows):
+                part = batch.slice(s, block_rows)
+                if part.num_rows == 0 or len(ids_q) == 0:
                     continue
-                vmat = np.stack([np.asarray(v, dtype=np.float64) for v in part["v"]])
-                yield _local_topk(ids_q, qmat, part["id"].to_numpy(np.int64), vmat, k)
+                vid = part.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
+                vmat = _arrow_matrix(part.column("v"))
+                yield pa.RecordBatch.from_pandas(_local_topk(ids_q, qmat, vid, vmat, k), preserve_index=False)
 
     cand = (vectors.select(F.col(index_id).alias("id"), F.col(index_vector_col).alias("v"))
-            .mapInPandas(run, "query_id long, doc_id long, score double"))
+            .mapInArrow(run, "query_id long, doc_id long, score double"))
     return top_k(cand, ["query_id"], [F.col("score").desc(), F.col("doc_id").asc()], k)
 
 
