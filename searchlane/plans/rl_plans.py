@@ -232,14 +232,46 @@ def _gae_frame(spark, sf_dir):
     return ADV.compute_gae(d, GAMMA, LAM)
 
 
-@register("data_metrics")
+_SQL_METRICS = f"""{_SQL_GAE},
+rw AS (SELECT row_id, batch_id, max(score) AS seq_score,
+              sum(tls - {BETA}::DOUBLE * (olp - rlp) * im) AS seq_reward, count(*) AS n_tok
+       FROM r GROUP BY row_id, batch_id),
+tokm AS (SELECT batch_id, avg(wadv) AS adv_mean, max(wadv) AS adv_max, min(wadv) AS adv_min,
+                avg(ret) AS ret_mean, max(ret) AS ret_max, min(ret) AS ret_min,
+                avg(v) AS val_mean, max(v) AS val_max, min(v) AS val_min,
+                1.0 - var_samp(ret - v) / (var_samp(ret) + 1e-5) AS ev
+         FROM w GROUP BY batch_id),
+rowm AS (SELECT batch_id, avg(seq_score) AS s_mean, max(seq_score) AS s_max, min(seq_score) AS s_min,
+                avg(seq_reward) AS r_mean, max(seq_reward) AS r_max, min(seq_reward) AS r_min,
+                avg(n_tok) AS l_mean, max(n_tok)::DOUBLE AS l_max, min(n_tok)::DOUBLE AS l_min,
+                avg(CASE WHEN n_tok = 7 THEN 1.0 ELSE 0.0 END) AS l_clip
+         FROM rw GROUP BY batch_id),
+wide AS (SELECT * FROM rowm JOIN tokm USING (batch_id)),
+long AS (
+  SELECT batch_id, metric, value FROM wide
+  UNPIVOT (value FOR metric IN (
+    s_mean AS 'critic/score/mean', s_max AS 'critic/score/max', s_min AS 'critic/score/min',
+    r_mean AS 'critic/rewards/mean', r_max AS 'critic/rewards/max', r_min AS 'critic/rewards/min',
+    adv_mean AS 'critic/advantages/mean', adv_max AS 'critic/advantages/max', adv_min AS 'critic/advantages/min',
+    ret_mean AS 'critic/returns/mean', ret_max AS 'critic/returns/max', ret_min AS 'critic/returns/min',
+    l_mean AS 'response_length/mean', l_max AS 'response_length/max', l_min AS 'response_length/min',
+    l_clip AS 'response_length/clip_ratio',
+    val_mean AS 'critic/values/mean', val_max AS 'critic/values/max', val_min AS 'critic/values/min',
+    ev AS 'critic/vf_explained_var')))"""
+
+
+@register("data_metrics", sql=f"""
+WITH {_SQL_METRICS}
+SELECT batch_id, metric, round(value, 6) AS value FROM long""")
 def q_data_metrics(spark, sf_dir):
     """R14 per batch as (batch_id, metric, value)."""
     m = ADV.data_metrics(_gae_frame(spark, sf_dir), max_response_length=7)
     return m.select("batch_id", "metric", F.round("value", R6).alias("value"))
 
 
-@register("reduce_metrics")
+@register("reduce_metrics", sql=f"""
+WITH {_SQL_METRICS}
+SELECT metric, round(avg(value), 6) AS value FROM long GROUP BY metric""")
 def q_reduce_metrics(spark, sf_dir):
     """Batch metrics mean-reduced per name."""
     m = ADV.reduce_metrics(ADV.data_metrics(_gae_frame(spark, sf_dir), max_response_length=7))
