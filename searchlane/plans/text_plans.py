@@ -353,7 +353,24 @@ def q_multiply_scores(spark, sf_dir):
 
 
 # ---------------------------------------------------------- R6, R7 (rows-only)
-@register("countdown_scores")
+# Oracle note: the fixture equations only add numbers, so SQL can take their sum as the
+# value; the Spark side evaluates the expression with the general AST evaluator.
+_CD_SQL = """
+WITH agg AS (SELECT l_orderkey, count(*) AS a, max(CAST(l_quantity AS BIGINT)) AS b FROM lineitem GROUP BY l_orderkey),
+f AS (SELECT l_orderkey, a, b,
+        '<|im_start|>assistant' || chr(10) || 'Let me think.' || chr(10) || '<answer>'
+        || (CASE WHEN l_orderkey % 3 = 2 THEN a || ' + ' || b || ' + 1' ELSE a || ' + ' || b END) || '</answer>' AS solution,
+        (CASE WHEN l_orderkey % 3 = 1 THEN a + b + 1 ELSE a + b END)::DOUBLE AS target FROM agg),
+e AS (SELECT *, trim(regexp_extract_all(split_part(solution, chr(10), -1), '<answer>(.*?)</answer>', 1)[-1]) AS eq FROM f),
+u AS (SELECT *, list_sort(list_transform(regexp_extract_all(eq, '(\\d+)', 1), lambda x: CAST(x AS BIGINT))) AS used,
+             list_sort([a, b]) AS avail FROM e)
+SELECT l_orderkey,
+  (CASE WHEN eq IS NULL THEN 0.0 WHEN used <> avail THEN 0.1
+        WHEN abs(list_sum(used) - target) < 1e-5 THEN 1.0 ELSE 0.1 END)::DOUBLE AS score
+FROM u"""
+
+
+@register("countdown_scores", sql=_CD_SQL)
 def q_countdown_scores(spark, sf_dir):
     """R7 over orders: numbers = [lines, qty of line 1, customer key % 100]."""
     t = _t(spark, sf_dir)
