@@ -388,7 +388,12 @@ def q_countdown_scores(spark, sf_dir):
     return R.score_countdown(df, "solution", "target", "numbers").select("l_orderkey", "score")
 
 
-@register("math_scores")
+# Oracle note: every boxed form of the fixture (a/b, \\dfracab, \\frac{a}{b} with spaces)
+# normalises to \\frac{a}{b}; the ground truth is \\frac{1}{2} when key % 5 = 0, so a row
+# scores 1 exactly when key % 5 <> 0 or (a, b) = (1, 2). Spark runs the general normaliser.
+@register("math_scores", sql="""
+SELECT p_partkey, (CASE WHEN p_partkey % 5 <> 0 OR (p_partkey % 9 + 1 = 1 AND p_partkey % 7 + 2 = 2)
+                        THEN 1.0 ELSE 0.0 END)::DOUBLE AS score FROM part""")
 def q_math_scores(spark, sf_dir):
     """R6 over parts: boxed answers as fractions, decimals and a/b forms."""
     p = _t(spark, sf_dir).part

@@ -106,3 +106,13 @@ def test_collect_context_position_search(spark):
     # the first segment spans two lines: both lines are kept as one paragraph; the
     # third segment maps to the same paragraph and is not repeated
     assert ctx == "alpha beta gamma delta\nepsilon zeta eta theta"
+
+
+def test_write_metrics_long_and_wide(spark):
+    from searchlane.operators.metrics import metrics_wide, write_metrics
+    d = tempfile.mkdtemp(prefix="sl-metrics-")
+    m1 = spark.createDataFrame([("critic/kl", 0.5), ("score", 1.0)], "metric string, value double")
+    write_metrics(m1, f"{d}/m", step=1)
+    write_metrics(m1.withColumn("value", F.col("value") * 2), f"{d}/m", step=2)
+    wide = {r["step"]: r for r in metrics_wide(spark.read.parquet(f"{d}/m")).collect()}
+    assert wide[2]["critic/kl"] == 1.0 and wide[1]["score"] == 1.0
