@@ -248,7 +248,14 @@ def nested_results(spark, sf_dir):
     return n.select("query_id", F.size("result").cast("long").alias("n_results"), ranked.alias("ranked"))
 
 
-@register("online_results")
+@register("online_results", sql=f"""
+WITH pt AS (SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title,
+                   array_to_string(string_split({_SQL_PTEXT}, chr(10))[1:3], ' ... ') AS snip FROM pages)
+SELECT page_id, (CASE WHEN page_id % 5 = 0 THEN 3 ELSE 2 END)::BIGINT AS n_passages,
+       md5((CASE WHEN page_id % 5 = 0 THEN '"' || title || '"' || chr(10) || snip || chr(10) ELSE '' END)
+           || '"' || title || '"' || chr(10) || snip || chr(10)
+           || '"No title."' || chr(10) || 'No snippet available.') AS passages_md5
+FROM pt""")
 def online_results(spark, sf_dir):
     """V15 + V16: search-engine JSON built per page (title, snippet from the
     paragraphs, link) normalised into passages; missing fields get defaults."""
