@@ -122,10 +122,16 @@ def slice_rows(df: DataFrame, order_by: list[str], offset: int = 0, limit: int |
     return out.limit(limit) if limit is not None else out
 
 
+def seeded_order(key: str, seed: int) -> Column:
+    """Deterministic pseudo-random order key: md5 of the key and the seed
+    (identical in every engine, unlike Spark's native hash functions)."""
+    return F.md5(F.concat(F.col(key).cast("string"), F.lit(f"#{seed}")))
+
+
 def sample_exact(df: DataFrame, n: int, key: str, seed: int = 42, by: str | None = None) -> DataFrame:
     """Deterministic random subset of exactly n rows (per ``by`` group when
-    given): order by xxhash64(key, seed), keep n; fewer rows is an error."""
-    h = F.xxhash64(F.col(key), F.lit(seed))
+    given): order by md5(key, seed), keep n; fewer rows is an error."""
+    h = seeded_order(key, seed)
     if by is None:
         cnt = df.count()
         if cnt < n:
@@ -151,10 +157,10 @@ def sample_at_most(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame
 
 def shuffle_batches(df: DataFrame, batch_size: int, key: str, seed: int = 42,
                     drop_last: bool = True) -> DataFrame:
-    """Seeded shuffle order by xxhash64 and fixed-size batch ids; the
+    """Seeded shuffle order (md5 of key and seed) and fixed-size batch ids; the
     short last batch is dropped when ``drop_last``."""
     from searchlane.operators.batching import with_row_index
-    h = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
+    h = df.withColumn("_h", seeded_order(key, seed))
     idx = with_row_index(h, ["_h", key], "_i")
     out = idx.withColumn("batch_id", F.floor(F.col("_i") / batch_size).cast("long"))
     if drop_last:

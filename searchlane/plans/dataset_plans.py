@@ -125,14 +125,22 @@ def q_truncate_token_arrays(spark, sf_dir):
                      s(padded).alias("padded_sum"), F.size(padded).cast("long").alias("padded_len"))
 
 
-@register("sample_exact")
+@register("sample_exact", sql=f"""
+WITH {SQL_FX['sequences']}, {SQL_FX['rollout_log']},
+r AS (SELECT split, "index", row_number() OVER (PARTITION BY split ORDER BY md5(CAST("index" AS VARCHAR) || '#42'), "index") AS rn
+      FROM rollout_log)
+SELECT split, "index" FROM r WHERE rn <= 50""")
 def q_sample_exact(spark, sf_dir):
     """Seeded exact-size subsets per split of the rollout log."""
     log = fx.rollout_log(Tables(spark, sf_dir))
     return DS.sample_exact(log, 50, "index", seed=42, by="split").select("split", "index")
 
 
-@register("shuffle_batches")
+@register("shuffle_batches", sql=f"""
+WITH {SQL_FX['qa']},
+i AS (SELECT qid, row_number() OVER (ORDER BY md5(CAST(qid AS VARCHAR) || '#42'), qid) - 1 AS idx FROM qa),
+n AS (SELECT count(*) AS c FROM qa)
+SELECT qid, (idx // 64)::BIGINT AS batch_id FROM i, n WHERE idx < (n.c // 64) * 64""")
 def q_shuffle_batches(spark, sf_dir):
     """Seeded shuffle, batches of 64, short last batch dropped."""
     qa = fx.qa(Tables(spark, sf_dir))
