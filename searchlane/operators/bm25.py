@@ -83,8 +83,11 @@ def _write_bucketed(postings: DataFrame, n: int) -> DataFrame:
     spark = postings.sparkSession
     name = f"bm25_postings_{uuid.uuid4().hex[:12]}"
     try:
-        (postings.write.mode("overwrite").option("path", scratch_path(spark, name))
+        path = scratch_path(spark, name)
+        (postings.write.mode("overwrite").option("path", path)
          .bucketBy(n, "doc_id").saveAsTable(name))
+        from searchlane.session import register_scratch_table
+        register_scratch_table(name, path)   # removed by session.release_scratch()
         return spark.table(name)
     except Exception:  # noqa: BLE001 - a catalog that refuses tables: keep the data, lose the layout hint
         from searchlane.session import cut_lineage

@@ -71,3 +71,27 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint (survives executor loss); never a local checkpoint."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+# tables / folders this process wrote under the shared scratch folder
+_SCRATCH_TABLES: list[tuple[str, str]] = []
+
+
+def register_scratch_table(name: str, path: str) -> None:
+    _SCRATCH_TABLES.append((name, path))
+
+
+def release_scratch(spark: SparkSession) -> int:
+    """Drop the index tables this process wrote and delete their folders
+    (Hadoop FileSystem API, so it works on any shared store). Call when the
+    results that read them have been consumed. Returns how many were removed."""
+    n = 0
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _SCRATCH_TABLES:
+        name, path = _SCRATCH_TABLES.pop()
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+        n += 1
+    return n

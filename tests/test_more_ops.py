@@ -116,3 +116,17 @@ def test_write_metrics_long_and_wide(spark):
     write_metrics(m1.withColumn("value", F.col("value") * 2), f"{d}/m", step=2)
     wide = {r["step"]: r for r in metrics_wide(spark.read.parquet(f"{d}/m")).collect()}
     assert wide[2]["critic/kl"] == 1.0 and wide[1]["score"] == 1.0
+
+
+def test_release_scratch_removes_index_tables(spark):
+    import os
+    from searchlane.operators.bm25 import bm25_search, build_bm25
+    from searchlane.session import _SCRATCH_TABLES, release_scratch
+    corpus = spark.createDataFrame([(1, '"a"\nfoo bar'), (2, '"b"\nbaz')], "id long, contents string")
+    idx = build_bm25(corpus)
+    q = spark.createDataFrame([(1, "foo")], "query_id long, query string")
+    assert bm25_search(q, idx, 1).count() == 1
+    paths = [p for _, p in _SCRATCH_TABLES]
+    assert paths and all(os.path.exists(p.replace("file:", "")) for p in paths)
+    assert release_scratch(spark) >= 1
+    assert not any(os.path.exists(p.replace("file:", "")) for p in paths)
