@@ -8,6 +8,7 @@ never start at the same offset.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -151,3 +152,62 @@ def retrieval_correct(col, goldens) -> Column:
     blocks = F.transform(information_blocks(col), lambda b: normalize_answer(b))
     golds = F.transform(_c(goldens), lambda g: normalize_answer(g))
     return F.exists(blocks, lambda b: F.exists(golds, lambda g: F.contains(b, g)))
+
+
+# The format checker's reason messages (formats must match).
+#   "Missing assistant marker"
+#   "Mismatch in {tag} tags: {opening} opening vs {closing} closing tags"
+#   "Unexpected tag {tag} in state {state}"
+#   "Unexpected content '{content}' between tags (state: {state})"
+#   "Unexpected content in state {state}"
+#   "Incomplete sequence, ended in state {state}"
+#   "Valid sequence format"
+_MOVES = {
+    ("start", "<think>"): "in_think", ("information", "<think>"): "in_think",
+    ("in_think", "</think>"): "after_think",
+    ("after_think", "<search>"): "in_search", ("in_search", "</search>"): "after_search",
+    ("after_search", "<information>"): "in_information",
+    ("in_information", "</information>"): "information",
+    ("after_think", "<answer>"): "in_answer", ("in_answer", "</answer>"): "end",
+}
+_INSIDE = {"in_think", "in_search", "in_information", "in_answer"}
+_BETWEEN = {"start", "after_think", "after_search", "information"}
+
+
+def _format_reason(text):
+    import re
+    if text is None:
+        return None
+    m = re.search(r"<\|im_start\|>assistant\s*", text)
+    if not m:
+        return "Missing assistant marker"
+    body = text[m.end():]
+    for t in FORMAT_TAGS:
+        o, c = body.count(f"<{t}>"), body.count(f"</{t}>")
+        if o != c:
+            return f"Mismatch in {t} tags: {o} opening vs {c} closing tags"
+    state = "start"
+    for piece in re.split(r"(</?(?:think|search|information|answer)>)", body):
+        if not piece.strip():
+            continue
+        if piece.startswith("<") and piece.endswith(">") and piece.strip("</>") in FORMAT_TAGS \
+                and re.fullmatch(r"</?(?:think|search|information|answer)>", piece):
+            nxt = _MOVES.get((state, piece))
+            if nxt is None:
+                return f"Unexpected tag {piece} in state {state}"
+            state = nxt
+        elif state in _BETWEEN:
+            return f"Unexpected content '{piece.strip()}' between tags (state: {state})"
+        elif state not in _INSIDE:
+            return f"Unexpected content in state {state}"
+    return "Valid sequence format" if state == "end" else f"Incomplete sequence, ended in state {state}"
+
+
+def format_reason(col) -> Column:
+    """T13 reason, exact: Arrow-batched pandas UDF walking the tag/content
+    pieces through the transition table above (one small helper per row)."""
+    @F.pandas_udf("string")
+    def reason(s: pd.Series) -> pd.Series:
+        return s.map(_format_reason)
+
+    return reason(_c(col))

@@ -408,3 +408,12 @@ def q_math_scores(spark, sf_dir):
     gt = F.when(k % 5 == 0, F.lit("\\frac{1}{2}")).otherwise(frac)
     df = p.select("p_partkey", sol.alias("solution"), gt.alias("gt"))
     return R.score_math(df, "solution", "gt").select("p_partkey", "score")
+
+
+@register("format_reasons")
+def q_format_reasons(spark, sf_dir):
+    """T13 reason (exact messages, Arrow pandas UDF) next to the JVM flag for
+    every sequence."""
+    s = fx.sequences(_t(spark, sf_dir))
+    return s.select("row_id", A.format_reason("full_sequence").alias("reason"),
+                    A.valid_sequence("full_sequence").alias("valid_format"))

@@ -16,7 +16,7 @@ def test_entry_runs(spark):
 def test_every_oracle_has_a_query():
     qs, ors = E.queries(), E.oracle_sql()
     assert set(ors) <= set(qs)
-    assert len(qs) >= 68
+    assert len(qs) >= 70
 
 
 def test_oracles_match_at_smallest_scale(spark):

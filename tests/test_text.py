@@ -109,3 +109,24 @@ def test_dispatch_unknown_source_raises(spark):
         R.score_rollouts(df).collect()
     ok = df.withColumn("data_source", F.lit("nq"))
     assert R.score_rollouts(ok).first()["score"] == 0.0
+
+
+def test_format_reason_matches_flag(spark):
+    from searchlane.functions.actions import format_reason
+    head = "<|im_start|>assistant\n"
+    cases = {
+        "no marker": "Missing assistant marker",
+        head + "<think>a</think><answer>x": "Mismatch in answer tags: 1 opening vs 0 closing tags",
+        head + "<think>a</think> oops <answer>x</answer>": "Unexpected content 'oops' between tags (state: after_think)",
+        head + "<search>q</search>": "Unexpected tag <search> in state start",
+        head + "<think>a</think>": "Incomplete sequence, ended in state after_think",
+        head + "<think>a</think><answer>x</answer> tail": "Unexpected content in state end",
+        head + "<think>a</think><search>q</search><information>i</information><think>b</think><answer>x</answer>":
+            "Valid sequence format",
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "x string")
+    got = {r["x"]: (r["reason"], r["ok"]) for r in
+           df.select("x", format_reason("x").alias("reason"), A.valid_sequence("x").alias("ok")).collect()}
+    for t, want in cases.items():
+        assert got[t][0] == want, t
+        assert got[t][1] is (want == "Valid sequence format"), t
