@@ -249,17 +249,19 @@ def ivf_search(queries: DataFrame, vectors: DataFrame, model, k: int = 10, n_pro
     cells = model.transform(vectors.withColumn("_f", array_to_vector(F.col(vector_col))))
 
     def run(it):
+        import pyarrow as pa
         ids, qm, pr = bq.value
-        for pdf in it:
-            if len(pdf) == 0:
+        for batch in it:
+            if batch.num_rows == 0:
                 continue
-            vmat = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["v"]])
-            cell = pdf["cell"].to_numpy()
+            vmat = _arrow_matrix(batch.column("v"))
+            cell = batch.column("cell").to_numpy(zero_copy_only=False)
             allowed = (pr[:, :, None] == cell[None, None, :]).any(axis=1)
-            yield _local_topk(ids, qm, pdf["id"].to_numpy(np.int64), vmat, k, allowed)
+            vid = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
+            yield pa.RecordBatch.from_pandas(_local_topk(ids, qm, vid, vmat, k, allowed), preserve_index=False)
 
     cand = (cells.select(F.col(index_id).alias("id"), F.col(vector_col).alias("v"), "cell")
-            .mapInPandas(run, "query_id long, doc_id long, score double"))
+            .mapInArrow(run, "query_id long, doc_id long, score double"))
     return top_k(cand, ["query_id"], [F.col("score").desc(), F.col("doc_id").asc()], k)
 
 

@@ -57,3 +57,14 @@ def test_dense_ties_by_id(spark):
     q = spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, embedding array<double>")
     got = [(r["doc_id"], r["rank"]) for r in dense_search(q, vecs, k=3).orderBy("rank").collect()]
     assert got == [(2, 1), (5, 2), (1, 3)]
+
+
+def test_ivf_full_probe_equals_exact(spark):
+    from searchlane.operators.dense import build_ivf, ivf_search
+    t = Tables(spark, SF_SMALL)
+    q = fx.label_centroid_queries(t)
+    model = build_ivf(t.embeddings, n_cells=4)
+    approx = ivf_search(q, t.embeddings, model, k=5, n_probe=4)   # probing every cell is exact
+    exact = dense_search(q, t.embeddings, k=5)
+    key = lambda df: sorted((r["query_id"], r["doc_id"], r["rank"]) for r in df.collect())
+    assert key(approx) == key(exact)
