@@ -130,3 +130,13 @@ def test_release_scratch_removes_index_tables(spark):
     assert paths and all(os.path.exists(p.replace("file:", "")) for p in paths)
     assert release_scratch(spark) >= 1
     assert not any(os.path.exists(p.replace("file:", "")) for p in paths)
+
+
+def test_page_text_parser_tolerates_unclosed_p(spark):
+    from searchlane.operators.retrieval_extras import page_text, page_text_regex
+    html = ('<html><head><script>var t="</p>";</script></head><body>'
+            '<p>first &amp; one</p><p>second <b>bold</b><p>third unclosed</body></html>')
+    df = spark.createDataFrame([(1, html)], "page_id long, html string")
+    assert page_text(df).first()["text"] == "first & one\nsecond bold\nthird unclosed"
+    # the regex variant keeps only closed paragraphs outside scripts (the second <p> never closes)
+    assert df.select(page_text_regex("html")).first()[0] == "first &amp; one"
