@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from searchlane.llm.op3_substring_dedup import op3_substring_dedup
+from searchlane.llm.op5_simhash_golay import op5_simhash_golay
+from searchlane.llm.op7_suffix_decontam import op7_suffix_decontam
 
 QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
+    "op5_simhash_golay": op5_simhash_golay,
+    "op7_suffix_decontam": op7_suffix_decontam,
 }
 
 ORACLES: dict[str, str] = {}
