@@ -3,18 +3,24 @@
 Every run of ``window`` words is an edge of a De Bruijn graph whose nodes are the
 runs one word shorter. The steps, all joins and aggregates keyed by hashes:
 
+0. *Whole copies.* A text equal to that of a smaller document repeats in full; texts are
+   grouped by a 128-bit digest and such copies leave the graph, all their windows gone.
 1. *Anchors.* Windows that share their smallest ``anchor``-word hash form a run; one
    row a run (about a fifth of the words) is grouped by that hash. A window that
    repeats in another document has an anchor that repeats there too, so only runs
    with a repeated anchor go on. This is a prefilter and loses nothing.
-2. *Edges.* The windows of those runs are keyed by a 128-bit hash of their bytes and
-   aggregated: first document, its coordinate, smallest and largest neighbour.
+2. *Edges.* The windows of those runs are keyed by a 64-bit hash, with 15 bits of the
+   words before and after. In ``rounds`` slices of the key space (so that one slice's
+   shuffle is on disk at a time) they are aggregated to the first document and joined
+   to their coordinate there.
 3. *Compaction.* An edge whose occurrences all have one successor, which in turn has
    one predecessor, continues the path. Joined back to the occurrences this turns
    consecutive windows of a document into spans, each with the source coordinate of
    its path.
 4. *Verification.* The bytes at the source coordinate and the bytes of the span are
-   digested apart and must agree before a word goes.
+   digested apart (md5) and must agree before a word goes. Two windows with one 64-bit
+   key can therefore never remove a word wrongly; the odds that they hide a repeat are
+   about the number of repeated windows over 2^64.
 
 Texts are written once, bucketed by row, and never shuffled again; hot passages are
 one row a task after partial aggregation, and the joins back are plain equi-joins
@@ -30,10 +36,10 @@ that no name clashes.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -42,6 +48,7 @@ from searchlane.llm import scratch, textkit
 
 WINDOW = 13
 ANCHOR = 6
+ROUNDS = 3
 _LAST = (1 << 63) - 1
 _RESULT = [StructField("n_words", LongType()), StructField("n_removed", LongType()),
            StructField("kept_text", StringType())]
@@ -89,40 +96,22 @@ def _anchor_rows(window: int, anchor: int):
 def _edge_rows(window: int):
     def rows(batches):
         for batch in batches:
-            out, count = [[] for _ in range(7)], 0
-
-            def flush():
-                k = np.frombuffer(b"".join(out[0]), np.int64).reshape(-1, 2)
-                return pa.RecordBatch.from_arrays(
-                    [pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy())]
-                    + [pa.array(np.concatenate(x)) for x in out[2:]], ["k1", "k2", "rid", "doc", "pos", "prev", "next"])
-
+            out = []
             for rid, doc, text, runs in zip(batch.column("rid").to_pylist(), batch.column("doc").to_pylist(),
                                             textkit.text_bytes(batch.column("text")), batch.column("runs").to_pylist()):
-                words = text.split()
-                joined = b" ".join(words)
-                ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-                begins = np.concatenate(([0], ends[:-1] + 1))
-                pos = np.unique(np.concatenate([np.arange(r["first"], r["first"] + r["n"]) for r in runs]))
-                digest = xxhash.xxh3_128_digest
-                keys = b"".join([digest(joined[s:e]) for s, e in
-                                 zip(begins[pos].tolist(), ends[pos + window - 1].tolist())])
-                short = (np.frombuffer(keys, np.int64)[::2] >> 31).astype(np.int32)
-                beside = np.diff(pos) == 1
-                nxt, prv = np.zeros(len(pos), np.int32), np.zeros(len(pos), np.int32)
-                nxt[:-1][beside], prv[1:][beside] = short[1:][beside], short[:-1][beside]
-                out[0].append(keys)
-                out[2].append(np.full(len(pos), rid, np.int64))
-                out[3].append(np.full(len(pos), doc, np.int64))
-                out[4].append(pos.astype(np.int32))
-                out[5].append(prv)
-                out[6].append(nxt)
-                count += len(pos)
-                if count > 400_000:
-                    yield flush()
-                    out, count = [[] for _ in range(7)], 0
-            if count:
-                yield flush()
+                w = textkit.word_hashes(text.split())
+                keep = np.zeros(len(w) - window + 1, bool)
+                for r in runs:
+                    keep[r["first"]:r["first"] + r["n"]] = True
+                pos = np.flatnonzero(keep)
+                beside = np.concatenate(([0], (w & np.uint64(0x7FFF)).astype(np.int16) | 1, [0])).astype(np.int16)
+                out.append((textkit.gram_hashes(w, window)[pos], np.full(len(pos), rid, np.int64),
+                            np.full(len(pos), doc, np.int64), pos.astype(np.int32), beside[pos],
+                            beside[pos + window + 1]))
+            if out:
+                key, *others = (np.concatenate(x) for x in zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (textkit.signed(key), *others)],
+                                                 ["k", "rid", "doc", "pos", "prev", "next"])
     return rows
 
 
@@ -143,20 +132,23 @@ def _source_digests(batches):
                                           pa.array(digest, pa.binary())], ["src_rid", "src_at", "n", "digest"])
 
 
-def _cut(layout: bool, carried: list[str]):
+def _cut(layout: bool, carried: list[str], window: int):
     def rows(batches):
         for batch in batches:
-            yield from _cut_batch(batch, layout, carried)
+            yield from _cut_batch(batch, layout, carried, window)
     return rows
 
 
-def _cut_batch(batch, layout: bool, carried: list[str]):
+def _cut_batch(batch, layout: bool, carried: list[str], window: int):
     for a, b in textkit.chunks(batch, "text"):
         part = batch.slice(a, b - a)
         n_words, n_removed, kept = [], [], []
-        for text, spans in zip(textkit.text_bytes(part.column("text")), part.column("spans").to_pylist()):
+        for text, spans, copy in zip(textkit.text_bytes(part.column("text")), part.column("spans").to_pylist(),
+                                     part.column("copy").to_pylist()):
             words = text.split() if text else []
             stay = np.ones(len(words), bool)
+            if copy and len(words) >= window:
+                stay[:] = False
             if spans:
                 for s, own in zip(spans, _spans_of(words, spans)):
                     if own == s["digest"]:
@@ -172,7 +164,8 @@ def _cut_batch(batch, layout: bool, carried: list[str]):
             [*carried, "n_words", "n_removed", "kept_text"])
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, layout: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, layout: bool = False,
+                    rounds: int = ROUNDS) -> DataFrame:
     """One row a row of ``docs``: doc_id, n_words, n_removed, kept_text (kept words joined
     by one space), and the other columns in a struct ``rest``. With ``layout`` a text
     that loses no word keeps its own white space."""
@@ -185,27 +178,30 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
         .withColumn("doc", F.coalesce("doc_id", F.lit(_LAST))), "rid", parts, "dedup_texts")
     scratch.free_shuffles(spark)
 
-    with_text = texts.where("length(text) > 0").select("rid", "doc", "text")
+    copies = _whole_copies(texts)
+    with_text = (texts.where("length(text) > 0").select("rid", "doc", "text")
+                 .join(copies.hint("shuffle_hash"), "rid", "left_anti"))
     runs = with_text.mapInArrow(_anchor_rows(window, anchor), "h long, rid long, doc long, first int, n int")
-    again = (runs.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("h"))
-    found = (runs.drop("doc").join(again.hint("shuffle_hash"), "h")
-             .groupBy("rid").agg(F.collect_list(F.struct("first", "n")).alias("runs")))
-    edges_at = scratch.store(
-        with_text.join(found.hint("shuffle_hash"), "rid").select("rid", "doc", "text", "runs")
-        .mapInArrow(_edge_rows(window), "k1 long, k2 long, rid long, doc long, pos int, prev int, next int"),
-        "dedup_edges")
+    again = runs.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("h")
+    found = scratch.store(
+        runs.drop("doc").join(again.hint("shuffle_hash"), "h")
+        .groupBy("rid").agg(F.collect_list(F.struct("first", "n")).alias("runs")), "dedup_runs")
     scratch.free_shuffles(spark)
-
-    edges = (edges_at.groupBy("k1", "k2")
-             .agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"),
-                  F.min_by("rid", "doc").alias("src_rid"), F.min_by("pos", "doc").alias("src_at"),
-                  (F.min("prev") == F.max("prev")).alias("one_in"), (F.min("next") == F.max("next")).alias("one_out"))
-             .where("lo < hi").drop("hi"))
-    hits = (edges_at.select("k1", "k2", "rid", "doc", "pos").join(edges.hint("shuffle_hash"), ["k1", "k2"])
-            .where("lo < doc").select("rid", "pos", "src_rid", "src_at", "one_in", "one_out"))
+    edges = scratch.store(
+        texts.select("rid", "doc", "text").join(found.hint("shuffle_hash"), "rid").select("rid", "doc", "text", "runs")
+        .mapInArrow(_edge_rows(window), "k long, rid long, doc long, pos int, prev short, next short"), "dedup_edges")
+    scratch.discard(found)
+    scratch.free_shuffles(spark)
+    slices = []
+    for r in range(rounds):
+        slices.append(scratch.store(_hits(edges.where(F.pmod("k", F.lit(rounds)) == r)), "dedup_hits"))
+        scratch.free_shuffles(spark)
+    scratch.discard(edges)
+    hits = reduce(DataFrame.unionAll, slices)
     along = Window.partitionBy("rid").orderBy("pos")
-    begins = F.when((F.lag("pos").over(along) == F.col("pos") - 1) & F.lag("one_out").over(along) & F.col("one_in"),
-                    0).otherwise(1)
+    begins = F.when((F.lag("pos").over(along) == F.col("pos") - 1) & F.lag("one_out").over(along) & F.col("one_in")
+                    & (F.lag("src_rid").over(along) == F.col("src_rid"))
+                    & (F.lag("src_at").over(along) == F.col("src_at") - 1), 0).otherwise(1)
     spans = (hits.withColumn("begins", begins)
              .withColumn("path", F.sum("begins").over(along.rowsBetween(Window.unboundedPreceding, 0)))
              .groupBy("rid", "path")
@@ -214,7 +210,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
                   F.min(F.when(F.col("begins") == 1, F.col("src_at"))).alias("src_at"))
              .drop("path"))
     spans = scratch.store(spans, "dedup_spans")
-    scratch.discard(edges_at)
+    for x in slices:
+        scratch.discard(x)
     scratch.free_shuffles(spark)
 
     asked = (spans.select("src_rid", "src_at", "n").distinct()
@@ -226,9 +223,30 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
                .groupBy("rid").agg(F.collect_list(F.struct("at", "n", "digest")).alias("spans")))
     carried = base.drop("text").columns
     kinds = base.drop("text").schema
-    done = texts.drop("doc").join(checked.hint("shuffle_hash"), "rid", "left").select(*carried, "text", "spans")
+    done = (texts.drop("doc").join(checked.hint("shuffle_hash"), "rid", "left")
+            .join(copies.withColumn("copy", F.lit(True)).hint("shuffle_hash"), "rid", "left")
+            .select(*carried, "text", "spans", "copy"))
     schema = StructType([*kinds.fields, *_RESULT])
-    return done.mapInArrow(_cut(layout, carried), schema)
+    return done.mapInArrow(_cut(layout, carried, window), schema)
+
+
+def _whole_copies(texts: DataFrame) -> DataFrame:
+    """rid of the rows whose text is that of a document with a smaller id."""
+    digests = scratch.store(texts.where("length(text) > 0").select("rid", "doc", F.unhex(F.md5("text")).alias("digest")),
+                            "dedup_digests")
+    first = digests.groupBy("digest").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
+    return scratch.store(digests.join(first, "digest").where("lo < doc").select("rid"), "dedup_copies")
+
+
+def _hits(edges: DataFrame) -> DataFrame:
+    """Windows that start in a smaller document too, with a coordinate there."""
+    first = (edges.groupBy("k")
+             .agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"),
+                  F.min_by("rid", "doc").alias("src_rid"), F.min_by("pos", "doc").alias("src_at"),
+                  (F.min("prev") == F.max("prev")).alias("one_in"), (F.min("next") == F.max("next")).alias("one_out"))
+             .where("lo < hi").drop("hi"))
+    return (edges.select("k", "rid", "doc", "pos").join(first.hint("shuffle_hash"), "k").where("lo < doc")
+            .select("rid", "pos", "src_rid", "src_at", "one_in", "one_out"))
 
 
 def rest_of(docs: DataFrame) -> list:

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from searchlane.llm.op3_substring_dedup import op3_substring_dedup
+from searchlane.llm.op4_rule_quality import op4_rule_quality
 from searchlane.llm.op5_simhash_golay import op5_simhash_golay
 from searchlane.llm.op7_suffix_decontam import op7_suffix_decontam
+from searchlane.llm.op9_weak_toxicity import op9_weak_toxicity
 
 QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_rule_quality": op4_rule_quality,
     "op5_simhash_golay": op5_simhash_golay,
     "op7_suffix_decontam": op7_suffix_decontam,
+    "op9_weak_toxicity": op9_weak_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
