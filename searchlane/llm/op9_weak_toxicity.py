@@ -1,12 +1,13 @@
 """Toxicity by weak supervision.
 
 1. *Lexicons.* Document frequencies of words and of five- and seven-letter stems in a bounded sample
-   of labelled training documents give terms whose log-odds stand well above chance.
+   of labelled training documents give terms that the positive class uses far above chance (G-test).
 2. *Voters.* The terms are dealt over several word and stem lexicons; each lexicon and a
    few patterns (several distinct terms, density, shouting, masked words) vote on every
    document.
-3. *Label model.* Counts of vote patterns over all training documents (at most 2^voters
-   rows) feed a generative model fitted by EM: the class share, each voter's hit rate
+3. *Label model.* Counts of vote patterns over all training documents (a few
+   thousand rows at most) feed a generative model fitted by EM, labelled
+   training documents keeping their label: the class share, each voter's hit rate
    in either class, and the voters' correlations within the classes, by which voters
    that repeat each other are discounted.
 4. *Classifier.* A ridge-penalised logistic regression over the voters' counts and styles,
@@ -43,11 +44,12 @@ TERMS = 1_000
 FIT_ROWS = 20_000
 STEMS = (5, 7)
 WORD_LEXICONS, STEM_LEXICONS = 6, 3
-MIN_Z, MIN_LIFT = 3.0, 8.0
+MIN_G, MIN_LIFT = 24.0, 8.0
 WORD = re.compile(r"[^\W\d_]+")
+UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]+")
 MASKED = re.compile(r"\b[^\W\d_][*@#$%]{2,}[^\W\d_]")
 LEXICONS = WORD_LEXICONS + STEM_LEXICONS
-VOTERS = LEXICONS + 4
+VOTERS = LEXICONS + 5
 
 
 def terms_of(text: str) -> tuple[list[str], set[str]]:
@@ -69,16 +71,18 @@ def _term_counts(batches):
 
 def learn_lexicon(sample: DataFrame, terms: int = TERMS) -> list[str]:
     """Terms that mark the positive class, strongest first."""
+    sample = sample.dropDuplicates(["y", "text"])  # copies aren't independent evidence
     size = {r.y: r["count"] for r in sample.groupBy("y").count().collect()}
     if not size.get(0) or not size.get(1):
         return []
-    a, b = F.col("n1") + 0.5, F.col("n0") + 0.5
-    lift = F.log(a / (size[1] + 1)) - F.log(b / (size[0] + 1))
+    n1, n0, share = F.col("n1"), F.col("n0"), size[1] / (size[0] + size[1])
+    lift = F.log((n1 + 0.5) / (size[1] + 1)) - F.log((n0 + 0.5) / (size[0] + 1))
+    g = 2 * (n1 * F.log(n1 / ((n1 + n0) * share))
+             + F.when(n0 > 0, n0 * F.log(n0 / ((n1 + n0) * (1 - share)))).otherwise(0.0))
     ranked = (sample.mapInArrow(_term_counts, "term string, n0 long, n1 long")
               .groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-              .withColumn("lift", lift).withColumn("z", lift / F.sqrt(1 / a + 1 / b))
-              .where((F.col("z") >= MIN_Z) & (F.col("lift") >= float(np.log(MIN_LIFT))))
-              .orderBy(F.desc("z"), "term").limit(terms))
+              .where((n1 > 0) & (lift >= float(np.log(MIN_LIFT)))).withColumn("g", g).where(F.col("g") >= MIN_G)
+              .orderBy(F.desc("g"), "term").limit(terms))
     return [r.term for r in ranked.collect()]
 
 
@@ -96,25 +100,27 @@ def lexicons(terms: list[str]) -> dict[str, int]:
 def observe(text: str | None, lexicon: dict[str, int]) -> tuple[list[float], int]:
     """Inputs of the classifier, and the votes as bits."""
     text = text or ""
-    words, distinct = terms_of(text)
-    hits = [0] * LEXICONS
-    for t in distinct & lexicon.keys():
-        hits[lexicon[t]] += 1
-    distinct_hits = sum(hits)
-    total = sum(1 for w in words if w in lexicon)
+    words = WORD.findall(text.lower())
+    hits, matched = [0] * LEXICONS, set()
+    for w in set(words):
+        for t in (w, *(w[:n] + "*" for n in STEMS if len(w) > n)):
+            if t in lexicon:
+                hits[lexicon[t]] += 1
+                matched.add(w)
+    kinds = len(matched)
+    total = sum(1 for w in words if w in matched) if matched else 0
     density = 1000.0 * total / max(1, len(words))
-    letters = sum(map(len, words))
-    upper = sum(map(len, re.findall(r"[A-ZÀ-ÖØ-Þ]+", text))) / max(1, letters)
-    masked = len(MASKED.findall(text)) if "*" in text or "@" in text or "#" in text or "$" in text or "%" in text else 0
-    votes = [h > 0 for h in hits] + [distinct_hits >= 3, density >= 2.0, upper > 0.5, masked > 0]
-    x = [min(h, 3) / 3 for h in hits] + [float(np.log1p(distinct_hits)), float(np.log1p(total)),
-                                          float(np.log1p(density)), float(distinct_hits >= 2), upper,
-                                          float(np.log1p(masked))]
+    upper = sum(map(len, UPPER.findall(text))) / max(1, sum(map(len, words)))
+    masked = len(MASKED.findall(text))
+    votes = [h > 0 for h in hits] + [kinds >= 2, kinds >= 4, total >= 2 and density >= 2.0, upper > 0.5, masked > 0]
+    x = [min(h, 3) / 3 for h in hits] + [float(np.log1p(kinds)), float(np.log1p(total)), float(np.log1p(density)),
+                                          float(kinds >= 2), float(kinds >= 3), upper, float(np.log1p(masked))]
     return x, sum(1 << j for j, v in enumerate(votes) if v)
 
 
-def label_model(votes: np.ndarray, counts: np.ndarray, rounds: int = 60) -> dict:
-    """EM over vote patterns (rows of ``votes``) with their ``counts``.
+def label_model(votes: np.ndarray, counts: np.ndarray, known: np.ndarray, rounds: int = 60) -> dict:
+    """EM over vote patterns (rows of ``votes``) with their ``counts``; ``known`` holds the
+    label of the rows that have one, else -1, and fixes their share in the estimates.
 
     Returns the share of the positive class, hit rates (2 x voters), within-class
     correlations, and the posterior of each pattern. A voter's evidence is divided by one
@@ -124,7 +130,8 @@ def label_model(votes: np.ndarray, counts: np.ndarray, rounds: int = 60) -> dict
     post = np.where(lex.sum(axis=1) >= 2, 0.95, np.where(lex.any(axis=1), 0.6, 0.02))
     corr = np.eye(votes.shape[1])
     for _ in range(rounds):
-        w = np.stack([n * (1 - post), n * post])
+        held = np.where(known >= 0, known, post)
+        w = np.stack([n * (1 - held), n * held])
         mass = w.sum(axis=1, keepdims=True)
         rate = (w @ votes + 1e-4 * (votes * n[:, None]).sum(axis=0) + 1e-6) / (mass + 1e-4 + 2e-6)
         cov = sum((w[y][:, None] * (votes - rate[y])).T @ (votes - rate[y]) for y in (0, 1))
@@ -174,10 +181,14 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
         marks = scratch.store(
             base.where(fold("doc_id", FOLDS) != HELD_OUT).select("doc_id", "text")
             .mapInArrow(seen, "doc_id long, x array<double>, votes int"), "toxicity_votes")
-        counted = marks.groupBy("votes").count().orderBy("votes").collect()  # at most 2^VOTERS rows
+        truth = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y"))
+                 .where(F.col("y").isin(0, 1)).groupBy("doc_id").agg(F.max("y").alias("y")))
+        counted = (marks.join(truth, "doc_id", "left").groupBy("votes", F.coalesce("y", F.lit(-1)).alias("y"))
+                   .count().orderBy("votes", "y").collect())  # at most 3 x 2^VOTERS rows
         patterns = np.array([r.votes for r in counted], np.int64)
         grid = ((patterns[:, None] >> np.arange(VOTERS)) & 1).astype(float)
-        model = label_model(grid, np.array([r["count"] for r in counted], float))
+        model = label_model(grid, np.array([r["count"] for r in counted], float),
+                            np.array([r.y for r in counted]))
         posterior = dict(zip(patterns.tolist(), model["posterior"].tolist()))
         hit = F.col("votes").bitwiseAND((1 << LEXICONS) - 1) > 0
         order = F.xxhash64("doc_id", F.lit(11))
