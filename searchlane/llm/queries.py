@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from searchlane.llm import op8_mix_sources as _op8
 from searchlane.llm.op3_substring_dedup import op3_substring_dedup
 from searchlane.llm.op4_rule_quality import op4_rule_quality
 from searchlane.llm.op5_simhash_golay import op5_simhash_golay
@@ -13,7 +14,10 @@ QUERIES = {
     "op4_rule_quality": op4_rule_quality,
     "op5_simhash_golay": op5_simhash_golay,
     "op7_suffix_decontam": op7_suffix_decontam,
+    "op8_mix_sources": _op8.op8_mix_sources,
     "op9_weak_toxicity": op9_weak_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_mix_sources": _op8.ORACLE,
+}
