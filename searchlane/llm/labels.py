@@ -6,20 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def fold(doc_id: str | Column, folds: int) -> Column:
-    """crc32 of the id as text, modulo ``folds`` (a null id: 0, and never held out)."""
-    c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
-    return F.coalesce(F.crc32(c.cast("string")) % folds, F.lit(0))
+def held_out(doc_id: str, folds: int, remainder: int) -> Column:
+    """crc32 of the id as text, modulo ``folds``, is ``remainder`` (a null id: never)."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds == remainder, F.lit(False))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, column: str, folds: int, held_out: int,
+def training_sample(docs: DataFrame, labels: DataFrame, column: str, folds: int, remainder: int,
                     per_class: int) -> DataFrame:
     """(doc_id, y, text) of at most ``per_class`` labelled training documents of each class,
     picked by a hash of the id. Ids of the sample are a broadcast of bounded size, so
     texts don't move. A document with several labels takes the largest; null labels and
     null ids are left out."""
     known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("y"))
-             .where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & (fold("doc_id", folds) != held_out))
+             .where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out("doc_id", folds, remainder))
              .groupBy("doc_id").agg(F.max("y").alias("y")))
     picked = None
     for y in (0, 1):

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from searchlane.llm.labels import fold, training_sample
+from searchlane.llm.labels import held_out, training_sample
 from searchlane.llm.textkit import SPACES
 
 FOLDS, HELD_OUT = 3, 1
@@ -181,7 +181,7 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     data = np.array(sorted(tuple(r) for r in seen), float).reshape(len(seen), 1 + len(STATISTICS))
     rules, bias = fit_rules(data[:, 1:], data[:, 0])
     return (statistics(docs).withColumn("score", compile_rules(rules, bias))
-            .withColumn("held_out", fold("doc_id", FOLDS) == HELD_OUT))
+            .withColumn("held_out", held_out("doc_id", FOLDS, HELD_OUT)))
 
 
 def op4_rule_quality(spark, sf_dir):

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from searchlane.llm import scratch
-from searchlane.llm.labels import fold, training_sample
+from searchlane.llm.labels import held_out, training_sample
 from searchlane.llm.op3_substring_dedup import rest_of
 
 FOLDS, HELD_OUT = 5, 0
@@ -179,7 +179,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
         theta = None
     else:
         marks = scratch.store(
-            base.where(fold("doc_id", FOLDS) != HELD_OUT).select("doc_id", "text")
+            base.where(~held_out("doc_id", FOLDS, HELD_OUT)).select("doc_id", "text")
             .mapInArrow(seen, "doc_id long, x array<double>, votes int"), "toxicity_votes")
         truth = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y"))
                  .where(F.col("y").isin(0, 1)).groupBy("doc_id").agg(F.max("y").alias("y")))
@@ -214,7 +214,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 [*batch.schema.names, "score", "votes"])
 
     schema = StructType([*base.schema.fields, StructField("score", DoubleType()), StructField("votes", IntegerType())])
-    return base.mapInArrow(scored, schema).withColumn("held_out", fold("doc_id", FOLDS) == HELD_OUT)
+    return base.mapInArrow(scored, schema).withColumn("held_out", held_out("doc_id", FOLDS, HELD_OUT))
 
 
 def op9_weak_toxicity(spark, sf_dir):

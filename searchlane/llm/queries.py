@@ -6,16 +6,20 @@ from searchlane.llm import op8_mix_sources as _op8
 from searchlane.llm.op3_substring_dedup import op3_substring_dedup
 from searchlane.llm.op4_rule_quality import op4_rule_quality
 from searchlane.llm.op5_simhash_golay import op5_simhash_golay
+from searchlane.llm.op6_prefix_forest import op6_prefix_forest
 from searchlane.llm.op7_suffix_decontam import op7_suffix_decontam
 from searchlane.llm.op9_weak_toxicity import op9_weak_toxicity
+from searchlane.llm.op10_logbilinear import op10_logbilinear
 
 QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_rule_quality": op4_rule_quality,
     "op5_simhash_golay": op5_simhash_golay,
+    "op6_prefix_forest": op6_prefix_forest,
     "op7_suffix_decontam": op7_suffix_decontam,
     "op8_mix_sources": _op8.op8_mix_sources,
     "op9_weak_toxicity": op9_weak_toxicity,
+    "op10_logbilinear": op10_logbilinear,
 }
 
 ORACLES: dict[str, str] = {
