@@ -36,7 +36,8 @@ NEAREST = 5
 EVERY = 50
 TREES = 48
 BITS = 24
-SHARE = 0.5
+SHARE = 0.6
+LEAST = 1024  # range rows a cell gathers at least, so that small tables are searched nearly whole
 SHARD_ROWS = 8192
 BLOCK_QUERIES = 1024
 SEED = 1234
@@ -102,7 +103,7 @@ def search_cell(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nda
     ids, x = ids[by_id], x[by_id]
     norm = np.sqrt(np.einsum("ij,ij->i", x, x))
     forest = Forest(x, trees, bits)
-    lo, hi = forest.ranges(q, max(share * len(x), k + 1))
+    lo, hi = forest.ranges(q, max(share * len(x), LEAST, k + 1))
     q_norm = np.sqrt(np.einsum("ij,ij->i", q, q))
     out = ([], [], [])
     for j in range(len(q)):
