@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from searchlane.llm import op1_token_rollup as _op1
+from searchlane.llm import op2_license_digest as _op2
 from searchlane.llm import op8_mix_sources as _op8
 from searchlane.llm.op3_substring_dedup import op3_substring_dedup
 from searchlane.llm.op4_rule_quality import op4_rule_quality
@@ -12,6 +14,8 @@ from searchlane.llm.op9_weak_toxicity import op9_weak_toxicity
 from searchlane.llm.op10_logbilinear import op10_logbilinear
 
 QUERIES = {
+    "op1_token_rollup": _op1.op1_token_rollup,
+    "op2_license_digest": _op2.op2_license_digest,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_rule_quality": op4_rule_quality,
     "op5_simhash_golay": op5_simhash_golay,
@@ -23,5 +27,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_token_rollup": _op1.ORACLE,
+    "op2_license_digest": _op2.ORACLE,
     "op8_mix_sources": _op8.ORACLE,
 }
