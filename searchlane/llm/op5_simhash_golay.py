@@ -101,16 +101,23 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) ->
     return int.from_bytes(np.packbits(counts * 2 > total).tobytes(), "big")
 
 
+def _tie():
+    """Tells rows without an id apart."""
+    return F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long), one row a row of ``docs``."""
+    """doc_id, tie (a hash of the text where the id is null), fp (the fingerprint as a signed
+    long), one row a row of ``docs``."""
     def rows(batches):
         for batch in batches:
             fp = np.fromiter((fingerprint(t, shingle) for t in textkit.text_bytes(batch.column("text"))),
                              np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(fp.view(np.int64))],
+                                             ["doc_id", "tie", "fp"])
 
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-            .mapInArrow(rows, "doc_id long, fp long"))
+            .withColumn("tie", _tie()).mapInArrow(rows, "doc_id long, tie long, fp long"))
 
 
 def _keys(lookup: bool):
@@ -145,15 +152,27 @@ def near_links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """doc_id, fp, component_id for every row of ``docs``."""
+    """doc_id, tie, fp, component_id and root (the component's smallest fingerprint) for every row of ``docs``."""
     marked = scratch.store(fingerprints(docs, shingle), "simhash")
     classes = scratch.store(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash_classes")
     roots = components(near_links(classes, max_bits))
     of_class = (classes.join(roots, F.col("fp") == F.col("node"), "left")
                 .select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
     named = of_class.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_class = scratch.store(of_class.join(named, "root").select("fp", "component_id"), "simhash_components")
-    return marked.join(of_class, "fp").select("doc_id", "fp", "component_id")
+    of_class = scratch.store(of_class.join(named, "root").select("fp", "root", "component_id"), "simhash_components")
+    return marked.join(of_class, "fp").select("doc_id", "tie", "fp", "component_id", "root")
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """``docs`` with one document of each component: the smallest id, or the smallest hash
+    of a text where no row has an id. Rows that share the kept id are one document."""
+    groups = simhash_groups(docs, shingle, max_bits)
+    first = groups.groupBy("root").agg(F.min("doc_id").alias("kept_id"),
+                                       F.min(F.when(F.col("doc_id").isNull(), F.col("tie"))).alias("tie"))
+    kept = first.select("kept_id", F.when(F.col("kept_id").isNull(), F.col("tie")).alias("kept_tie"))
+    named = docs.withColumn("_kept_id", F.col("doc_id").cast("long")).withColumn("_kept_tie", _tie())
+    return named.join(kept, F.col("_kept_id").eqNullSafe(F.col("kept_id"))
+                      & F.col("_kept_tie").eqNullSafe(F.col("kept_tie")), "left_semi").select(*[f"`{c}`" for c in docs.columns])
 
 
 def op5_simhash_golay(spark, sf_dir):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from searchlane.llm import op1_token_rollup as _op1
 from searchlane.llm import op2_license_digest as _op2
 from searchlane.llm import op8_mix_sources as _op8
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_mix_sources": _op8.op8_mix_sources,
     "op9_weak_toxicity": op9_weak_toxicity,
     "op10_logbilinear": op10_logbilinear,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
@@ -31,3 +33,5 @@ ORACLES: dict[str, str] = {
     "op2_license_digest": _op2.ORACLE,
     "op8_mix_sources": _op8.ORACLE,
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
