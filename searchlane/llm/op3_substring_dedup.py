@@ -170,7 +170,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     by one space), and the other columns in a struct ``rest``. With ``layout`` a text
     that loses no word keeps its own white space."""
     spark = docs.sparkSession
-    parts = scratch.input_partitions(docs)
+    # buckets: an input split each, but not fewer than a shuffle has, or Spark deals the texts anew
+    parts = max(scratch.input_partitions(docs), int(spark.conf.get("spark.sql.shuffle.partitions")))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        *rest_of(docs))
     texts = scratch.store_bucketed(
