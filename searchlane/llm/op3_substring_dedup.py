@@ -183,7 +183,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     with_text = (texts.where("length(text) > 0").select("rid", "doc", "text")
                  .join(copies.hint("shuffle_hash"), "rid", "left_anti"))
     runs = with_text.mapInArrow(_anchor_rows(window, anchor), "h long, rid long, doc long, first int, n int")
-    again = runs.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("h")
+    again = scratch.store(runs.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+                          .where("lo < hi").select("h"), "dedup_anchors")
+    scratch.free_shuffles(spark)
     found = scratch.store(
         runs.drop("doc").join(again.hint("shuffle_hash"), "h")
         .groupBy("rid").agg(F.collect_list(F.struct("first", "n")).alias("runs")), "dedup_runs")
@@ -192,6 +194,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
         texts.select("rid", "doc", "text").join(found.hint("shuffle_hash"), "rid").select("rid", "doc", "text", "runs")
         .mapInArrow(_edge_rows(window), "k long, rid long, doc long, pos int, prev short, next short"), "dedup_edges")
     scratch.discard(found)
+    scratch.discard(again)
     scratch.free_shuffles(spark)
     slices = []
     for r in range(rounds):
@@ -241,11 +244,14 @@ def _whole_copies(texts: DataFrame) -> DataFrame:
 
 def _hits(edges: DataFrame) -> DataFrame:
     """Windows that start in a smaller document too, with a coordinate there."""
-    first = (edges.groupBy("k")
-             .agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"),
-                  F.min_by("rid", "doc").alias("src_rid"), F.min_by("pos", "doc").alias("src_at"),
-                  (F.min("prev") == F.max("prev")).alias("one_in"), (F.min("next") == F.max("next")).alias("one_out"))
-             .where("lo < hi").drop("hi"))
+    first = scratch.store(
+        edges.groupBy("k")
+        .agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"),
+             F.min_by("rid", "doc").alias("src_rid"), F.min_by("pos", "doc").alias("src_at"),
+             (F.min("prev") == F.max("prev")).alias("one_in"), (F.min("next") == F.max("next")).alias("one_out"))
+        .where("lo < hi").drop("hi"), "dedup_first")
+    # the aggregate is a table of its own: adaptive execution splits a hot key's partition
+    # only where both sides of the join come straight from a shuffle
     return (edges.select("k", "rid", "doc", "pos").join(first.hint("shuffle_hash"), "k").where("lo < doc")
             .select("rid", "pos", "src_rid", "src_at", "one_in", "one_out"))
 
