@@ -1,6 +1,6 @@
 """Batching, repetition, padding and length-balanced partitioning.
 
-Global row order: range sort, then per-partition offsets (one row per
+Global row order: range sort written once, then per-partition offsets (one row per
 partition) added to ``monotonically_increasing_id`` positions, all JVM-side.
 Balancing runs per training batch in ``applyInPandas`` (a batch is bounded by
 design: fixed-size mini-batches).
@@ -15,22 +15,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from searchlane.session import materialise
+
 
 def with_row_index(df: DataFrame, order_by: list, name: str = "row_idx") -> DataFrame:
     """Dense 0-based index in ``order_by`` order, JVM-side and distributed.
 
-    After the range sort, ``monotonically_increasing_id`` gives (partition,
-    position) pairs; a per-partition count (one row per partition) turned
-    into running offsets is joined back, so index = offset + position. No row
-    passes through Python and no window spans the whole table.
+    The range-sorted rows are written once with their (partition, position), as
+    ``monotonically_increasing_id`` gives them. Counts per partition, turned into
+    running offsets, come from that same table, so rows and offsets can't disagree
+    whatever the planner does: index = offset + position. No row passes through
+    Python and no window spans the whole table.
     """
-    s = df.orderBy(*order_by).withColumn("_mid", F.monotonically_increasing_id())
-    s = s.withColumn("_part", F.shiftright("_mid", 33)).withColumn("_pos", F.col("_mid").bitwiseAND((1 << 33) - 1))
-    counts = s.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    placed = materialise(df.orderBy(*order_by).withColumn("_mid", F.monotonically_increasing_id()), "row_index")
+    placed = (placed.withColumn("_part", F.shiftright("_mid", 33))
+              .withColumn("_pos", F.col("_mid").bitwiseAND((1 << 33) - 1)))
+    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     # one row per partition: the offsets table is tiny whatever the data size
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).select("_part", "_off")
-    return (s.join(F.broadcast(offsets), "_part")
+    return (placed.join(F.broadcast(offsets), "_part")
             .withColumn(name, (F.col("_off") + F.col("_pos")).cast("long"))
             .drop("_mid", "_part", "_pos", "_off"))
 

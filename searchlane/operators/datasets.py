@@ -95,7 +95,7 @@ def rewrite_prompts(df: DataFrame, template: str, prompt_col: str = "prompt") ->
     first = F.element_at(prompt_col, 1)
     q = normalize_question(strip(extract_question(first["content"])))
     new_first = F.struct(first["role"].alias("role"), _fill(template, {"question": q}).alias("content"))
-    return df.withColumn(prompt_col, F.concat(F.array(new_first), F.slice(prompt_col, 2, 1 << 20)))
+    return df.withColumn(prompt_col, F.concat(F.array(new_first), F.slice(prompt_col, F.lit(2), F.greatest(F.size(prompt_col) - 1, F.lit(0)))))
 
 
 def to_sft(df: DataFrame, keep: tuple[str, ...] = ("data_source", "ability", "extra_info", "rollout_turns")) -> DataFrame:
@@ -114,12 +114,14 @@ def completed_only(df: DataFrame, status_col: str = "collector_status") -> DataF
 
 
 def slice_rows(df: DataFrame, order_by: list[str], offset: int = 0, limit: int | None = None) -> DataFrame:
-    """offset/limit over an explicit order (a sorted range partitioning,
-    then ``offset``/``limit``)."""
-    out = df.orderBy(*order_by)
-    if offset:
-        out = out.offset(offset)
-    return out.limit(limit) if limit is not None else out
+    """offset/limit over an explicit order: a range filter on the dense row index,
+    so no task gathers the rows before the slice."""
+    from searchlane.operators.batching import with_row_index
+    idx = with_row_index(df, order_by, "_row")
+    keep = F.col("_row") >= offset
+    if limit is not None:
+        keep &= F.col("_row") < offset + limit
+    return idx.filter(keep).drop("_row")
 
 
 def seeded_order(key: str, seed: int) -> Column:
@@ -136,7 +138,7 @@ def sample_exact(df: DataFrame, n: int, key: str, seed: int = 42, by: str | None
         cnt = df.count()
         if cnt < n:
             raise ValueError(f"only {cnt} rows, {n} requested")
-        return df.withColumn("_h", h).orderBy("_h", key).limit(n).drop("_h")
+        return slice_rows(df.withColumn("_h", h), ["_h", key], 0, n).drop("_h")
     short = df.groupBy(by).count().filter(F.col("count") < n)   # partial aggregate, no window
     if short.limit(1).count():
         raise ValueError("a group has fewer rows than requested")
@@ -164,7 +166,7 @@ def shuffle_batches(df: DataFrame, batch_size: int, key: str, seed: int = 42,
     idx = with_row_index(h, ["_h", key], "_i")
     out = idx.withColumn("batch_id", F.floor(F.col("_i") / batch_size).cast("long"))
     if drop_last:
-        total = df.count()
+        total = idx.count()
         full = (total // batch_size) * batch_size
         out = out.filter(F.col("_i") < full)
     return out.drop("_h", "_i")

@@ -129,11 +129,13 @@ def q_truncate_token_arrays(spark, sf_dir):
 WITH {SQL_FX['sequences']}, {SQL_FX['rollout_log']},
 r AS (SELECT split, "index", row_number() OVER (PARTITION BY split ORDER BY md5(CAST("index" AS VARCHAR) || '#42'), "index") AS rn
       FROM rollout_log)
-SELECT split, "index" FROM r WHERE rn <= 50""")
+SELECT split, "index" FROM r
+WHERE rn <= (SELECT greatest(1, min(c) // 2) FROM (SELECT count(*) AS c FROM rollout_log GROUP BY split))""")
 def q_sample_exact(spark, sf_dir):
-    """Seeded exact-size subsets per split of the rollout log."""
+    """Seeded exact-size subsets per split of the rollout log, half of the smaller split."""
     log = fx.rollout_log(Tables(spark, sf_dir))
-    return DS.sample_exact(log, 50, "index", seed=42, by="split").select("split", "index")
+    smallest = log.groupBy("split").count().agg(F.min("count")).first()[0]
+    return DS.sample_exact(log, max(1, smallest // 2), "index", seed=42, by="split").select("split", "index")
 
 
 @register("shuffle_batches", sql=f"""
@@ -170,6 +172,16 @@ def q_mini_batches(spark, sf_dir):
     return BT.mini_batches(padded, 64).select("o_orderkey", "row_idx", "batch_id", "is_pad")
 
 
+@register("row_index", sql="""
+SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice,
+       (row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) - 1)::BIGINT AS row_idx
+FROM lineitem""")
+def q_row_index(spark, sf_dir):
+    """Dense index over many columns of every lineitem row, by descending price."""
+    li = Tables(spark, sf_dir).lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    return BT.with_row_index(li, [F.col("l_extendedprice").desc(), "l_orderkey", "l_linenumber", "l_partkey"])
+
+
 @register("balanced_partitions")
 def q_balanced_partitions(spark, sf_dir):
     """Length-balanced partitions (largest differencing) inside each

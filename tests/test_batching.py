@@ -39,3 +39,26 @@ def test_row_index_repeat_and_pad(spark):
     assert [(r["rep"], r["row_idx"]) for r in rep[:3]] == [(0, 0), (0, 1), (0, 2)]
     with pytest.raises(ValueError):
         BT.chunk(idx, 2)
+
+
+def test_row_index_is_dense_over_many_columns_and_partitions(spark):
+    li = spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet")
+    n, keep = li.count(), {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        for adaptive, parts in (("true", "8"), ("true", "200"), ("false", "8"), ("false", "200")):
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            idx = BT.with_row_index(li, ["l_shipdate", "l_orderkey", "l_linenumber"])
+            row = idx.selectExpr("count(*)", "count(distinct row_idx)", "min(row_idx)", "max(row_idx)").first()
+            assert tuple(row) == (n, n, 0, n - 1), (adaptive, parts)
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+
+
+def test_slice_rows_and_exact_sample_use_the_index(spark):
+    from searchlane.operators import datasets as DS
+    df = spark.range(1000).withColumnRenamed("id", "k").repartition(17)
+    assert sorted(r.k for r in DS.slice_rows(df, ["k"], 100, 50).collect()) == list(range(100, 150))
+    assert sorted(r.k for r in DS.slice_rows(df, ["k"], 990).collect()) == list(range(990, 1000))
+    assert DS.sample_exact(df, 37, "k").count() == 37
