@@ -6,11 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def timing_metrics(batch: DataFrame, timings: DataFrame, tokens_col: str = "responses") -> DataFrame:
-    """Seconds per section and milliseconds per token. ``timings`` is a
-    small (section, seconds) table; the token total is a scalar subquery."""
-    n = batch.select(F.sum(F.size(tokens_col))).scalar()
-    return timings.select("section", "seconds", (F.col("seconds") * 1000.0 / n).alias("per_token_ms"))
+# Sections whose time is given per response token, and per prompt plus response token.
+RESPONSE_SECTIONS = ("gen",)
+OVERALL_SECTIONS = ("ref", "values", "adv", "update_critic", "update_actor", "rollout")
+
+
+def timing_metrics(batch: DataFrame, timings: DataFrame, tokens_col: str = "responses",
+                   prompt_col: str | None = None) -> DataFrame:
+    """Seconds per section and milliseconds per token: ``gen`` per response token,
+    the other timed sections per prompt plus response token, null for the rest.
+    ``prompt_col`` is an array of prompt tokens or their number; without it prompts
+    count nothing. The totals are scalar subqueries."""
+    kind = dict(batch.dtypes).get(prompt_col or "", "")
+    prompt = F.lit(0) if prompt_col is None else F.size(prompt_col) if kind.startswith("array") else F.col(prompt_col)
+    response = batch.select(F.sum(F.size(tokens_col))).scalar()
+    overall = batch.select(F.sum(F.size(tokens_col) + prompt)).scalar()
+    tokens = (F.when(F.col("section").isin(*RESPONSE_SECTIONS), response)
+              .when(F.col("section").isin(*OVERALL_SECTIONS), overall))
+    return timings.select("section", "seconds", (F.col("seconds") * 1000.0 / tokens).alias("per_token_ms"))
 
 
 def env_metrics(replay: DataFrame) -> DataFrame:
@@ -39,5 +52,6 @@ def write_metrics(metrics: DataFrame, path: str, step: int) -> None:
     metrics.withColumn("step", F.lit(step).cast("long")).write.mode("append").parquet(path)
 
 
-def metrics_wide(metrics: DataFrame, index: str = "step") -> DataFrame:
-    return metrics.groupBy(index).pivot("metric").agg(F.first("value"))
+def metrics_wide(metrics: DataFrame, names: list[str], index: str = "step") -> DataFrame:
+    """One column per metric of ``names`` (a fixed list: no pass over the data to find them)."""
+    return metrics.groupBy(index).pivot("metric", names).agg(F.first("value"))

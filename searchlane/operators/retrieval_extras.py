@@ -89,10 +89,10 @@ def add_context(qa: DataFrame, cache: DataFrame, corpus: DataFrame, k: int,
 # ------------------------------------------------------------------ V11 / W13
 def distinct_first_seen(requests: DataFrame, query_col: str = "query",
                         order_cols: tuple[str, ...] = ("sample_id", "qpos")) -> DataFrame:
-    """Distinct queries with the position of their first occurrence
-    (a partial min aggregate, no global sort)."""
+    """Distinct queries with the position of their first occurrence and the number
+    of requests (one partial aggregate, no global sort)."""
     first = F.min(F.struct(*[F.col(c) for c in order_cols]))
-    return requests.groupBy(query_col).agg(first.alias("first_seen"))
+    return requests.groupBy(query_col).agg(first.alias("first_seen"), F.count(F.lit(1)).alias("n_requests"))
 
 
 def retrieve_cached(requests: DataFrame, cache: DataFrame | None, retrieve_fn: Callable,
@@ -116,17 +116,18 @@ def retrieve_cached(requests: DataFrame, cache: DataFrame | None, retrieve_fn: C
                .withColumn("last_used", F.when(F.col("_hit"), F.lit(step).cast("long"))
                            .otherwise(F.col("last_used"))).drop("_hit"))
         merged = old.unionByName(fresh)
+    # this step's answers come from everything known now; eviction only bounds what is kept
+    results = requests.join(merged.drop("last_used"), query_col, "left")
     if capacity is not None:
         recency = merged.groupBy(query_col).agg(F.max("last_used").alias("_lu"))
         # LRU capacity is the feature: a global top-N (per-partition top-N, then merge)
         keep = recency.orderBy(F.col("_lu").desc(), F.col(query_col)).limit(capacity)
         merged = merged.join(keep.select(query_col), query_col, "left_semi")
-    results = requests.join(merged.drop("last_used"), query_col, "left")
     return results, merged
 
 
 # ------------------------------------------------------------------ V15 / V16
-SERP_SCHEMA = ("struct<answer_box: struct<title: string, snippet: string, answer: string>, "
+SERP_SCHEMA = ("struct<answer_box: struct<title: string, snippet: string>, "
                "organic_results: array<struct<title: string, snippet: string, link: string>>, "
                "related_questions: array<struct<question: string, snippet: string>>>")
 
@@ -137,8 +138,7 @@ def normalize_serp(df: DataFrame, json_col: str, k: int) -> DataFrame:
     j = F.from_json(F.col(json_col), SERP_SCHEMA)
     box = F.when(j["answer_box"].isNotNull(), F.array(F.struct(
         F.coalesce(j["answer_box"]["title"], F.lit("No title.")).alias("title"),
-        F.coalesce(j["answer_box"]["answer"], j["answer_box"]["snippet"], F.lit("No snippet available."))
-        .alias("text")))).otherwise(F.array())
+        F.coalesce(j["answer_box"]["snippet"], F.lit("No snippet available.")).alias("text")))).otherwise(F.array())
     org = F.transform(F.slice(F.coalesce(j["organic_results"], F.array()), 1, k), lambda r: F.struct(
         F.coalesce(r["title"], F.lit("No title.")).alias("title"),
         F.coalesce(r["snippet"], F.lit("No snippet available.")).alias("text")))

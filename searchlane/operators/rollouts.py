@@ -31,19 +31,23 @@ def search_requests(steps: DataFrame, keys: list[str], parsed: str = "act") -> D
 
 
 def search_observations(requests: DataFrame, keys: list[str], retrieve_fn, corpus: DataFrame,
-                        max_obs_tokens: int = 500) -> DataFrame:
+                        max_obs_tokens: int = 500, k: int = 3) -> DataFrame:
     """Distinct queries -> retrieval -> passage block truncated to the token
-    budget -> regrouped per step (J4 + V11 dedupe + A1-A3)."""
+    budget -> regrouped per step (J4 + V11 dedupe + A1-A3). ``k`` is the retriever's
+    number of results a query."""
     from searchlane.operators.observe import attach_docs
-    # distinct queries get a 64-bit hash id: scoring then groups by a long, not by text
-    uniq = requests.select("query").distinct().withColumn("query_id", F.xxhash64("query"))
+    # distinct queries get a 64-bit hash id, so that scoring groups by a long; texts that
+    # share a hash are told apart by their rank among them, so the id is exact
+    uniq = (requests.select("query").distinct().withColumn("_hash", F.xxhash64("query"))
+            .withColumn("_of_hash", F.row_number().over(Window.partitionBy("_hash").orderBy("query")) - 1)
+            .withColumn("query_id", F.when(F.col("_of_hash") == 0, F.col("_hash"))
+                        .otherwise(F.xxhash64("_hash", "_of_hash")))
+            .select("query", "query_id"))
     hits = retrieve_fn(uniq)
-    # the retriever returns at most k rows per query; 16 bounds every k used here
-    block = passages_to_string(attach_docs(hits, corpus, queries=uniq, k=16), key="query_id")
-    res = block.select("query_id", truncate_tokens_text("result", max_obs_tokens).alias("result"))
-    # join back on the 64-bit id, never on the (long) query text
-    per_q = (requests.withColumn("query_id", F.xxhash64("query")).join(res, "query_id", "left")
-             .withColumn("result", F.coalesce("result", F.lit(""))).drop("query_id"))
+    block = passages_to_string(attach_docs(hits, corpus, queries=uniq, k=k), key="query_id")
+    res = uniq.join(block.select("query_id", truncate_tokens_text("result", max_obs_tokens).alias("result")), "query_id")
+    per_q = (requests.join(res.drop("query_id"), "query", "left")
+             .withColumn("result", F.coalesce("result", F.lit(""))))
     key = F.struct(*[F.col(k) for k in keys])
     return (format_observation(per_q.withColumn("_k", key), "_k", "qpos", "query", "result")
             .select(*[F.col(f"_k.{k}").alias(k) for k in keys], "observation"))
@@ -51,7 +55,7 @@ def search_observations(requests: DataFrame, keys: list[str], retrieve_fn, corpu
 
 def env_step(steps: DataFrame, keys: list[str], text_col: str = "response", active_col: str | None = None,
              do_search: bool = True, retrieve_fn=None, corpus: DataFrame | None = None,
-             max_obs_tokens: int = 500, ignore_case: bool = False) -> DataFrame:
+             max_obs_tokens: int = 500, ignore_case: bool = False, k: int = 3) -> DataFrame:
     """A4: one environment step for every row.
 
     next_obs: search -> ``<information>`` block, answer -> '', invalid -> hint,
@@ -61,12 +65,15 @@ def env_step(steps: DataFrame, keys: list[str], text_col: str = "response", acti
     s = steps.withColumn("act", parse_action(text_col, ignore_case))
     active = F.col(active_col) if active_col else F.lit(True)
     a = F.col("act.action")
+    asked = search_requests(s.filter(active), keys)  # inactive rows retrieve nothing
     if do_search and retrieve_fn is not None:
-        obs = search_observations(search_requests(s, keys), keys, retrieve_fn, corpus, max_obs_tokens)
-        s = s.join(obs, keys, "left")
-        search_obs = information_block(F.coalesce("observation", F.lit("")))
-    else:
-        search_obs = information_block(F.lit(""))
+        obs = search_observations(asked, keys, retrieve_fn, corpus, max_obs_tokens, k)
+    else:  # every result is empty; several queries still get their headings
+        key = F.struct(*[F.col(c) for c in keys])
+        obs = (format_observation(asked.withColumn("result", F.lit("")).withColumn("_k", key), "_k", "qpos", "query", "result")
+               .select(*[F.col(f"_k.{c}").alias(c) for c in keys], "observation"))
+    s = s.join(obs, keys, "left")
+    search_obs = information_block(F.coalesce("observation", F.lit("")))
     next_obs = (F.when(~active, F.lit("")).when(a == "answer", F.lit(""))
                 .when(a == "search", search_obs).otherwise(F.lit(INVALID_ACTION_HINT)))
     out = s.select(
@@ -151,21 +158,26 @@ def build_messages(steps: DataFrame, sample: str = "sample_id", order: str = "tu
 
 def truncate_messages(messages: DataFrame, budget: int, sample: str = "sample_id",
                       order: str = "msg_idx", content: str = "content") -> DataFrame:
-    """Keep the newest messages whose token total fits the budget; the
-    first message that does not fit keeps its longest fitting token suffix;
-    older ones are dropped. Whitespace tokens by default."""
+    """Whole oldest messages go until the rest fits the budget; only the last message,
+    when it alone is too long, is cut to its longest fitting token suffix. Whitespace
+    tokens by default."""
     toks = whitespace_tokens(content)
-    w = Window.partitionBy(sample).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    m = messages.withColumn("_n", F.size(toks)).withColumn("_suffix", F.sum("_n").over(w))
-    m = m.withColumn("_before", F.col("_suffix") - F.col("_n"))
-    keep_all = F.col("_suffix") <= budget
-    boundary = (F.col("_before") < budget) & ~keep_all
-    room = F.lit(budget) - F.col("_before")
-    cut = F.array_join(F.slice(toks, -room.cast("int"), room.cast("int")), " ")
-    return (m.filter(keep_all | boundary)
-            .withColumn(content, F.when(keep_all, F.col(content)).otherwise(cut))
-            .withColumn("token_len", F.least(F.col("_n"), F.when(keep_all, F.col("_n")).otherwise(room)).cast("long"))
-            .drop("_n", "_suffix", "_before"))
+    newest = Window.partitionBy(sample).orderBy(F.col(order).desc())
+    m = (messages.withColumn("_n", F.size(toks))
+         .withColumn("_suffix", F.sum("_n").over(newest.rowsBetween(Window.unboundedPreceding, 0)))
+         .withColumn("_last", F.row_number().over(newest) == 1))
+    fits = F.col("_suffix") <= budget
+    cut = F.array_join(F.slice(toks, F.lit(-budget), F.lit(budget)), " ") if budget > 0 else F.lit("")
+    return (m.filter(fits | F.col("_last"))
+            .withColumn(content, F.when(fits, F.col(content)).otherwise(cut))
+            .withColumn("token_len", F.least(F.col("_n"), F.lit(max(budget, 0))).cast("long"))
+            .drop("_n", "_suffix", "_last"))
+
+
+def max_prompt_tokens(prompts: DataFrame, length_col: str = "token_len", sample: str | None = None) -> DataFrame:
+    """A10: largest prompt length over turns, nulls ignored (per sample when given)."""
+    grouped = prompts.groupBy(sample) if sample else prompts.groupBy()
+    return grouped.agg(F.max(length_col).cast("long").alias("max_prompt_tokens"))
 
 
 def turn_stats(steps: DataFrame, sample: str = "sample_id", text: str = "response") -> DataFrame:
@@ -204,11 +216,15 @@ def resume_pending(prompts: DataFrame, done_log: DataFrame, key: str = "sample_k
 
 
 def zip_batches(left: DataFrame, right: DataFrame, row_id: str = "row_id") -> DataFrame:
-    """Column-wise union of two batches of the same rows; shared columns
-    must be equal (raises otherwise)."""
+    """Column-wise union of two batches of the same rows. Shared columns must be
+    equal and every row must have its partner; otherwise the job fails."""
     shared = [c for c in left.columns if c in right.columns and c != row_id]
-    r = right.select(row_id, *[F.col(c).alias(f"_r_{c}") for c in right.columns if c != row_id])
-    j = left.join(r, row_id, "inner")
+    lft = left.withColumn("_in_l", F.lit(True))
+    r = right.select(F.col(row_id).alias("_r_id"), F.lit(True).alias("_in_r"),
+                     *[F.col(c).alias(f"_r_{c}") for c in right.columns if c != row_id])
+    j = lft.join(r, F.col(row_id) == F.col("_r_id"), "full")
+    j = j.withColumn(row_id, F.when(F.col("_in_l") & F.col("_in_r"), F.col(row_id)).otherwise(
+        F.raise_error(F.lit("a row of one batch is missing from the other")).cast(dict(left.dtypes)[row_id])))
     for c in shared:
         j = j.withColumn(c, F.when(F.col(c).eqNullSafe(F.col(f"_r_{c}")), F.col(c))
                          .otherwise(F.raise_error(F.lit(f"column {c} differs between batches"))))

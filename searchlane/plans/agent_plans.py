@@ -64,7 +64,7 @@ def _env(spark, sf_dir):
     idx = build_bm25(corpus)
     steps = fx.responses(t)
     return RO.env_step(steps, ["sample_id", "turn_idx"], retrieve_fn=lambda q: bm25_search(q, idx, 3),
-                       corpus=corpus, max_obs_tokens=MAX_OBS)
+                       corpus=corpus, max_obs_tokens=MAX_OBS, k=3)
 
 
 @register("env_step", sql=f"""
@@ -161,21 +161,22 @@ def q_build_messages(spark, sf_dir):
                                            F.md5("content").alias("content_md5"))
 
 
-BUDGET = 300
+BUDGET = 120
 
 
 @register("truncate_messages", sql=f"""
 WITH c AS (SELECT conv_id, turn, text, {_sql_ntok('text')} AS n FROM conversations),
-s AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS suf FROM c),
-k AS (SELECT *, suf - n AS before FROM s WHERE suf <= {BUDGET} OR suf - n < {BUDGET})
+s AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS suf,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1 AS newest FROM c),
+k AS (SELECT * FROM s WHERE suf <= {BUDGET} OR newest)
 SELECT conv_id, turn,
        md5(CASE WHEN suf <= {BUDGET} THEN text ELSE array_to_string(
-            regexp_split_to_array({sql_strip('text')}, '\\s+')[n - ({BUDGET} - before) + 1:], ' ') END) AS content_md5,
-       (CASE WHEN suf <= {BUDGET} THEN n ELSE {BUDGET} - before END)::BIGINT AS token_len
+            regexp_split_to_array({sql_strip('text')}, '\\s+')[n - {BUDGET} + 1:], ' ') END) AS content_md5,
+       least(n, {BUDGET})::BIGINT AS token_len
 FROM k""")
 def q_truncate_messages(spark, sf_dir):
-    """A9 + A10 over conversations: newest messages within 300 tokens, the
-    boundary message cut to its fitting suffix."""
+    """A9 over conversations: whole oldest messages go until 120 tokens hold the rest; a
+    last message that is too long alone keeps its fitting suffix."""
     c = Tables(spark, sf_dir).conversations
     r = RO.truncate_messages(c, BUDGET, sample="conv_id", order="turn", content="text")
     return r.select("conv_id", "turn", F.md5("text").alias("content_md5"), "token_len")
@@ -285,7 +286,15 @@ def q_distinct_queries(spark, sf_dir):
     r = fx.responses(Tables(spark, sf_dir)).withColumn("act", parse_action("response"))
     req = RO.search_requests(r, ["sample_id", "turn_idx"])
     d = distinct_first_seen(req, "query", ("sample_id", "turn_idx", "qpos"))
-    n = req.groupBy("query").agg(F.count(F.lit(1)).alias("n_requests"))
-    return d.join(n, "query").select(F.md5("query").alias("query_md5"),
-                                     F.col("first_seen.sample_id").alias("first_sample"),
-                                     F.col("first_seen.turn_idx").alias("first_turn"), "n_requests")
+    return d.select(F.md5("query").alias("query_md5"), F.col("first_seen.sample_id").alias("first_sample"),
+                    F.col("first_seen.turn_idx").alias("first_turn"), "n_requests")
+
+
+@register("max_prompt_tokens", sql=f"""
+WITH c AS (SELECT conv_id, sum({_sql_ntok('text')}) OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)
+SELECT conv_id, max(n)::BIGINT AS max_prompt_tokens FROM c GROUP BY conv_id""")
+def q_max_prompt_tokens(spark, sf_dir):
+    """A10 + A13: largest length a growing conversation prompt reaches."""
+    c = Tables(spark, sf_dir).conversations
+    grown = RO.prompt_lengths(c, "conv_id", "turn", "text")
+    return RO.max_prompt_tokens(grown, "cum_tokens", "conv_id")

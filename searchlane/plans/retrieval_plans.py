@@ -250,24 +250,35 @@ def nested_results(spark, sf_dir):
 
 @register("online_results", sql=f"""
 WITH pt AS (SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title,
-                   array_to_string(string_split({_SQL_PTEXT}, chr(10))[1:3], ' ... ') AS snip FROM pages)
-SELECT page_id, (CASE WHEN page_id % 5 = 0 THEN 3 ELSE 2 END)::BIGINT AS n_passages,
-       md5((CASE WHEN page_id % 5 = 0 THEN '"' || title || '"' || chr(10) || snip || chr(10) ELSE '' END)
-           || '"' || title || '"' || chr(10) || snip || chr(10)
-           || '"No title."' || chr(10) || 'No snippet available.') AS passages_md5
-FROM pt""")
+                   array_to_string(string_split({_SQL_PTEXT}, chr(10)), ' ... ') AS snip FROM pages),
+it AS (SELECT page_id, '"' || title || '"' || chr(10) || snip AS doc,
+              '"' || title || '"' || chr(10) || CASE WHEN page_id % 3 = 0 THEN 'No snippet available.' ELSE snip END AS box,
+              '"No title."' || chr(10) || 'No snippet available.' AS bare FROM pt)
+SELECT page_id, (CASE WHEN page_id % 5 = 0 THEN 1 ELSE 0 END + 3 + CASE WHEN page_id % 2 = 0 THEN 2 ELSE 0 END)::BIGINT AS n_passages,
+       md5((CASE WHEN page_id % 5 = 0 THEN box || chr(10) ELSE '' END)
+           || doc || chr(10) || bare || chr(10) || doc
+           || (CASE WHEN page_id % 2 = 0 THEN chr(10) || doc || chr(10) || bare ELSE '' END)) AS passages_md5
+FROM it""")
 def online_results(spark, sf_dir):
-    """V15 + V16: search-engine JSON built per page (title, snippet from the
-    paragraphs, link) normalised into passages; missing fields get defaults."""
+    """Search-engine JSON built per page (an answer box that holds an answer and
+    sometimes a snippet, four organic results, two related questions) as passages: the
+    box's snippet, the first k = 3 organic results, related questions; missing fields get
+    defaults."""
     from searchlane.operators.retrieval_extras import normalize_serp, page_text_regex
     p = Tables(spark, sf_dir).pages
-    snippet = F.concat_ws(" ... ", F.slice(F.split(page_text_regex("html"), "\n"), 1, 3))
+    snippet = F.concat_ws(" ... ", F.split(page_text_regex("html"), "\n"))
     title = F.regexp_extract("html", r"<title>(.*?)</title>", 1)
+    none = F.lit(None).cast("string")
+    whole = F.struct(title.alias("title"), snippet.alias("snippet"), F.col("url").alias("link"))
+    bare = F.struct(none.alias("title"), none.alias("snippet"), F.col("url").alias("link"))
     js = F.to_json(F.struct(
-        F.when(F.col("page_id") % 5 == 0, F.struct(title.alias("title"), snippet.alias("answer"))).alias("answer_box"),
-        F.array(F.struct(title.alias("title"), snippet.alias("snippet"), F.col("url").alias("link")),
-                F.struct(F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("snippet"),
-                         F.col("url").alias("link"))).alias("organic_results")))
+        F.when(F.col("page_id") % 5 == 0, F.struct(
+            title.alias("title"), F.lit("an answer").alias("answer"),
+            F.when(F.col("page_id") % 3 != 0, snippet).alias("snippet"))).alias("answer_box"),
+        F.array(whole, bare, whole, whole).alias("organic_results"),
+        F.when(F.col("page_id") % 2 == 0, F.array(
+            F.struct(title.alias("question"), snippet.alias("snippet")),
+            F.struct(none.alias("question"), none.alias("snippet")))).alias("related_questions")))
     out = normalize_serp(p.select("page_id", js.alias("serp")), "serp", k=3)
     return out.select("page_id", F.size("passages").cast("long").alias("n_passages"),
                       F.md5(F.array_join("passages", "\n")).alias("passages_md5"))

@@ -212,17 +212,27 @@ def q_length_stats(spark, sf_dir):
                     F.col("response_tokens_max").cast("long"))
 
 
+_SECTIONS = ("gen", "ref", "values", "adv", "update_critic", "update_actor", "rollout", "step")
+
+
 @register("timing_metrics", sql=f"""
 WITH {SQL_FX['token_rows']},
-tk AS (SELECT sum(len(responses)) AS n FROM token_rows),
-sec AS (SELECT event_type AS section, sum(value) AS seconds FROM events GROUP BY event_type)
-SELECT section, round(seconds, 6) AS seconds, round(seconds * 1000.0 / tk.n, 6) AS per_token_ms FROM sec, tk""")
+tk AS (SELECT sum(len(responses)) AS response, sum(len(responses) + group_id % 7) AS overall FROM token_rows),
+sec AS (SELECT (["{'", "'.join(_SECTIONS)}"])[user_id % {len(_SECTIONS)} + 1] AS section, sum(value) AS seconds
+        FROM events GROUP BY 1)
+SELECT section, round(seconds, 6) AS seconds,
+       round(seconds * 1000.0 / CASE WHEN section = 'gen' THEN response WHEN section <> 'step' THEN overall END, 6) AS per_token_ms
+FROM sec, tk""".replace('["', "['").replace('"]', "']").replace('", "', "', '"))
 def q_timing_metrics(spark, sf_dir):
-    """Section timings (event types, summed values) per response token."""
+    """Event values as section timings; generation per response token, the other
+    timed sections per prompt plus response token, an untimed section without a rate."""
     from searchlane.operators.metrics import timing_metrics
     t = Tables(spark, sf_dir)
-    timings = t.events.groupBy(F.col("event_type").alias("section")).agg(F.sum("value").alias("seconds"))
-    r = timing_metrics(fx.token_rows(t), timings)
+    names = F.array(*map(F.lit, _SECTIONS))
+    section = F.element_at(names, (F.col("user_id") % len(_SECTIONS) + 1).cast("int"))
+    timings = t.events.groupBy(section.alias("section")).agg(F.sum("value").alias("seconds"))
+    rows = fx.token_rows(t).withColumn("n_prompt", F.col("group_id") % 7)
+    r = timing_metrics(rows, timings, prompt_col="n_prompt")
     return r.select("section", F.round("seconds", R6).alias("seconds"),
                     F.round("per_token_ms", R6).alias("per_token_ms"))
 

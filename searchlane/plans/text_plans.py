@@ -251,6 +251,20 @@ def q_reward_dispatch(spark, sf_dir):
     return R.score_rollouts(s, registry="em_format").select("row_id", "data_source", "score")
 
 
+@register("reward_registries", sql=f"""
+WITH {SQL_FX['sequences']}
+SELECT row_id, (CASE WHEN row_id % 2 = 0 THEN CASE WHEN {_ANS} IS NULL THEN 0.0
+                          WHEN {sql_em(_ANS, '[golden_answers[1]]')} THEN 1.0 ELSE 0.0 END
+                     ELSE length(response) / 1000.0 END)::DOUBLE AS score FROM sequences""")
+def q_reward_registries(spark, sf_dir):
+    """A caller's registry; one source is scored by exact match on a single golden
+    string (R1), the other by a rule of the caller."""
+    s = (fx.sequences(_t(spark, sf_dir)).withColumn("golden_answers", F.element_at("golden_answers", 1))
+         .withColumn("data_source", F.when(F.col("row_id") % 2 == 0, "exact").otherwise("length")))
+    own = {("exact",): lambda d: F.col("exact"), ("length",): lambda d: F.length("response") / 1000.0}
+    return R.score_rollouts(R.score_em(s, out="exact"), registry=own).select("row_id", "score")
+
+
 @register("score_by_source", sql=f"""
 WITH {SQL_FX['sequences']}, {SQL_FX['rollout_log']}
 SELECT split, coalesce(data_source, 'unknown') AS data_source, avg(score)::DOUBLE AS mean_score,
@@ -259,21 +273,18 @@ FROM rollout_log GROUP BY split, coalesce(data_source, 'unknown')""")
 def q_score_by_source(spark, sf_dir):
     """Mean score per split and data source over the rollout log."""
     log = fx.rollout_log(_t(spark, sf_dir))
-    return (log.groupBy("split", F.coalesce("data_source", F.lit("unknown")).alias("data_source"))
-            .agg(F.avg("score").alias("mean_score"), F.count("score").alias("n_scored")))
+    return R.score_by_source(log, by=("split",))
 
 
 @register("pass_at_n", sql=f"""
 WITH {SQL_FX['sequences']}, {SQL_FX['rollout_log']},
-best AS (SELECT data_source, split, max(score) AS best FROM rollout_log GROUP BY data_source, split)
+best AS (SELECT data_source, golden_answers[1] AS golden, max(score) AS best FROM rollout_log GROUP BY ALL)
 SELECT avg(CASE WHEN best = 1.0 THEN 1.0 ELSE 0.0 END)::DOUBLE AS pass_at_n, count(*)::BIGINT AS n_prompts
 FROM best""")
 def q_pass_at_n(spark, sf_dir):
-    """R12 over prompt groups (data source x split): best sample scores 1."""
-    log = fx.rollout_log(_t(spark, sf_dir))
-    best = log.groupBy("data_source", "split").agg(F.max("score").alias("best"))
-    return best.agg(F.avg(F.when(F.col("best") == 1.0, 1.0).otherwise(0.0)).alias("pass_at_n"),
-                    F.count(F.lit(1)).alias("n_prompts"))
+    """The log's samples of one data source and golden answer are the samples of a prompt."""
+    log = fx.rollout_log(_t(spark, sf_dir)).withColumn("golden", F.element_at("golden_answers", 1))
+    return R.pass_at_n(log, "score", prompt=("data_source", "golden"))
 
 
 # ------------------------------------------------------------------ R5, R8
@@ -388,25 +399,32 @@ def q_countdown_scores(spark, sf_dir):
     return R.score_countdown(df, "solution", "target", "numbers").select("l_orderkey", "score")
 
 
-# Oracle note: every boxed form of the fixture (a/b, \\dfracab, \\frac{a}{b} with spaces)
-# normalises to \\frac{a}{b}; the ground truth is \\frac{1}{2} when key % 5 = 0, so a row
-# scores 1 exactly when key % 5 <> 0 or (a, b) = (1, 2). Spark runs the general normaliser.
+# Twelve written forms of one answer by p_partkey % 12 and what the public MATH conventions
+# make of each against the ground truth \\frac{a}{b} (a = key % 9 + 1, b = key % 7 + 2):
+# 0 a/b, 1 \\dfrac without braces, 2 spaces inside: equal; 3 escaped percent: goes, equal;
+# 4 bare percent: stays, unequal; 5 spaced box up to the dollar sign: equal; 6 x= prefix:
+# equal; 7 units: cut, equal; 8 unclosed brace: 0; 9 no box: 0; 10 \\fbox: 0;
+# 11 the last of two boxes counts: unequal unless (a, b) = (1, 2), as 0.5 is \\frac{1}{2}.
 @register("math_scores", sql="""
-SELECT p_partkey, (CASE WHEN p_partkey % 5 <> 0 OR (p_partkey % 9 + 1 = 1 AND p_partkey % 7 + 2 = 2)
-                        THEN 1.0 ELSE 0.0 END)::DOUBLE AS score FROM part""")
+SELECT p_partkey, (CASE WHEN p_partkey % 12 IN (0, 1, 2, 3, 5, 6, 7) THEN 1.0
+                        WHEN p_partkey % 12 = 11 AND p_partkey % 9 + 1 = 1 AND p_partkey % 7 + 2 = 2 THEN 1.0
+                        ELSE 0.0 END)::DOUBLE AS score FROM part""")
 def q_math_scores(spark, sf_dir):
-    """R6 over parts: boxed answers as fractions, decimals and a/b forms."""
+    """R6 + T19 over parts: boxed answers in twelve written forms."""
     p = _t(spark, sf_dir).part
     k = p.p_partkey
-    num = (k % 9 + 1).cast("string")
-    den = (k % 7 + 2).cast("string")
-    frac = F.concat(F.lit("\\frac{"), num, F.lit("}{"), den, F.lit("}"))
-    shown = (F.when(k % 3 == 0, F.concat(num, F.lit("/"), den))
-             .when(k % 3 == 1, F.concat(F.lit("\\dfrac"), num, den))
-             .otherwise(F.concat(frac, F.lit(" "))))
-    sol = F.concat(F.lit("So the ratio is \\boxed{"), shown, F.lit("}."))
-    gt = F.when(k % 5 == 0, F.lit("\\frac{1}{2}")).otherwise(frac)
-    df = p.select("p_partkey", sol.alias("solution"), gt.alias("gt"))
+    a, b = (k % 9 + 1).cast("string"), (k % 7 + 2).cast("string")
+    frac = F.concat(F.lit("\\frac{"), a, F.lit("}{"), b, F.lit("}"))
+    box = lambda *x: F.concat(F.lit("so \\boxed{"), *x, F.lit("}."))
+    forms = [box(a, F.lit("/"), b), box(F.lit("\\dfrac"), a, b), box(F.lit(" \\frac {"), a, F.lit("} {"), b, F.lit("}")),
+             box(frac, F.lit("\\%")), box(frac, F.lit("%")), F.concat(F.lit("so $\\boxed "), frac, F.lit("$ holds")),
+             box(F.lit("x="), frac), box(frac, F.lit("\\text{ cm}")), F.concat(F.lit("so \\boxed{"), frac),
+             F.concat(F.lit("so "), frac), F.concat(F.lit("\\fbox{"), frac, F.lit("}")),
+             F.concat(box(frac), F.lit(" or "), box(F.lit(".5")))]
+    sol = F
+    for i, form in enumerate(forms):
+        sol = sol.when(k % 12 == i, form)
+    df = p.select("p_partkey", sol.alias("solution"), frac.alias("gt"))
     return R.score_math(df, "solution", "gt").select("p_partkey", "score")
 
 

@@ -33,23 +33,31 @@ def incremental_scores(stream: DataFrame, registry: str = "em") -> DataFrame:
 
 def dedupe_by_key(stream: DataFrame, key: str = "sample_key", ts: str = "ts",
                   delay: str = "1 hour") -> DataFrame:
-    """Late duplicates of a sample key are dropped within the watermark."""
-    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
+    """Late duplicates of a sample key are dropped within the watermark; rows without
+    a key are no duplicates of each other and all stay (a random id is their key)."""
+    own = F.coalesce(F.concat(F.lit("k:"), F.col(key).cast("string")), F.expr("concat('n:', uuid())"))
+    return (stream.withWatermark(ts, delay).withColumn("_dedupe_key", own)
+            .dropDuplicatesWithinWatermark(["_dedupe_key"]).drop("_dedupe_key"))
+
+
+def _table_exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(p) and any(not s.getPath().getName().startswith(("_", ".")) for s in fs.listStatus(p))
 
 
 def resume_sink(done_path: str):
-    """X2 (beyond the watermark): each micro-batch is anti-joined with the
-    completed-key table and only new keys are appended (idempotent on replay:
-    the batch id is written with the rows)."""
+    """X2 (beyond the watermark): each micro-batch is anti-joined with the completed-key
+    table and only new keys are written, into a partition of the batch id that a replay
+    overwrites. Rows without a key are always kept."""
     def write(batch: DataFrame, batch_id: int):
         spark = batch.sparkSession
-        try:
-            done = spark.read.parquet(done_path).select("sample_key")
-            fresh = batch.join(done, "sample_key", "left_anti")
-        except Exception:  # first batch: no table yet
-            fresh = batch
-        fresh.dropDuplicates(["sample_key"]).withColumn("batch_id", F.lit(batch_id)) \
-            .write.mode("append").parquet(done_path)
+        keyed, bare = batch.filter(F.col("sample_key").isNotNull()), batch.filter(F.col("sample_key").isNull())
+        if _table_exists(spark, done_path):  # a failed read fails the batch; it never counts as "no table yet"
+            done = spark.read.parquet(done_path).filter(F.col("batch_id") < batch_id).select("sample_key")
+            keyed = keyed.join(done, "sample_key", "left_anti")
+        keyed.dropDuplicates(["sample_key"]).unionByName(bare) \
+            .write.mode("overwrite").parquet(f"{done_path.rstrip('/')}/batch_id={batch_id}")
     return write
 
 
@@ -88,57 +96,54 @@ def rollout_state(stream: DataFrame, max_turns: int, sample: str = "sample_id",
                            parse_action(text)["action"].alias("action"), ts)
 
     def update(key, pdfs: Iterator[pd.DataFrame], state):
-        if state.hasTimedOut:
-            (turns, va, vs, answered, steps) = state.get
-            state.remove()
-            yield pd.DataFrame({"sample_id": [key[0]], "turns": [turns], "valid_actions": [va],
-                                "valid_searches": [vs], "active": [not answered],
-                                "collector_status": ["failed"]})
-            return
-        turns, va, vs, answered, steps = state.get if state.exists else (1, 0, 0, False, 0)
-        for pdf in pdfs:
-            for _, r in pdf.sort_values("step").iterrows():
-                s = int(r["step"])
-                if answered or s > max_turns:
-                    continue
-                a = r["action"]
-                if a in ("answer", "search"):
-                    va += 1
-                if a == "search":
-                    vs += 1
-                if a == "answer":
-                    answered = True
-                    turns = 1 + min(s, max_turns)
-                steps = max(steps, s + 1)
-        if not answered:
-            # an active sample runs every regular step of the loop
-            turns = 1 + max_turns
-        state.update((turns, va, vs, answered, steps))
-        if timeout_ms:
-            state.setTimeoutDuration(timeout_ms)
-        done = answered or steps > max_turns
+        turns, valid, searches, answered, steps = state.get if state.exists else (1, 0, 0, False, 0)
+        timed_out = state.hasTimedOut
+        if not timed_out:
+            rows = pd.concat(list(pdfs)).sort_values("step", kind="stable")
+            rows = rows[rows["step"] <= max_turns]
+            is_answer = (rows["action"] == "answer").to_numpy()
+            if not answered and len(rows):
+                last = int(is_answer.argmax()) if is_answer.any() else len(rows) - 1
+                seen = rows.iloc[:last + 1]
+                valid += int(seen["action"].isin(["answer", "search"]).sum())
+                searches += int((seen["action"] == "search").sum())
+                steps = max(steps, int(seen["step"].iloc[-1]) + 1)
+                answered = bool(is_answer.any())
+            # a running sample reports the turn it has reached
+            turns = min(steps, max_turns + 1) if answered or steps > max_turns else 1 + min(steps, max_turns)
+        done = timed_out or answered or steps > max_turns
+        if done:
+            state.remove()  # a finished or abandoned sample keeps no state
+        else:
+            state.update((turns, valid, searches, answered, steps))
+            if timeout_ms:
+                state.setTimeoutDuration(timeout_ms)
         status = "completed" if answered else ("failed" if done else "running")
-        yield pd.DataFrame({"sample_id": [key[0]], "turns": [turns], "valid_actions": [va],
-                            "valid_searches": [vs], "active": [not answered], "collector_status": [status]})
+        yield pd.DataFrame({"sample_id": [key[0]], "turns": [turns], "valid_actions": [valid],
+                            "valid_searches": [searches], "active": [not answered], "collector_status": [status]})
 
     mode = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
     return parsed.groupBy("sample_id").applyInPandasWithState(update, OUT_SCHEMA, STATE_SCHEMA, "update", mode)
 
 
 # ------------------------------------------------------------------ X5
-def cached_retrieval_stream(queries: DataFrame, cache: DataFrame, query_col: str = "query") -> DataFrame:
-    """Stream-static join of incoming queries to the cached results table;
-    misses come back with null hits and are served in ``foreachBatch``."""
-    return queries.join(cache, query_col, "left")
-
-
-def serve_misses(retrieve_fn, cache_path: str, query_col: str = "query"):
-    """X5 miss path: retrieve uncached queries of the micro-batch and append
-    them to the cache table."""
+def cached_retrieval_sink(retrieve_fn, cache_path: str, answer_path: str, query_col: str = "query"):
+    """X5 in ``foreachBatch``: a micro-batch's queries are joined with the cached results as
+    they are now, misses are retrieved, every request is answered, and the new results join
+    the cache. Both writes go to a partition of the batch id, so a replay repeats neither."""
     def write(batch: DataFrame, batch_id: int):
-        miss = batch.filter(F.col("doc_id").isNull()).select(query_col).distinct()
-        if miss.limit(1).count():
-            retrieve_fn(miss).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(cache_path)
+        spark = batch.sparkSession
+        asked = batch.select(query_col).distinct()
+        if _table_exists(spark, cache_path):
+            known = spark.read.parquet(cache_path).filter(F.col("batch_id") < batch_id).drop("batch_id")
+            misses = asked.join(known.select(query_col).distinct(), query_col, "left_anti")
+        else:
+            known, misses = None, asked
+        part = f"{cache_path.rstrip('/')}/batch_id={batch_id}"
+        retrieve_fn(misses).write.mode("overwrite").parquet(part)
+        fresh = spark.read.parquet(part)
+        hits = fresh if known is None else known.unionByName(fresh)
+        batch.join(hits, query_col, "left").write.mode("overwrite").parquet(f"{answer_path.rstrip('/')}/batch_id={batch_id}")
     return write
 
 

@@ -75,25 +75,55 @@ def test_tokenizer_hooks(spark):
 def test_stream_dedupe_and_cached_retrieval(spark):
     d = tempfile.mkdtemp(prefix="sl-x2-")
     rows = spark.createDataFrame([("k1", "2024-01-01 00:00:00"), ("k1", "2024-01-01 00:05:00"),
-                                  ("k2", "2024-01-01 00:06:00")], "sample_key string, ts string") \
+                                  ("k2", "2024-01-01 00:06:00"), (None, "2024-01-01 00:06:00"),
+                                  (None, "2024-01-01 00:06:00")], "sample_key string, ts string") \
         .withColumn("ts", F.to_timestamp("ts"))
     rows.write.parquet(f"{d}/in")
     s = spark.readStream.schema(rows.schema).parquet(f"{d}/in")
     q = jobs.start(jobs.dedupe_by_key(s), jobs.resume_sink(f"{d}/done"), checkpoint=f"{d}/ck")
     q.awaitTermination()
-    assert sorted(r["sample_key"] for r in spark.read.parquet(f"{d}/done").collect()) == ["k1", "k2"]
+    keys = sorted(str(r["sample_key"]) for r in spark.read.parquet(f"{d}/done").collect())
+    assert keys == ["None", "None", "k1", "k2"]  # rows without a key all stay
+    sink = jobs.resume_sink(f"{d}/done")
+    for batch_id in (7, 7):  # a replayed batch overwrites itself
+        sink(rows.limit(1).union(rows.limit(1).withColumn("sample_key", F.lit("k9"))), batch_id)
+    keys = sorted(str(r["sample_key"]) for r in spark.read.parquet(f"{d}/done").collect())
+    assert keys == ["None", "None", "k1", "k2", "k9"]
 
-    cache = spark.createDataFrame([("a", 7)], "query string, doc_id long")
-    qs = spark.createDataFrame([("a",), ("b",)], "query string")
-    qs.write.parquet(f"{d}/qs")
-    qstream = spark.readStream.schema(qs.schema).parquet(f"{d}/qs")
-    joined = jobs.cached_retrieval_stream(qstream, cache)
     retr = lambda m: m.select("query", F.lit(9).cast("long").alias("doc_id"))
-    q2 = jobs.start(joined, jobs.serve_misses(retr, f"{d}/cache"), checkpoint=f"{d}/ck2")
-    q2.awaitTermination()
-    new = spark.read.parquet(f"{d}/cache").collect()
-    assert [(r["query"], r["doc_id"]) for r in new] == [("b", 9)]
-    assert np.isfinite(len(new))
+    serve = jobs.cached_retrieval_sink(retr, f"{d}/cache", f"{d}/answers")
+    for batch_id, texts in ((0, ["a", "b", "b"]), (1, ["b", "c"]), (1, ["b", "c"])):
+        serve(spark.createDataFrame([(t,) for t in texts], "query string"), batch_id)
+    cache = sorted((r["batch_id"], r["query"]) for r in spark.read.parquet(f"{d}/cache").collect())
+    assert cache == [(0, "a"), (0, "b"), (1, "c")]
+    answers = sorted((r["batch_id"], r["query"], r["doc_id"]) for r in spark.read.parquet(f"{d}/answers").collect())
+    assert answers == [(0, "a", 9), (0, "b", 9), (0, "b", 9), (1, "b", 9), (1, "c", 9)]
+
+
+def test_cached_retrieval_answers_before_it_evicts(spark):
+    from searchlane.operators.retrieval_extras import retrieve_cached
+    req = spark.createDataFrame([("a",), ("b",), ("c",)], "query string")
+    retr = lambda m: m.select("query", F.lit(1).alias("rank"), F.lit(9).alias("doc_id"), F.lit(0.5).alias("score"))
+    results, cache = retrieve_cached(req, None, retr, step=1, capacity=2)
+    assert results.filter("doc_id IS NULL").count() == 0 and cache.select("query").distinct().count() == 2
+
+
+def test_single_golden_long_numbers_and_maths_forms(spark):
+    from searchlane.operators import rewards as R
+    one = spark.createDataFrame([("<answer>x</answer><answer>Paris</answer>", "paris")], "full_sequence string, golden_answers string")
+    assert R.score_em(one).first()["score"] == 1.0 and R.score_subem(one).first()["score"] == 1.0
+    big = spark.createDataFrame([("Assistant: <answer>12345678901234567890 + 1</answer>", 2.0, [1, 1])],
+                                "s string, t double, n array<int>")
+    assert R.score_countdown(big, "s", "t", "n").first()["score"] == 0.1
+    forms = [("\\boxed{50%}", "50", 0.0), ("\\boxed{50\\%}", "50", 1.0), ("$\\boxed 5$ so", "5", 1.0),
+             ("\\boxed{\\sqrt3}", "\\sqrt{3}", 1.0), ("\\boxed{\\frac1{72}}", "\\frac{1}{72}", 1.0),
+             ("\\boxed{{a}{b{c}}} x}", "{a}{b{c}}", 1.0), ("\\boxed{.5}", "\\frac{1}{2}", 1.0), ("\\boxed{x/y}", "x /y", 0.0),
+             ("\\boxed{x/y}", "x/y", 1.0), ("\\boxed{01/2}", "\\frac{1}{2}", 0.0), ("\\boxed{3", "3", 0.0), (None, "3", 0.0)]
+    df = spark.createDataFrame(forms, "s string, g string, want double")
+    assert [r["score"] for r in R.score_math(df, "s", "g").collect()] == [f[2] for f in forms]
+    own = {("a",): lambda d: F.lit(0.25)}
+    df = spark.createDataFrame([("a",)], "data_source string")
+    assert R.score_rollouts(df, registry=own).first()["score"] == 0.25
 
 
 def test_collect_context_position_search(spark):
@@ -114,7 +144,7 @@ def test_write_metrics_long_and_wide(spark):
     m1 = spark.createDataFrame([("critic/kl", 0.5), ("score", 1.0)], "metric string, value double")
     write_metrics(m1, f"{d}/m", step=1)
     write_metrics(m1.withColumn("value", F.col("value") * 2), f"{d}/m", step=2)
-    wide = {r["step"]: r for r in metrics_wide(spark.read.parquet(f"{d}/m")).collect()}
+    wide = {r["step"]: r for r in metrics_wide(spark.read.parquet(f"{d}/m"), ["critic/kl", "score"]).collect()}
     assert wide[2]["critic/kl"] == 1.0 and wide[1]["score"] == 1.0
 
 

@@ -52,8 +52,10 @@ def test_replay_matches_loop_simulation(spark):
 def test_truncate_messages_budget(spark):
     m = spark.createDataFrame([(1, 0, "a b c d"), (1, 1, "e f"), (1, 2, "g h i"),
                                (2, 0, "x y z w")], "sample_id int, msg_idx int, content string")
-    out = {(r["sample_id"], r["msg_idx"]): r["content"] for r in RO.truncate_messages(m, 5).collect()}
-    assert out == {(1, 2): "g h i", (1, 1): "e f", (2, 0): "y z w"} or out == {(1, 2): "g h i", (1, 1): "e f", (2, 0): "x y z w"}
+    out = {(r["sample_id"], r["msg_idx"]): r["content"] for r in RO.truncate_messages(m, 6).collect()}
+    assert out == {(1, 2): "g h i", (1, 1): "e f", (2, 0): "x y z w"}  # the oldest message goes whole
+    out = {(r["sample_id"], r["msg_idx"]): r["content"] for r in RO.truncate_messages(m, 2).collect()}
+    assert out == {(1, 2): "h i", (2, 0): "z w"}  # only a last message is cut
     exact = RO.truncate_messages(m.filter("sample_id = 1"), 9).collect()
     assert len(exact) == 3
 
@@ -85,6 +87,8 @@ def test_zip_batches_checks_shared_columns(spark):
     b = spark.createDataFrame([(1, 6, 2.0)], "row_id int, b int, d double")
     with pytest.raises(Exception):
         RO.zip_batches(a, b).collect()
+    with pytest.raises(Exception):  # a row without a partner
+        RO.zip_batches(a.union(a.withColumn("row_id", F.lit(2))), b.withColumn("b", F.lit(5))).collect()
     ok = RO.zip_batches(a, b.withColumn("b", F.lit(5))).first()
     assert (ok["c"], ok["d"]) == ("x", 2.0)
 
