@@ -48,26 +48,32 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.length(F.regexp_replace(marks, f"[{SPACES}]+", "")), F.lit(0)).cast("long")
 
 
-def permuted(x: Column, n: Column, stream: Column) -> Column:
-    """Image of ``x`` under the permutation of 0..n-1 that belongs to ``stream``.
-
-    Round r pairs x with K - x (mod n), K its key, and swaps them if a pseudorandom bit of
-    the larger one is set: each round is its own inverse."""
+def round_keys(stream: Column) -> Column:
+    """Keys (k, a) of every round of the permutation that belongs to ``stream``."""
     p = F.lit(PRIME).cast("long")
 
-    def square(v: Column) -> Column:
-        v = v % p
+    def scrambled(r: Column, salt: int) -> Column:
+        v = ((stream + 2) * 48271 + (r + 1) * 69621 + salt) % p
         return (v * v) % p
 
-    def step(acc: Column, r: Column) -> Column:
-        key = square((stream + 1) * 48271 + (r + 1) * 69621 + 12345)
-        other = (key % n - acc + n) % n
-        high = F.greatest(acc, other)
-        bit = square((high % p) * 16807 + F.floor(high / p) * 39373 + key) % 2
-        return F.when(bit == 1, other).otherwise(acc)
-
     rounds = F.sequence(F.lit(0).cast("long"), F.lit(ROUNDS - 1).cast("long"))
-    return F.aggregate(rounds, x.cast("long"), step)
+    return F.transform(rounds, lambda r: F.struct(scrambled(r, 12345).alias("k"),
+                                                  (scrambled(r, 987654321) + 1).alias("a")))
+
+
+def permuted(x: Column, n: Column, keys: Column) -> Column:
+    """Image of ``x`` under the permutation of 0..n-1 that ``keys`` define.
+
+    A round pairs x with k - x (mod n) and swaps them if a bit of a hash of the larger
+    one, (a * larger + k) mod a prime, is set: each round is its own inverse."""
+    p = F.lit(PRIME).cast("long")
+
+    def step(acc: Column, key: Column) -> Column:
+        other = F.pmod(key["k"] - acc, n)
+        hashed = ((F.greatest(acc, other) % p) * key["a"] + key["k"]) % p
+        return F.when(F.shiftright(hashed, 15).bitwiseAND(1) == 1, other).otherwise(acc)
+
+    return F.aggregate(keys, x.cast("long"), step)
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -128,7 +134,8 @@ def plan_sources(packed: DataFrame, block: int = BLOCK) -> DataFrame:
     before = Window.partitionBy(F.lit(0)).orderBy("stream").rowsBetween(Window.unboundedPreceding, -1)
     return (targets(sizes).withColumn("blocks", blocks).withColumn("slots", slots)
             .withColumn("first_slot", F.coalesce(F.sum("slots").over(before), F.lit(0)))
-            .withColumn("all_slots", F.sum("slots").over(Window.partitionBy(F.lit(0)))))
+            .withColumn("all_slots", F.sum("slots").over(Window.partitionBy(F.lit(0))))
+            .withColumn("keys", round_keys(F.col("stream"))))
 
 
 def draw(sources: DataFrame, shard: int = SHARD) -> DataFrame:
@@ -138,9 +145,9 @@ def draw(sources: DataFrame, shard: int = SHARD) -> DataFrame:
             .repartition("stream", "run"))
     slots = runs.withColumn("slot", F.explode(F.sequence(
         F.col("run") * shard, F.least((F.col("run") + 1) * shard, F.col("slots")) - 1)))
-    place = permuted(F.col("first_slot") + F.col("slot"), F.col("all_slots"), F.lit(-1).cast("long"))
+    place = permuted(F.col("first_slot") + F.col("slot"), F.col("all_slots"), round_keys(F.lit(-1).cast("long")))
     return slots.select("stream", "slot", permuted(F.col("slot") % F.col("blocks"), F.col("blocks"),
-                                                   F.col("stream")).alias("block"), place.alias("place")).select(
+                                                   F.col("keys")).alias("block"), place.alias("place")).select(
         "stream", "slot", "block", F.floor(F.col("place") / shard).alias("out_shard"),
         (F.col("place") % shard).alias("out_place"))
 
@@ -197,11 +204,11 @@ def op8_mix_sources(spark, sf_dir):
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
-_SQUARE = "(({0}) % 2147483647) * (({0}) % 2147483647) % 2147483647"
-_KEY = _SQUARE.format("(stream + 1) * 48271 + (r + 1) * 69621 + 12345")
-_OTHER = f"(({_KEY}) % blocks - x + blocks) % blocks"
-_HIGH = f"greatest(x, {_OTHER})"
-_BIT = _SQUARE.format(f"({_HIGH} % 2147483647) * 16807 + ({_HIGH} // 2147483647) * 39373 + {_KEY}")
+_KEY = "(((stream + 2) * 48271 + (r + 1) * 69621 + {0}) % 2147483647)"
+_K = f"({_KEY.format(12345)} * {_KEY.format(12345)} % 2147483647)"
+_A = f"({_KEY.format(987654321)} * {_KEY.format(987654321)} % 2147483647 + 1)"
+_OTHER = f"((({_K} - x) % blocks + blocks) % blocks)"
+_BIT = f"((((greatest(x, {_OTHER}) % 2147483647) * {_A} + {_K}) % 2147483647) >> 15) & 1"
 
 ORACLE = f"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size
@@ -224,7 +231,7 @@ placed AS (SELECT doc_id, source, size,
                   (sum(size) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING))::BIGINT - size AS start
            FROM d),
 slot AS (SELECT stream, blocks, unnest(range(slots)) AS slot FROM s),
-drawn AS (SELECT stream, list_reduce(range(24), lambda x, r: CASE WHEN ({_BIT}) % 2 = 1 THEN {_OTHER} ELSE x END,
+drawn AS (SELECT stream, list_reduce(range(24), lambda x, r: CASE WHEN ({_BIT}) = 1 THEN {_OTHER} ELSE x END,
                                      slot % blocks) AS block FROM slot),
 times AS (SELECT stream, block, count(*) AS times FROM drawn GROUP BY ALL),
 piece AS (SELECT p.doc_id, s.stream, p.start, p.size,

@@ -80,7 +80,8 @@ def test_mix_matches_its_oracle(spark):
 
 def test_permutation_is_a_bijection(spark):
     for n in (1, 2, 3, 17, 1000):
-        df = spark.range(n).select(o8.permuted(o8.F.col("id"), o8.F.lit(n).cast("long"), o8.F.lit(3).cast("long")).alias("y"))
+        df = spark.range(n).select(o8.permuted(o8.F.col("id"), o8.F.lit(n).cast("long"),
+                                               o8.round_keys(o8.F.lit(3).cast("long"))).alias("y"))
         assert sorted(r.y for r in df.collect()) == list(range(n))
 
 
