@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from searchlane.functions import rl
+from searchlane.operators.common import bounded_broadcast
+from searchlane.session import materialise
 
 
 def response_mask(df: DataFrame, mask_col: str = "attention_mask") -> Column:
@@ -80,20 +82,20 @@ def masked_whiten(df: DataFrame, col: str, mask_col: str, by: str = "batch_id",
     variance, ``(x - mean) * rsqrt(var + 1e-8)`` for every token. A batch whose
     mask sums to 0 or 1 raises."""
     out = out or col
-    m = F.col(mask_col)
-    s1 = (df.groupBy(by).agg(F.sum(rl.masked_sum(col, mask_col)).alias("_sx"),
-                             F.sum(rl.array_sum(m)).alias("_n"))
-          .withColumn("_mean", F.col("_sx") / F.col("_n")))
-    # batch statistics: one row per batch; AQE broadcasts them from measured sizes
-    j = df.join(s1.select(by, "_mean", "_n"), by)
-    dev = F.zip_with(F.col(col), m, lambda x, k: (x - F.col("_mean")) * (x - F.col("_mean")) * k)
-    s2 = (j.groupBy(by).agg(F.sum(F.aggregate(dev, F.lit(0.0), lambda a, x: a + x)).alias("_ss"),
-                            F.first("_n").alias("_n2"), F.first("_mean").alias("_mean2")))
-    var = (F.when(F.col("_n2") == 0, F.raise_error(F.lit("At least one element in the mask has to be 1.")))
-           .when(F.col("_n2") == 1, F.raise_error(F.lit("The sum of the mask is one, which can cause a division by zero.")))
-           .otherwise(F.col("_ss") / F.col("_n2") * (F.col("_n2") / (F.col("_n2") - 1.0))))
-    stats = s2.select(by, F.col("_mean2").alias("_mu"), var.cast("double").alias("_var"))
-    res = df.join(stats, by)
+    n = rl.array_sum(mask_col)
+    mean = rl.masked_mean(col, mask_col)
+    per_row = df.select(by, n.alias("_n"), F.when(n > 0, mean).otherwise(0.0).alias("_m"),
+                        F.when(n > 0, rl.masked_var(col, mask_col, unbiased=False) * n).otherwise(0.0).alias("_s"))
+    # counts, means and centred squares of the rows merge in one partial aggregate per batch
+    total = F.sum("_n")
+    mu = F.sum(F.col("_n") * F.col("_m")) / total
+    between = F.sum(F.col("_n") * F.col("_m") * F.col("_m")) - total * mu * mu
+    var = (F.when(total == 0, F.raise_error(F.lit("an empty mask has no mean")).cast("double"))
+           .when(total == 1, F.raise_error(F.lit("one masked token has no variance")).cast("double"))
+           .otherwise((F.sum("_s") + F.greatest(between, F.lit(0.0))) / (total - 1)))
+    stats = materialise(per_row.groupBy(by).agg(mu.alias("_mu"), var.alias("_var")), "whiten_stats")
+    # one row per batch, broadcast if their number is bounded; token arrays then stay where they are
+    res = df.join(bounded_broadcast(stats), by)
     res = res.withColumn(out, F.transform(col, lambda x: (x - F.col("_mu")) / F.sqrt(F.col("_var") + 1e-8)))
     return res.drop("_mu", "_var")
 
@@ -105,8 +107,9 @@ def compute_gae(df: DataFrame, gamma: float = 1.0, lam: float = 1.0, mask_col: s
     as the reference does; pass ``mask_col='info_mask'`` to exclude retrieved
     tokens), returns = advantages + values before whitening."""
     g = rl.gae(rewards_col, values_col, gamma, lam)
-    df = df.withColumn("_g", g).withColumn("advantages", F.col("_g.advantages")) \
-        .withColumn("returns", F.col("_g.returns")).drop("_g")
+    # written once: the whitening reads it twice, and neither KL nor GAE is computed again
+    df = materialise(df.withColumn("_g", g).withColumn("advantages", F.col("_g.advantages"))
+                     .withColumn("returns", F.col("_g.returns")).drop("_g"), "gae")
     return masked_whiten(df, "advantages", mask_col, by=by)
 
 
@@ -189,10 +192,12 @@ def value_loss_stats(df: DataFrame, cliprange_value: float = 0.5, by: str = "bat
 
 
 def data_metrics(df: DataFrame, by: str = "batch_id", max_response_length: int | None = None,
-                 use_critic: bool = True) -> DataFrame:
+                 use_critic: bool = True, prompt_len: Column | None = None,
+                 max_prompt_length: int | None = None) -> DataFrame:
     """score/reward/advantage/return/value statistics, explained variance
-    and response-length statistics per batch, as a long (batch, metric, value)
-    table. Token-level statistics are over valid (mask = 1) tokens only."""
+    and prompt- and response-length statistics per batch, as a long (batch, metric,
+    value) table. Token-level statistics are over valid (mask = 1) tokens only;
+    variances merge the rows' centred squares."""
     m = "attention_mask"
     seq_score = rl.array_sum("token_level_scores")
     seq_reward = rl.array_sum("token_level_rewards")
@@ -225,26 +230,26 @@ def data_metrics(df: DataFrame, by: str = "batch_id", max_response_length: int |
     if max_response_length is not None:
         aggs.append(F.avg(F.when(resp_len == max_response_length, 1.0).otherwise(0.0))
                     .alias("response_length/clip_ratio"))
+    if prompt_len is not None:
+        aggs += [F.avg(prompt_len).alias("prompt_length/mean"), F.max(prompt_len).alias("prompt_length/max"),
+                 F.min(prompt_len).alias("prompt_length/min")]
+        if max_prompt_length is not None:
+            aggs.append(F.avg(F.when(prompt_len == max_prompt_length, 1.0).otherwise(0.0)).alias("prompt_length/clip_ratio"))
     if use_critic:
         diff = F.zip_with("returns", "values", lambda r, v: r - v)
+
+        def variance(col) -> Column:
+            """Sample variance over the batch's valid tokens, from each row's count, mean and centred squares."""
+            mu = F.when(resp_len > 0, rl.masked_mean(col, m)).otherwise(0.0)
+            ss = F.when(resp_len > 0, rl.masked_var(col, m, unbiased=False) * resp_len).otherwise(0.0)
+            n, s1 = F.sum(resp_len), F.sum(resp_len * mu)
+            return (F.sum(ss) + F.greatest(F.sum(resp_len * mu * mu) - s1 * s1 / n, F.lit(0.0))) / (n - 1)
+
         aggs += [(F.sum(vsum("values")) / F.sum(resp_len)).alias("critic/values/mean"),
                  F.max(vmax("values")).alias("critic/values/max"),
                  F.min(vmin("values")).alias("critic/values/min"),
-                 F.sum(F.aggregate(F.filter(F.arrays_zip(diff.alias("x"), F.col(m).alias("m")),
-                                            lambda e: e["m"] == 1), F.lit(0.0),
-                                   lambda a, e: a + e["x"])).alias("_d1"),
-                 F.sum(F.aggregate(F.filter(F.arrays_zip(diff.alias("x"), F.col(m).alias("m")),
-                                            lambda e: e["m"] == 1), F.lit(0.0),
-                                   lambda a, e: a + e["x"] * e["x"])).alias("_d2"),
-                 F.sum(vsum("returns", lambda x: x * x)).alias("_r2"),
-                 F.sum(vsum("returns")).alias("_r1"), F.sum(resp_len).alias("_n")]
+                 (1.0 - variance(diff) / (variance("returns") + 1e-5)).alias("critic/vf_explained_var")]
     wide = df.groupBy(by).agg(*aggs)
-    if use_critic:
-        n = F.col("_n")
-        var_d = (F.col("_d2") - F.col("_d1") * F.col("_d1") / n) / (n - 1)
-        var_r = (F.col("_r2") - F.col("_r1") * F.col("_r1") / n) / (n - 1)
-        wide = wide.withColumn("critic/vf_explained_var", 1.0 - var_d / (var_r + 1e-5)) \
-            .drop("_d1", "_d2", "_r1", "_r2", "_n")
     names = [c for c in wide.columns if c != by]
     stack = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(f"`{c}`").cast("double").alias("value"))
                                 for c in names]))
