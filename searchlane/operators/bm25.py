@@ -1,9 +1,8 @@
 """Sparse retrieval: BM25 index build (V1) and batch top-k search (V2).
 
-Layout: a *document-partitioned* index. The corpus is hash-partitioned by
-``doc_id`` once; tokenising, term-frequency counting and document lengths then
-run shuffle-free inside each shard (``HashPartitioning(doc_id)`` satisfies the
-``(doc_id, term)`` clustering). At query time the (small, size-checked) query
+Layout: a *document-partitioned* index. Texts are tokenised and counted where they
+lie; only the counts are hash-partitioned by ``doc_id``, and document frequencies,
+number and mean length of documents are stored with them. At query time the (small, size-checked) query
 term table is broadcast into every shard, per-(query, doc) sums stay in the
 shard, and only a partial top-k per shard crosses the network.
 
@@ -16,13 +15,18 @@ with k1 = 0.9, b = 0.4; ties broken by doc_id ascending; scores rounded to
 
 from __future__ import annotations
 
+import uuid
+from collections import Counter
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from searchlane.functions.text import analyzer_terms
 from searchlane.operators.common import DEFAULT_BROADCAST_ROWS, top_k
+from searchlane.session import materialise, register_scratch_table, scratch_path
 
 K1 = 0.9
 B = 0.4
@@ -32,45 +36,57 @@ SCORE_DIGITS = 6
 @dataclass
 class BM25Index:
     postings: DataFrame    # doc_id, term, tf, doc_len   (hash-partitioned by doc_id)
-    doc_stats: DataFrame   # doc_id, doc_len
+    term_df: DataFrame     # term, df
+    n_docs: int
+    avgdl: float
     k1: float = K1
     b: float = B
 
-    def corpus_stats(self) -> tuple:
-        """(N, avgdl) as lazy scalar subqueries over the document table."""
-        n = self.doc_stats.select(F.count(F.lit(1))).scalar()
-        avgdl = self.doc_stats.select(F.avg("doc_len")).scalar()
-        return n, avgdl
 
+def _term_counts(batches):
+    """Per document: length, distinct terms and their frequencies."""
+    for batch in batches:
+        counts = [Counter(t) for t in batch.column("_terms").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array([sum(c.values()) for c in counts], pa.int64()),
+             pa.array([list(c) for c in counts], pa.list_(pa.string())),
+             pa.array([list(c.values()) for c in counts], pa.list_(pa.int64()))], ["doc_id", "doc_len", "terms", "tfs"])
 
-def build_bm25(corpus: DataFrame, id_col: str = "id", text_col: str = "contents",
-               num_shards: int | None = None, materialize: bool = True) -> BM25Index:
-    """V1: tokenise -> explode -> tf per (doc, term), document lengths.
 
-    ``materialize`` writes the index once as a table bucketed by ``doc_id`` in
-    the shared ``spark.checkpoint.dir``, so searches scan postings instead of
-    re-tokenising the corpus and the planner still knows the doc-id layout.
-    """
+def build_bm25(corpus: DataFrame, id_col: str = "id", text_col: str = "contents",
+               num_shards: int | None = None) -> BM25Index:
+    """V1: terms and frequencies are counted where the texts lie, and only they are dealt
+    by ``doc_id``. Postings are written once as a table bucketed by ``doc_id`` in the
+    shared ``spark.checkpoint.dir``; document frequencies, the number of documents and
+    their mean length are stored with it, so a search reads the postings once."""
     spark = corpus.sparkSession
     # shards: explicit, else configured, else one per input split of the corpus
     # (splits follow spark.sql.files.maxPartitionBytes, so shards grow with the
     # data) and at least 4 per core for small corpora
     n = num_shards or int(spark.conf.get("searchlane.bm25.shards", "0")) or \
         max(corpus.rdd.getNumPartitions(), 4 * spark.sparkContext.defaultParallelism)
-    docs = (corpus.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
-            .repartition(n, "doc_id")
-            .select("doc_id", analyzer_terms("_text").alias("_terms")))
-    doc_stats = docs.select("doc_id", F.size("_terms").cast("long").alias("doc_len"))
+    docs = corpus.select(F.col(id_col).alias("doc_id"),
+                         F.coalesce(analyzer_terms(text_col), F.array().cast("array<string>")).alias("_terms"))
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("doc_len", T.LongType()),
+                           T.StructField("terms", T.ArrayType(T.StringType())),
+                           T.StructField("tfs", T.ArrayType(T.LongType()))])
+    counted = docs.mapInArrow(_term_counts, schema).repartition(n, "doc_id")
     # explode_outer keeps term-less documents as one (doc, NULL, tf=0) row, so the
     # document statistics can be read back from the postings alone
-    postings = (docs.select("doc_id", F.size("_terms").cast("long").alias("doc_len"),
-                            F.explode_outer("_terms").alias("term"))
-                .groupBy("doc_id", "term")
-                .agg(F.count("term").alias("tf"), F.first("doc_len").alias("doc_len")))
-    if materialize:
-        postings = _write_bucketed(postings, n)
-        doc_stats = postings.groupBy("doc_id").agg(F.first("doc_len").alias("doc_len"))
-    return BM25Index(postings=postings, doc_stats=doc_stats)
+    postings = _write_bucketed(
+        counted.select("doc_id", "doc_len", F.explode_outer(F.arrays_zip("terms", "tfs")).alias("t"))
+        .select("doc_id", F.col("t.terms").alias("term"), F.coalesce("t.tfs", F.lit(0)).alias("tf"), "doc_len"), n)
+    return index_of(postings)
+
+
+def index_of(postings: DataFrame, term_df: DataFrame | None = None) -> BM25Index:
+    """Index over a postings table; statistics that aren't given are computed and stored."""
+    if term_df is None:
+        term_df = materialise(postings.where(F.col("term").isNotNull()).groupBy("term")
+                              .agg(F.count(F.lit(1)).alias("df")), "bm25_terms")
+    stats = (postings.groupBy("doc_id").agg(F.first("doc_len").alias("doc_len"))
+             .agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avgdl")).first())
+    return BM25Index(postings=postings, term_df=term_df, n_docs=stats["n"], avgdl=stats["avgdl"] or 1.0)
 
 
 def _write_bucketed(postings: DataFrame, n: int) -> DataFrame:
@@ -78,31 +94,23 @@ def _write_bucketed(postings: DataFrame, n: int) -> DataFrame:
     shared checkpoint folder. Unlike a checkpointed RDD, a bucketed scan reports
     ``HashPartitioning(doc_id)``, so searches aggregate per (query, doc) inside
     each shard without an exchange. Survives executor loss (files, not cache)."""
-    import uuid
-    from searchlane.session import scratch_path
     spark = postings.sparkSession
     name = f"bm25_postings_{uuid.uuid4().hex[:12]}"
-    try:
-        path = scratch_path(spark, name)
-        (postings.write.mode("overwrite").option("path", path)
-         .bucketBy(n, "doc_id").saveAsTable(name))
-        from searchlane.session import register_scratch_table
-        register_scratch_table(name, path)   # removed by session.release_scratch()
-        return spark.table(name)
-    except Exception:  # noqa: BLE001 - a catalog that refuses tables: keep the data, lose the layout hint
-        from searchlane.session import cut_lineage
-        return cut_lineage(postings)
+    path = scratch_path(spark, name)
+    (postings.write.mode("overwrite").option("path", path)
+     .bucketBy(n, "doc_id").saveAsTable(name))
+    register_scratch_table(name, path)   # removed by session.release_scratch()
+    return spark.table(name)
 
 
 def write_bm25(index: BM25Index, path: str) -> None:
-    """Persist the index: postings sorted by term inside each doc shard."""
+    """Persist the index: postings sorted by term inside each doc shard, and its terms."""
     index.postings.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-    index.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
+    index.term_df.write.mode("overwrite").parquet(f"{path}/terms")
 
 
 def read_bm25(spark, path: str) -> BM25Index:
-    return BM25Index(postings=spark.read.parquet(f"{path}/postings"),
-                     doc_stats=spark.read.parquet(f"{path}/doc_stats"))
+    return index_of(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"))
 
 
 def query_terms(queries: DataFrame, query_id: str = "query_id", query_col: str = "query") -> DataFrame:
@@ -117,18 +125,14 @@ def bm25_search(queries: DataFrame, index: BM25Index, k: int = 3, query_id: str
     """V2: top-k (query_id, rank, doc_id, score); queries with fewer than k
     matching documents return fewer rows, queries with none return no rows."""
     qt = query_terms(queries, query_id, query_col)
-    n_docs, avgdl = index.corpus_stats()
-    vocab = qt.select("term").distinct()
-    # one count of the (query, term) table bounds both broadcast sides below
-    n_qt = qt.limit(DEFAULT_BROADCAST_ROWS + 1).count()
-    small = n_qt <= DEFAULT_BROADCAST_ROWS
-    df_t = (index.postings.join(F.broadcast(vocab) if small else vocab, "term")
-            .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
-    idf = F.log(F.lit(1.0) + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = F.log(F.lit(1.0) + (F.lit(index.n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     # per (query, term) weight qtf * idf lives on the small broadcast side, so each
-    # matched posting costs one multiply-divide and a hash-aggregate update
-    qw = qt.join(df_t, "term").select("term", "query_id", (F.col("qtf") * idf).alias("w"))
-    norm = F.lit(index.k1) * (F.lit(1.0 - index.b) + F.lit(index.b) * F.col("doc_len") / avgdl)
+    # matched posting costs one multiply-divide and a hash-aggregate update; written
+    # once: its rows are counted for the bound and then broadcast
+    qw = materialise(qt.join(index.term_df, "term").select("term", "query_id", (F.col("qtf") * idf).alias("w")),
+                     "bm25_query_terms")
+    small = qw.limit(DEFAULT_BROADCAST_ROWS + 1).count() <= DEFAULT_BROADCAST_ROWS
+    norm = F.lit(index.k1) * (F.lit(1.0 - index.b) + F.lit(index.b) * F.col("doc_len") / F.lit(index.avgdl))
     term_score = F.col("w") * (F.col("tf") * (index.k1 + 1.0) / (F.col("tf") + norm))
     scored = (index.postings.join(F.broadcast(qw) if small else qw, "term")
               .groupBy("query_id", "doc_id")
