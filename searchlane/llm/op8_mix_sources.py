@@ -140,9 +140,13 @@ def plan_sources(packed: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def draw(sources: DataFrame, shard: int = SHARD) -> DataFrame:
     """One row a slot: stream, slot, block (index in the source), out_shard and out_place."""
+    spark = sources.sparkSession
+    total = sources.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
+    # runs of slots, not yet slots: few small rows, so their number of tasks is set here
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (16 * shard))
     runs = (sources.where("slots > 0")
             .withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / shard))))
-            .repartition("stream", "run"))
+            .repartition(tasks, "stream", "run"))
     slots = runs.withColumn("slot", F.explode(F.sequence(
         F.col("run") * shard, F.least((F.col("run") + 1) * shard, F.col("slots")) - 1)))
     place = permuted(F.col("first_slot") + F.col("slot"), F.col("all_slots"), round_keys(F.lit(-1).cast("long")))
@@ -167,7 +171,9 @@ def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row a row of ``docs``: doc_id, source, size, source_size, target, taken."""
     packed = scratch.store(pack(docs), "mix_packed")
     sources = scratch.store(plan_sources(packed, block), "mix_sources")
-    times = (draw(sources).groupBy("stream", "block").agg(F.count(F.lit(1)).alias("times")))
+    # a table, whose size the planner knows: it takes exploded slots for the few rows they come from
+    # and would broadcast them
+    times = scratch.store(draw(sources).groupBy("stream", "block").agg(F.count(F.lit(1)).alias("times")), "mix_times")
     known = bounded_broadcast(sources.select(F.col("source").alias("of"), "stream", "source_size", "target"),
                               MAX_SOURCES)
     keyed = packed.join(known, _same(F.col("source"), F.col("of"))).drop("of")
@@ -193,7 +199,7 @@ def mixed_blocks(docs: DataFrame, block: int = BLOCK) -> DataFrame:
                  "start", F.slice("words", (F.col("at") + 1).cast("int"), F.col("n").cast("int")).alias("w")))).alias("p"))
              .select(F.col("source").alias("of"), F.col("block").alias("b"),
                      F.array_join(F.flatten(F.col("p.w")), " ").alias("text")))
-    drawn = draw(sources).join(sources.select("stream", "source"), "stream")
+    drawn = scratch.store(draw(sources).join(sources.select("stream", "source"), "stream"), "mix_slots")
     return (drawn.join(texts, _same(F.col("source"), F.col("of")) & (F.col("block") == F.col("b")))
             .select("out_shard", "out_place", "source", "block", "text"))
 
