@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from searchlane.functions.text import token_count
+from searchlane.session import materialise
 
 
 def prompt_lengths(df: DataFrame, key: str, order: str, text: str) -> DataFrame:
@@ -137,6 +138,72 @@ def collect_status(replay: DataFrame, errors: DataFrame | None = None, sample: s
     return out
 
 
+def collect_rollouts(prompts: DataFrame, model_fn, retrieve_fn=None, corpus: DataFrame | None = None,
+                     max_turns: int = 3, max_obs_tokens: int = 500, k: int = 3,
+                     sample: str = "sample_id") -> DataFrame:
+    """The rollout loop as one DataFrame step a turn, up to ``max_turns`` and a final
+    one without search.
+
+    ``prompts`` holds (sample, prompt_text). ``model_fn`` maps (sample, step, prompt_text) to
+    the same rows with ``text`` and ``error`` (:func:`generate` does); a row with an error
+    or without a text ends its sample as failed. Every turn's model output and log are
+    written before they are used, so a lost executor repeats no finished model call.
+    Returns the typed turn log: sample, step, prompt_text, text, action, next_obs,
+    valid_action, is_search, done, error.
+    """
+    state, log = prompts.select(sample, "prompt_text"), None
+    for step in range(max_turns + 1):
+        last = step == max_turns
+        said = materialise(model_fn(state.withColumn("step", F.lit(step).cast("long")))
+                           .select(sample, "step", "prompt_text", "text", "error"), "rollout_said")
+        fine = F.col("error").isNull() & F.col("text").isNotNull()
+        acted = env_step(said.filter(fine), [sample], "text", do_search=not last, retrieve_fn=retrieve_fn,
+                         corpus=corpus, max_obs_tokens=max_obs_tokens, k=k)
+        lost = said.filter(~fine).select(
+            sample, "step", "prompt_text", "text", F.lit(None).cast("string").alias("action"),
+            F.lit("").alias("next_obs"), F.lit(0).alias("valid_action"), F.lit(0).alias("is_search"), F.lit(0).alias("done"),
+            F.coalesce("error", F.lit("no text")).alias("error"))
+        turn = materialise(acted.select(
+            sample, "step", "prompt_text", "text", F.col("act.action").alias("action"),
+            # nothing follows the final answer attempt
+            (F.lit("") if last else F.col("next_obs")).alias("next_obs"),
+            "valid_action", "is_search", "done", "error").unionByName(lost), "rollout_turn")
+        log = turn if log is None else log.unionByName(turn)
+        state = (turn.filter(F.col("error").isNull() & (F.col("done") == 0))
+                 .select(sample, F.concat("prompt_text", "text", "next_obs").alias("prompt_text")))
+        if not last and state.limit(1).count() == 0:
+            break
+    return log
+
+
+def rollout_samples(log: DataFrame, sample: str = "sample_id") -> DataFrame:
+    """One row a sample of a turn log: status, its turns by kind, its error and
+    the largest prompt it reached (whitespace tokens)."""
+    answered = F.max("done") == 1
+    return log.groupBy(sample).agg(
+        F.when(answered, "completed").otherwise("failed").alias("collector_status"),
+        F.count("text").alias("assistant_turns"), F.sum("valid_action").cast("long").alias("valid_actions"),
+        F.sum("is_search").cast("long").alias("valid_searches"), F.max("error").alias("error"),
+        F.max(token_count("prompt_text")).cast("long").alias("max_prompt_tokens"))
+
+
+def response_segments(log: DataFrame, sample: str = "sample_id") -> DataFrame:
+    """What follows the prompt, in order: model texts and environment texts."""
+    parts = F.array(F.struct(F.lit(0).alias("part"), F.lit("response").alias("kind"), F.col("text").alias("text")),
+                    F.struct(F.lit(1).alias("part"), F.lit("information").alias("kind"), F.col("next_obs").alias("text")))
+    return (log.filter(F.col("error").isNull()).select(sample, "step", F.explode(parts).alias("p"))
+            .select(sample, "step", "p.*").filter(F.length("text") > 0))
+
+
+def info_mask(segments: DataFrame, sample: str = "sample_id") -> DataFrame:
+    """M4: per sample the response's token mask, 1 on model tokens and 0 on environment
+    tokens. A sample's segments are bounded by its turns."""
+    runs = F.array_sort(F.collect_list(F.struct("step", "part", token_count("text").alias("n"),
+                                                (F.col("kind") == "response").cast("int").alias("own"))))
+    return segments.groupBy(sample).agg(F.flatten(F.transform(
+        runs, lambda r: F.array_repeat(r["own"], r["n"].cast("int")))).alias("info_mask"))
+
+
 def build_messages(steps: DataFrame, sample: str = "sample_id", order: str = "turn_idx",
                    text: str = "response", obs: str = "next_obs", ignore_case: bool = True) -> DataFrame:
     """Long message table (sample, msg_idx, role, content): each assistant

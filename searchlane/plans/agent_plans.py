@@ -298,3 +298,63 @@ def q_max_prompt_tokens(spark, sf_dir):
     c = Tables(spark, sf_dir).conversations
     grown = RO.prompt_lengths(c, "conv_id", "turn", "text")
     return RO.max_prompt_tokens(grown, "cum_tokens", "conv_id")
+
+
+_SQL_LOOP = f"""{_SQL_ENV},
+s AS (SELECT *, count(*) OVER (PARTITION BY sample_id ORDER BY turn_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS step FROM st),
+lim AS (SELECT sample_id, step, action, response, CASE WHEN step = {MAX_TURNS} THEN '' ELSE next_obs END AS obs,
+               valid_action, is_search FROM s WHERE step <= {MAX_TURNS}),
+ends AS (SELECT sample_id, min(CASE WHEN action = 'answer' THEN step END) AS ans, max(step) AS last_step
+         FROM lim GROUP BY sample_id),
+run AS (SELECT l.*, e.ans, coalesce(e.ans, least(e.last_step + 1, {MAX_TURNS})) AS last_call
+        FROM lim l JOIN ends e USING (sample_id) WHERE l.step <= coalesce(e.ans, {MAX_TURNS}))"""
+
+
+def _loop(spark, sf_dir):
+    """The rollout loop with a model that replays each conversation's responses."""
+    from pyspark.sql import Window
+    t = Tables(spark, sf_dir)
+    corpus = fx.corpus(t)
+    idx = build_bm25(corpus)
+    by_turn = Window.partitionBy("sample_id").orderBy("turn_idx")
+    known = fx.responses(t).select("sample_id", (F.row_number().over(by_turn) - 1).cast("long").alias("step"),
+                                   F.col("response").alias("text"))
+
+    def model(active):
+        return active.join(known, ["sample_id", "step"], "left").withColumn(
+            "error", F.when(F.col("text").isNull(), F.lit("no response")))
+
+    prompts = known.select("sample_id").distinct().withColumn(
+        "prompt_text", F.concat(F.lit("Question "), F.col("sample_id").cast("string"), F.lit(": ")))
+    return RO.collect_rollouts(prompts, model, lambda q: bm25_search(q, idx, 3), corpus, MAX_TURNS, MAX_OBS)
+
+
+@register("collect_rollouts", sql=f"""
+WITH {_SQL_LOOP},
+grown AS (SELECT sample_id, string_agg(response || obs, '' ORDER BY step) AS body FROM run WHERE step < last_call GROUP BY sample_id)
+SELECT r.sample_id, CASE WHEN r.ans IS NULL THEN 'failed' ELSE 'completed' END AS collector_status,
+       count(*)::BIGINT AS assistant_turns, sum(valid_action)::BIGINT AS valid_actions, sum(is_search)::BIGINT AS valid_searches,
+       CASE WHEN r.ans IS NULL AND any_value(e.last_step) < {MAX_TURNS} THEN 'no response' END AS error,
+       {_sql_ntok("('Question ' || r.sample_id || ': ' || coalesce(any_value(g.body), ''))")}::BIGINT AS max_prompt_tokens
+FROM run r JOIN ends e USING (sample_id) LEFT JOIN grown g USING (sample_id) GROUP BY r.sample_id, r.ans""")
+def q_collect_rollouts(spark, sf_dir):
+    """A6 + A7 + A10 + J2 + V9: three turns with retrieval and a final one, checkpointed per
+    turn; status, counters, errors and the largest prompt per sample."""
+    return RO.rollout_samples(_loop(spark, sf_dir))
+
+
+@register("info_masks", sql=f"""
+WITH {_SQL_LOOP},
+seg AS (SELECT sample_id, {_sql_ntok('response')} AS own, CASE WHEN obs = '' THEN 0 ELSE {_sql_ntok('obs')} END AS env, step FROM run)
+SELECT sample_id, sum(own + env)::BIGINT AS n_tokens, sum(own)::BIGINT AS n_own,
+       md5(string_agg(repeat('1', own::INT) || repeat('0', env::INT), '' ORDER BY step)) AS mask_md5
+FROM seg GROUP BY sample_id""")
+def q_info_masks(spark, sf_dir):
+    """M4 + A13 + M5: information mask of every rollout's response and its loss mask."""
+    from searchlane.functions import rl
+    masks = RO.info_mask(RO.response_segments(_loop(spark, sf_dir)))
+    ones = F.transform("info_mask", lambda x: F.lit(1))
+    loss = rl.loss_mask(ones, "info_mask")
+    return masks.select("sample_id", F.size("info_mask").cast("long").alias("n_tokens"),
+                        F.aggregate(loss, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_own"),
+                        F.md5(F.array_join("info_mask", "")).alias("mask_md5"))
