@@ -47,9 +47,11 @@ def to_long(wide: DataFrame, keys: list[str]) -> DataFrame:
     return wide.select(*keys, st.alias("_m")).select(*keys, "_m.metric", "_m.value")
 
 
-def write_metrics(metrics: DataFrame, path: str, step: int) -> None:
-    """Append (step, metric, value) records; a wide view is a pivot."""
-    metrics.withColumn("step", F.lit(step).cast("long")).write.mode("append").parquet(path)
+def write_metrics(metrics: DataFrame, path: str, step: int | None = None) -> None:
+    """Append (step, metric, value) records, of one ``step`` or of the table's own
+    ``step`` column; a wide view is a pivot."""
+    rows = metrics if step is None else metrics.withColumn("step", F.lit(step))
+    rows.withColumn("step", F.col("step").cast("long")).write.mode("append").parquet(path)
 
 
 def metrics_wide(metrics: DataFrame, names: list[str], index: str = "step") -> DataFrame:

@@ -8,6 +8,7 @@ _MODULES = (
     "searchlane.plans.dataset_plans",
     "searchlane.plans.streaming_plans",
     "searchlane.plans.io_plans",
+    "searchlane.plans.extra_plans",
 )
 
 
