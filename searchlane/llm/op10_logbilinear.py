@@ -10,7 +10,8 @@
    the prediction is a sum of context vectors, each scaled by its position's weights,
    and scores are its products with the class vectors plus a bias. Every task runs
    noise-contrastive estimation in numpy over all its training texts; the tasks' models,
-   weighted by their tokens, are averaged by a Spark sum a parameter, in ``PASSES`` passes.
+   weighted by their tokens, are averaged by a Spark sum a parameter. ``PASSES`` passes are made (on these tables a second
+   one lowers held-out scores).
 4. *Scoring.* The distinct contexts of a few megabytes of text give one matrix product
    after another, normalised over all classes. Words beyond the head meet their counts
    in a join on the word.
@@ -38,7 +39,7 @@ HEAD = 1 << 16
 SHORTLIST, SUFFIXES = 256, 255
 CLASSES = SHORTLIST + SUFFIXES + 1
 DIM, CONTEXT, NOISE, BATCH = 24, 2, 48, 4096
-PASSES, RATES = 2, (0.1, 0.03)
+PASSES, RATES = 1, (0.05,)
 ADD = 0.1
 END = b" "  # no word holds white space
 NEVER = float(np.log10(ADD))
