@@ -54,11 +54,12 @@ def _term_counts(batches):
 
 
 def build_bm25(corpus: DataFrame, id_col: str = "id", text_col: str = "contents",
-               num_shards: int | None = None) -> BM25Index:
+               num_shards: int | None = None, materialize: bool = True) -> BM25Index:
     """V1: terms and frequencies are counted where the texts lie, and only they are dealt
     by ``doc_id``. Postings are written once as a table bucketed by ``doc_id`` in the
     shared ``spark.checkpoint.dir``; document frequencies, the number of documents and
-    their mean length are stored with it, so a search reads the postings once."""
+    their mean length are stored with it, so a search reads the postings once. Without
+    ``materialize`` the postings stay a plan that each use computes."""
     spark = corpus.sparkSession
     # shards: explicit, else configured, else one per input split of the corpus
     # (splits follow spark.sql.files.maxPartitionBytes, so shards grow with the
@@ -73,10 +74,9 @@ def build_bm25(corpus: DataFrame, id_col: str = "id", text_col: str = "contents"
     counted = docs.mapInArrow(_term_counts, schema).repartition(n, "doc_id")
     # explode_outer keeps term-less documents as one (doc, NULL, tf=0) row, so the
     # document statistics can be read back from the postings alone
-    postings = _write_bucketed(
-        counted.select("doc_id", "doc_len", F.explode_outer(F.arrays_zip("terms", "tfs")).alias("t"))
-        .select("doc_id", F.col("t.terms").alias("term"), F.coalesce("t.tfs", F.lit(0)).alias("tf"), "doc_len"), n)
-    return index_of(postings)
+    postings = (counted.select("doc_id", "doc_len", F.explode_outer(F.arrays_zip("terms", "tfs")).alias("t"))
+                .select("doc_id", F.col("t.terms").alias("term"), F.coalesce("t.tfs", F.lit(0)).alias("tf"), "doc_len"))
+    return index_of(_write_bucketed(postings, n) if materialize else postings)
 
 
 def index_of(postings: DataFrame, term_df: DataFrame | None = None) -> BM25Index:

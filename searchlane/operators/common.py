@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,24 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
     return F.broadcast(df) if n <= limit else df
 
 
+# models a Python worker has loaded; the module stays with the worker from task to task
+_LOADED: dict[str, object] = {}
+
+
+def object_key(factory) -> str:
+    """Name of a model factory by its pickled content: equal factories share a loaded model,
+    different ones never do."""
+    from pyspark import cloudpickle
+    return hashlib.md5(cloudpickle.dumps(factory)).hexdigest()
+
+
+def worker_object(key: str, load):
+    """The object loaded under ``key``, once per Python worker."""
+    if key not in _LOADED:
+        _LOADED[key] = load()
+    return _LOADED[key]
+
+
 def top_k(df: DataFrame, partition_cols: list[str], order_cols: list[Column], k: int,
           rank_col: str = "rank") -> DataFrame:
     """Top-k per group with ``row_number``; Spark plans a partial

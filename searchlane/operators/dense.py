@@ -20,10 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from searchlane.functions.text import _c, encoder_input
-from searchlane.operators.common import top_k
+from searchlane.operators.common import object_key, top_k, worker_object
 
 SCORE_DIGITS = 6
-MAX_BROADCAST_QUERY_FLOATS = 64_000_000   # 256 MB of float32 query matrix per broadcast
 
 
 # --------------------------------------------------------------------- V5 / V4
@@ -53,7 +52,7 @@ def pool(hidden, mask, method: str = "mean", pooler=None) -> Column:
         if pooler is None:
             raise ValueError("pooler method needs the pooler output column")
         return _c(pooler)
-    raise NotImplementedError(f"Pooling method {method} not implemented!")
+    raise NotImplementedError(f"no pooling named {method!r}")
 
 
 def default_pooling(model_name: str) -> str:
@@ -92,28 +91,18 @@ class HashingEncoder:
         return out
 
 
-_ENCODERS: dict = {}
-
-
-def _worker_encoder(factory):
-    """Load the encoder once per Python worker (workers are reused)."""
-    key = id(factory)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = factory().load()
-    return _ENCODERS[key]
-
-
 def encode_texts(df: DataFrame, encoder=None, id_col: str = "id", text_col: str = "contents",
                  is_query: bool = False, model_name: str = "hash", batch_size: int = 512) -> DataFrame:
     """V3: (id, embedding array<float>) with the model's input prefix applied
     JVM-side first; batches of ``batch_size`` rows go through the encoder."""
     factory = encoder if callable(encoder) and not hasattr(encoder, "encode") else (
         (lambda e=encoder: e) if encoder is not None else HashingEncoder)
+    key = object_key(factory)
     src = df.select(F.col(id_col).alias("id"),
                     encoder_input(text_col, model_name, is_query).alias("_in"))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = _worker_encoder(factory)
+        enc = worker_object(key, lambda: factory().load())
         for pdf in it:
             for s in range(0, len(pdf), batch_size):
                 part = pdf.iloc[s:s + batch_size]
@@ -125,100 +114,74 @@ def encode_texts(df: DataFrame, encoder=None, id_col: str = "id", text_col: str
 
 
 # --------------------------------------------------------------------- V6
-def _query_matrix(queries: DataFrame, query_id: str, vector_col: str, extra: list[str] | None = None):
-    cols = [query_id, vector_col] + (extra or [])
-    n = queries.count()
-    dim_row = queries.select(F.max(F.size(vector_col))).first()[0] or 0
-    if n * dim_row > MAX_BROADCAST_QUERY_FLOATS:
-        return None, n, dim_row
-    pdf = queries.select(*cols).toPandas()
-    ids = pdf[query_id].to_numpy(np.int64)
-    mat = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vector_col]]) if n else \
-        np.zeros((0, dim_row))
-    rest = {c: pdf[c].to_numpy() for c in (extra or [])}
-    return (ids, mat, rest), n, dim_row
-
-
-def _arrow_matrix(col) -> np.ndarray:
-    """An Arrow list<float> column as an (n, dim) float64 matrix: one flatten
-    and reshape when every row has the same length (no per-row Python)."""
+SHARD_ROWS = 8192       # vectors of a search cell
+BLOCK_QUERIES = 1024    # queries of a search cell: a cell's scores are at most 64 MB
+
+
+def _matrix(column, dim: int) -> np.ndarray:
+    """An Arrow list<double> column of one length as a matrix, without per-row Python."""
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+
+def _cell_top_k(query_ids, q, ids, v, k):
+    """Every query's ``k`` best rows of a cell by (score desc, id asc), as three arrays."""
+    by_id = np.argsort(ids, kind="stable")
+    ids = ids[by_id]
+    scores = np.round(q @ v[by_id].T, SCORE_DIGITS)
+    k = min(k, scores.shape[1])
+    edge = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+    at_q, at_v = np.nonzero(scores >= edge[:, None])
+    got = scores[at_q, at_v]
+    order = np.lexsort((at_v, -got, at_q))
+    at_q, at_v, got = at_q[order], at_v[order], got[order]
+    first = np.searchsorted(at_q, np.arange(len(query_ids)))
+    keep = np.arange(len(at_q)) - first[at_q] < k
+    return query_ids[at_q[keep]], ids[at_v[keep]], got[keep]
+
+
+def _search_cells(vectors: DataFrame, queries: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """Top-k over cells: both sides (id, v, keys...) meet per key, where each holds a
+    bounded block; a cell returns ``k`` rows a query and a window merges them."""
     import pyarrow as pa
-    import pyarrow.compute as pc
-    if isinstance(col, pa.ChunkedArray):
-        col = col.combine_chunks()
-    n = len(col)
-    if n == 0:
-        return np.zeros((0, 0))
-    lens = pc.list_value_length(col).to_numpy(zero_copy_only=False)
-    if (lens == lens[0]).all() and col.null_count == 0:
-        flat = pc.list_flatten(col).to_numpy(zero_copy_only=False)
-        return flat.astype(np.float64).reshape(n, int(lens[0]))
-    return np.stack([np.asarray(v, dtype=np.float64) for v in col.to_pylist()])
-
-
-def _local_topk(ids_q, qmat, vid, vmat, k, allowed=None):
-    """Scores of a vector block against all queries; keep top-k per query by
-    (score desc, id asc). ``allowed`` masks (query x vector) pairs out.
-    Selection is O(block) per query (partition at the k-th value, then an
-    exact order only among the few rows at or above it, ties included)."""
-    s = qmat @ vmat.T                                    # (nq, nv)
-    s = np.round(s, SCORE_DIGITS)
-    if allowed is not None:
-        s = np.where(allowed, s, -np.inf)
-    out_q, out_v, out_s = [], [], []
-    kk = min(k, s.shape[1])
-    for qi in range(s.shape[0] if kk else 0):
-        row = s[qi]
-        kth = np.partition(row, row.shape[0] - kk)[row.shape[0] - kk]
-        cand = np.nonzero(row >= kth)[0]
-        order = cand[np.lexsort((vid[cand], -row[cand]))][:kk]
-        keep = order[np.isfinite(row[order])]
-        out_q.append(np.full(len(keep), ids_q[qi], dtype=np.int64))
-        out_v.append(vid[keep].astype(np.int64))
-        out_s.append(row[keep].astype(np.float64))
-    if not out_q:
-        return pd.DataFrame({"query_id": np.zeros(0, np.int64), "doc_id": np.zeros(0, np.int64),
-                             "score": np.zeros(0, np.float64)})
-    return pd.DataFrame({"query_id": np.concatenate(out_q), "doc_id": np.concatenate(out_v),
-                         "score": np.concatenate(out_s)})
+
+    def cell(shard: pa.Table, block: pa.Table) -> pa.Table:
+        found = ([], [], [])
+        if shard.num_rows and block.num_rows:
+            dim = len(block["v"][0])
+            found = _cell_top_k(block["id"].to_numpy(), _matrix(block["v"], dim), shard["id"].to_numpy(),
+                                _matrix(shard["v"], dim), k)
+        return pa.table({"query_id": pa.array(found[0], pa.int64()), "doc_id": pa.array(found[1], pa.int64()),
+                         "score": pa.array(found[2], pa.float64())})
+
+    best = (vectors.groupBy(*keys).cogroup(queries.groupBy(*keys))
+            .applyInArrow(cell, "query_id long, doc_id long, score double"))
+    return top_k(best, ["query_id"], [F.col("score").desc(), F.col("doc_id").asc()], k)
+
+
+def _numbered(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")) \
+        .where(F.col("v").isNotNull())
+
+
+def _all_of(column: str, n: int):
+    return F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(column)
 
 
 def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 10, query_id: str = "query_id",
                  vector_col: str = "embedding", index_id: str = "vec_id",
-                 index_vector_col: str = "embedding", block_rows: int = 8192) -> DataFrame:
+                 index_vector_col: str = "embedding") -> DataFrame:
     """V6: exact inner-product top-k per query (rows: query_id, rank, doc_id, score).
 
-    The query batch is broadcast once it is proven small; larger batches are
-    split into bounded chunks searched one after another and unioned.
-    """
-    spark = queries.sparkSession
-    packed, n, dim = _query_matrix(queries, query_id, vector_col)
-    if packed is None:
-        chunks = int(np.ceil(n * dim / MAX_BROADCAST_QUERY_FLOATS))
-        parts = [dense_search(queries.filter(F.pmod(F.xxhash64(query_id), F.lit(chunks)) == c), vectors, k,
-                              query_id, vector_col, index_id, index_vector_col, block_rows)
-                 for c in range(chunks)]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-    bq = spark.sparkContext.broadcast(packed)
-
-    def run(it):
-        import pyarrow as pa
-        ids_q, qmat, _ = bq.value
-        for batch in it:
-            for s in range(0, batch.num_rows, block_rows):
-                part = batch.slice(s, block_rows)
-                if part.num_rows == 0 or len(ids_q) == 0:
-                    continue
-                vid = part.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
-                vmat = _arrow_matrix(part.column("v"))
-                yield pa.RecordBatch.from_pandas(_local_topk(ids_q, qmat, vid, vmat, k), preserve_index=False)
-
-    cand = (vectors.select(F.col(index_id).alias("id"), F.col(index_vector_col).alias("v"))
-            .mapInArrow(run, "query_id long, doc_id long, score double"))
-    return top_k(cand, ["query_id"], [F.col("score").desc(), F.col("doc_id").asc()], k)
+    Vectors are dealt into shards and queries into blocks, both of bounded size; every
+    block meets every shard in one task as a matrix product. Nothing is collected or
+    broadcast, and no (query, vector) pair is ever a row."""
+    q, v = _numbered(queries, query_id, vector_col), _numbered(vectors, index_id, index_vector_col)
+    shards = max(1, -(-v.count() // SHARD_ROWS))
+    blocks = max(1, -(-q.count() // BLOCK_QUERIES))
+    spread = F.xxhash64("id", "v")
+    left = v.select("*", F.pmod(spread, F.lit(shards)).cast("int").alias("shard"), _all_of("block", blocks))
+    right = q.select("*", F.pmod(spread, F.lit(blocks)).cast("int").alias("block"), _all_of("shard", shards))
+    return _search_cells(left, right, ["shard", "block"], k)
 
 
 # --------------------------------------------------------------------- V7
@@ -234,35 +197,27 @@ def build_ivf(vectors: DataFrame, n_cells: int, vector_col: str = "embedding", s
 def ivf_search(queries: DataFrame, vectors: DataFrame, model, k: int = 10, n_probe: int = 2,
                query_id: str = "query_id", vector_col: str = "embedding",
                index_id: str = "vec_id") -> DataFrame:
-    """V7: probe the ``n_probe`` nearest cells of each query; exact scoring only
-    against vectors of probed cells, inside each vector partition."""
+    """V7: each query joins the vectors of its ``n_probe`` nearest cells only. Cells larger
+    than a shard are split, and queries go to every part of a probed cell."""
     from pyspark.ml.functions import array_to_vector
-    centers = np.stack(model.clusterCenters())
-    spark = queries.sparkSession
-    packed, n, dim = _query_matrix(queries, query_id, vector_col)
-    if packed is None:
-        raise ValueError("query batch too large for one broadcast; split it")
-    ids_q, qmat, _ = packed
-    d2 = ((qmat[:, None, :] - centers[None, :, :]) ** 2).sum(-1)
-    probes = np.argsort(d2, axis=1)[:, :n_probe]
-    bq = spark.sparkContext.broadcast((ids_q, qmat, probes))
-    cells = model.transform(vectors.withColumn("_f", array_to_vector(F.col(vector_col))))
-
-    def run(it):
-        import pyarrow as pa
-        ids, qm, pr = bq.value
-        for batch in it:
-            if batch.num_rows == 0:
-                continue
-            vmat = _arrow_matrix(batch.column("v"))
-            cell = batch.column("cell").to_numpy(zero_copy_only=False)
-            allowed = (pr[:, :, None] == cell[None, None, :]).any(axis=1)
-            vid = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
-            yield pa.RecordBatch.from_pandas(_local_topk(ids, qm, vid, vmat, k, allowed), preserve_index=False)
-
-    cand = (cells.select(F.col(index_id).alias("id"), F.col(vector_col).alias("v"), "cell")
-            .mapInArrow(run, "query_id long, doc_id long, score double"))
-    return top_k(cand, ["query_id"], [F.col("score").desc(), F.col("doc_id").asc()], k)
+    centers = np.stack(model.clusterCenters())  # n_cells rows: the quantiser itself
+
+    @F.pandas_udf("array<int>")
+    def nearest_cells(vs: pd.Series) -> pd.Series:
+        m = np.stack(vs.to_list()) if len(vs) else np.zeros((0, centers.shape[1]))
+        d2 = ((m[:, None, :] - centers[None, :, :]) ** 2).sum(-1)
+        return pd.Series(list(np.argsort(d2, axis=1)[:, :n_probe].astype(np.int32)))
+
+    v = model.transform(_numbered(vectors, index_id, vector_col).withColumn("_f", array_to_vector("v"))).drop("_f")
+    q = _numbered(queries, query_id, vector_col)
+    largest = v.groupBy("cell").count().agg(F.max("count")).first()[0] or 1
+    parts, blocks = max(1, -(-largest // SHARD_ROWS)), max(1, -(-q.count() // BLOCK_QUERIES))
+    spread = F.xxhash64("id", "v")
+    left = v.select("*", F.pmod(spread, F.lit(parts)).cast("int").alias("shard"), _all_of("block", blocks))
+    probed = q.withColumn("block", F.pmod(spread, F.lit(blocks)).cast("int")) \
+        .withColumn("cell", F.explode(nearest_cells("v")))
+    right = probed.select("*", _all_of("shard", parts))
+    return _search_cells(left, right, ["cell", "shard", "block"], k)
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:

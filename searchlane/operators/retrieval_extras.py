@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from searchlane.functions.text import (_c, analyzer_terms, convert_title_format, pair_text,
                                        parse_snippet, passage_text, passage_title, strip)
-from searchlane.operators.common import bounded_broadcast, top_k
+from searchlane.operators.common import bounded_broadcast, object_key, top_k, worker_object
 from searchlane.operators.observe import attach_docs, passage_line
 
 SCORE_DIGITS = 6
@@ -30,14 +30,12 @@ def model_scores(pairs: DataFrame, scorer_factory: Callable, query_col: str = "q
                  doc_col: str = "pair_text", batch_size: int = 64) -> DataFrame:
     """Pluggable cross-encoder: ``scorer.predict(list[(q, d)]) -> list[float]``
     in Arrow batches, the model loaded once per Python worker."""
-    cache: dict = {}
+    key = object_key(scorer_factory)
     from pyspark.sql import types as T
     out_schema = T.StructType(list(pairs.schema.fields) + [T.StructField("rerank_score", T.DoubleType())])
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if "m" not in cache:
-            cache["m"] = scorer_factory()
-        m = cache["m"]
+        m = worker_object(key, scorer_factory)
         for pdf in it:
             scores = []
             for s in range(0, len(pdf), batch_size):
@@ -236,11 +234,15 @@ def page_text(pages: DataFrame, key: str = "page_id", html_col: str = "html") ->
 
 
 def page_text_regex(html) -> Column:
-    """T17 regex variant (oracle-checkable): closed ``<p ...>...</p>`` blocks
-    outside scripts, tags stripped, newline-joined."""
+    """T17 as column expressions (oracle-checkable): the text of every ``<p>`` outside
+    scripts and styles, tags stripped, newline-joined. A paragraph ends at ``</p>``, at
+    the next ``<p>``, at the end of the body or with the page, so unclosed ones stay."""
     no_script = F.regexp_replace(_c(html), r"(?is)<script\b.*?</script>|<style\b.*?</style>", "")
-    blocks = F.regexp_extract_all(no_script, F.lit(r"(?is)<p(?:\s[^>]*)?>(.*?)</p>"), 1)
-    return F.array_join(F.transform(blocks, lambda b: F.regexp_replace(b, "<[^>]*>", "")), "\n")
+    split = F.split(no_script, r"(?i)<p(?:\s[^>]*)?>")
+    pieces = F.slice(split, F.lit(2), F.size(split) - 1)
+    texts = F.transform(pieces, lambda b: F.regexp_replace(
+        F.regexp_replace(b, r"(?is)</p\s*>.*$|</body\b.*$", ""), "<[^>]*>", ""))
+    return F.array_join(texts, "\n")
 
 
 def normalize_cse(items: DataFrame, k: int, key: str = "query_id", pos_col: str = "pos",

@@ -332,7 +332,8 @@ def generate(prompts: DataFrame, model_factory, text_col: str = "prompt_text", b
     instead of failing the task. The model is loaded once per Python worker."""
     import pandas as pd
 
-    cache: dict = {}
+    from searchlane.operators.common import object_key, worker_object
+    key = object_key(model_factory)
     from pyspark.sql import types as T
     # a new StructType: DataFrame.schema may be cached, never mutate it
     schema = T.StructType(list(prompts.schema.fields) + [
@@ -340,9 +341,7 @@ def generate(prompts: DataFrame, model_factory, text_col: str = "prompt_text", b
         T.StructField("usage", T.LongType()), T.StructField("error", T.StringType())])
 
     def run(it):
-        if "m" not in cache:
-            cache["m"] = model_factory()
-        m = cache["m"]
+        m = worker_object(key, model_factory)
         for pdf in it:
             out = []
             for s in range(0, len(pdf), batch_size):

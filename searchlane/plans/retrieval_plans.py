@@ -153,15 +153,15 @@ def rag_context(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- pages
-_SQL_PTEXT = ("array_to_string(list_transform(regexp_extract_all(regexp_replace(html, "
-              "'(?is)<script\\b.*?</script>|<style\\b.*?</style>', '', 'g'), '(?is)<p(?:\\s[^>]*)?>(.*?)</p>', 1), "
-              "lambda b: regexp_replace(b, '<[^>]*>', '', 'g')), chr(10))")
+_SQL_PTEXT = ("array_to_string(list_transform(regexp_split_to_array(regexp_replace(html, "
+              "'(?is)<script\\b.*?</script>|<style\\b.*?</style>', '', 'g'), '(?i)<p(?:\\s[^>]*)?>')[2:], "
+              "lambda b: regexp_replace(regexp_replace(b, '(?is)</p\\s*>.*$|</body\\b.*$', ''), '<[^>]*>', '', 'g')), chr(10))")
 
 
 @register("page_paragraphs", sql=f"""
 SELECT page_id, md5({_SQL_PTEXT}) AS text_md5, length({_SQL_PTEXT})::BIGINT AS text_chars FROM pages""")
 def page_paragraphs(spark, sf_dir):
-    """T17 (regex variant): closed paragraph text per page."""
+    """Paragraph text per page, unclosed paragraphs included."""
     from searchlane.operators.retrieval_extras import page_text_regex
     p = Tables(spark, sf_dir).pages
     txt = page_text_regex("html")

@@ -47,11 +47,11 @@ def read_rollout_log(spark: SparkSession, path: str, schema: T.StructType = ROLL
     text) instead of failing; rows that carry an ``error`` are dropped from
     ``good`` when ``drop_errors``."""
     sch = T.StructType(schema.fields + [T.StructField("_corrupt_record", T.StringType())])
-    raw = (spark.read.schema(sch).option("mode", "PERMISSIVE")
-           .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
-    raw = raw.cache()  # Spark requires materialising before filtering on the corrupt column alone
-    bad = raw.filter(F.col("_corrupt_record").isNotNull()).select("_corrupt_record")
-    good = raw.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    row = F.from_json("value", sch, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    raw = lines.select(row.alias("r"), "value")  # each frame parses on its own: nothing is kept in memory
+    bad = raw.filter(F.col("r._corrupt_record").isNotNull()).select(F.col("value").alias("_corrupt_record"))
+    good = raw.filter(F.col("r._corrupt_record").isNull()).select("r.*").drop("_corrupt_record")
     if drop_errors and "error" in good.columns:
         good = good.filter(F.col("error").isNull() | (F.col("error") == ""))
     return good, bad
