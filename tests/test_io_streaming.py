@@ -77,3 +77,23 @@ def test_rollout_state_equals_replay(spark):
     assert all(x["active"] and x["turns"] == 1 + min(taken[x["sample_id"]], 2) for x in running)  # the turn reached
     assert len(got) + len(running) == len(want)
     assert os.path.isdir(f"{d}/ck")
+
+
+def test_windowed_stream_drops_late_rows_in_append_mode(spark):
+    import time
+    d = tempfile.mkdtemp(prefix="sl-late-")
+    batches = [[("2024-01-01 10:05:00", 1.0), ("2024-01-01 10:50:00", 3.0)], [("2024-01-01 12:30:00", 5.0)],
+               [("2024-01-01 12:35:00", 6.0)],  # late rows are judged by the watermark before the last batch
+               [("2024-01-01 10:30:00", 100.0), ("2024-01-01 12:45:00", 7.0)], [("2024-01-01 15:00:00", 9.0)]]
+    schema = "ts timestamp, event_type string, value double"
+    for i, rows in enumerate(batches):
+        df = spark.createDataFrame([(t, v) for t, v in rows], "t string, value double")
+        df.select(F.to_timestamp("t").alias("ts"), F.lit("x").alias("event_type"), "value").coalesce(1) \
+            .write.mode("append").parquet(f"{d}/ev")
+        time.sleep(1.1)  # files are taken in the order of their times
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/ev")
+    q = jobs.start(jobs.windowed_scores(stream), "memory:x4_late", checkpoint=f"{d}/ck", output_mode="append")
+    q.awaitTermination()
+    got = {r["h"]: (r["mean_value"], r["n"]) for r in spark.sql(
+        "SELECT hour(window.start) AS h, mean_value, n FROM x4_late").collect()}
+    assert got == {10: (2.0, 2), 12: (6.0, 3)}  # the late 100.0 is gone, the open last window isn't out yet
