@@ -1,8 +1,9 @@
 """Mixing sources to target weights, with DataFrame and SQL functions only.
 
 1. *Pack.* The documents of a source, in doc_id order, form one stream of words cut into
-   blocks of ``BLOCK`` words. Stream positions are running sums in two levels: inside
-   ranges of ``RANGE`` ids, and over the ranges' totals, so no window holds a source.
+   blocks of ``BLOCK`` words. Stream positions are running sums in three levels: inside
+   ranges of ``RANGE`` ids, over the ranges of a span of ``RANGE`` ranges, and over the
+   spans' totals, so no window holds the documents of a source.
 2. *Targets.* Sources by code point (null last) weigh 5, 2, 1, repeating, and share
    ``BUDGET`` times all words; a target stops at twice its source and the excess is shared
    again. The level at which that settles is one running sum over the sources.
@@ -36,7 +37,7 @@ SHARD = 8192  # slots of an output shard
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
 MOST = 2.0
-RANGE = 4096
+RANGE = 512
 ROUNDS = 24
 PRIME = 2147483647
 MAX_SOURCES = 100_000  # sources that are broadcast; beyond, the joins shuffle
@@ -109,18 +110,28 @@ def pack(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
         n_words(F.col("text").cast("string")).alias("size"),
         F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("tie"))
-    marked = scratch.store(marked.withColumn(
-        "range", F.struct(F.col("doc_id").isNull().alias("last"),
-                          F.coalesce(F.floor(F.col("doc_id") / RANGE), F.pmod("tie", F.lit(1 << 20))).alias("at"))),
-        "mix_sizes")
-    before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (marked.groupBy("source", "range").agg(F.sum("size").alias("n"))
-               .select(F.col("source").alias("of"), F.col("range").alias("in"),
-                       F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")))
-    inside = (Window.partitionBy("source", "range").orderBy(F.col("doc_id"), F.col("tie"), F.col("size"))
-              .rowsBetween(Window.unboundedPreceding, -1))
-    return (marked.withColumn("run", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-            .join(offsets, _same(F.col("source"), F.col("of")) & (F.col("range") == F.col("in")))
+    at = F.coalesce(F.floor(F.col("doc_id") / RANGE), F.pmod("tie", F.lit(1 << 20)))
+    marked = scratch.store(
+        marked.withColumn("last", F.col("doc_id").isNull()).withColumn("range", at)
+        .withColumn("span", F.floor(F.col("range") / RANGE)), "mix_sizes")
+
+    def before(*keys: str, order: list):
+        return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+
+    def ahead(n: str, window) -> Column:
+        return F.coalesce(F.sum(n).over(window), F.lit(0))
+
+    ranges = scratch.store(marked.groupBy("source", "last", "span", "range").agg(F.sum("size").alias("n")), "mix_ranges")
+    spans = (ranges.groupBy("source", "last", "span").agg(F.sum("n").alias("n"))
+             .select(F.col("source").alias("s"), F.col("last").alias("l"), F.col("span").alias("p"),
+                     ahead("n", before("source", order=["last", "span"])).alias("spans_before")))
+    offsets = (ranges.withColumn("ranges_before", ahead("n", before("source", "last", "span", order=["range"])))
+               .join(spans, _same(F.col("source"), F.col("s")) & (F.col("last") == F.col("l")) & (F.col("span") == F.col("p")))
+               .select(F.col("source").alias("of"), F.col("last").alias("l"), F.col("range").alias("r"),
+                       (F.col("spans_before") + F.col("ranges_before")).alias("offset")))
+    inside = before("source", "last", "range", order=["doc_id", "tie", "size"])
+    return (marked.withColumn("run", ahead("size", inside))
+            .join(offsets, _same(F.col("source"), F.col("of")) & (F.col("last") == F.col("l")) & (F.col("range") == F.col("r")))
             .select("doc_id", "source", "size", (F.col("offset") + F.col("run")).alias("start")))
 
 
