@@ -11,6 +11,7 @@ from searchlane.operators.bm25 import bm25_search, build_bm25, retrieve
 from searchlane.operators.dense import pool
 from searchlane.operators.metrics import metrics_wide, write_metrics
 from searchlane.operators.retrieval_extras import retrieve_cached
+from searchlane.plans.agent_plans import _sql_trunc
 from searchlane.plans.registry import SQL_BM25_HITS, SQL_CORPUS, SQL_FX, register
 from searchlane.session import scratch_path
 from searchlane.sources import fixtures as fx
@@ -155,13 +156,10 @@ def q_cached_retrieval(spark, sf_dir):
     return results.select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
 
 
-@register("capped_observations", sql=r"""
-SELECT conv_id, turn, md5(CASE WHEN turn % 2 = 0 THEN text
-       ELSE trim(array_to_string(regexp_split_to_array(trim(text), '\s+')[1:8], ' ')) END) AS capped_md5
-FROM conversations WHERE turn % 2 = 0 OR len(regexp_split_to_array(trim(text), '\s+')) > 8""")
+@register("capped_observations", sql=f"""
+SELECT conv_id, turn, md5(CASE WHEN turn % 2 = 0 THEN text ELSE {_sql_trunc('text', 8)} END) AS capped_md5
+FROM conversations""")
 def q_capped_observations(spark, sf_dir):
     """A5: observations with a budget of eight tokens are cut, those without stay whole."""
-    c = Tables(spark, sf_dir).conversations
-    c = c.filter((F.col("turn") % 2 == 0) | (F.size(F.split(F.trim("text"), r"\s+")) > 8))
-    c = c.withColumn("budget", F.when(F.col("turn") % 2 == 1, F.lit(8)))
+    c = Tables(spark, sf_dir).conversations.withColumn("budget", F.when(F.col("turn") % 2 == 1, F.lit(8)))
     return c.select("conv_id", "turn", F.md5(RO.cap_observation("text", "budget")).alias("capped_md5"))
