@@ -238,7 +238,8 @@ def _whole_copies(texts: DataFrame) -> DataFrame:
     """rid of the rows whose text is that of a document with a smaller id."""
     digests = scratch.store(texts.where("length(text) > 0").select("rid", "doc", F.unhex(F.md5("text")).alias("digest")),
                             "dedup_digests")
-    first = digests.groupBy("digest").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
+    first = scratch.store(digests.groupBy("digest").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+                          .where("lo < hi"), "dedup_copied")  # a table, so that the join can split a hot digest
     return scratch.store(digests.join(first, "digest").where("lo < doc").select("rid"), "dedup_copies")
 
 
