@@ -3,15 +3,19 @@
 1. *Counts.* Every training token is counted: partial counts in the tasks, one sum a word.
    The table stays distributed; the driver sees its ``HEAD`` most frequent words, the
    totals N and V, and the sums of the classes.
-2. *Classes.* The ``SHORTLIST`` most frequent tokens are a class each; any other word, seen
-   or not, belongs to the class of its last two characters. Within a class a word has its
-   add-0.1 share, one unseen word a class included, so probabilities sum to one.
+2. *Classes and units.* The ``SHORTLIST`` most frequent tokens are a class each; any other
+   word, seen or not, belongs to the class of its last two characters. Within a class the
+   most frequent words are a unit each, in all ``OWN`` times the square root of the number
+   of distinct training words (the head at most); the others share the class's rest unit by
+   add-0.1 shares, one unseen word included, so probabilities sum to one.
 3. *Training.* The log-bilinear model predicts a token's class from the two before it:
    the prediction is a sum of context vectors, each scaled by its position's weights,
    and scores are its products with the class vectors plus a bias. Every task runs
    noise-contrastive estimation in numpy over all its training texts; the tasks' models,
    weighted by their tokens, are averaged by a Spark sum a parameter. ``PASSES`` passes are made (on these tables a second
-   one lowers held-out scores).
+   one lowers held-out scores). A second log-bilinear model, over vectors of the units
+   before and of the units of a class, predicts the unit within its class; its softmax is
+   exact. Its rows are averaged in Spark as well, weighted by the tokens that moved them.
 4. *Scoring.* The distinct contexts of a few megabytes of text give one matrix product
    after another, normalised over all classes. Words beyond the head meet their counts
    in a join on the word.
@@ -40,6 +44,8 @@ SHORTLIST, SUFFIXES = 256, 255
 CLASSES = SHORTLIST + SUFFIXES + 1
 DIM, CONTEXT, NOISE, BATCH = 24, 2, 48, 4096
 PASSES, RATES = 1, (0.05,)
+OWN = 4
+INNER_RATE, INNER_BATCH = 0.2, 1024
 ADD = 0.1
 END = b" "  # no word holds white space
 NEVER = float(np.log10(ADD))
@@ -88,6 +94,124 @@ class ClassOf(dict):
         return found
 
 
+class Units:
+    """Units of the classes: a shortlist token, a word of its own, or the rest of a class."""
+
+    def __init__(self, shortlist: list[bytes], suffixes: list[str], own: list[tuple[bytes, int]],
+                 mass: np.ndarray, kinds: np.ndarray, short_counts: list[int]):
+        class_of = self.class_of = ClassOf(shortlist, suffixes)
+        words: list[list[tuple[bytes, int]]] = [[] for _ in range(CLASSES)]
+        for w, c in own:
+            words[class_of[w]].append((w, c))
+        self.start, self.number, logs = [], {}, []
+        for k in range(CLASSES):
+            self.start.append(len(logs))
+            if k < SHORTLIST:
+                c = short_counts[k] if k < len(short_counts) else 0
+                logs.append((0.0, np.log10(c + ADD)))
+                continue
+            for w, c in words[k]:
+                self.number[w] = len(logs)
+                logs.append((0.0, np.log10(c + ADD)))
+            left = mass[k] - sum(c for _, c in words[k]) + ADD * (kinds[k] - len(words[k]) + 1)
+            logs.append((np.log10(left), 0.0))
+        self.start = np.array(self.start + [len(logs)])
+        self.total = len(logs)
+        self.rest = self.start[1:] - 1
+        self.share, self.head = map(np.array, zip(*logs))
+        self.class_of_unit = np.append(np.repeat(np.arange(CLASSES), np.diff(self.start)), CLASSES).astype(np.int16)
+        self.kind = np.uint16 if self.total < 1 << 16 else np.int32  # short numbers sort by radix
+        self.bias = ((self.share + self.head) * np.log(10)).astype(np.float32)
+
+    def fresh(self) -> UnitOf:
+        return UnitOf(self)
+
+
+class UnitOf(dict):
+    """Unit number of a word; remembers a bounded number of words."""
+
+    def __init__(self, units: Units):
+        super().__init__()
+        self.units = units
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > COUNTER_WORDS:
+            self.clear()
+        found = self.units.number.get(word)
+        if found is None:
+            found = int(self.units.rest[self.units.class_of[word]])
+        self[word] = found
+        return found
+
+
+class Inner:
+    """Log-bilinear model of a unit within its class: rows of units before (one more stands for
+    what lies before a text), of units to predict, and of position weights; a row ends in its bias."""
+
+    def __init__(self, units: Units, rows: np.ndarray | None = None):
+        self.units, u = units, units.total
+        if rows is None:
+            rows = np.zeros((2 * u + 1 + CONTEXT, DIM + 1), np.float32)
+            rows[:u + 1, :DIM] = np.random.default_rng(7).normal(0, 0.1, (u + 1, DIM))
+            rows[u + 1:2 * u + 1, DIM] = units.bias
+            rows[2 * u + 1:, :DIM] = 1
+        self.rows = rows
+        self.before, self.target, self.places = rows[:u + 1, :DIM], rows[u + 1:2 * u + 1], rows[2 * u + 1:, :DIM]
+
+    def start_training(self) -> None:
+        self.squares, self.moved = np.ones_like(self.rows), np.zeros(len(self.rows))
+
+    def log_probabilities(self, contexts: np.ndarray, k: int, at: np.ndarray | None = None) -> np.ndarray:
+        """Normalised natural log-probabilities of the units of class ``k``, a row a context, or
+        of one of them (``at``, counted from the class's first) a context."""
+        own = self.target[self.units.start[k]:self.units.start[k + 1]]
+        z = sum(self.before[contexts[:, i]] * self.places[i] for i in range(CONTEXT)) @ own[:, :DIM].T + own[:, DIM]
+        z -= z.max(axis=1, keepdims=True)
+        if at is None:
+            return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+        own = z[np.arange(len(at)), at]
+        return own - np.log(np.exp(z, out=z).sum(axis=1))
+
+    def by_class(self, target: np.ndarray, order: np.ndarray, size: int):
+        """(class, places of at most ``size`` of its tokens) for classes of several units."""
+        kind = self.units.class_of_unit[target[order]]
+        order = order[np.argsort(kind, kind="stable")]
+        edges = np.append(0, np.cumsum(np.bincount(kind, minlength=CLASSES)))
+        for k in np.flatnonzero((np.diff(edges) > 0) & (np.diff(self.units.start) > 1)).tolist():
+            for lo in range(edges[k], edges[k + 1], size):
+                yield k, order[lo:min(lo + size, edges[k + 1])]
+
+    def train(self, contexts: np.ndarray, target: np.ndarray, order: np.ndarray) -> None:
+        u = self.units.total
+        for k, at in self.by_class(target, order, INNER_BATCH):
+            a, b = self.units.start[k], self.units.start[k + 1]
+            near = [self.before[contexts[at, i]] for i in range(CONTEXT)]
+            q = sum(n * w for n, w in zip(near, self.places))
+            own = self.target[a:b]
+            z = q @ own[:, :DIM].T + own[:, DIM]
+            z -= z.max(axis=1, keepdims=True)
+            np.exp(z, out=z)
+            up = z / -z.sum(axis=1, keepdims=True)
+            up[np.arange(len(at)), target[at] - a] += 1
+            dq = up @ own[:, :DIM]
+            self._step(slice(u + 1 + a, u + 1 + b), np.hstack([up.T @ q, up.sum(axis=0)[:, None]]), len(at))
+            places = np.zeros((CONTEXT, DIM + 1), np.float32)
+            for i in range(CONTEXT):
+                places[i, :DIM] = np.einsum("ij,ij->j", dq, near[i])
+                sort = np.argsort(contexts[at, i], kind="stable")
+                keys = contexts[at, i][sort]
+                first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+                g = np.zeros((len(first), DIM + 1), np.float32)
+                g[:, :DIM] = np.add.reduceat((dq * self.places[i])[sort], first, axis=0)
+                self._step(keys[first], g, np.diff(np.append(first, len(keys))))
+            self._step(slice(2 * u + 1, None), places, len(at))
+
+    def _step(self, at, g: np.ndarray, n) -> None:
+        self.squares[at] += g * g
+        self.rows[at] += INNER_RATE * g / np.sqrt(self.squares[at])
+        self.moved[at] += n
+
+
 class Model:
     """Parameters of the log-bilinear model: contexts, targets, position weights, biases."""
 
@@ -154,60 +278,82 @@ def _scatter(into: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     into[keys[first]] += np.add.reduceat(rows[order], first, axis=0)
 
 
-def class_rows(texts: list[bytes | None], class_of: ClassOf) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Contexts (the class before comes last), classes, and the tokens of each text."""
+def unit_rows(texts: list[bytes | None], unit_of: UnitOf) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
+    """Contexts (the unit before comes last), units, and the tokens of each text."""
     each = [tokens(t) for t in texts]
     total = sum(map(len, each))
-    target = np.fromiter((class_of[w] for ws in each for w in ws), np.int16, total)
-    contexts = np.full((total, CONTEXT), CLASSES, np.int16)  # CLASSES stands for what lies before a text
+    target = np.fromiter((unit_of[w] for ws in each for w in ws), unit_of.units.kind, total)
+    before = unit_of.units.total  # stands for what lies before a text
+    contexts = np.full((total, CONTEXT), before, unit_of.units.kind)
     for i in range(1, CONTEXT + 1):
         contexts[i:, CONTEXT - i] = target[:-i]
     starts = np.cumsum([0] + [len(ws) for ws in each[:-1]])
-    for i in range(CONTEXT):  # at place i of a text only i classes lie before it
+    for i in range(CONTEXT):  # at place i of a text only i units lie before it
         at = starts + i
         at = at[at < total]
         keep = np.isin(at, np.append(starts[1:], total), invert=True) if i else np.ones(len(at), bool)
-        contexts[at[keep], :CONTEXT - i] = CLASSES
+        contexts[at[keep], :CONTEXT - i] = before
     return contexts, target, each
 
 
-def train_classes(texts: DataFrame, class_of: ClassOf, noise: np.ndarray) -> Model:
-    """The averaged model after ``PASSES`` passes over all of ``texts`` (column text)."""
-    model = Model.fresh(noise)
+def train_models(texts: DataFrame, units: Units, noise: np.ndarray) -> tuple[Model, Inner]:
+    """The averaged models after ``PASSES`` passes over all of ``texts`` (column text)."""
+    model, inner = Model.fresh(noise), Inner(units)
     for k in range(PASSES):
-        flat, rate = model.flat(), RATES[k]
+        flat, rate, rows = model.flat(), RATES[k], inner.rows if k else None
 
-        def one_task(batches, flat=flat, rate=rate):
-            own, seen = Model(flat, noise), 0
+        def one_task(batches, flat=flat, rate=rate, rows=rows):
+            own, seen, unit_of = Model(flat, noise), 0, units.fresh()
+            within = Inner(units, None if rows is None else rows.copy())
+            within.start_training()
             squares = [np.zeros_like(p) for p in own.parts]
             rng = np.random.default_rng(17)
             for batch in batches:
                 for a, b in textkit.chunks(batch, "text"):
-                    contexts, target, _ = class_rows(textkit.text_bytes(batch.column("text").slice(a, b - a)), class_of)
+                    contexts, target, _ = unit_rows(textkit.text_bytes(batch.column("text").slice(a, b - a)), unit_of)
                     order = rng.permutation(len(target))
+                    kinds, kind = units.class_of_unit[contexts], units.class_of_unit[target]
                     for lo in range(0, len(order), BATCH):
                         at = order[lo:lo + BATCH]
-                        own.train(contexts[at], target[at], squares, rate, rng)
+                        own.train(kinds[at], kind[at], squares, rate, rng)
+                    within.train(contexts, target, order)
                     seen += len(order)
             if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([own.flat() * seen],
-                                                                                   pa.list_(pa.float64()))], ["n", "p"])
-
-        summed = (texts.mapInArrow(one_task, "n double, p array<double>")
-                  .select("n", F.posexplode("p").alias("at", "v"))
-                  .groupBy("at").agg((F.sum("v") / F.sum("n")).alias("v")).collect())  # one row a parameter
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([-1], pa.int32()), pa.array([float(seen)]), pa.array([own.flat()], pa.list_(pa.float64()))],
+                    ["row", "n", "p"])
+                at = np.flatnonzero(within.moved)
+                for lo in range(0, len(at), 4096):
+                    mine = at[lo:lo + 4096]
+                    flat_rows = pa.array(within.rows[mine].astype(np.float64).ravel())
+                    edges = pa.array(np.arange(0, len(flat_rows) + 1, DIM + 1, dtype=np.int32))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(mine.astype(np.int32)), pa.array(within.moved[mine]),
+                         pa.ListArray.from_arrays(edges, flat_rows)], ["row", "n", "p"])
+
+        out = scratch.store(texts.mapInArrow(one_task, "row int, n double, p array<double>"), "lm_models")
+        summed = (out.where("row < 0").select("n", F.posexplode("p").alias("at", "v"))
+                  .groupBy("at").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("v")).collect())  # one row a parameter
         if summed:
             mean = np.zeros(len(flat))
             for row in summed:
                 mean[row["at"]] = row["v"]
             model = Model(mean, noise)
-    return model
-
-
-def score_rows(model: Model, class_of: ClassOf, head: dict[bytes, float], class_log: np.ndarray, texts: list):
-    """Per text: tokens, known tokens and base sum over the head, class score, tail counts."""
-    contexts, target, each = class_rows(texts, class_of)
-    packed = contexts[:, 0].astype(np.int64) * (CLASSES + 1) + contexts[:, 1]
+        means = (out.where("row >= 0").groupBy("row")
+                 .agg(*[(F.sum(F.col("p")[i] * F.col("n")) / F.sum("n")).cast("float").alias(f"v{i}") for i in range(DIM + 1)])
+                 .toArrow())  # one row a unit: bounded by the head
+        at = means.column("row").to_numpy()
+        inner.rows[at] = np.stack([means.column(f"v{i}").to_numpy() for i in range(DIM + 1)], axis=1)
+        scratch.discard(out)
+    return model, inner
+
+
+def score_rows(model: Model, inner: Inner, unit_of: UnitOf, head: dict[bytes, float], texts: list):
+    """Per text: tokens, known tokens and base sum over the head, class and unit score, tail counts."""
+    units = inner.units
+    contexts, target, each = unit_rows(texts, unit_of)
+    before, kind = units.class_of_unit[contexts], units.class_of_unit[target]
+    packed = before[:, 0].astype(np.int64) * (CLASSES + 1) + before[:, 1]
     kinds, at = np.unique(packed, return_inverse=True)
     order = np.argsort(at, kind="stable")
     edges = np.searchsorted(at[order], np.arange(0, len(kinds) + 4096, 4096))
@@ -216,21 +362,20 @@ def score_rows(model: Model, class_of: ClassOf, head: dict[bytes, float], class_
         part = kinds[lo:lo + 4096]
         table = model.log_probabilities(np.stack([part // (CLASSES + 1), part % (CLASSES + 1)], axis=1))
         mine = order[edges[i]:edges[i + 1]]
-        log_p[mine] = table[at[mine] - lo, target[mine]]
-    log_p = log_p / np.log(10) - class_log[target]
+        log_p[mine] = table[at[mine] - lo, kind[mine]]
+    for k, mine in inner.by_class(target, np.arange(len(target)), INNER_BATCH):
+        log_p[mine] += inner.log_probabilities(contexts[mine], k, target[mine] - units.start[k])
+    # base and tail hold the count of every word: it stays for the words of a rest unit only
+    log_p = log_p / np.log(10) - units.share[target] - units.head[target]
     begin, out = 0, []
     for words in each:
-        shares, tail = 0.0, Counter()
+        tail = Counter()
         known = [head.get(w) for w in words]
         n_known = len(words) - known.count(None)
         base = sum(v for v in known if v is not None)
         if n_known < len(words):
             tail.update(w for w, v in zip(words, known) if v is None)
-        own = target[begin:begin + len(words)]
-        short = own < SHORTLIST
-        if short.any():
-            shares = sum(NEVER if known[i] is None else known[i] for i in np.flatnonzero(short).tolist())
-        out.append((len(words), n_known, base, float(log_p[begin:begin + len(words)].sum()) - shares, tail))
+        out.append((len(words), n_known, base, float(log_p[begin:begin + len(words)].sum()), tail))
         begin += len(words)
     return out
 
@@ -261,19 +406,17 @@ def log_bilinear_scores(docs: DataFrame) -> DataFrame:
         mass[SHORTLIST + i], kinds[SHORTLIST + i] = r.c, r.v
     mass[-1], kinds[-1] = n - mass.sum(), v - sum(w in own for w in shortlist) - kinds.sum()
     noise = (mass + 1.0) / (mass + 1.0).sum()
-    class_log = np.where(np.arange(CLASSES) < SHORTLIST, 0.0, np.log10(mass + ADD * (kinds + 1)))
-
-    def class_of() -> ClassOf:
-        return ClassOf(shortlist, suffixes)
-
-    model = train_classes(training, class_of(), noise)
-    params = model.flat()
+    short = set(shortlist)
+    own_words = [(w, c) for w, c in top if w not in short][:int(OWN * v ** 0.5)]
+    units = Units(shortlist, suffixes, own_words, mass, kinds, [own.get(w, 0) for w in shortlist])
+    model, inner = train_models(training, units, noise)
+    params, vectors = model.flat(), inner.rows
 
     def scored(batches):
-        known, net = class_of(), Model(params, noise)
+        known, net, within = units.fresh(), Model(params, noise), Inner(units, vectors)
         for batch in batches:
             for a, b in textkit.chunks(batch, "text"):
-                rows = score_rows(net, known, head, class_log, textkit.text_bytes(batch.column("text").slice(a, b - a)))
+                rows = score_rows(net, within, known, head, textkit.text_bytes(batch.column("text").slice(a, b - a)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(a, b - a), pa.array([r[0] for r in rows], pa.int64()),
                      pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64()),
