@@ -13,6 +13,7 @@ from searchlane.llm.op6_prefix_forest import op6_prefix_forest
 from searchlane.llm.op7_suffix_decontam import op7_suffix_decontam
 from searchlane.llm.op9_weak_toxicity import op9_weak_toxicity
 from searchlane.llm.op10_logbilinear import op10_logbilinear
+from searchlane.llm.op11_importance_resampling import op11_importance_resampling
 
 QUERIES = {
     "op1_token_rollup": _op1.op1_token_rollup,
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_mix_sources": _op8.op8_mix_sources,
     "op9_weak_toxicity": op9_weak_toxicity,
     "op10_logbilinear": op10_logbilinear,
+    "op11_importance_resampling": op11_importance_resampling,
     "pipeline": corpus_pipeline.run,
 }
 
