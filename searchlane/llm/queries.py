@@ -14,6 +14,7 @@ from searchlane.llm.op7_suffix_decontam import op7_suffix_decontam
 from searchlane.llm.op9_weak_toxicity import op9_weak_toxicity
 from searchlane.llm.op10_logbilinear import op10_logbilinear
 from searchlane.llm.op11_importance_resampling import op11_importance_resampling
+from searchlane.llm.op13_odd_sketches import op13_odd_sketches
 
 QUERIES = {
     "op1_token_rollup": _op1.op1_token_rollup,
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_weak_toxicity": op9_weak_toxicity,
     "op10_logbilinear": op10_logbilinear,
     "op11_importance_resampling": op11_importance_resampling,
+    "op13_odd_sketches": op13_odd_sketches,
     "pipeline": corpus_pipeline.run,
 }
 
