@@ -10,10 +10,12 @@ threshold asks; every other pair is confirmed on the full sets. Equal sets are o
 before the bands, whatever their number.
 
 Links only serve the components, so a bucket is not expanded into its pairs. First every
-class of a bucket is held against one representative of it, which joins up most of a group
-of copies; then buckets that lie in one component are done, and of the others only the
-pairs of classes in different components are compared, all of them. No link that could
-join two components is left out, and no bucket is capped.
+class of a bucket is held against one head, the class that shares most buckets with others;
+this joins up most of a group of copies. Where some class of a head's group stays apart,
+two classes of the group can only be linked yet if their differences from the head agree in
+so many shingles (:func:`_apart`); an exact prefix filter on the rarest differences finds
+the pairs that could, and these are compared. No link that could join two components is
+left out, and no bucket is capped.
 
 Two sets of similarity s share a bucket with odds 1 - (1 - s^ROWS)^BANDS: for s = 0.8 all
 but 1 in 10 million pairs do. The sketch drops a true pair at 6 deviations, about 1 in a
@@ -33,7 +35,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from searchlane.llm import scratch, textkit
@@ -174,61 +176,96 @@ def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) -> Dat
             .dropDuplicates(["c"]))
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are alike enough: by size, by sketch, by the full
-    sets. The pairs of one class a are dealt over salts of ``PER_SALT`` pairs, and its sketch
-    and set are copied to each, so no task holds all pairs of a representative."""
-    pairs = scratch.store(pairs, "odd_pairs")
+def _salted(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``pairs`` (a, b) dealt over salts of ``PER_SALT`` pairs of one class a, and the salts of each a."""
     salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PER_SALT).cast("int").alias("salts"))
-    salted = pairs.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int")).drop("salts")
+    dealt = pairs.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int")).drop("salts")
+    return dealt, salts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+
+
+def _with_sides(dealt: DataFrame, salts: DataFrame, side: DataFrame) -> DataFrame:
+    """Dealt pairs with the columns of ``side`` (c, ...) of both classes, as x_a and x_b. A class a
+    is copied once a salt, so no task holds all pairs of one."""
+    a, b = ([f"{x}_{end}" if x != "c" else end for x in side.columns] for end in "ab")
+    return dealt.join(side.toDF(*b), "b").join(side.toDF(*a).join(salts, "a"), ["a", "salt"])
 
-    def copied(side: DataFrame) -> DataFrame:
-        return (side.join(salts, "a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-                .drop("salts"))
 
-    about = classes.select("c", "n", "sketch")
+def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of a written table whose sets are alike enough: by size, by sketch, by
+    the full sets."""
+    dealt, salts = _salted(pairs)
     differing = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))),
                             F.lit(0), lambda s, x: s + x)
     near = scratch.store(
-        salted.join(copied(about.toDF("a", "n_a", "sketch_a")), ["a", "salt"])
-        .join(about.toDF("b", "n_b", "sketch_b"), "b")
+        _with_sides(dealt, salts, classes.select("c", "n", "sketch"))
         .where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
         .where(sketch_similarity(differing) >= sketch_floor(percent)).select("a", "b", "salt", "n_a", "n_b"), "odd_near")
-    shared = F.size(F.array_intersect("set_a", "set_b"))
-    return (near.join(sets.toDF("b", "set_b"), "b").join(copied(sets.toDF("a", "set_a")), ["a", "salt"])
-            .withColumn("shared", shared)
+    shared = F.size(F.array_intersect("shingles_a", "shingles_b"))
+    return (_with_sides(near, salts, sets).withColumn("shared", shared)
             .where(F.col("shared") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * percent)
             .select("a", "b"))
 
 
-def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(key, c, root) of the members of buckets that span several components of ``links``."""
-    roots = components(links).toDF("c", "r")
-    now = members.join(roots, "c", "left").select("key", "c", F.coalesce("r", "c").alias("root"))
-    open_ = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    return scratch.store(now.join(open_, "key"), "odd_members")
+def _apart(star: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes held against one head that lie in different components and may
+    be linked; all that are linked are among them.
+
+    Let D be the shingles of the head, h in number, that a class lacks, A those it adds, and
+    W = percent |A| + 100 |D|. Two classes i, j are linked if and only if the o differences
+    they share reach (100 + percent) o >= W_i + W_j - (100 - percent) h. One of them, say i, is
+    not linked with the head: W_i > (100 - percent) h. So o > W_j / (100 + percent), and as
+    W_j >= percent o, also 100 o >= W_i - (100 - percent) h. Two lists of which o entries agree
+    share one among the first (length - o + 1) of each in any common order; here the rarest
+    come first."""
+    named = (star.join(roots.toDF("b", "root_b"), "b", "left").join(roots.toDF("a", "root_a"), "a", "left")
+             .select("a", "b", F.coalesce("root_a", "a").alias("root_a"), F.coalesce("root_b", "b").alias("root")))
+    open_ = named.where("root_a <> root").select("a").distinct()
+    named = scratch.store(named.join(open_, "a", "left_semi").drop("root_a"), "odd_open")
+    dealt, salts = _salted(named)
+    lacks, adds = F.array_except("shingles_a", "shingles_b"), F.array_except("shingles_b", "shingles_a")
+    weight = F.size("adds") * percent + F.size("lacks") * 100
+    slack = F.size("shingles_a") * (100 - percent)
+    need = F.when(F.col("weight") > F.col("slack"), F.ceil((F.col("weight") - F.col("slack")) / 100)).otherwise(
+        F.floor(F.col("weight") / (100 + percent)) + 1)
+    held = scratch.store(
+        _with_sides(dealt, salts, sets).withColumn("lacks", lacks).withColumn("adds", adds)
+        .withColumn("weight", weight).withColumn("slack", slack)
+        .select(F.col("a").alias("head"), F.col("b").alias("c"), "root", "weight", "slack",
+                F.concat("lacks", "adds").alias("marks"), (F.size("lacks") + F.size("adds") - need + 1).alias("first")),
+        "odd_differences")
+    marks = held.select("head", "c", "first", F.explode("marks").alias("mark"))
+    seen = marks.groupBy("head", "mark").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1")
+    order = Window.partitionBy("head", "c").orderBy(F.coalesce("seen", F.lit(1)), "mark")
+    early = (marks.join(seen, ["head", "mark"], "left").withColumn("at", F.row_number().over(order))
+             .where((F.col("at") <= F.col("first")) & F.col("seen").isNotNull()).select("head", "c", "mark", "at"))
+    early = scratch.store(early.join(held.select("head", "c", "root", "weight", "slack", F.size("marks").alias("size")),
+                                     ["head", "c"]), "odd_prefixes")
+    x, y = (early.select("head", "mark", *[F.col(k).alias(f"{k}_{end}") for k in ("c", "at", "root", "weight", "size")],
+                         "slack" if end == "a" else F.lit(0).alias("none")) for end in "ab")
+    overlap = F.ceil((F.col("weight_a") + F.col("weight_b") - F.col("slack")) / (100 + percent))
+    return (x.join(y, ["head", "mark"])
+            .where((F.col("c_a") < F.col("c_b")) & (F.col("root_a") != F.col("root_b"))
+                   & (F.col("at_a") <= F.col("size_a") - overlap + 1) & (F.col("at_b") <= F.col("size_b") - overlap + 1))
+            .select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).distinct())
 
 
 def near_links(docs: DataFrame, classes: DataFrame, percent: int = THRESHOLD_PERCENT,
                shingle: int = SHINGLE) -> DataFrame:
     """Links (a, b) between classes that join up all components; see the module's text."""
     buckets = classes.where("n > 0").select("c", F.explode("keys").alias("key"))
-    heads = (buckets.groupBy("key").agg(F.min(F.struct(F.xxhash64("c").alias("h"), F.col("c").alias("head"))).alias("m"),
-                                        F.count(F.lit(1)).alias("size"))
-             .where("size > 1").select("key", "m.head"))
-    members = scratch.store(buckets.join(heads, "key"), "odd_buckets")
-    wanted = classes.join(members.select("c").distinct(), "c", "left_semi")
+    sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = scratch.store(buckets.join(sizes, "key"), "odd_buckets")
+    meets = members.groupBy("c").agg(F.sum("size").alias("meets"))
+    heads = (members.join(meets, "c").groupBy("key")
+             .agg(F.max(F.struct("meets", F.col("c").alias("head"))).alias("m")).select("key", "m.head"))
+    wanted = classes.join(meets, "c", "left_semi")
     sets = scratch.store(full_sets(docs, wanted, shingle), "odd_sets")
-
-    star = members.where("c <> head").select(F.col("head").alias("a"), F.col("c").alias("b")).distinct()
+    star = scratch.store(members.join(heads, "key").where("c <> head")
+                         .select(F.col("head").alias("a"), F.col("c").alias("b")).distinct(), "odd_star")
     first = scratch.store(_verified(star, classes, sets, percent), "odd_links")
-    open_ = _labelled(members.select("key", "c"), first)
-    parts = open_.select("key", "root").distinct()
-    cross = (parts.toDF("key", "root_a").join(parts.toDF("key", "root_b"), "key").where("root_a < root_b")
-             .join(open_.toDF("key", "a", "root_a"), ["key", "root_a"])
-             .join(open_.toDF("key", "b", "root_b"), ["key", "root_b"]).select("a", "b").distinct())
-    cross = cross.join(star, ["a", "b"], "left_anti").join(star.toDF("b", "a"), ["a", "b"], "left_anti")
-    return first.unionByName(scratch.store(_verified(cross, classes, sets, percent), "odd_links"))
+    roots = scratch.store(components(first).toDF("c", "r"), "odd_roots")
+    apart = scratch.store(_apart(star, roots, sets, percent), "odd_apart")
+    return first.unionByName(scratch.store(_verified(apart, classes, sets, percent), "odd_links"))
 
 
 def near_groups(docs: DataFrame, percent: int = THRESHOLD_PERCENT, shingle: int = SHINGLE) -> DataFrame:
