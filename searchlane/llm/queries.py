@@ -6,6 +6,7 @@ import corpus_pipeline
 from searchlane.llm import op1_token_rollup as _op1
 from searchlane.llm import op2_license_digest as _op2
 from searchlane.llm import op8_mix_sources as _op8
+from searchlane.llm import op12_divergence_audit as _op12
 from searchlane.llm.op3_substring_dedup import op3_substring_dedup
 from searchlane.llm.op4_rule_quality import op4_rule_quality
 from searchlane.llm.op5_simhash_golay import op5_simhash_golay
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_weak_toxicity": op9_weak_toxicity,
     "op10_logbilinear": op10_logbilinear,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_divergence_audit": _op12.op12_divergence_audit,
     "op13_odd_sketches": op13_odd_sketches,
     "pipeline": corpus_pipeline.run,
 }
@@ -36,6 +38,7 @@ ORACLES: dict[str, str] = {
     "op1_token_rollup": _op1.ORACLE,
     "op2_license_digest": _op2.ORACLE,
     "op8_mix_sources": _op8.ORACLE,
+    "op12_divergence_audit": _op12.ORACLE,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
