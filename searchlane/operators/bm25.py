@@ -1,10 +1,18 @@
 """Sparse retrieval: BM25 index build (V1) and batch top-k search (V2).
 
-Layout: a *document-partitioned* index. Texts are tokenised and counted where they
-lie; only the counts are hash-partitioned by ``doc_id``, and document frequencies,
-number and mean length of documents are stored with them. At query time the (small, size-checked) query
-term table is broadcast into every shard, per-(query, doc) sums stay in the
-shard, and only a partial top-k per shard crosses the network.
+Layout: a *document-partitioned* index. Texts are tokenised by Spark and counted in Arrow
+where they lie; only the counts are dealt to shards by a hash of ``doc_id``. A shard is cut
+into blocks of at most ``BLOCK_DOCS`` documents of similar length, and a posting row holds
+all documents of one block that use one term, with the block's largest frequency and
+smallest length of the term, so that a bound of any score in the block is read without its
+postings. Rows are bucketed by shard: a search needs no exchange before its partial top-k.
+
+A search deals the queries into blocks too. Query weights (small, size-checked) meet the
+posting rows by term; each (document block, query block) is one task-local sparse matrix
+product, so no (query, document) pair is ever a row; at most k rows a query leave a block.
+Where the index has many blocks, blocks that cannot reach a query's k-th score are
+skipped: each query is first scored in the blocks of its largest bounds, and its k-th score
+there is the least any other block has to be able to reach (``prune``).
 
 Scoring (our documented parameters; the reference relies on library defaults):
     idf(t)    = ln(1 + (N - df + 0.5) / (df + 0.5))
@@ -16,11 +24,12 @@ with k1 = 0.9, b = 0.4; ties broken by doc_id ascending; scores rounded to
 from __future__ import annotations
 
 import uuid
-from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,51 +40,132 @@ from searchlane.session import materialise, register_scratch_table, scratch_path
 K1 = 0.9
 B = 0.4
 SCORE_DIGITS = 6
+#: documents of one block of postings, and queries of one block: a product has at most
+#: BLOCK_DOCS x about QUERY_BLOCK cells of 8 bytes
+BLOCK_DOCS = 4096
+QUERY_BLOCK = 1024
+#: blocks of the index from which a search skips blocks by their bounds
+PRUNE_FROM = 1024
+#: blocks a query is scored in before the others are held against its k-th score
+SEEDS = 2
+#: cells of one posting row's product from which it is a product of its own
+OUTER = 512
 
 
 @dataclass
 class BM25Index:
-    postings: DataFrame    # doc_id, term, tf, doc_len   (hash-partitioned by doc_id)
+    postings: DataFrame    # shard, block, term (null: all documents), docs, tfs, lens, tf_max, len_min
     term_df: DataFrame     # term, df
     n_docs: int
     avgdl: float
+    n_blocks: int
     k1: float = K1
     b: float = B
 
 
+def _runs(codes: np.ndarray) -> np.ndarray:
+    """Where equal neighbours begin, with the length at the end."""
+    return np.concatenate((np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1]))), [len(codes)])) \
+        if len(codes) else np.zeros(1, np.int64)
+
+
+def _lists(offsets: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+
 def _term_counts(batches):
-    """Per document: length, distinct terms and their frequencies."""
+    """Per document: length, distinct terms and their frequencies, for a batch at once."""
     for batch in batches:
-        counts = [Counter(t) for t in batch.column("_terms").to_pylist()]
+        tokens = batch.column("_terms")
+        lengths = pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = tokens.flatten().dictionary_encode()
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        width = max(1, len(coded.dictionary))
+        pair = np.sort(np.repeat(np.arange(len(lengths)), lengths) * width + code)
+        starts = _runs(pair)
+        first = pair[starts[:-1]]
+        offsets = np.searchsorted(first // width, np.arange(len(lengths) + 1))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([sum(c.values()) for c in counts], pa.int64()),
-             pa.array([list(c) for c in counts], pa.list_(pa.string())),
-             pa.array([list(c.values()) for c in counts], pa.list_(pa.int64()))], ["doc_id", "doc_len", "terms", "tfs"])
+            [batch.column("doc_id"), pa.array(lengths), _lists(offsets, coded.dictionary.take(pa.array(first % width))),
+             _lists(offsets, pa.array(np.diff(starts).astype(np.int32)))], ["doc_id", "doc_len", "terms", "tfs"])
+
+
+def _inverted(block_docs: int, schema: pa.Schema):
+    """Documents sorted by (shard, length) to posting rows of blocks of ``block_docs`` documents."""
+    def invert(shard: int, number: int, part: pa.Table) -> pa.RecordBatch:
+        terms, tfs = part["terms"].combine_chunks(), part["tfs"].combine_chunks()
+        lens = part["doc_len"].to_numpy().astype(np.int32)
+        at = np.repeat(np.arange(len(lens)), pc.list_value_length(terms).to_numpy(zero_copy_only=False))
+        coded, tf = terms.flatten().dictionary_encode(), tfs.flatten().to_numpy(zero_copy_only=False)
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        order = np.argsort(code, kind="stable")
+        starts, at, tf = _runs(code[order]), at[order], tf[order]
+        n = len(starts)  # the rows of the terms, and one of all documents
+        every = np.concatenate((at, np.arange(len(lens))))
+        offsets = np.concatenate((starts, [len(every)]))
+        tf = np.concatenate((tf, np.zeros(len(lens), np.int32)))
+        cut = offsets[:-1] if len(every) else np.empty(0, np.int64)
+        names = coded.dictionary.take(pa.array(code[order][starts[:-1]]))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([shard] * n, pa.int32()), pa.array([number] * n, pa.int32()),
+             pa.concat_arrays([names, pa.nulls(1, names.type)]),
+             _lists(offsets, part["doc_id"].combine_chunks().take(pa.array(every))), _lists(offsets, pa.array(tf)),
+             _lists(offsets, pa.array(lens[every])), pa.array(np.maximum.reduceat(tf, cut)),
+             pa.array(np.minimum.reduceat(lens[every], cut))],
+            ["shard", "block", "term", "docs", "tfs", "lens", "tf_max", "len_min"]).cast(schema)
+
+    def rows(batches):
+        held, shard, number, size = [], None, 0, 0
+        for batch in batches:
+            ids = batch.column("shard").to_numpy(zero_copy_only=False)
+            for lo, hi in zip((at := _runs(ids))[:-1], at[1:]):
+                if ids[lo] != shard:
+                    if size:
+                        yield invert(shard, number, pa.Table.from_batches(held))
+                    held, shard, number, size = [], int(ids[lo]), 0, 0
+                while lo < hi:
+                    take = min(hi - lo, block_docs - size)
+                    held.append(batch.slice(lo, take))
+                    lo, size = lo + take, size + take
+                    if size == block_docs:
+                        yield invert(shard, number, pa.Table.from_batches(held))
+                        held, number, size = [], number + 1, 0
+        if size:
+            yield invert(shard, number, pa.Table.from_batches(held))
+
+    return rows
 
 
 def build_bm25(corpus: DataFrame, id_col: str = "id", text_col: str = "contents",
-               num_shards: int | None = None, materialize: bool = True) -> BM25Index:
+               num_shards: int | None = None, materialize: bool = True, block_docs: int = BLOCK_DOCS) -> BM25Index:
     """V1: terms and frequencies are counted where the texts lie, and only they are dealt
-    by ``doc_id``. Postings are written once as a table bucketed by ``doc_id`` in the
+    by ``doc_id``. Postings are written once as a table bucketed by shard in the
     shared ``spark.checkpoint.dir``; document frequencies, the number of documents and
-    their mean length are stored with it, so a search reads the postings once. Without
-    ``materialize`` the postings stay a plan that each use computes."""
+    their mean length are stored with it. Without ``materialize`` the postings stay a plan
+    that each use computes. A null or empty text is a document without terms; ids must be
+    unique and not null."""
     spark = corpus.sparkSession
-    # shards: explicit, else configured, else one per input split of the corpus
-    # (splits follow spark.sql.files.maxPartitionBytes, so shards grow with the
-    # data) and at least 4 per core for small corpora
-    n = num_shards or int(spark.conf.get("searchlane.bm25.shards", "0")) or \
-        max(corpus.rdd.getNumPartitions(), 4 * spark.sparkContext.defaultParallelism)
+    cores = spark.sparkContext.defaultParallelism
+    splits = corpus.rdd.getNumPartitions()
+    # buckets: explicit, else configured, else one per input split of the corpus (splits
+    # follow spark.sql.files.maxPartitionBytes, so they grow with the data), a few per core at least
+    n = num_shards or int(spark.conf.get("searchlane.bm25.shards", "0")) or max(splits, 2 * cores)
+    if splits < cores:  # fewer splits than cores: such texts are few, and are spread before the work
+        corpus = corpus.repartition(2 * cores)
     docs = corpus.select(F.col(id_col).alias("doc_id"),
                          F.coalesce(analyzer_terms(text_col), F.array().cast("array<string>")).alias("_terms"))
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("doc_len", T.LongType()),
-                           T.StructField("terms", T.ArrayType(T.StringType())),
-                           T.StructField("tfs", T.ArrayType(T.LongType()))])
-    counted = docs.mapInArrow(_term_counts, schema).repartition(n, "doc_id")
-    # explode_outer keeps term-less documents as one (doc, NULL, tf=0) row, so the
-    # document statistics can be read back from the postings alone
-    postings = (counted.select("doc_id", "doc_len", F.explode_outer(F.arrays_zip("terms", "tfs")).alias("t"))
-                .select("doc_id", F.col("t.terms").alias("term"), F.coalesce("t.tfs", F.lit(0)).alias("tf"), "doc_len"))
+    doc_id = docs.schema["doc_id"]
+    longs, strings = T.ArrayType(T.IntegerType()), T.ArrayType(T.StringType())
+    counted = docs.mapInArrow(_term_counts, T.StructType([
+        doc_id, T.StructField("doc_len", T.LongType()), T.StructField("terms", strings), T.StructField("tfs", longs)]))
+    dealt = (counted.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(4 * n)).cast("int"))
+             .repartition(n, "shard").sortWithinPartitions("shard", "doc_len"))
+    schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("block", T.IntegerType()),
+                           T.StructField("term", T.StringType()), T.StructField("docs", T.ArrayType(doc_id.dataType)),
+                           T.StructField("tfs", longs), T.StructField("lens", longs),
+                           T.StructField("tf_max", T.IntegerType()), T.StructField("len_min", T.IntegerType())])
+    from pyspark.sql.pandas.types import to_arrow_schema
+    postings = dealt.mapInArrow(_inverted(block_docs, to_arrow_schema(schema)), schema)
     return index_of(_write_bucketed(postings, n) if materialize else postings)
 
 
@@ -83,28 +173,31 @@ def index_of(postings: DataFrame, term_df: DataFrame | None = None) -> BM25Index
     """Index over a postings table; statistics that aren't given are computed and stored."""
     if term_df is None:
         term_df = materialise(postings.where(F.col("term").isNotNull()).groupBy("term")
-                              .agg(F.count(F.lit(1)).alias("df")), "bm25_terms")
-    stats = (postings.groupBy("doc_id").agg(F.first("doc_len").alias("doc_len"))
-             .agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avgdl")).first())
-    return BM25Index(postings=postings, term_df=term_df, n_docs=stats["n"], avgdl=stats["avgdl"] or 1.0)
+                              .agg(F.sum(F.size("docs")).alias("df")), "bm25_terms")
+    long_sum = F.aggregate("lens", F.lit(0).cast("long"), lambda s, x: s + x)
+    stats = (postings.where(F.col("term").isNull())
+             .agg(F.sum(F.size("docs")).alias("n"), F.sum(long_sum).alias("len"), F.count(F.lit(1)).alias("blocks")).first())
+    n = stats["n"] or 0
+    return BM25Index(postings=postings, term_df=term_df, n_docs=n, avgdl=(stats["len"] or 0) / n if n and stats["len"] else 1.0,
+                     n_blocks=stats["blocks"])
 
 
 def _write_bucketed(postings: DataFrame, n: int) -> DataFrame:
-    """Write postings once as a table bucketed by ``doc_id`` in the
-    shared checkpoint folder. Unlike a checkpointed RDD, a bucketed scan reports
-    ``HashPartitioning(doc_id)``, so searches aggregate per (query, doc) inside
-    each shard without an exchange. Survives executor loss (files, not cache)."""
+    """Write postings once as a table bucketed by ``shard`` in the shared checkpoint folder.
+    Unlike a checkpointed RDD, a bucketed scan reports ``HashPartitioning(shard)``, so
+    searches group by block inside each shard without an exchange. Survives executor
+    loss (files, not cache)."""
     spark = postings.sparkSession
     name = f"bm25_postings_{uuid.uuid4().hex[:12]}"
     path = scratch_path(spark, name)
     (postings.write.mode("overwrite").option("path", path)
-     .bucketBy(n, "doc_id").saveAsTable(name))
+     .bucketBy(n, "shard").saveAsTable(name))
     register_scratch_table(name, path)   # removed by session.release_scratch()
     return spark.table(name)
 
 
 def write_bm25(index: BM25Index, path: str) -> None:
-    """Persist the index: postings sorted by term inside each doc shard, and its terms."""
+    """Persist the index: postings sorted by term inside each file, and its terms."""
     index.postings.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
     index.term_df.write.mode("overwrite").parquet(f"{path}/terms")
 
@@ -120,24 +213,114 @@ def query_terms(queries: DataFrame, query_id: str = "query_id", query_col: str =
             .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")))
 
 
+def _products(k: int, k1: float, b: float, avgdl: float):
+    """Scores of one block of documents for one block of queries; the k best of each query."""
+    def score(table: pa.Table) -> pa.Table:
+        def coded(name):
+            """Sorted distinct values of a list column, each entry's place among them, offsets."""
+            column = table[name].combine_chunks()
+            flat, offsets = column.flatten(), column.offsets.to_numpy().astype(np.int64)
+            known = pc.unique(flat)
+            known = known.take(pc.sort_indices(known))
+            return known, pc.index_in(flat, value_set=known).to_numpy(zero_copy_only=False).astype(np.int64), offsets - offsets[0]
+
+        docs, d, d_at = coded("docs")
+        queries, q, q_at = coded("qs")
+        flat = lambda name: table[name].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        tf, w = flat("tfs"), flat("ws")
+        gain = tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * flat("lens") / avgdl))
+        cells = np.zeros((len(queries), len(docs)))
+        many_d, many_q = np.diff(d_at), np.diff(q_at)
+        large = many_d * many_q >= OUTER
+        for i in np.flatnonzero(large):
+            at, of = slice(d_at[i], d_at[i + 1]), slice(q_at[i], q_at[i + 1])
+            cells[q[of][:, None], d[at]] += w[of][:, None] * gain[at]
+        rows = np.flatnonzero(~large)
+        count = (many_d * many_q)[rows]
+        row = np.repeat(rows, count)  # the small products, all at once
+        within = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        at, of = d_at[row] + within % many_d[row], q_at[row] + within // many_d[row]
+        np.add.at(cells, (q[of], d[at]), w[of] * gain[at])
+        matched = cells > 0
+        cells = np.round(cells, SCORE_DIGITS)
+        if len(docs) > k:
+            matched &= cells >= np.partition(cells, len(docs) - k, axis=1)[:, len(docs) - k, None]
+        row, col = np.nonzero(matched)  # ties by doc_id: columns are in its order
+        order = np.lexsort((col, -cells[row, col], row))
+        row, col = row[order], col[order]
+        best = np.arange(len(row)) - np.searchsorted(row, row) < k
+        row, col = row[best], col[best]
+        return pa.table({"query_id": queries.take(pa.array(row)), "doc_id": docs.take(pa.array(col)),
+                         "score": pa.array(cells[row, col])})
+    return score
+
+
+def _scored(index: BM25Index, weights: DataFrame, k: int, blocks: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, score): the k best of each block for each query of ``weights`` (term,
+    query_id, query_block, w); with ``blocks`` (shard, block, query_id) only there."""
+    matches = index.postings.where(F.col("term").isNotNull()).select("shard", "block", "term", "docs", "tfs", "lens")
+    if blocks is None:
+        small = weights.limit(DEFAULT_BROADCAST_ROWS + 1).count() <= DEFAULT_BROADCAST_ROWS
+        asked = weights.groupBy("query_block", "term").agg(
+            F.collect_list(F.struct("query_id", "w")).alias("x")).select(
+            "query_block", "term", F.col("x.query_id").alias("qs"), F.col("x.w").alias("ws"))
+        matches = matches.join(F.broadcast(asked) if small else asked, "term")
+    else:  # the queries left differ from block to block
+        asked = (blocks.join(weights, "query_id").groupBy("shard", "block", "query_block", "term")
+                 .agg(F.collect_list(F.struct("query_id", "w")).alias("x"))
+                 .select("shard", "block", "query_block", "term", F.col("x.query_id").alias("qs"), F.col("x.w").alias("ws")))
+        matches = matches.join(asked, ["shard", "block", "term"])
+    kinds = {f.name: f.dataType for f in weights.schema} | {"doc_id": index.postings.schema["docs"].dataType.elementType}
+    out = T.StructType([T.StructField("query_id", kinds["query_id"]), T.StructField("doc_id", kinds["doc_id"]),
+                        T.StructField("score", T.DoubleType())])
+    return (matches.groupBy("shard", "block", "query_block")
+            .applyInArrow(_products(k, index.k1, index.b, index.avgdl), out))
+
+
+def block_bounds(index: BM25Index, weights: DataFrame) -> DataFrame:
+    """(shard, block, query_id, bound): no document of the block scores above ``bound``."""
+    tf, norm = F.col("tf_max"), index.k1 * (1.0 - index.b + index.b * F.col("len_min") / F.lit(index.avgdl))
+    return (index.postings.where(F.col("term").isNotNull()).select("shard", "block", "term", "tf_max", "len_min")
+            .join(weights, "term").groupBy("shard", "block", "query_id")
+            .agg(F.sum(F.col("w") * tf * (index.k1 + 1.0) / (tf + norm)).alias("bound")))
+
+
+def _best(scored: DataFrame, k: int) -> DataFrame:
+    return top_k(scored, ["query_id"], [F.col("score").desc(), F.col("doc_id").asc()], k)
+
+
+def surviving_blocks(index: BM25Index, weights: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """The hits in each query's ``SEEDS`` blocks of largest bounds, and the other blocks
+    (shard, block, query_id) whose bound reaches the query's k-th score there."""
+    bounds = materialise(block_bounds(index, weights), "bm25_bounds")
+    ranked = top_k(bounds, ["query_id"], [F.col("bound").desc(), F.col("shard"), F.col("block")], SEEDS, "place")
+    seeds = materialise(ranked.select("shard", "block", "query_id"), "bm25_seeds")
+    hits = materialise(_best(_scored(index, weights, k, seeds), k), "bm25_seed_hits")
+    least = hits.where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+    slack = 10.0 ** -SCORE_DIGITS  # scores are rounded, and sums differ in their last digits
+    left = (bounds.join(seeds, ["shard", "block", "query_id"], "left_anti").join(least, "query_id", "left")
+            .where(F.col("least").isNull() | (F.col("bound") + slack >= F.col("least"))))
+    return hits, materialise(left.select("shard", "block", "query_id"), "bm25_blocks")
+
+
 def bm25_search(queries: DataFrame, index: BM25Index, k: int = 3, query_id: str = "query_id",
-                query_col: str = "query") -> DataFrame:
-    """V2: top-k (query_id, rank, doc_id, score); queries with fewer than k
-    matching documents return fewer rows, queries with none return no rows."""
+                query_col: str = "query", prune: bool | None = None) -> DataFrame:
+    """V2: top-k (query_id, doc_id, score, rank); queries with fewer than k
+    matching documents return fewer rows, queries with none return no rows. ``prune``
+    skips blocks by their bounds (default: for an index of ``PRUNE_FROM`` blocks or more);
+    the result is the same."""
     qt = query_terms(queries, query_id, query_col)
-    idf = F.log(F.lit(1.0) + (F.lit(index.n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    # per (query, term) weight qtf * idf lives on the small broadcast side, so each
-    # matched posting costs one multiply-divide and a hash-aggregate update; written
-    # once: its rows are counted for the bound and then broadcast
-    qw = materialise(qt.join(index.term_df, "term").select("term", "query_id", (F.col("qtf") * idf).alias("w")),
-                     "bm25_query_terms")
-    small = qw.limit(DEFAULT_BROADCAST_ROWS + 1).count() <= DEFAULT_BROADCAST_ROWS
-    norm = F.lit(index.k1) * (F.lit(1.0 - index.b) + F.lit(index.b) * F.col("doc_len") / F.lit(index.avgdl))
-    term_score = F.col("w") * (F.col("tf") * (index.k1 + 1.0) / (F.col("tf") + norm))
-    scored = (index.postings.join(F.broadcast(qw) if small else qw, "term")
-              .groupBy("query_id", "doc_id")
-              .agg(F.round(F.sum(term_score), SCORE_DIGITS).alias("score")))
-    return top_k(scored, ["query_id"], [F.col("score").desc(), F.col("doc_id").asc()], k)
+    idf: Column = F.log(F.lit(1.0) + (F.lit(index.n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    # per (query, term) weight qtf * idf, written once: its rows are counted for the bound
+    # of the broadcast and for the query blocks
+    weights = materialise(qt.join(index.term_df, "term").select("term", "query_id", (F.col("qtf") * idf).alias("w")),
+                          "bm25_query_terms")
+    n_queries = weights.agg(F.approx_count_distinct("query_id")).first()[0]
+    weights = weights.withColumn("query_block", F.pmod(F.xxhash64("query_id"), F.lit(1 + n_queries // QUERY_BLOCK)).cast("int"))
+    if not (index.n_blocks >= PRUNE_FROM if prune is None else prune):
+        return _best(_scored(index, weights, k), k)
+    hits, blocks = surviving_blocks(index, weights, k)
+    return _best(hits.drop("rank").unionByName(_scored(index, weights, k, blocks)), k)
 
 
 def retrieve(queries: DataFrame, method: str, k: int = 3, *, index: BM25Index | None = None,
