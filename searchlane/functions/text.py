@@ -149,4 +149,4 @@ def truncate_tokens_text(col, n) -> Column:
 
 def analyzer_terms(col) -> Column:
     """BM25 analyzer: lower-case letters/digits runs; no stemming, no stop list."""
-    return F.filter(F.split(F.lower(_c(col)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(_c(col)), r"[^\p{L}\p{N}]+"), "")

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from searchlane.functions.text import analyzer_terms
-from searchlane.operators.common import DEFAULT_BROADCAST_ROWS, top_k
+from searchlane.operators.common import DEFAULT_BROADCAST_ROWS, spread, top_k
 from searchlane.session import materialise, register_scratch_table, scratch_path
 
 K1 = 0.9
@@ -43,7 +43,7 @@ SCORE_DIGITS = 6
 #: documents of one block of postings, and queries of one block: a product has at most
 #: BLOCK_DOCS x about QUERY_BLOCK cells of 8 bytes
 BLOCK_DOCS = 4096
-QUERY_BLOCK = 1024
+QUERY_BLOCK = 2048
 #: blocks of the index from which a search skips blocks by their bounds
 PRUNE_FROM = 1024
 #: blocks a query is scored in before the others are held against its k-th score
@@ -145,14 +145,11 @@ def build_bm25(corpus: DataFrame, id_col: str = "id", text_col: str = "contents"
     that each use computes. A null or empty text is a document without terms; ids must be
     unique and not null."""
     spark = corpus.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    splits = corpus.rdd.getNumPartitions()
     # buckets: explicit, else configured, else one per input split of the corpus (splits
-    # follow spark.sql.files.maxPartitionBytes, so they grow with the data), a few per core at least
-    n = num_shards or int(spark.conf.get("searchlane.bm25.shards", "0")) or max(splits, 2 * cores)
-    if splits < cores:  # fewer splits than cores: such texts are few, and are spread before the work
-        corpus = corpus.repartition(2 * cores)
-    docs = corpus.select(F.col(id_col).alias("doc_id"),
+    # follow spark.sql.files.maxPartitionBytes, so they grow with the data), two per core at least
+    n = num_shards or int(spark.conf.get("searchlane.bm25.shards", "0")) or \
+        max(corpus.rdd.getNumPartitions(), 2 * spark.sparkContext.defaultParallelism)
+    docs = spread(corpus).select(F.col(id_col).alias("doc_id"),
                          F.coalesce(analyzer_terms(text_col), F.array().cast("array<string>")).alias("_terms"))
     doc_id = docs.schema["doc_id"]
     longs, strings = T.ArrayType(T.IntegerType()), T.ArrayType(T.StringType())
@@ -255,12 +252,12 @@ def _products(k: int, k1: float, b: float, avgdl: float):
     return score
 
 
-def _scored(index: BM25Index, weights: DataFrame, k: int, blocks: DataFrame | None = None) -> DataFrame:
+def _scored(index: BM25Index, weights: DataFrame, k: int, blocks: DataFrame | None = None,
+            small: bool = False) -> DataFrame:
     """(query_id, doc_id, score): the k best of each block for each query of ``weights`` (term,
-    query_id, query_block, w); with ``blocks`` (shard, block, query_id) only there."""
+    query_id, query_block, w; broadcast if ``small``); with ``blocks`` (shard, block, query_id) only there."""
     matches = index.postings.where(F.col("term").isNotNull()).select("shard", "block", "term", "docs", "tfs", "lens")
     if blocks is None:
-        small = weights.limit(DEFAULT_BROADCAST_ROWS + 1).count() <= DEFAULT_BROADCAST_ROWS
         asked = weights.groupBy("query_block", "term").agg(
             F.collect_list(F.struct("query_id", "w")).alias("x")).select(
             "query_block", "term", F.col("x.query_id").alias("qs"), F.col("x.w").alias("ws"))
@@ -315,10 +312,10 @@ def bm25_search(queries: DataFrame, index: BM25Index, k: int = 3, query_id: str
     # of the broadcast and for the query blocks
     weights = materialise(qt.join(index.term_df, "term").select("term", "query_id", (F.col("qtf") * idf).alias("w")),
                           "bm25_query_terms")
-    n_queries = weights.agg(F.approx_count_distinct("query_id")).first()[0]
+    rows, n_queries = weights.agg(F.count(F.lit(1)), F.approx_count_distinct("query_id")).first()
     weights = weights.withColumn("query_block", F.pmod(F.xxhash64("query_id"), F.lit(1 + n_queries // QUERY_BLOCK)).cast("int"))
     if not (index.n_blocks >= PRUNE_FROM if prune is None else prune):
-        return _best(_scored(index, weights, k), k)
+        return _best(_scored(index, weights, k, small=rows <= DEFAULT_BROADCAST_ROWS), k)
     hits, blocks = surviving_blocks(index, weights, k)
     return _best(hits.drop("rank").unionByName(_scored(index, weights, k, blocks)), k)
 

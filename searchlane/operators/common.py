@@ -27,6 +27,13 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
     return F.broadcast(df) if n <= limit else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out if it has fewer input splits than the cluster has cores: such a table
+    holds at most a few splits of text, which one task each would work on alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 # models a Python worker has loaded; the module stays with the worker from task to task
 _LOADED: dict[str, object] = {}
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from searchlane.functions.text import (passage_text, passage_title, strip,
                                        truncate_tokens_text)
-from searchlane.operators.common import bounded_broadcast
+from searchlane.operators.common import bounded_broadcast, spread
 
 # Fixed value: hint returned for an invalid action.
 INVALID_ACTION_HINT = (
@@ -26,10 +26,10 @@ def attach_docs(hits: DataFrame, corpus: DataFrame, id_col: str = "id",
     """Equi-join hits to passages by the real document id.
 
     Hits are at most |queries| x k rows, so they are the broadcast side while
-    the corpus streams through unshuffled; the bound is proven on the (cheap)
+    the corpus streams through unshuffled (but for a corpus of fewer splits than cores); the bound is proven on the (cheap)
     query table when it is given, else on the hits themselves.
     """
-    docs = corpus.select(F.col(id_col).alias("doc_id"), F.col(contents_col).alias("contents"))
+    docs = spread(corpus.select(F.col(id_col).alias("doc_id"), F.col(contents_col).alias("contents")))
     return docs.join(bounded_broadcast(hits, proxy=queries, per_row=k), "doc_id")
 
 

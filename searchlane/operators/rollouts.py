@@ -44,6 +44,7 @@ def search_observations(requests: DataFrame, keys: list[str], retrieve_fn, corpu
             .withColumn("query_id", F.when(F.col("_of_hash") == 0, F.col("_hash"))
                         .otherwise(F.xxhash64("_hash", "_of_hash")))
             .select("query", "query_id"))
+    uniq = materialise(uniq, "distinct_queries")  # read by the search and by both joins
     hits = retrieve_fn(uniq)
     block = passages_to_string(attach_docs(hits, corpus, queries=uniq, k=k), key="query_id")
     res = uniq.join(block.select("query_id", truncate_tokens_text("result", max_obs_tokens).alias("result")), "query_id")
