@@ -77,7 +77,10 @@ def add_context(qa: DataFrame, cache: DataFrame, corpus: DataFrame, k: int,
     """``context`` = ``Doc i(Title: t) text\\n`` for the first k cached ids
     of each question, in cache order (equi-join on id, ordered regroup)."""
     ex = cache.select(key, F.posexplode(F.slice(ids_col, 1, k)).alias("pos", "doc_id"))
-    docs = attach_docs(ex.withColumn("rank", F.col("pos") + 1), corpus, queries=cache, k=k)
+    # the bound follows from the (cheap) questions: at most k ids of each; the cache, often a
+    # search, is not run for it
+    ex = ex.join(qa.select(key).distinct(), key, "left_semi")
+    docs = attach_docs(ex.withColumn("rank", F.col("pos") + 1), corpus, queries=qa, k=k)
     ctx = (docs.groupBy(key).agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("rank", passage_line().alias("line")))),
         lambda x: x["line"]), "").alias("context")))

@@ -101,6 +101,24 @@ def ivf_recall(spark, sf_dir):
     return recall_at_k(approx, dense_search(q, t.embeddings, k=DENSE_K))
 
 
+@register("cell_index_recall", sql="""
+SELECT count(DISTINCT label) AS n_queries, (10 * count(DISTINCT label))::BIGINT AS n_exact, true AS recall_reached
+FROM embeddings""")
+def cell_index_recall(spark, sf_dir):
+    """V7: a stored cell index is built, its number of probes is set for a recall of 0.95 on a
+    sample of its vectors, and it is searched; the row says whether the search returns at
+    least nine tenths of the exact top-10 (V6)."""
+    from searchlane.operators.dense import build_cell_index, cell_search, dense_search, probes_for_recall
+    t = Tables(spark, sf_dir)
+    q = fx.label_centroid_queries(t)
+    index = build_cell_index(t.embeddings, n_cells=16)
+    found = cell_search(q, index, k=DENSE_K, n_probe=probes_for_recall(index, DENSE_K, 0.95))
+    exact = dense_search(q, t.embeddings, k=DENSE_K)
+    hit = exact.join(found.select("query_id", "doc_id", F.lit(1).alias("hit")), ["query_id", "doc_id"], "left")
+    return hit.agg(F.countDistinct("query_id").alias("n_queries"), F.count(F.lit(1)).alias("n_exact"),
+                   (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("recall_reached"))
+
+
 # ---------------------------------------------------------------- rerank
 def _sql_terms_distinct(x):
     return f"list_distinct({SQL_TERMS.format(x=x)})"
