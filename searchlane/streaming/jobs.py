@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from searchlane.functions.actions import parse_action
 from searchlane.operators.rewards import score_rollouts
@@ -78,52 +79,92 @@ def windowed_scores_batch(df: DataFrame, ts: str = "ts", key: str = "event_type"
 
 
 # ------------------------------------------------------------------ X3
-STATE_SCHEMA = "turns long, valid_actions long, valid_searches long, answered boolean, steps long"
+#: seen: an action's first letter for each step (a, s, other; '.' not seen yet)
+STATE_SCHEMA = "seen string, status string, deadline long"
 OUT_SCHEMA = ("sample_id long, turns long, valid_actions long, valid_searches long, active boolean, "
               "collector_status string")
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def turn_counts(seen: str, max_turns: int) -> tuple[int, int, int, bool, bool]:
+    """(turns, valid actions, valid searches, answered, complete) of the steps seen so far, by
+    the replay's rules (A6): nothing counts after the first answer. Complete: every step up
+    to the answer, or up to the last one allowed, has been seen."""
+    answer = seen.find("a")
+    counted = seen if answer < 0 else seen[:answer + 1]
+    complete = "." not in counted
+    reached = len(seen) - seen.count(".") if answer < 0 else answer
+    return (1 + min(reached, max_turns), counted.count("a") + counted.count("s"), counted.count("s"), answer >= 0, complete)
+
+
+class _TurnState(StatefulProcessor):
+    """One value a sample: the steps seen, and once it is finished a tombstone that turns of
+    the sample which come later leave as it is."""
+
+    def __init__(self, max_turns: int, timeout_ms: int | None, keep_ms: int):
+        self.max_turns, self.timeout_ms, self.keep_ms = max_turns, timeout_ms, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("sample", STATE_SCHEMA, self.keep_ms)
+
+    def _row(self, key, seen: str, status: str) -> pd.DataFrame:
+        turns, valid, searches, answered, _ = turn_counts(seen, self.max_turns)
+        return pd.DataFrame({"sample_id": [key[0]], "turns": [turns], "valid_actions": [valid],
+                             "valid_searches": [searches], "active": [not answered], "collector_status": [status]})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = self.state.get()
+        seen, status, deadline = held if held is not None else ("." * (self.max_turns + 1), "running", 0)
+        if status != "running":
+            for _ in rows:
+                pass
+            return
+        steps = list(seen)
+        for pdf in rows:
+            for step, action in zip(pdf["step"], pdf["action"]):
+                if 0 <= step <= self.max_turns and steps[step] == ".":  # a step counts once
+                    steps[step] = {"answer": "a", "search": "s"}.get(action, "x")
+        seen = "".join(steps)
+        *_, answered, complete = turn_counts(seen, self.max_turns)
+        if complete:
+            status = "completed" if answered else "failed"
+        elif self.timeout_ms:
+            deadline = timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms
+            self.handle.registerTimer(deadline)
+        self.state.update((seen, status, deadline))
+        yield self._row(key, seen, status)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = self.state.get()
+        if held is None or held[1] != "running" or held[2] > expiredTimerInfo.getExpiryTimeInMs():
+            return  # finished, or a later turn has moved the deadline
+        self.state.update((held[0], "failed", held[2]))
+        yield self._row(key, held[0], "failed")
+
+    def close(self) -> None:
+        pass
 
 
 def rollout_state(stream: DataFrame, max_turns: int, sample: str = "sample_id", step: str = "step",
-                  text: str = "response", ts: str = "ts", timeout_ms: int | None = None) -> DataFrame:
-    """Turn-by-turn rollout state keyed by sample, as the replay
-    computes it, updated incrementally; abandoned samples time out.
-
-    Steps of one sample may arrive across micro-batches in order.
-    """
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    parsed = stream.select(F.col(sample).alias("sample_id"), F.col(step).alias("step"),
-                           parse_action(text)["action"].alias("action"), ts)
-
-    def update(key, pdfs: Iterator[pd.DataFrame], state):
-        turns, valid, searches, answered, steps = state.get if state.exists else (1, 0, 0, False, 0)
-        timed_out = state.hasTimedOut
-        if not timed_out:
-            rows = pd.concat(list(pdfs)).sort_values("step", kind="stable")
-            rows = rows[rows["step"] <= max_turns]
-            is_answer = (rows["action"] == "answer").to_numpy()
-            if not answered and len(rows):
-                last = int(is_answer.argmax()) if is_answer.any() else len(rows) - 1
-                seen = rows.iloc[:last + 1]
-                valid += int(seen["action"].isin(["answer", "search"]).sum())
-                searches += int((seen["action"] == "search").sum())
-                steps = max(steps, int(seen["step"].iloc[-1]) + 1)
-                answered = bool(is_answer.any())
-            # a running sample reports the turn it has reached
-            turns = min(steps, max_turns + 1) if answered or steps > max_turns else 1 + min(steps, max_turns)
-        done = timed_out or answered or steps > max_turns
-        if done:
-            state.remove()  # a finished or abandoned sample keeps no state
-        else:
-            state.update((turns, valid, searches, answered, steps))
-            if timeout_ms:
-                state.setTimeoutDuration(timeout_ms)
-        status = "completed" if answered else ("failed" if done else "running")
-        yield pd.DataFrame({"sample_id": [key[0]], "turns": [turns], "valid_actions": [valid],
-                            "valid_searches": [searches], "active": [not answered], "collector_status": [status]})
-
-    mode = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
-    return parsed.groupBy("sample_id").applyInPandasWithState(update, OUT_SCHEMA, STATE_SCHEMA, "update", mode)
+                  text: str = "response", ts: str = "ts", timeout_ms: int | None = None,
+                  keep_ms: int = 7 * 24 * 3600 * 1000) -> DataFrame:
+    """Turn-by-turn rollout state keyed by sample, as the replay (A6) computes it, in a
+    RocksDB state store.
+
+    Steps of one sample may arrive in any order and in any micro-batches; a repeated step
+    counts once. A sample is reported as running until every step up to its answer (or up to
+    ``max_turns``) is there, then once as completed or failed. After that its state is a
+    tombstone: later turns change and report nothing. With ``timeout_ms`` a sample without
+    a new turn for so long fails. State is dropped ``keep_ms`` after its last change, so a turn
+    later than that starts a new sample."""
+    spark = stream.sparkSession
+    if "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass"):
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)  # lists, timers and TTL need it
+    parsed = stream.select(F.col(sample).cast("long").alias("sample_id"), F.col(step).cast("int").alias("step"),
+                           parse_action(text)["action"].alias("action")).where("sample_id is not null and step is not null")
+    return parsed.groupBy("sample_id").transformWithStateInPandas(
+        _TurnState(max_turns, timeout_ms, keep_ms), OUT_SCHEMA, "Update", "ProcessingTime")
 
 
 # ------------------------------------------------------------------ X5
@@ -149,10 +190,22 @@ def cached_retrieval_sink(retrieve_fn, cache_path: str, answer_path: str, query_
 
 def start(query_df: DataFrame, sink, name: str | None = None, checkpoint: str | None = None,
           output_mode: str = "append", trigger_once: bool = True):
-    """Start a streaming query with a checkpoint under the shared folder."""
+    """Start a streaming query with a checkpoint under the shared folder. A query with
+    processing-time timers (X3) asks for batches without data for ever: with ``trigger_once`` it
+    runs none, so that it ends with its data, and timers that are due fire in the next run."""
     name = name or (sink.split(":", 1)[1] if isinstance(sink, str) and ":" in sink else "job")
     ck = checkpoint or scratch_path(query_df.sparkSession, f"stream-{name}")
-    w = query_df.writeStream.option("checkpointLocation", ck).outputMode(output_mode)
+    conf, idle = query_df.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before, timed = conf.get(idle), "TransformWithState" in query_df._jdf.queryExecution().analyzed().toString()
+    if trigger_once and timed:
+        conf.set(idle, "false")  # read when the query starts
+    try:
+        return _start(query_df.writeStream.option("checkpointLocation", ck).outputMode(output_mode), sink, trigger_once)
+    finally:
+        conf.set(idle, before)
+
+
+def _start(w, sink, trigger_once: bool):
     if trigger_once:
         w = w.trigger(availableNow=True)
     if callable(sink):
