@@ -13,6 +13,7 @@ from searchlane.functions.text import (_c, analyzer_terms, convert_title_format,
                                        parse_snippet, passage_text, passage_title, strip)
 from searchlane.operators.common import bounded_broadcast, object_key, top_k, worker_object
 from searchlane.operators.observe import attach_docs, passage_line
+from searchlane.session import materialise
 
 SCORE_DIGITS = 6
 
@@ -108,7 +109,8 @@ def retrieve_cached(requests: DataFrame, cache: DataFrame | None, retrieve_fn: C
         misses = uniq
     else:
         misses = uniq.join(cache.select(query_col).distinct(), query_col, "left_anti")
-    fresh = retrieve_fn(misses).withColumn("last_used", F.lit(step).cast("long"))
+    # written once: the answers and the returned cache read it, and later steps search no more
+    fresh = materialise(retrieve_fn(misses).withColumn("last_used", F.lit(step).cast("long")), "cache_fresh")
     if cache is None:
         merged = fresh
     else:
@@ -124,7 +126,7 @@ def retrieve_cached(requests: DataFrame, cache: DataFrame | None, retrieve_fn: C
         # LRU capacity is the feature: a global top-N (per-partition top-N, then merge)
         keep = recency.orderBy(F.col("_lu").desc(), F.col(query_col)).limit(capacity)
         merged = merged.join(keep.select(query_col), query_col, "left_semi")
-    return results, merged
+    return results, merged if cache is None and capacity is None else materialise(merged, "result_cache")
 
 
 # ------------------------------------------------------------------ V15 / V16

@@ -310,8 +310,8 @@ run AS (SELECT l.*, e.ans, coalesce(e.ans, least(e.last_step + 1, {MAX_TURNS}))
         FROM lim l JOIN ends e USING (sample_id) WHERE l.step <= coalesce(e.ans, {MAX_TURNS}))"""
 
 
-def _loop(spark, sf_dir):
-    """The rollout loop with a model that replays each conversation's responses."""
+def _replayed(spark, sf_dir):
+    """Corpus, its index, a model that replays each conversation's responses, and prompts."""
     from pyspark.sql import Window
     t = Tables(spark, sf_dir)
     corpus = fx.corpus(t)
@@ -326,6 +326,12 @@ def _loop(spark, sf_dir):
 
     prompts = known.select("sample_id").distinct().withColumn(
         "prompt_text", F.concat(F.lit("Question "), F.col("sample_id").cast("string"), F.lit(": ")))
+    return corpus, idx, model, prompts
+
+
+def _loop(spark, sf_dir):
+    """The rollout loop over replayed responses."""
+    corpus, idx, model, prompts = _replayed(spark, sf_dir)
     return RO.collect_rollouts(prompts, model, lambda q: bm25_search(q, idx, 3), corpus, MAX_TURNS, MAX_OBS)
 
 
@@ -343,6 +349,38 @@ def q_collect_rollouts(spark, sf_dir):
     return RO.rollout_samples(_loop(spark, sf_dir))
 
 
+@register("resumed_rollouts", sql=f"""
+WITH {_SQL_LOOP}
+SELECT r.sample_id, CASE WHEN r.ans IS NULL THEN 'failed' ELSE 'completed' END AS collector_status,
+       count(*)::BIGINT + CASE WHEN r.ans IS NULL AND any_value(e.last_step) < {MAX_TURNS} THEN 1 ELSE 0 END AS assistant_turns,
+       count(*) FILTER (WHERE action = 'search' AND step < {MAX_TURNS})::BIGINT AS search_turns,
+       count(*) FILTER (WHERE action IS NULL AND step < {MAX_TURNS})::BIGINT AS invalid_actions,
+       CASE WHEN r.ans IS NOT NULL THEN NULL WHEN any_value(e.last_step) < {MAX_TURNS} THEN 'no response'
+            ELSE 'Final answer generation did not return an <answer> block.' END AS collector_error
+FROM run r JOIN ends e USING (sample_id) GROUP BY r.sample_id, r.ans""")
+def q_resumed_rollouts(spark, sf_dir):
+    """A7 + A11 + V11: a collector with a result cache is left after two steps, and a second one
+    on the same folder continues from its published events."""
+    from searchlane.operators.collector import Collector, collected
+    from searchlane.operators.result_cache import ResultCache
+    from searchlane.session import scratch_path
+    corpus, idx, model, prompts = _replayed(spark, sf_dir)
+    messages = prompts.select("sample_id", F.lit(0).alias("msg_idx"), F.lit("user").alias("role"),
+                              F.col("prompt_text").alias("content"))
+    folder = scratch_path(spark, "collector")
+    cache = ResultCache(spark, f"{folder}/cache", 10_000)
+
+    def collector():
+        return Collector(folder, messages, model, lambda q: bm25_search(q, idx, 3).select("query_id", "rank", "doc_id", "score"),
+                         corpus, MAX_TURNS, MAX_OBS, cache=cache)
+
+    first = collector()
+    for step in (0, 1):
+        first.run_step(step)
+    return collected(collector().run()).select("sample_id", "collector_status", "assistant_turns", "search_turns",
+                                               "invalid_actions", "collector_error")
+
+
 @register("info_masks", sql=f"""
 WITH {_SQL_LOOP},
 seg AS (SELECT sample_id, {_sql_ntok('response')} AS own, CASE WHEN obs = '' THEN 0 ELSE {_sql_ntok('obs')} END AS env, step FROM run)

@@ -11,6 +11,7 @@ import os
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DEFAULTS = {
@@ -83,9 +84,41 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     use sees the same rows in the same places, also after an executor is lost."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    register_scratch_table("", path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def publish(spark: SparkSession, written: str, path: str) -> bool:
+    """Give a completely written folder its name in one rename. False, and nothing is moved,
+    if another writer has taken the name: of two writers exactly one succeeds."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    hadoop = jvm.org.apache.hadoop.fs
+    source, target = hadoop.Path(written), hadoop.Path(path)
+    files = hadoop.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    if target.getParent() is not None:
+        files.mkdir(target.getParent(), None, True)
+    try:
+        files.rename(files.makeQualified(source), files.makeQualified(target),
+                     gateway.new_array(getattr(hadoop, "Options$Rename"), 0))
+    except Py4JJavaError as e:
+        if "FileAlreadyExistsException" in str(e.java_exception.getClass().getName()):
+            return False
+        raise
+    return True
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, sorted; none if it does not exist."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 # tables / folders this process wrote under the shared scratch folder
 _SCRATCH_TABLES: list[tuple[str, str]] = []
 
@@ -95,15 +128,16 @@ def register_scratch_table(name: str, path: str) -> None:
 
 
 def release_scratch(spark: SparkSession) -> int:
-    """Drop the index tables this process wrote and delete their folders
-    (Hadoop FileSystem API, so it works on any shared store). Call when the
+    """Drop the index tables this process wrote and delete their folders, those of
+    :func:`materialise` among them (Hadoop FileSystem API, so it works on any shared store). Call when the
     results that read them have been consumed. Returns how many were removed."""
     n = 0
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     while _SCRATCH_TABLES:
         name, path = _SCRATCH_TABLES.pop()
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
         n += 1

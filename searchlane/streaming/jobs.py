@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from searchlane.functions.actions import parse_action
+from searchlane.operators.result_cache import ResultCache
 from searchlane.operators.rewards import score_rollouts
 from searchlane.session import scratch_path
 
@@ -188,6 +189,16 @@ def cached_retrieval_sink(retrieve_fn, cache_path: str, answer_path: str, query_
     return write
 
 
+def bounded_retrieval_sink(retrieve_fn, cache: ResultCache, answer_path: str):
+    """X5 with a bounded cache: a micro-batch's queries meet the cache's current snapshot, only
+    misses are retrieved, and a new snapshot with the least recently used evicted is published
+    before the answers are written. A replayed batch finds its results in the cache."""
+    def write(batch: DataFrame, batch_id: int):
+        cache.answer(batch, retrieve_fn, batch_id).write.mode("overwrite").parquet(
+            f"{answer_path.rstrip('/')}/batch_id={batch_id}")
+    return write
+
+
 def start(query_df: DataFrame, sink, name: str | None = None, checkpoint: str | None = None,
           output_mode: str = "append", trigger_once: bool = True):
     """Start a streaming query with a checkpoint under the shared folder. A query with
