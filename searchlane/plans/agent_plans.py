@@ -350,7 +350,12 @@ def q_collect_rollouts(spark, sf_dir):
 
 
 @register("resumed_rollouts", sql=f"""
-WITH {_SQL_LOOP}
+WITH {SQL_FX['responses']},
+s AS (SELECT sample_id, row_number() OVER (PARTITION BY sample_id ORDER BY turn_idx) - 1 AS step, {_aci} AS action FROM responses),
+lim AS (SELECT * FROM s WHERE step <= {MAX_TURNS}),
+ends AS (SELECT sample_id, min(CASE WHEN action = 'answer' THEN step END) AS ans, max(step) AS last_step
+         FROM lim GROUP BY sample_id),
+run AS (SELECT l.*, e.ans FROM lim l JOIN ends e USING (sample_id) WHERE l.step <= coalesce(e.ans, {MAX_TURNS}))
 SELECT r.sample_id, CASE WHEN r.ans IS NULL THEN 'failed' ELSE 'completed' END AS collector_status,
        count(*)::BIGINT + CASE WHEN r.ans IS NULL AND any_value(e.last_step) < {MAX_TURNS} THEN 1 ELSE 0 END AS assistant_turns,
        count(*) FILTER (WHERE action = 'search' AND step < {MAX_TURNS})::BIGINT AS search_turns,
