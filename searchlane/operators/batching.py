@@ -39,6 +39,21 @@ def with_row_index(df: DataFrame, order_by: list, name: str = "row_idx") -> Data
             .drop("_mid", "_part", "_pos", "_off"))
 
 
+def pop_columns(df: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(the named columns, the others); a missing name is an error."""
+    if missing := [n for n in names if n not in df.columns]:
+        raise ValueError(f"no such column to take out: {missing}")
+    return df.select(*[f"`{n}`" for n in names]), df.select(*[f"`{c}`" for c in df.columns if c not in names])
+
+
+def select_rows(df: DataFrame, mask) -> DataFrame:
+    """Rows whose boolean mask is true; a null mask is an error, as it selects nothing
+    definite."""
+    m = mask if not isinstance(mask, str) else F.col(mask)
+    checked = F.when(m.isNull(), F.raise_error(F.lit("the mask of a row is null")).cast("boolean")).otherwise(m)
+    return df.where(checked)
+
+
 def repeat_rows(df: DataFrame, n: int, interleave: bool = True, row_col: str = "row_idx") -> DataFrame:
     """Each row n times; order key (row, i) interleaved or (i, row) tiled."""
     out = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))

@@ -37,8 +37,9 @@ def read_prompts(spark: SparkSession, paths: list[str] | str, schema: T.StructTy
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """JSON lines with a declared schema; blank lines are skipped."""
-    return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
+    """JSON lines with a declared schema; blank lines are skipped, and a malformed line is an
+    error when it is read."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
 def read_rollout_log(spark: SparkSession, path: str, schema: T.StructType = ROLLOUT_LOG_SCHEMA,

@@ -48,18 +48,35 @@ def _table_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p) and any(not s.getPath().getName().startswith(("_", ".")) for s in fs.listStatus(p))
 
 
+#: hash buckets of the completed keys: a micro-batch reads only those its keys fall into
+KEY_BUCKETS = 256
+
+
+def _bucket(column: str):
+    return F.pmod(F.xxhash64(column), F.lit(KEY_BUCKETS)).cast("int")
+
+
+def completed_keys(spark: SparkSession, done_path: str, buckets: list[int], before: int) -> DataFrame:
+    """Keys of the named buckets that batches before ``before`` completed; files of other
+    buckets are pruned as partitions."""
+    return (spark.read.parquet(done_path).where(F.col("bucket").isin(buckets) & (F.col("batch_id") < before))
+            .select("sample_key").where("sample_key is not null"))
+
+
 def resume_sink(done_path: str):
     """X2 (beyond the watermark): each micro-batch is anti-joined with the completed-key
     table and only new keys are written, into a partition of the batch id that a replay
-    overwrites. Rows without a key are always kept."""
+    overwrites. The table is cut by a hash of the key, and only the buckets of the batch's keys
+    are read, at most ``KEY_BUCKETS`` numbers through the driver. Rows without a key are always kept."""
     def write(batch: DataFrame, batch_id: int):
         spark = batch.sparkSession
-        keyed, bare = batch.filter(F.col("sample_key").isNotNull()), batch.filter(F.col("sample_key").isNull())
+        keyed = batch.filter(F.col("sample_key").isNotNull()).withColumn("bucket", _bucket("sample_key"))
+        bare = batch.filter(F.col("sample_key").isNull()).withColumn("bucket", F.lit(-1))
         if _table_exists(spark, done_path):  # a failed read fails the batch; it never counts as "no table yet"
-            done = spark.read.parquet(done_path).filter(F.col("batch_id") < batch_id).select("sample_key")
-            keyed = keyed.join(done, "sample_key", "left_anti")
-        keyed.dropDuplicates(["sample_key"]).unionByName(bare) \
-            .write.mode("overwrite").parquet(f"{done_path.rstrip('/')}/batch_id={batch_id}")
+            asked = [r.bucket for r in keyed.select("bucket").distinct().collect()]
+            keyed = keyed.join(completed_keys(spark, done_path, asked, batch_id), "sample_key", "left_anti")
+        keyed.dropDuplicates(["sample_key"]).unionByName(bare).repartition("bucket").write.mode("overwrite") \
+            .partitionBy("bucket").parquet(f"{done_path.rstrip('/')}/batch_id={batch_id}")
     return write
 
 
@@ -79,6 +96,25 @@ def windowed_scores_batch(df: DataFrame, ts: str = "ts", key: str = "event_type"
             .agg(F.avg(value).alias("mean_value"), F.count(F.lit(1)).alias("n")))
 
 
+def session_scores(stream: DataFrame, ts: str = "ts", key: str = "user_id", value: str = "value",
+                   gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
+    """X4, sessions: rows of a key less than ``gap`` apart make one session, which grows and
+    merges as rows arrive (late ones too, within the watermark) and is out once the watermark
+    passes its end. Rows without a key or a time are left out."""
+    return (stream.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).withWatermark(ts, delay)
+            .groupBy(F.session_window(ts, gap).alias("session"), key)
+            .agg(F.avg(value).alias("mean_value"), F.count(F.lit(1)).alias("n")))
+
+
+def session_scores_batch(df: DataFrame, ts: str = "ts", key: str = "user_id", value: str = "value",
+                         gap: str = "30 minutes") -> DataFrame:
+    """X4, sessions of a whole table: the same aggregate, which Spark merges from sorted partial
+    sessions, so no key's rows are collected."""
+    return (df.where(F.col(key).isNotNull() & F.col(ts).isNotNull())
+            .groupBy(F.session_window(ts, gap).alias("session"), key)
+            .agg(F.avg(value).alias("mean_value"), F.count(F.lit(1)).alias("n")))
+
+
 # ------------------------------------------------------------------ X3
 #: seen: an action's first letter for each step (a, s, other; '.' not seen yet)
 STATE_SCHEMA = "seen string, status string, deadline long"
