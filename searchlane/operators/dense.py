@@ -16,15 +16,14 @@ scores only those exactly. Within the probed cells the result is exact.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from searchlane.functions.text import _c, encoder_input
 from searchlane.operators.common import object_key, top_k, worker_object
@@ -102,23 +101,20 @@ class HashingEncoder:
 def encode_texts(df: DataFrame, encoder=None, id_col: str = "id", text_col: str = "contents",
                  is_query: bool = False, model_name: str = "hash", batch_size: int = 512) -> DataFrame:
     """V3: (id, embedding array<float>) with the model's input prefix applied
-    JVM-side first; batches of ``batch_size`` rows go through the encoder."""
+    JVM-side first; Spark forms batches of ``batch_size`` rows, and each worker loads the
+    encoder once (``predict_batch_udf``). A null text is encoded as an empty one."""
+    from pyspark.ml.functions import predict_batch_udf
     factory = encoder if callable(encoder) and not hasattr(encoder, "encode") else (
         (lambda e=encoder: e) if encoder is not None else HashingEncoder)
     key = object_key(factory)
-    src = df.select(F.col(id_col).alias("id"),
-                    encoder_input(text_col, model_name, is_query).alias("_in"))
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         enc = worker_object(key, lambda: factory().load())
-        for pdf in it:
-            for s in range(0, len(pdf), batch_size):
-                part = pdf.iloc[s:s + batch_size]
-                vecs = enc.encode(part["_in"].tolist(), is_query)
-                yield pd.DataFrame({"id": part["id"].values,
-                                    "embedding": [v.astype(np.float32) for v in vecs]})
-
-    return src.mapInPandas(run, "id long, embedding array<float>")
+        return lambda texts: np.asarray(enc.encode(list(texts), is_query), np.float32)
+
+    encode = predict_batch_udf(make, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
+    text = F.coalesce(encoder_input(text_col, model_name, is_query), F.lit(""))
+    return df.select(F.col(id_col).alias("id"), encode(text).alias("embedding"))
 
 
 # --------------------------------------------------------------------- V6

@@ -5,9 +5,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from searchlane.functions.text import (_c, analyzer_terms, convert_title_format, pair_text,
                                        parse_snippet, passage_text, passage_title, strip)
@@ -29,22 +31,18 @@ def lexical_overlap(query, doc) -> Column:
 
 def model_scores(pairs: DataFrame, scorer_factory: Callable, query_col: str = "query",
                  doc_col: str = "pair_text", batch_size: int = 64) -> DataFrame:
-    """Pluggable cross-encoder: ``scorer.predict(list[(q, d)]) -> list[float]``
-    in Arrow batches, the model loaded once per Python worker."""
+    """Pluggable cross-encoder: ``scorer.predict(list[(q, d)]) -> list[float]`` on batches that
+    Spark forms; only the two texts go to Python, and the model is loaded once per worker
+    (``predict_batch_udf``). A null text is scored as an empty one."""
+    from pyspark.ml.functions import predict_batch_udf
     key = object_key(scorer_factory)
-    from pyspark.sql import types as T
-    out_schema = T.StructType(list(pairs.schema.fields) + [T.StructField("rerank_score", T.DoubleType())])
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = worker_object(key, scorer_factory)
-        for pdf in it:
-            scores = []
-            for s in range(0, len(pdf), batch_size):
-                part = pdf.iloc[s:s + batch_size]
-                scores.extend(m.predict(list(zip(part[query_col], part[doc_col]))))
-            yield pdf.assign(rerank_score=pd.Series(scores, dtype="float64").values)
+    def make():
+        model = worker_object(key, scorer_factory)
+        return lambda queries, docs: np.asarray(model.predict(list(zip(queries, docs))), np.float64)
 
-    return pairs.mapInPandas(run, out_schema)
+    score = predict_batch_udf(make, return_type=T.DoubleType(), batch_size=batch_size)
+    return pairs.withColumn("rerank_score", score(F.coalesce(F.col(query_col), F.lit("")), F.coalesce(F.col(doc_col), F.lit(""))))
 
 
 def rerank(candidates: DataFrame, k: int, scorer: Callable | None = None,
@@ -158,7 +156,9 @@ def filter_links(items: DataFrame, link_col: str = "link", mime_col: str = "mime
     """Drop items with a mime type; keep extension in {'', .html, .htm,
     .shtml}. ``whole_url=True`` applies the extension rule to the whole URL
     string (reference behaviour), otherwise to the URL path."""
-    src = F.col(link_col) if whole_url else F.coalesce(F.expr(f"parse_url({link_col}, 'PATH')"), F.lit(""))
+    # the path as RFC 3986 cuts it, also of a URL that is not valid otherwise
+    path = F.regexp_extract(link_col, r"^(?:[^:/?#]+:)?(?://[^/?#]*)?([^?#]*)", 1)
+    src = F.col(link_col) if whole_url else F.coalesce(path, F.lit(""))
     base = F.regexp_extract(src, r"([^/]*)$", 1)
     ext = F.regexp_extract(base, r"^\.*[^.].*(\.[^.]*)$", 1)
     return items.filter(F.col(mime_col).isNull() & ext.isin("", ".html", ".htm", ".shtml"))

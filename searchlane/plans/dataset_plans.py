@@ -192,3 +192,14 @@ def q_balanced_partitions(spark, sf_dir):
     assigned = BT.balance_partitions(idx, 4, equal_size=False)
     rep = BT.balance_report(assigned, idx)
     return rep.join(BT.micro_batch_count(idx, 64), "batch_id")
+
+
+@register("popped_rows", sql="""
+SELECT conv_id, turn, length(text)::BIGINT AS n_chars FROM conversations WHERE role = 'user'""")
+def q_popped_rows(spark, sf_dir):
+    """P12 + P13: rows chosen by a mask, and the columns that a pop leaves."""
+    from searchlane.operators.batching import pop_columns, select_rows
+    c = Tables(spark, sf_dir).conversations.withColumn("n_chars", F.length("text").cast("long")) \
+        .withColumn("active", F.col("role") == "user")
+    _, rest = pop_columns(select_rows(c, "active"), ["role", "text", "active"])
+    return rest

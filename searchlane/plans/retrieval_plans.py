@@ -77,7 +77,25 @@ def dense_topk(spark, sf_dir):
         "query_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
 
 
-@register("hashed_dense_search")
+def _sql_hashed(name: str, of: str, key: str, text: str) -> str:
+    """Unit vectors of signed md5 buckets (64 of them, so the first byte names one), as (key, b, x)."""
+    return f"""{name}_t AS (SELECT {key}, unnest({SQL_TERMS.format(x=text)}) AS t FROM {of}),
+{name}_b AS (SELECT {key}, ('0x' || substr(md5(t), 1, 2))::INT % 64 AS b,
+                    sum(CASE WHEN ('0x' || substr(md5(t), 10, 1))::INT % 2 = 1 THEN 1 ELSE -1 END)::DOUBLE AS n
+             FROM {name}_t GROUP BY ALL),
+{name} AS (SELECT {key}, b, (n::FLOAT / sqrt(sum(n * n) OVER (PARTITION BY {key}))::FLOAT)::DOUBLE AS x FROM {name}_b)"""
+
+
+@register("hashed_dense_search", sql=f"""
+WITH {SQL_CORPUS}, {_SQL_Q},
+{_sql_hashed('dv', 'corpus', 'id', "'passage: ' || contents")},
+{_sql_hashed('qv', 'q', 'query_id', "'query: ' || query")},
+s AS (SELECT q.query_id, c.id AS doc_id,
+             round(coalesce((SELECT sum(qv.x * dv.x) FROM qv JOIN dv USING (b)
+                             WHERE qv.query_id = q.query_id AND dv.id = c.id), 0), 6) AS score
+      FROM q, corpus c),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= {TOPK}""")
 def hashed_dense_search(spark, sf_dir):
     """V3, V8, T5: encode the corpus and the benchmark queries with the
     (pluggable) encoder, e5-style prefixes, dispatch by method name."""
@@ -328,3 +346,60 @@ def cse_results(spark, sf_dir):
     out = normalize_cse(items, 3)
     return out.select("query_id", "pos", F.col("rank").cast("int").alias("rank"),
                       F.md5("contents").alias("contents_md5"))
+
+
+class Md5Scorer:
+    """Deterministic stand-in for a cross-encoder: a share of 2^24 from the md5 of the pair."""
+
+    def predict(self, pairs):
+        import hashlib
+        return [int(hashlib.md5(f"{q}\n{d}".encode()).hexdigest()[:6], 16) / 2 ** 24 for q, d in pairs]
+
+
+@register("model_rerank", sql=f"""
+WITH {SQL_CORPUS}, {_SQL_Q}, {SQL_BM25_HITS.replace('{k}', '10')},
+cand AS (SELECT h.query_id, h.doc_id, q.query, {_PAIR_SQL} AS pair_text
+         FROM hits h JOIN corpus c ON c.id = h.doc_id JOIN q ON q.query_id = h.query_id),
+sc AS (SELECT *, ('0x' || substr(md5(query || chr(10) || pair_text), 1, 6))::INT / 16777216.0::DOUBLE AS rerank_score FROM cand),
+rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, doc_id) AS rerank_rank FROM sc)
+SELECT query_id, rerank_rank::INTEGER AS rerank_rank, doc_id, rerank_score FROM rr WHERE rerank_rank <= 3""")
+def model_rerank(spark, sf_dir):
+    """V12 + U3: BM25 top-10 reranked by a model loaded once a worker."""
+    from searchlane.operators.retrieval_extras import retrieve_rerank
+    t = Tables(spark, sf_dir)
+    corpus = fx.corpus(t)
+    rr = retrieve_rerank(fx.queries(t), corpus, build_bm25(corpus), 10, 3, scorer=Md5Scorer)
+    return rr.select("query_id", F.col("rerank_rank").cast("int").alias("rerank_rank"), "doc_id", "rerank_score")
+
+
+@register("nested_results_plain", sql=f"""
+WITH {SQL_CORPUS}, {_SQL_Q}, {SQL_BM25_HITS.replace('{k}', str(TOPK))}
+SELECT q.query_id, count(h.doc_id)::BIGINT AS n_results,
+       coalesce(string_agg(h.doc_id::VARCHAR || ':' || md5(c.contents), ',' ORDER BY h.rank), '') AS ranked
+FROM q LEFT JOIN hits h ON h.query_id = q.query_id LEFT JOIN corpus c ON c.id = h.doc_id GROUP BY q.query_id""")
+def nested_results_plain(spark, sf_dir):
+    """V10 without scores: ordered ``{document{id, contents}}`` lists."""
+    from searchlane.operators.observe import nest_results
+    t = Tables(spark, sf_dir)
+    corpus, qs = fx.corpus(t), fx.queries(t)
+    docs = attach_docs(bm25_search(qs, build_bm25(corpus), k=TOPK), corpus, queries=qs, k=TOPK)
+    ranked = F.array_join(F.transform("result", lambda e: F.concat(
+        e["document"]["id"].cast("string"), F.lit(":"), F.md5(e["document"]["contents"]))), ",")
+    return nest_results(qs, docs, with_scores=False).select(
+        "query_id", F.size("result").cast("long").alias("n_results"), ranked.alias("ranked"))
+
+
+@register("link_filter_paths", sql="""
+WITH it AS (SELECT page_id, url || CASE WHEN page_id % 3 = 0 THEN '?view=full.pdf' WHEN page_id % 3 = 1 THEN '/doc.html#top.pdf'
+                                        ELSE '/paper.pdf' END AS link, CASE WHEN page_id % 7 = 0 THEN 'application/pdf' END AS mime FROM pages),
+x AS (SELECT *, regexp_extract(regexp_extract(regexp_extract(link, '^[a-z]+://[^/?#]*([^?#]*)', 1), '([^/]*)$', 1),
+                               '^\\.*[^.].*(\\.[^.]*)$', 1) AS ext FROM it)
+SELECT page_id, link FROM x WHERE mime IS NULL AND ext IN ('', '.html', '.htm', '.shtml')""")
+def link_filter_paths(spark, sf_dir):
+    """P15 by its default rule: the extension of the URL's path, whatever its query or fragment."""
+    from searchlane.operators.retrieval_extras import filter_links
+    k = F.col("page_id")
+    end = F.when(k % 3 == 0, "?view=full.pdf").when(k % 3 == 1, "/doc.html#top.pdf").otherwise("/paper.pdf")
+    items = Tables(spark, sf_dir).pages.select("page_id", F.concat("url", end).alias("link"),
+                                               F.when(k % 7 == 0, F.lit("application/pdf")).alias("mime"))
+    return filter_links(items).select("page_id", "link")

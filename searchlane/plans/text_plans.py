@@ -411,6 +411,10 @@ SELECT p_partkey, (CASE WHEN p_partkey % 12 IN (0, 1, 2, 3, 5, 6, 7) THEN 1.0
                         ELSE 0.0 END)::DOUBLE AS score FROM part""")
 def q_math_scores(spark, sf_dir):
     """R6 + T19 over parts: boxed answers in twelve written forms."""
+    return R.score_math(_boxed_answers(spark, sf_dir), "solution", "gt").select("p_partkey", "score")
+
+
+def _boxed_answers(spark, sf_dir):
     p = _t(spark, sf_dir).part
     k = p.p_partkey
     a, b = (k % 9 + 1).cast("string"), (k % 7 + 2).cast("string")
@@ -424,8 +428,21 @@ def q_math_scores(spark, sf_dir):
     sol = F
     for i, form in enumerate(forms):
         sol = sol.when(k % 12 == i, form)
-    df = p.select("p_partkey", sol.alias("solution"), frac.alias("gt"))
-    return R.score_math(df, "solution", "gt").select("p_partkey", "score")
+    return p.select("p_partkey", sol.alias("solution"), frac.alias("gt"))
+
+
+@register("eval_scores", sql="""
+SELECT 'lighteval/MATH' AS data_source, count(*)::BIGINT AS n,
+       round(avg(CASE WHEN p_partkey % 12 IN (0, 1, 2, 3, 5, 6, 7) THEN 1.0
+                      WHEN p_partkey % 12 = 11 AND p_partkey % 9 + 1 = 1 AND p_partkey % 7 + 2 = 2 THEN 1.0
+                      ELSE 0.0 END), 6)::DOUBLE AS mean_score FROM part""")
+def q_eval_scores(spark, sf_dir):
+    """R9 with the evaluation registry (MATH): responses dispatched by data source, mean score."""
+    df = _boxed_answers(spark, sf_dir).select(
+        F.lit("lighteval/MATH").alias("data_source"), F.col("solution").alias("full_sequence"),
+        F.array("gt").alias("golden_answers"))
+    return R.score_rollouts(df, registry="eval").groupBy("data_source").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean_score"))
 
 
 @register("format_reasons")
