@@ -396,13 +396,12 @@ def token_counts(col, tokenizer_factory=WhitespaceTokenizer) -> F.Column:
     text); the tokenizer is built once per Python worker."""
     import pandas as pd
 
-    cache: dict = {}
+    from searchlane.operators.common import object_key, worker_object
+    key = object_key(tokenizer_factory)
 
     @F.pandas_udf("long")
     def count(s: pd.Series) -> pd.Series:
-        if "t" not in cache:
-            cache["t"] = tokenizer_factory()
-        tok = cache["t"]
+        tok = worker_object(key, tokenizer_factory)
         return s.map(lambda x: len(tok.encode(x)) if x is not None else 0).astype("int64")
 
     return count(F.col(col) if isinstance(col, str) else col)
