@@ -73,6 +73,16 @@ def q_rewrite_prompts(spark, sf_dir):
                     .alias("question")), "qid")
 
 
+@register("decision_prompts", sql=f"""
+WITH {SQL_FX['qa']}
+SELECT qid, md5({_sql_fill(DS.TEMPLATE_DECISION, question=sql_strip(_NQ2))}) AS rewritten_md5 FROM qa""")
+def q_decision_prompts(spark, sf_dir):
+    """P5: search prompts rewritten to the decision template with parallel searches."""
+    qa = fx.qa(Tables(spark, sf_dir)).withColumnRenamed("qid", "index")
+    rw = DS.rewrite_prompts(DS.build_prompt_rows(qa, "nq", "train", "nq_search"), DS.TEMPLATE_DECISION)
+    return rw.select(F.col("extra_info.index").alias("qid"), F.md5(F.col("prompt")[0]["content"]).alias("rewritten_md5"))
+
+
 @register("slice_rows", sql=f"""
 WITH {SQL_FX['qa']}
 SELECT qid, question FROM qa ORDER BY qid LIMIT 512 OFFSET 100""")
