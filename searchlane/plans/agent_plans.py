@@ -105,6 +105,17 @@ def q_replay(spark, sf_dir):
                                        "active", "collector_status")
 
 
+@register("failed_rollouts", sql=f"""
+WITH {_SQL_REPLAY}
+SELECT sample_id, CASE WHEN active OR sample_id % 5 = 0 THEN 'failed' ELSE 'completed' END AS collector_status,
+       CASE WHEN sample_id % 5 = 0 THEN 'model failed' END AS error FROM rp""")
+def q_failed_rollouts(spark, sf_dir):
+    """Per-sample errors joined to the replay's status; an error fails a sample that answered."""
+    r = RO.replay_rollouts(fx.responses(Tables(spark, sf_dir)), MAX_TURNS)
+    errors = r.where("sample_id % 5 = 0").select("sample_id", F.lit("model failed").alias("error"))
+    return RO.collect_status(r, errors).select("sample_id", "collector_status", "error")
+
+
 @register("env_metrics", sql=f"""
 WITH {_SQL_REPLAY}
 SELECT round(avg(turns), 6) AS actions_mean, max(turns)::DOUBLE AS actions_max, min(turns)::DOUBLE AS actions_min,

@@ -279,6 +279,21 @@ def q_data_metrics(spark, sf_dir):
     return m.select("batch_id", "metric", F.round("value", R6).alias("value"))
 
 
+@register("prompt_length_metrics", sql=f"""
+WITH {SQL_FX['token_rows']},
+p AS (SELECT batch_id, (row_id % 11 + 1)::DOUBLE AS n FROM token_rows),
+w AS (SELECT batch_id, avg(n) AS m, max(n) AS hi, min(n) AS lo, avg(CASE WHEN n = 11 THEN 1.0 ELSE 0.0 END)::DOUBLE AS clip
+      FROM p GROUP BY batch_id),
+l AS (SELECT batch_id, metric, value FROM w UNPIVOT (value FOR metric IN (
+        m AS 'prompt_length/mean', hi AS 'prompt_length/max', lo AS 'prompt_length/min', clip AS 'prompt_length/clip_ratio')))
+SELECT batch_id, metric, round(value, 6) AS value FROM l""")
+def q_prompt_length_metrics(spark, sf_dir):
+    """R14 with prompt lengths (of 1 to 11 tokens by row): their statistics and the share at the cap."""
+    m = ADV.data_metrics(_gae_frame(spark, sf_dir), use_critic=False, prompt_len=(F.col("row_id") % 11 + 1).cast("double"),
+                         max_prompt_length=11)
+    return m.where(F.col("metric").startswith("prompt_length/")).select("batch_id", "metric", F.round("value", R6).alias("value"))
+
+
 @register("reduce_metrics", sql=f"""
 WITH {_SQL_METRICS}
 SELECT metric, round(avg(value), 6) AS value FROM long GROUP BY metric""")
