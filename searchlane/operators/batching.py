@@ -194,6 +194,17 @@ def snake_deal(df: DataFrame, k: int, len_col: str = "seqlen", key: str = "row_i
     return idx.withColumn("partition_id", F.when(lap % 2 == 0, pos).otherwise(k - 1 - pos).cast("int")).drop("_r")
 
 
+def snake_batches(df: DataFrame, k: int, len_col: str = "seqlen", batch_col: str = "batch_id",
+                  row_col: str = "row_idx") -> DataFrame:
+    """W8/W11 by windows: the rows of each (bounded) batch, ranked by length, are dealt to k
+    partitions in snake order; sizes differ by one row at most. Returns (batch, row, partition_id)."""
+    r = F.row_number().over(Window.partitionBy(batch_col).orderBy(F.col(len_col).desc(), F.col(row_col))) - 1
+    pos = F.col("_r") % k
+    return (df.withColumn("_r", r).select(
+        F.col(batch_col).cast("long"), F.col(row_col).cast("long"),
+        F.when(F.floor(F.col("_r") / k) % 2 == 0, pos).otherwise(k - 1 - pos).cast("int").alias("partition_id")))
+
+
 __all__ = ["with_row_index", "repeat_rows", "concat_batches", "chunk", "mini_batches", "pad_to_divisor",
            "karmarkar_karp", "greedy_partition", "balance_partitions", "balance_report",
-           "micro_batch_count", "restore_order", "snake_deal", "Window"]
+           "micro_batch_count", "restore_order", "snake_batches", "snake_deal", "Window"]

@@ -192,15 +192,20 @@ def q_row_index(spark, sf_dir):
     return BT.with_row_index(li, [F.col("l_extendedprice").desc(), "l_orderkey", "l_linenumber", "l_partkey"])
 
 
-@register("balanced_partitions")
+@register("balanced_partitions", sql=f"""
+WITH {SQL_FX['token_rows']},
+x AS (SELECT row_id, len(responses) AS n, row_number() OVER (ORDER BY row_id) - 1 AS i FROM token_rows),
+b AS (SELECT *, i // 256 AS batch_id, row_number() OVER (PARTITION BY i // 256 ORDER BY n DESC, i) - 1 AS r FROM x),
+p AS (SELECT *, CASE WHEN (r // 4) % 2 = 0 THEN r % 4 ELSE 3 - r % 4 END AS part FROM b),
+t AS (SELECT batch_id, part, sum(n) AS tokens FROM p GROUP BY ALL)
+SELECT batch_id::BIGINT AS batch_id, min(tokens)::BIGINT AS min_tokens, max(tokens)::BIGINT AS max_tokens,
+       avg(tokens)::DOUBLE AS mean_tokens, ceil(sum(tokens) / 64.0)::INTEGER AS n_micro FROM t GROUP BY batch_id""")
 def q_balanced_partitions(spark, sf_dir):
-    """Length-balanced partitions (largest differencing) inside each
-    fixed 256-row training batch of the token table (batches are bounded by
-    construction), with the per-batch spread and micro-batch count."""
+    """Length-balanced partitions, dealt in snake order by length inside each fixed
+    256-row training batch of the token table, with the per-batch spread and micro-batch count."""
     tr = fx.token_rows(Tables(spark, sf_dir)).select("row_id", F.size("responses").alias("seqlen"))
     idx = BT.mini_batches(BT.with_row_index(tr, ["row_id"]), 256)
-    assigned = BT.balance_partitions(idx, 4, equal_size=False)
-    rep = BT.balance_report(assigned, idx)
+    rep = BT.balance_report(BT.snake_batches(idx, 4), idx)
     return rep.join(BT.micro_batch_count(idx, 64), "batch_id")
 
 

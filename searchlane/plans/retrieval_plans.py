@@ -204,11 +204,14 @@ def page_paragraphs(spark, sf_dir):
     return p.select("page_id", F.md5(txt).alias("text_md5"), F.length(txt).cast("long").alias("text_chars"))
 
 
-@register("page_paragraphs_parser")
+@register("page_paragraphs_parser", sql=f"""
+SELECT page_id, length({_SQL_PTEXT})::BIGINT AS text_chars, len(string_split({_SQL_PTEXT}, chr(10)))::BIGINT AS n_paragraphs
+FROM pages""")
 def page_paragraphs_parser(spark, sf_dir):
-    """Tolerant HTML parser (unclosed <p>) in Arrow batches."""
-    from searchlane.operators.retrieval_extras import page_text
-    p = page_text(Tables(spark, sf_dir).pages)
+    """Size and number of a page's paragraphs (unclosed <p> included) in the column form; the
+    parser it replaces is the tests' reference."""
+    from searchlane.operators.retrieval_extras import page_text_regex
+    p = Tables(spark, sf_dir).pages.select("page_id", page_text_regex("html").alias("text"))
     return p.select("page_id", F.length("text").cast("long").alias("text_chars"),
                     F.size(F.split("text", "\n")).cast("long").alias("n_paragraphs"))
 

@@ -62,3 +62,17 @@ def test_slice_rows_and_exact_sample_use_the_index(spark):
     assert sorted(r.k for r in DS.slice_rows(df, ["k"], 100, 50).collect()) == list(range(100, 150))
     assert sorted(r.k for r in DS.slice_rows(df, ["k"], 990).collect()) == list(range(990, 1000))
     assert DS.sample_exact(df, 37, "k").count() == 37
+
+
+def test_snake_batches_balance_every_batch(spark):
+    rows = [(i // 20, i, 1 + i * 7919 % 97) for i in range(50)]
+    df = spark.createDataFrame(rows, "batch_id long, row_idx long, seqlen int")
+    got = {(r.batch_id, r.row_idx): r.partition_id for r in BT.snake_batches(df, 4).collect()}
+    assert len(got) == 50 and set(got.values()) == {0, 1, 2, 3}
+    for b in range(3):
+        sums, sizes = [0] * 4, [0] * 4
+        for batch, i, n in rows:
+            if batch == b:
+                sums[got[b, i]] += n
+                sizes[got[b, i]] += 1
+        assert max(sizes) - min(sizes) <= 1 and max(sums) - min(sums) <= 97
