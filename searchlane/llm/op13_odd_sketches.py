@@ -177,10 +177,16 @@ def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) -> Dat
 
 
 def _salted(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``pairs`` (a, b) dealt over salts of ``PER_SALT`` pairs of one class a, and the salts of each a."""
-    salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PER_SALT).cast("int").alias("salts"))
-    dealt = pairs.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int")).drop("salts")
-    return dealt, salts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    """``pairs`` (a, b) dealt over salts of ``PER_SALT`` pairs of one class a, and the salts of each a.
+    Only classes of more pairs get several; they are few, and broadcast within a bound, so
+    that the pairs stay where they are."""
+    hot = bounded_broadcast(scratch.store(
+        pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PER_SALT).cast("int").alias("salts")).where("salts > 1"),
+        "odd_hot"), WANTED_ROWS)
+    salts = F.coalesce("salts", F.lit(1))
+    dealt = (pairs.join(hot, "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), salts).cast("int")).drop("salts"))
+    each = pairs.select("a").distinct().join(hot, "a", "left")
+    return dealt, each.select("a", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
 
 
 def _with_sides(dealt: DataFrame, salts: DataFrame, side: DataFrame) -> DataFrame:
