@@ -3,24 +3,33 @@
 Totals by source, language and tokenizer version are kept as sums of signed batch deltas.
 A batch of changes (``insert``, ``revise`` or ``delete`` of documents) is turned into
 signed rows against the counts on record: minus what a document counted so far, plus what
-it counts now. A batch directory holds those document rows and their small aggregate by
-key; it is written aside and committed by one rename, so that
-
-* a batch id that is committed is never applied again (a redelivered batch is a no-op, and
-  of two writers one wins);
+it counts now. Batches form a numbered log. A batch directory holds those document rows
+and their small aggregate by key; it is written aside and committed by one rename to the
+next free number, so that
+
+* a batch id in the log is never applied again (a redelivered batch is a no-op, and of
+  two writers of one batch one wins);
+* commits are ordered: a writer whose number was taken meanwhile reads the log again and
+  computes its deltas against it, so no two batches subtract the same counts;
 * a lost job leaves nothing that readers see;
 * totals are read from the aggregates alone; no text is counted twice.
 
-``compact`` folds the aggregates of all batches into one; document rows stay.
+``compact`` folds the first batches of the log, aggregates and document rows, into one
+table each; commits and totals start from there and read later batches only.
 
 Tokenizers are named by version and map a text column to a count column, either built-in
 functions (``VERSIONS``) or a pandas UDF over a public vocabulary file (:func:`bpe_count`).
 
-Defined cases: of several changes of one document in a batch a delete wins, then the
-larger counts; a delete of an unknown document changes nothing; an insert of a known one
-revises it; null and empty texts count 0 tokens and one document; a null id counts as the
-document null; null source or language is a key of its own; keys whose documents are all
-gone vanish; an empty batch commits and changes nothing; other columns aren't read.
+Defined cases: of several changes of one document in a batch the last by the column named
+in ``order`` wins, without one (and in ties) a delete, then the row with the larger counts,
+compared in the order of the version names: one row stands for the document in all
+versions. A delete of an unknown document changes nothing; an insert of a known one
+revises it; counts of versions this rollup doesn't name stay as they are. Rows without an
+id can't be told apart: each one inserted or revised is a document of its own, and a delete
+without an id takes all such documents of its source and language, those of its own batch
+too. Null and empty texts count 0 tokens and one document; null source or language is a key
+of its own; keys whose documents are all gone vanish; an empty batch commits and changes
+nothing; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -28,6 +37,7 @@ from __future__ import annotations
 import base64
 import uuid
 from collections.abc import Callable
+from urllib.parse import quote, unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +56,8 @@ def n_alnum(text: Column) -> Column:
 
 VERSIONS: dict[str, Callable[[Column], Column]] = {"space-words-1": n_words, "alnum-runs-1": n_alnum}
 KEYS = ("source", "lang", "tokenizer")
+DOCUMENTS = "doc_id long, source string, lang string, tokenizer string, n long, sign long"
+TOTALS = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 LABELS = 2_000_000  # labelled ids that are broadcast; beyond, the join shuffles
 
 
@@ -75,15 +87,12 @@ class TokenRollup:
     def __init__(self, spark: SparkSession, path: str, versions: dict[str, Callable[[Column], Column]] | None = None):
         self.spark, self.path = spark, path.rstrip("/")
         self.versions = versions or VERSIONS
+        self._ids: dict[int, str] = {}  # entries of the log never change
 
     def _fs(self, path: str):
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def _exists(self, path: str) -> bool:
-        fs, p = self._fs(path)
-        return fs.exists(p)
-
     def _publish(self, aside: str, final: str) -> bool:
         """Rename once; False, and nothing left behind, if ``final`` exists."""
         fs, src = self._fs(aside)
@@ -96,72 +105,94 @@ class TokenRollup:
         return False
 
     def committed(self) -> list[str]:
+        """Batch ids in the order of their commits."""
         fs, p = self._fs(f"{self.path}/batches")
-        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
-
-    def _rows(self, part: str, schema: str) -> DataFrame:
-        paths = [f"{self.path}/batches/{b}/{part}" for b in self.committed()]
+        for entry in fs.listStatus(p) if fs.exists(p) else []:
+            number = int(entry.getPath().getName())
+            if number not in self._ids:
+                name, = (f.getPath().getName() for f in fs.listStatus(self._fs(f"{entry.getPath()}/id")[1]))
+                self._ids[number] = unquote(name[2:])
+        return [self._ids[i] for i in sorted(self._ids)]
+
+    def _read(self, part: str, schema: str, upto: int) -> DataFrame:
+        """Rows of the first ``upto`` batches: the newest fold within them and the batches after it."""
+        fs, p = self._fs(f"{self.path}/folded")
+        folds = [int(f.getPath().getName()) for f in fs.listStatus(p)] if fs.exists(p) else []
+        first = max((n for n in folds if n <= upto), default=0)
+        paths = ([f"{self.path}/folded/{first:012d}/{part}"] if first else []) + [
+            f"{self.path}/batches/{i:012d}/{part}" for i in range(first, upto)]
         return (self.spark.read.schema(schema).parquet(*paths) if paths
                 else self.spark.createDataFrame([], schema))
 
-    def counted(self, changes: DataFrame) -> DataFrame:
-        """(doc_id, op, source, lang, tokenizer, n): one row a change and tokenizer version."""
+    def counted(self, changes: DataFrame, order: str | None = None) -> DataFrame:
+        """(doc_id, gone, source, lang, tokenizer, n, sign): the change that stands for each document,
+        and those without an id by equal counts, ``sign`` of them, a row a tokenizer version."""
         each = F.array(*[F.struct(F.lit(name).alias("tokenizer"), count(F.col("text").cast("string")).alias("n"))
                          for name, count in sorted(self.versions.items())])
-        return (changes.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("op"), F.col("source").cast("string"),
-                               F.col("lang").cast("string"), F.explode(each).alias("c"))
-                .select("doc_id", "op", "source", "lang", "c.tokenizer", "c.n"))
-
-    def commit(self, batch_id: str, changes: DataFrame) -> bool:
+        rows = changes.select(
+            F.col("doc_id").cast("long").alias("doc_id"), (F.col(order) if order else F.lit(0)).alias("at"),
+            F.coalesce(F.col("op") == "delete", F.lit(False)).alias("gone"), each.alias("counts"),
+            F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"))
+        known = (rows.where(F.col("doc_id").isNotNull()).groupBy("doc_id")
+                 .agg(F.max(F.struct("at", "gone", "counts", "source", "lang")).alias("now"))
+                 .select("doc_id", "now.gone", "now.source", "now.lang", F.explode("now.counts").alias("c"))
+                 .select("doc_id", "gone", "source", "lang", "c.*", F.lit(1).cast("long").alias("sign")))
+        loose = (rows.where(F.col("doc_id").isNull()).select("gone", "source", "lang", F.explode("counts").alias("c"))
+                 .select("gone", "source", "lang", "c.*").groupBy("gone", "source", "lang", "tokenizer", "n")
+                 .agg(F.count(F.lit(1)).alias("sign")))
+        return known.unionByName(loose.withColumn("doc_id", F.lit(None).cast("long")))
+
+    def _signed(self, new: DataFrame, upto: int) -> DataFrame:
+        """The rows of ``new`` and, negated, those on record in the first ``upto`` batches that they replace."""
+        on_record = self._read("documents", DOCUMENTS, upto)
+        ids = new.where(F.col("doc_id").isNotNull()).select("doc_id", "tokenizer")
+        taken = (new.where("gone AND doc_id IS NULL")
+                 .select(F.col("source").alias("s"), F.col("lang").alias("l"), F.col("tokenizer").alias("t")))
+        same = (F.col("source").eqNullSafe(F.col("s")) & F.col("lang").eqNullSafe(F.col("l"))
+                & (F.col("tokenizer") == F.col("t")))
+        old = (on_record.join(ids, ["doc_id", "tokenizer"], "left_semi")
+               .unionByName(on_record.where("doc_id IS NULL").join(taken, same, "left_semi"))
+               .groupBy("doc_id", *KEYS, "n").agg((-F.sum("sign")).alias("sign")).where("sign <> 0"))
+        fresh = new.where("NOT gone").drop("gone")
+        return (old.unionByName(fresh.where("doc_id IS NOT NULL"))
+                .unionByName(fresh.where("doc_id IS NULL").join(taken, same, "left_anti")))
+
+    def commit(self, batch_id: str, changes: DataFrame, order: str | None = None) -> bool:
         """Apply ``changes`` (doc_id, op, text, source, lang) once; False if the batch is known."""
-        final = f"{self.path}/batches/{batch_id}"
-        if self._exists(final):
+        if batch_id in self.committed():
             return False
-        last = F.max(F.struct((F.col("op") == "delete").alias("gone"), "n", "source", "lang")).alias("now")
-        new = scratch.store(self.counted(changes).groupBy("doc_id", "tokenizer").agg(last)
-                            .select("doc_id", "tokenizer", "now.*"), "rollup_batch")
-        on_record = self._rows("documents", "doc_id long, tokenizer string, source string, lang string, n long, sign int")
-        touched = new.select(F.col("doc_id").alias("d"), F.col("tokenizer").alias("t"))
-        old = (on_record.join(touched, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tokenizer") == F.col("t")),
-                              "left_semi")
-               .groupBy("doc_id", "tokenizer", "source", "lang", "n").agg(F.sum("sign").alias("sign"))
-               .where("sign > 0").withColumn("sign", F.lit(-1)))
-        signed = old.unionByName(new.where(~F.col("gone")).drop("gone").withColumn("sign", F.lit(1)))
-        aside = f"{self.path}/aside/{uuid.uuid4().hex}"
-        signed.withColumn("sign", F.col("sign").cast("int")).write.parquet(f"{aside}/documents")
-        (self.spark.read.parquet(f"{aside}/documents").groupBy(*KEYS)
-         .agg(F.sum("sign").alias("n_docs"), F.sum(F.col("sign") * F.col("n")).alias("n_tokens"))
-         .write.parquet(f"{aside}/totals"))
+        new = scratch.store(self.counted(changes, order), "rollup_batch")
+        done = False
+        while not done and batch_id not in (log := self.committed()):
+            aside = f"{self.path}/aside/{uuid.uuid4().hex}"
+            self._signed(new, len(log)).write.parquet(f"{aside}/documents")
+            (self.spark.read.schema(DOCUMENTS).parquet(f"{aside}/documents").groupBy(*KEYS)
+             .agg(F.sum("sign").alias("n_docs"), F.sum(F.col("sign") * F.col("n")).alias("n_tokens"))
+             .write.parquet(f"{aside}/totals"))
+            fs, mark = self._fs(f"{aside}/id/b-{quote(batch_id, safe='')}")
+            fs.create(mark).close()
+            done = self._publish(aside, f"{self.path}/batches/{len(log):012d}")
         scratch.discard(new)
-        return self._publish(aside, final)
+        return done
 
-    def totals(self) -> DataFrame:
-        """source, lang, tokenizer, n_docs, n_tokens over all committed batches."""
-        names = set(self.committed())
-        schema = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
-        folded = self._folded()
-        later = sorted(names - set(folded[1])) if folded else sorted(names)
-        paths = ([folded[0]] if folded else []) + [f"{self.path}/batches/{b}/totals" for b in later]
-        rows = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+    def totals(self, upto: int | None = None) -> DataFrame:
+        """source, lang, tokenizer, n_docs, n_tokens over all committed batches, or the first ``upto``."""
+        rows = self._read("totals", TOTALS, len(self.committed()) if upto is None else upto)
         return (rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
                 .where("n_docs <> 0 OR n_tokens <> 0"))
 
-    def _folded(self) -> tuple[str, list[str]] | None:
-        """The newest compaction: where its totals lie and the batches it covers."""
-        fs, p = self._fs(f"{self.path}/folded")
-        if not fs.exists(p):
-            return None
-        newest = max(s.getPath().getName() for s in fs.listStatus(p))
-        at = f"{self.path}/folded/{newest}"
-        return f"{at}/totals", [r.batch for r in self.spark.read.parquet(f"{at}/batches").collect()]
-
     def compact(self) -> bool:
-        """Fold all committed aggregates into one table that :meth:`totals` then starts from."""
-        names = self.committed()
+        """Fold the batches committed so far; False if that is done already."""
+        upto = len(self.committed())
+        final = f"{self.path}/folded/{upto:012d}"
+        fs, p = self._fs(final)
+        if not upto or fs.exists(p):
+            return False
         aside = f"{self.path}/aside/{uuid.uuid4().hex}"
-        self.totals().write.parquet(f"{aside}/totals")
-        self.spark.createDataFrame([(b,) for b in names], "batch string").write.parquet(f"{aside}/batches")
-        return self._publish(aside, f"{self.path}/folded/{len(names):012d}")
+        self.totals(upto).write.parquet(f"{aside}/totals")
+        (self._read("documents", DOCUMENTS, upto).groupBy("doc_id", *KEYS, "n").agg(F.sum("sign").alias("sign"))
+         .where("sign <> 0").write.parquet(f"{aside}/documents"))
+        return self._publish(aside, final)
 
 
 def op1_token_rollup(spark, sf_dir):
