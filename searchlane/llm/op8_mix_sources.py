@@ -1,18 +1,26 @@
 """Mixing sources to target weights, with DataFrame and SQL functions only.
 
 1. *Pack.* The documents of a source, in doc_id order, form one stream of words cut into
-   blocks of ``BLOCK`` words. Stream positions are running sums in three levels: inside
-   ranges of ``RANGE`` ids, over the ranges of a span of ``RANGE`` ranges, and over the
-   spans' totals, so no window holds the documents of a source.
+   blocks of ``BLOCK`` words. The sizes are range-sorted by source and id into parts of
+   about ``PART`` rows and written; stream positions are running sums inside a part, whose
+   number follows the rows whatever the ids look like, and over the totals of the parts.
 2. *Targets.* Sources by code point (null last) weigh 5, 2, 1, repeating, and share
    ``BUDGET`` times all words; a target stops at twice its source and the excess is shared
    again. The level at which that settles is one running sum over the sources.
-3. *Draw.* A source owns as many slots as blocks fit its target. A pseudorandom
-   permutation of all slots gives each its output shard and place, so a shard's source
-   counts are a multinomial draw conditioned on totals that meet the targets.
-4. *Take.* A source's slots run through a pseudorandom permutation of its block indices,
-   again from the start once all blocks are used, and blocks join slots by index. A block
-   is taken at most twice, and so is every document.
+3. *Draw.* The mixture has as many slots as blocks fit the targets, dealt to output shards
+   of ``SHARD`` slots. Every shard draws its source counts: a source gets the whole part of
+   its expected count, and the slots left over, fewer than there are sources, are drawn
+   multinomially by the fractions (residual multinomial draw), from a seeded hash of shard
+   and draw.
+4. *Take.* A source's slots, numbered through the shards, run through a pseudorandom
+   permutation of its block indices, again from the start once all blocks are used, and
+   blocks join slots by index. Slots beyond twice the blocks of a source stay empty, so a
+   block is taken at most twice, and so is every document.
+
+A source's slots differ from its target by less than one a shard downwards and by fewer
+than the number of sources a shard upwards, with a standard deviation of at most half the
+root of the slots left over in all shards; a mixture of one shard meets its targets to a
+block. Independent draws of all slots would miss small sources by their sampling noise.
 
 Permutations are swap-or-not networks (Hoang, Morris and Rogaway, 2012) on exactly n
 indices, in integer arithmetic: nothing is drawn at run time, so reruns agree.
@@ -33,11 +41,12 @@ from searchlane.llm.textkit import SPACES
 from searchlane.operators.common import bounded_broadcast
 
 BLOCK = 128
-SHARD = 8192  # slots of an output shard
+SHARD = 1024  # slots of an output shard, more if there are more sources
+SPAN = 1024  # shards whose counts one running sum adds up
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
 MOST = 2.0
-RANGE = 512
+PART = 1_000_000  # rows of a part of the range sort
 ROUNDS = 24
 PRIME = 2147483647
 MAX_SOURCES = 100_000  # sources that are broadcast; beyond, the joins shuffle
@@ -106,33 +115,30 @@ def _same(left: Column, right: Column) -> Column:
 
 def pack(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size, start): where each document lies in its source's stream."""
-    marked = docs.select(
+    text = F.col("text").cast("string")
+    sizes = scratch.store(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        n_words(F.col("text").cast("string")).alias("size"),
-        F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("tie"))
-    at = F.coalesce(F.floor(F.col("doc_id") / RANGE), F.pmod("tie", F.lit(1 << 20)))
-    marked = scratch.store(
-        marked.withColumn("last", F.col("doc_id").isNull()).withColumn("range", at)
-        .withColumn("span", F.floor(F.col("range") / RANGE)), "mix_sizes")
+        n_words(text).alias("size"), F.xxhash64(text).alias("tie")), "mix_sizes")
+    return place(sizes)
 
-    def before(*keys: str, order: list):
-        return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+
+def place(sizes: DataFrame, part: int = PART) -> DataFrame:
+    """(doc_id, source, size, tie, start) of a table (doc_id, source, size, tie)."""
+    order = [F.col("doc_id").asc_nulls_last(), F.col("tie"), F.col("size")]
+    parts = max(1, -(-sizes.count() // part))
+    # the part is written with the rows: it is read from the table, not planned again
+    sizes = scratch.store(sizes.repartitionByRange(parts, F.col("source"), *order)
+                          .withColumn("part", F.spark_partition_id()), "mix_parts")
 
     def ahead(n: str, window) -> Column:
-        return F.coalesce(F.sum(n).over(window), F.lit(0))
-
-    ranges = scratch.store(marked.groupBy("source", "last", "span", "range").agg(F.sum("size").alias("n")), "mix_ranges")
-    spans = (ranges.groupBy("source", "last", "span").agg(F.sum("n").alias("n"))
-             .select(F.col("source").alias("s"), F.col("last").alias("l"), F.col("span").alias("p"),
-                     ahead("n", before("source", order=["last", "span"])).alias("spans_before")))
-    offsets = (ranges.withColumn("ranges_before", ahead("n", before("source", "last", "span", order=["range"])))
-               .join(spans, _same(F.col("source"), F.col("s")) & (F.col("last") == F.col("l")) & (F.col("span") == F.col("p")))
-               .select(F.col("source").alias("of"), F.col("last").alias("l"), F.col("range").alias("r"),
-                       (F.col("spans_before") + F.col("ranges_before")).alias("offset")))
-    inside = before("source", "last", "range", order=["doc_id", "tie", "size"])
-    return (marked.withColumn("run", ahead("size", inside))
-            .join(offsets, _same(F.col("source"), F.col("of")) & (F.col("last") == F.col("l")) & (F.col("range") == F.col("r")))
-            .select("doc_id", "source", "size", (F.col("offset") + F.col("run")).alias("start")))
+        return F.coalesce(F.sum(n).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    offsets = (sizes.groupBy("source", "part").agg(F.sum("size").alias("n"))
+               .select(F.col("source").alias("of"), F.col("part").alias("p"),
+                       ahead("n", Window.partitionBy("source").orderBy("part")).alias("offset")))
+    return (sizes.withColumn("run", ahead("size", Window.partitionBy("source", "part").orderBy(*order)))
+            .join(offsets, _same(F.col("source"), F.col("of")) & (F.col("part") == F.col("p")))
+            .select("doc_id", "source", "size", "tie", (F.col("offset") + F.col("run")).alias("start")))
 
 
 def plan_sources(packed: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -142,40 +148,90 @@ def plan_sources(packed: DataFrame, block: int = BLOCK) -> DataFrame:
     slots = F.when(F.col("source_size") > 0, F.least(
         F.floor(F.col("target") * F.col("blocks") / F.col("source_size") + 0.5).cast("long"), F.col("blocks") * 2)
     ).otherwise(0).cast("long")
-    before = Window.partitionBy(F.lit(0)).orderBy("stream").rowsBetween(Window.unboundedPreceding, -1)
     return (targets(sizes).withColumn("blocks", blocks).withColumn("slots", slots)
-            .withColumn("first_slot", F.coalesce(F.sum("slots").over(before), F.lit(0)))
-            .withColumn("all_slots", F.sum("slots").over(Window.partitionBy(F.lit(0))))
             .withColumn("keys", round_keys(F.col("stream"))))
 
 
-def draw(sources: DataFrame, shard: int = SHARD) -> DataFrame:
-    """One row a slot: stream, slot, block (index in the source), out_shard and out_place."""
+def uniform(shard: Column, i: Column, below: Column) -> Column:
+    """A pseudorandom number under ``below`` for draw ``i`` of a shard: two hashes of 31 bits."""
+    p = F.lit(PRIME).cast("long")
+
+    def half(salt: int) -> Column:
+        v = ((shard % p + 3) * 48271 + (i + 1) * 69621 + salt) % p
+        v = (v * v + salt) % p
+        return (v * v + i) % p
+
+    return (half(24680) * p + half(13579)) % below
+
+
+def draw_counts(sources: DataFrame, shard: int = SHARD) -> DataFrame:
+    """(out_shard, stream, n, first): the slots of every source in every output shard and the
+    number of its slots in the shards before, by a residual multinomial draw a shard."""
     spark = sources.sparkSession
-    total = sources.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
-    # runs of slots, not yet slots: few small rows, so their number of tasks is set here
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (16 * shard))
-    runs = (sources.where("slots > 0")
-            .withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / shard))))
-            .repartition(tasks, "stream", "run"))
-    slots = runs.withColumn("slot", F.explode(F.sequence(
-        F.col("run") * shard, F.least((F.col("run") + 1) * shard, F.col("slots")) - 1)))
-    place = permuted(F.col("first_slot") + F.col("slot"), F.col("all_slots"), round_keys(F.lit(-1).cast("long")))
-    return slots.select("stream", "slot", permuted(F.col("slot") % F.col("blocks"), F.col("blocks"),
-                                                   F.col("keys")).alias("block"), place.alias("place")).select(
-        "stream", "slot", "block", F.floor(F.col("place") / shard).alias("out_shard"),
-        (F.col("place") % shard).alias("out_place"))
-
-
-def pieces(packed: DataFrame, block: int = BLOCK) -> DataFrame:
+    total, many = sources.where("slots > 0").agg(F.coalesce(F.sum("slots"), F.lit(0)), F.count(F.lit(1))).first()
+    shard = max(shard, many)  # so that rows of (shard, source) are no more than slots
+    shards = -(-total // shard)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards * many // 1_000_000)
+    # spans of shards first, dealt out, then their shards: few small rows, so their number of tasks is set here
+    spans = (sources.where("slots > 0").select("stream", "slots")
+             .withColumn("span", F.explode(F.sequence(F.lit(0), F.lit(max(shards - 1, 0) // SPAN))))
+             .repartition(tasks, "stream", "span"))
+    every = (spans.withColumn("out_shard", F.explode(F.sequence(
+        (F.col("span") * SPAN).cast("long"), F.least((F.col("span") + 1) * SPAN, F.lit(shards)).cast("long") - 1)))
+        .withColumn("room", F.least(F.lit(shard), F.lit(total) - F.col("out_shard") * shard).cast("long")))
+    # expected counts room * slots / total in whole numbers: whole part and rest
+    rests = (every.withColumn("whole", F.expr(f"room * slots div {max(total, 1)}"))
+             .withColumn("rest", F.expr(f"room * slots % {max(total, 1)}")))
+    in_shard = Window.partitionBy("out_shard")
+    upto = F.sum("rest").over(in_shard.orderBy("stream").rowsBetween(Window.unboundedPreceding, 0))
+    bounds = (rests.withColumn("upto", upto).withColumn("every", F.sum("rest").over(in_shard)))
+    drawn = (bounds.groupBy("out_shard").agg(F.max("every").alias("every")).where("every > 0")
+             .withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"every div {max(total, 1)} - 1"))))
+             .select("out_shard", uniform(F.col("out_shard"), F.col("i"), F.col("every")).alias("u")))
+    # a draw falls to the first source whose upper bound exceeds it: one order of draws and bounds a shard
+    mixed = (drawn.select("out_shard", F.col("u").alias("x"), F.lit(1).alias("late"), F.lit(None).cast("long").alias("stream"))
+             .unionByName(bounds.where("rest > 0").select("out_shard", F.col("upto").alias("x"), F.lit(0).alias("late"), "stream")))
+    above = in_shard.orderBy(F.desc("x"), F.desc("late")).rowsBetween(Window.unboundedPreceding, -1)
+    hits = (mixed.withColumn("falls", F.last("stream", ignorenulls=True).over(above)).where("late = 1")
+            .groupBy("out_shard", F.col("falls").alias("stream")).agg(F.count(F.lit(1)).alias("extra")))
+    counts = scratch.store(rests.join(hits, ["out_shard", "stream"], "left").select(
+        "out_shard", "stream", "span", (F.col("whole") + F.coalesce("extra", F.lit(0))).alias("n")), "mix_counts")
+
+    def ahead(keys: list, by: str) -> Column:
+        return F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(by)
+                                          .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    spans = (counts.groupBy("stream", "span").agg(F.sum("n").alias("n"))
+             .select("stream", "span", ahead(["stream"], "span").alias("before")))
+    return (counts.withColumn("run", ahead(["stream", "span"], "out_shard")).join(spans, ["stream", "span"])
+            .select("out_shard", "stream", "n", (F.col("before") + F.col("run")).alias("first")).where("n > 0"))
+
+
+def draw(sources: DataFrame, shard: int = SHARD) -> DataFrame:
+    """One row a slot that is filled: stream, slot, block (index in the source), out_shard and out_place."""
+    in_shard = Window.partitionBy("out_shard")
+    counts = (draw_counts(sources, shard)
+              .withColumn("room", F.sum("n").over(in_shard))
+              .withColumn("at", F.sum("n").over(in_shard.orderBy("stream").rowsBetween(Window.unboundedPreceding, 0))
+                          - F.col("n")))
+    own = bounded_broadcast(sources.select("stream", "blocks", "keys"), MAX_SOURCES)
+    slots = (counts.join(own, "stream")
+             .withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+             .withColumn("slot", F.col("first") + F.col("i")).where("slot < 2 * blocks"))
+    return slots.select(
+        "stream", "slot", permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.col("keys")).alias("block"),
+        "out_shard", permuted(F.col("at") + F.col("i"), F.col("room"), round_keys(F.col("out_shard"))).alias("out_place"))
+
+
+def pieces(packed: DataFrame, block: int = BLOCK, *more: str) -> DataFrame:
     """One row a document and block that share words: at, the first shared word of the
     document, and n, their number."""
     end = F.col("start") + F.col("size")
     cut = packed.where("size > 0").withColumn(
         "block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))))
     first = F.greatest("start", F.col("block") * block)
-    return cut.select("doc_id", "source", "size", "start", "block", (first - F.col("start")).alias("at"),
-                      (F.least(end, (F.col("block") + 1) * block) - first).alias("n"))
+    return cut.select("source", "size", "start", "block", (first - F.col("start")).alias("at"),
+                      (F.least(end, (F.col("block") + 1) * block) - first).alias("n"), *more)
 
 
 def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -188,7 +244,7 @@ def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     known = bounded_broadcast(sources.select(F.col("source").alias("of"), "stream", "source_size", "target"),
                               MAX_SOURCES)
     keyed = packed.join(known, _same(F.col("source"), F.col("of"))).drop("of")
-    taken = (pieces(keyed.select("doc_id", F.col("stream").alias("source"), "size", "start"), block)
+    taken = (pieces(keyed.select(F.col("stream").alias("source"), "size", "start"), block)
              .withColumnRenamed("source", "stream").join(times, ["stream", "block"])
              .groupBy("stream", "start").agg(F.sum(F.col("n") * F.col("times")).alias("taken")))
     return (keyed.withColumn("at", F.when(F.col("size") > 0, F.col("start")))
@@ -202,9 +258,14 @@ def mixed_blocks(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The mixture itself: out_shard, out_place, source, block and the block's text."""
     packed = scratch.store(pack(docs), "mix_packed")
     sources = scratch.store(plan_sources(packed, block), "mix_sources")
-    words = docs.select(F.col("doc_id").alias("id"), F.filter(
-        F.split(F.coalesce(F.col("text"), F.lit("")), f"[{SPACES}]+"), lambda w: w != "").alias("words"))
-    texts = (pieces(packed, block).join(words, _same(F.col("doc_id"), F.col("id")))
+    text = F.col("text").cast("string")
+    words = docs.select(
+        F.col("doc_id").cast("long").alias("i"), F.col("source").cast("string").alias("of"), F.xxhash64(text).alias("t"),
+        F.filter(F.split(F.coalesce(text, F.lit("")), f"[{SPACES}]+"), lambda w: w != "").alias("words"))
+    # rows of one id, source and text hold the same words: one of them serves all their places
+    words = words.groupBy("i", "of", "t").agg(F.max("words").alias("words"))
+    texts = (pieces(packed.join(words, _same(F.col("doc_id"), F.col("i")) & _same(F.col("source"), F.col("of"))
+                                & (F.col("tie") == F.col("t"))), block, "words")
              .groupBy("source", "block")
              .agg(F.array_sort(F.collect_list(F.struct(
                  "start", F.slice("words", (F.col("at") + 1).cast("int"), F.col("n").cast("int")).alias("w")))).alias("p"))
@@ -226,6 +287,8 @@ _K = f"({_KEY.format(12345)} * {_KEY.format(12345)} % 2147483647)"
 _A = f"({_KEY.format(987654321)} * {_KEY.format(987654321)} % 2147483647 + 1)"
 _OTHER = f"((({_K} - x) % blocks + blocks) % blocks)"
 _BIT = f"((((greatest(x, {_OTHER}) % 2147483647) * {_A} + {_K}) % 2147483647) >> 15) & 1"
+_V = "(((d.out_shard % 2147483647 + 3) * 48271 + (d.i + 1) * 69621 + {0}) % 2147483647)"
+_HALF = f"((({_V} * {_V} + {{0}}) % 2147483647) * (({_V} * {_V} + {{0}}) % 2147483647) + d.i) % 2147483647"
 
 ORACLE = f"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size
@@ -247,7 +310,22 @@ s AS (SELECT *, CASE WHEN source_size > 0
 placed AS (SELECT doc_id, source, size,
                   (sum(size) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING))::BIGINT - size AS start
            FROM d),
-slot AS (SELECT stream, blocks, unnest(range(slots)) AS slot FROM s),
+size AS (SELECT sum(slots)::BIGINT AS total, greatest({SHARD}, count(*))::BIGINT AS shard FROM s WHERE slots > 0),
+shards AS (SELECT out_shard, least(shard, total - out_shard * shard) AS room, total
+           FROM (SELECT *, unnest(range((total + shard - 1) // shard)) AS out_shard FROM size)),
+rests AS (SELECT out_shard, stream, room * slots // total AS whole, room * slots % total AS rest, total
+          FROM shards, s WHERE slots > 0),
+bounds AS (SELECT *, (sum(rest) OVER (PARTITION BY out_shard ORDER BY stream))::BIGINT AS upto,
+                  (sum(rest) OVER (PARTITION BY out_shard))::BIGINT AS every FROM rests),
+draws AS (SELECT out_shard, every, unnest(range(every // total)) AS i
+          FROM (SELECT DISTINCT out_shard, every, total FROM bounds)),
+hits AS (SELECT d.out_shard, d.i, min(b.stream) AS stream
+         FROM draws d JOIN bounds b ON b.out_shard = d.out_shard
+              AND b.upto > ({_HALF.format(24680)} * 2147483647 + {_HALF.format(13579)}) % d.every GROUP BY ALL),
+filled AS (SELECT stream, sum(n)::BIGINT AS n
+           FROM (SELECT stream, sum(whole) AS n FROM rests GROUP BY stream
+                 UNION ALL SELECT stream, count(*) FROM hits GROUP BY stream) GROUP BY stream),
+slot AS (SELECT stream, blocks, unnest(range(least(n, 2 * blocks))) AS slot FROM s JOIN filled USING (stream)),
 drawn AS (SELECT stream, list_reduce(range(24), lambda x, r: CASE WHEN ({_BIT}) = 1 THEN {_OTHER} ELSE x END,
                                      slot % blocks) AS block FROM slot),
 times AS (SELECT stream, block, count(*) AS times FROM drawn GROUP BY ALL),
