@@ -7,7 +7,8 @@ shard's ``BITS``-bit hash strings (signs of projections on seeded random directi
 a query, every tree is descended to the longest prefix any string shares with it; then
 all trees ascend together, bit by bit, until the matched ranges hold ``SHARE`` of the
 shard's rows, counted with repeats over the trees. The candidates are scored by their
-exact cosine in double precision on the original vectors, a cell keeps its best ``k``,
+exact cosine in double precision on the original vectors (divided by a power of two, so
+that tiny and huge components have a cosine too), a cell keeps its best ``k``,
 and a window over the cells' rows picks each query's ``k``.
 
 Trees are built from seeded directions, not fitted; every row is indexed. Recall against
@@ -96,11 +97,17 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows divided by the power of two of their largest component: the cosine stays the same, to the bit
+    unless a component vanishes beside it, and squares neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def search_cell(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, share: float,
                 trees: int = TREES, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query_id, vec_id, score) of the ``k`` best candidates of every query in one shard."""
     by_id = np.argsort(ids, kind="stable")  # so that a stable sort by score sends ties to the smaller id
-    ids, x = ids[by_id], x[by_id]
+    ids, x, q = ids[by_id], scaled(x[by_id]), scaled(q)
     norm = np.sqrt(np.einsum("ij,ij->i", x, x))
     forest = Forest(x, trees, bits)
     lo, hi = forest.ranges(q, max(share * len(x), LEAST, k + 1))
