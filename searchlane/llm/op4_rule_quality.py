@@ -151,10 +151,10 @@ def lasso_logistic(z: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 6
 
 def fit_rules(x: np.ndarray, y: np.ndarray, penalty: float = LASSO) -> tuple[list[tuple[tuple, float]], float]:
     """[(rule, weight)] and the bias."""
-    if not len(y) or y.min() == y.max():
+    rules = sorted({p for t in boost(x, y) for p in paths(t)}) if len(y) and y.min() < y.max() else []
+    if not rules:  # one class, or statistics that no cut tells apart: the share of the class
         share = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
         return [], float(np.log(share / (1 - share)))
-    rules = sorted({p for t in boost(x, y) for p in paths(t)})
     z = np.stack([holds(r, x) for r in rules], axis=1).astype(float)
     _, first = np.unique(z, axis=1, return_index=True)  # rules that hold on the same rows count once
     first.sort()
