@@ -42,6 +42,7 @@ from searchlane.operators.common import bounded_broadcast
 
 BLOCK = 128
 SHARD = 1024  # slots of an output shard, more if there are more sources
+SLOTS = 131_072  # slots a task deals out
 SPAN = 1024  # shards whose counts one running sum adds up
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
@@ -215,7 +216,10 @@ def draw(sources: DataFrame, shard: int = SHARD) -> DataFrame:
               .withColumn("at", F.sum("n").over(in_shard.orderBy("stream").rowsBetween(Window.unboundedPreceding, 0))
                           - F.col("n")))
     own = bounded_broadcast(sources.select("stream", "blocks", "keys"), MAX_SOURCES)
-    slots = (counts.join(own, "stream")
+    total = sources.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
+    # counts are few small rows and the slots they stand for many: their number of tasks is set here
+    tasks = max(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // SLOTS)
+    slots = (counts.join(own, "stream").repartition(tasks, "out_shard", "stream")
              .withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
              .withColumn("slot", F.col("first") + F.col("i")).where("slot < 2 * blocks"))
     return slots.select(
