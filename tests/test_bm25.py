@@ -92,3 +92,46 @@ def test_written_index_and_empty_corpus(spark, data, tmp_path):
     assert bm25_search(queries.limit(0), build_bm25(corpus), 3).count() == 0
     wordless = build_bm25(corpus.where("id in (3, 4, 5)"))
     assert (wordless.n_docs, wordless.avgdl) == (3, 1.0) and bm25_search(queries, wordless, 3).count() == 0
+
+
+def test_rounds_of_queries_and_products_in_parts(spark, data, monkeypatch):
+    """Queries in rounds, products of a few cells, dense and other rows: the same hits."""
+    for name, value in (("ROUND_WEIGHTS", 150), ("CELLS", 600), ("UPDATES", 40), ("DENSE_ROWS", 3), ("OUTER", 30)):
+        monkeypatch.setattr(bm25, name, value)
+    corpus, queries = frames(spark, data)
+    index = build_bm25(corpus, num_shards=3)
+    assert hits(bm25_search(queries, index, 3)) == brute(*data, 3)
+
+
+def test_postings_are_not_copied_for_blocks_of_queries(spark, data, monkeypatch):
+    """A round reads each posting row once, however many blocks its queries make."""
+    monkeypatch.setattr(bm25, "QUERY_BLOCK", 4)
+    corpus, queries = frames(spark, data)
+    index, seen = build_bm25(corpus, num_shards=3), spark.sparkContext.accumulator(0)
+    made = bm25._products
+
+    def counted(*args):
+        score = made(*args)
+
+        def of(table):
+            seen.add(table.num_rows)
+            return score(table)
+        return of
+
+    monkeypatch.setattr(bm25, "_products", counted)
+    bm25_search(queries, index, 3).write.format("noop").mode("overwrite").save()
+    assert 0 < seen.value <= index.postings.where("term is not null").count()
+
+
+def test_parts_of_the_index_grow_with_the_text(spark, monkeypatch):
+    monkeypatch.setattr(bm25, "PART_CHARS", 100)
+    monkeypatch.setattr(bm25, "COUNT_WORDS", 7)
+    texts = {i: f"word{i} " * (1 + i % 5) for i in range(400)}
+    corpus = spark.createDataFrame(list(texts.items()), "id long, contents string")
+    index = build_bm25(corpus)
+    parts = sum(len(t) for t in texts.values()) // 100
+    assert index.postings.rdd.getNumPartitions() >= parts or index.postings.select("shard").distinct().count() > 0.8 * min(parts, 400)
+    assert max(r.n for r in index.postings.where("term is null").select(F.size("docs").alias("n")).collect()) < 30
+    queries = {i: texts[i] for i in range(0, 400, 9)}
+    q = spark.createDataFrame(list(queries.items()), "query_id long, query string")
+    assert hits(bm25_search(q, index, 2)) == brute(texts, queries, 2)
