@@ -86,12 +86,15 @@ class HashingEncoder:
 
     def encode(self, texts: list[str], is_query: bool = False) -> np.ndarray:
         import re
-        out = np.zeros((len(texts), self.dim), dtype=np.float32)
-        for i, t in enumerate(texts):
-            for tok in re.findall(r"[^\W_]+", (t or "").lower()):
-                h = hashlib.md5(tok.encode("utf-8")).digest()
-                b = int.from_bytes(h[:4], "little") % self.dim
-                out[i, b] += 1.0 if h[4] & 1 else -1.0
+        codes: dict[str, int] = {}  # every distinct word is hashed once
+        words = [[codes.setdefault(w, len(codes)) for w in re.findall(r"[^\W_]+", (t or "").lower())] for t in texts]
+        hashes = [hashlib.md5(w.encode("utf-8")).digest() for w in codes]
+        bucket = np.array([int.from_bytes(h[:4], "little") % self.dim for h in hashes], np.int64)
+        sign = np.array([1.0 if h[4] & 1 else -1.0 for h in hashes])
+        code = np.fromiter((c for of in words for c in of), np.int64)
+        row = np.repeat(np.arange(len(texts)), [len(of) for of in words])
+        out = np.bincount(row * self.dim + bucket[code], sign[code], len(texts) * self.dim) \
+            .reshape(len(texts), self.dim).astype(np.float32)  # whole numbers: exact in any order
         if self.normalize:
             n = np.linalg.norm(out, axis=1, keepdims=True)
             out = np.where(n > 0, out / np.where(n > 0, n, 1), out)

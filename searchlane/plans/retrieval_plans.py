@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from searchlane.operators.bm25 import bm25_search, build_bm25
+from searchlane.operators.common import spread
 from searchlane.operators.observe import attach_docs, passages_to_string
 from searchlane.plans.registry import (SQL_BM25_HITS, SQL_CORPUS, SQL_TERMS, SQL_TEXT, SQL_TITLE,
                                        register, sql_strip)
+from searchlane.session import materialise
 from searchlane.sources import fixtures as fx
 from searchlane.sources.tables import Tables
 
@@ -102,8 +104,9 @@ def hashed_dense_search(spark, sf_dir):
     from searchlane.operators.bm25 import retrieve
     from searchlane.operators.dense import encode_texts
     t = Tables(spark, sf_dir)
-    vecs = encode_texts(fx.corpus(t), None, "id", "contents", is_query=False, model_name="e5-hash") \
-        .withColumnRenamed("id", "doc_id")
+    # written once: the search reads the vectors twice, to count them by length and to deal them
+    vecs = materialise(encode_texts(spread(fx.corpus(t)), None, "id", "contents", is_query=False, model_name="e5-hash")
+                       .withColumnRenamed("id", "doc_id"), "vectors")
     return retrieve(fx.queries(t), "e5-hash", k=TOPK, dense_index=vecs).select(
         "query_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
 

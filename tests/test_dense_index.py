@@ -81,3 +81,26 @@ def test_empty_sides(spark):
     q = spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, embedding array<double>")
     assert dense_search(q, none).count() == 0
     assert dense_search(none.withColumnRenamed("vec_id", "query_id"), q.withColumnRenamed("query_id", "vec_id")).count() == 0
+
+
+def test_encoder_hashes_each_word_once_and_counts_every_one(monkeypatch):
+    import hashlib as h
+    import re
+
+    from searchlane.operators import dense
+    texts = ["a b a b a", None, "", "\u00dcber \u00fcber x_y 7", "one two " * 300]
+
+    def plain(t, dim=16):
+        out = np.zeros(dim, np.float32)
+        for w in re.findall(r"[^\W_]+", (t or "").lower()):
+            d = h.md5(w.encode()).digest()
+            out[int.from_bytes(d[:4], "little") % dim] += 1.0 if d[4] & 1 else -1.0
+        n = np.linalg.norm(out)
+        return out / n if n else out
+
+    calls = []
+    monkeypatch.setattr(dense.hashlib, "md5", lambda b, md5=h.md5: calls.append(b) or md5(b))
+    got = dense.HashingEncoder(16).encode(texts)
+    assert got.dtype == np.float32 and len(calls) == len(set(calls))
+    monkeypatch.undo()
+    assert np.allclose(got, [plain(t) for t in texts]) and dense.HashingEncoder(16).encode([]).shape == (0, 16)
