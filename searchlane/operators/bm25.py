@@ -51,11 +51,11 @@ QUERY_BLOCK = 4096
 #: (term, query) weights of one round of queries, which is broadcast
 ROUND_WEIGHTS = 1_000_000
 #: characters of the texts that go to one part of the index: what a task holds doesn't grow with the corpus
-PART_CHARS = 16 << 20
+PART_CHARS = 4 << 20
 #: words of a batch that are counted at once
 COUNT_WORDS = 1 << 20
 #: blocks of the index from which a search skips blocks by their bounds
-PRUNE_FROM = 1024
+PRUNE_FROM = 4096
 #: (block, query) bounds above which it doesn't: their table would outgrow the postings
 PRUNE_BOUNDS = 20_000_000
 #: blocks a query is scored in before the others are held against its k-th score
@@ -176,6 +176,7 @@ def build_bm25(corpus: DataFrame, id_col: str = "id", text_col: str = "contents"
     if not n:
         chars = corpus.agg(F.sum(F.length(text_col))).first()[0] or 0
         n = max(corpus.rdd.getNumPartitions(), 2 * spark.sparkContext.defaultParallelism, -(-chars // PART_CHARS))
+        n = min(n, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
     docs = spread(corpus).select(F.col(id_col).alias("doc_id"),
                          F.coalesce(analyzer_terms(text_col), F.array().cast("array<string>")).alias("_terms"))
     doc_id = docs.schema["doc_id"]

@@ -135,3 +135,22 @@ def test_parts_of_the_index_grow_with_the_text(spark, monkeypatch):
     queries = {i: texts[i] for i in range(0, 400, 9)}
     q = spark.createDataFrame(list(queries.items()), "query_id long, query string")
     assert hits(bm25_search(q, index, 2)) == brute(texts, queries, 2)
+
+
+def test_parts_hold_a_few_million_characters(spark, monkeypatch):
+    """What a task sorts is bounded by the characters of its part, whatever the size of the corpus."""
+    dealt = []
+    monkeypatch.setattr(bm25, "_write_bucketed", lambda postings, n: dealt.append(n))
+    monkeypatch.setattr(bm25, "index_of", lambda postings: None)
+    corpus = spark.range(200).select("id", F.repeat(F.lit("x "), 500_000).alias("contents"))
+    build_bm25(corpus)
+    assert 200e6 / dealt[0] <= 5e6
+
+
+def test_buckets_stay_within_the_setting(spark, monkeypatch):
+    dealt = []
+    monkeypatch.setattr(bm25, "_write_bucketed", lambda postings, n: dealt.append(n))
+    monkeypatch.setattr(bm25, "index_of", lambda postings: None)
+    monkeypatch.setattr(bm25, "PART_CHARS", 1)
+    build_bm25(spark.range(3).select("id", F.repeat(F.lit("x "), 500_000).alias("contents")))
+    assert dealt == [100_000]
