@@ -53,7 +53,7 @@ ROUND_WEIGHTS = 1_000_000
 #: characters of the texts that go to one part of the index: what a task holds doesn't grow with the corpus
 PART_CHARS = 4 << 20
 #: words of a batch that are counted at once
-COUNT_WORDS = 1 << 20
+COUNT_WORDS = 1 << 18
 #: blocks of the index from which a search skips blocks by their bounds
 PRUNE_FROM = 4096
 #: (block, query) bounds above which it doesn't: their table would outgrow the postings
@@ -65,7 +65,7 @@ SEEDS = 2
 OUTER = 512
 DENSE = 0.003
 DENSE_ROWS = 256
-UPDATES = 1 << 20
+UPDATES = 1 << 18
 
 
 @dataclass

@@ -2,8 +2,11 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,3 +157,28 @@ def test_buckets_stay_within_the_setting(spark, monkeypatch):
     monkeypatch.setattr(bm25, "PART_CHARS", 1)
     build_bm25(spark.range(3).select("id", F.repeat(F.lit("x "), 500_000).alias("contents")))
     assert dealt == [100_000]
+
+
+def test_words_of_a_batch_are_counted_in_small_passes():
+    words = [f"w{i % 50}" for i in range(150_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array([words] * 6, pa.list_(pa.string()))], ["doc_id", "_terms"])
+    out = list(bm25._term_counts([batch]))
+    assert max(sum(x.column("doc_len").to_pylist()) for x in out) <= 300_000
+    assert [i for x in out for i in x.column("doc_id").to_pylist()] == list(range(6))
+
+
+def test_updates_of_a_product_are_made_in_small_parts():
+    """70 documents and 70 queries in each of 600 rows: 2.9 million updates, never all in memory."""
+    rng = np.random.default_rng(3)
+    several = lambda n, kind: pa.array([np.sort(rng.choice(n, 70, False)) for _ in range(600)], pa.list_(kind))
+    ones = lambda kind: pa.array([[1] * 70] * 600, pa.list_(kind))
+    table = pa.table({"docs": several(1000, pa.int64()), "tfs": ones(pa.int32()), "lens": ones(pa.int32()),
+                      "qs": several(2000, pa.int64()), "ws": ones(pa.float64())})
+    score = bm25._products(3, bm25.K1, bm25.B, 1.0, bm25.QUERY_BLOCK)
+    tracemalloc.start()
+    try:
+        got = score(table)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got.num_rows == 6000 and peak < 64e6
