@@ -28,10 +28,9 @@ columns aren't read.
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,49 +48,47 @@ INNER_RATE, INNER_BATCH = 0.2, 1024
 ADD = 0.1
 END = b" "  # no word holds white space
 NEVER = float(np.log10(ADD))
-COUNTER_WORDS = 300_000  # distinct words a task holds before it passes partial counts on
-
-
-def tokens(text: bytes | None) -> list[bytes]:
-    words = text.lower().split() if text else []
-    words.append(END)
-    return words
+COUNTER_WORDS = 300_000  # rows of partial counts a task holds before it sums them
+TABLE = 512  # contexts whose probabilities of all classes are made at once
+
+
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words of the texts and the end, the place of every token among them, tokens a text."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    lengths, words = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten()
+    real = pc.greater(pc.binary_length(words), 0)  # white space at an end of a text leaves an empty string
+    if not pc.all(real).as_py():
+        kept = np.concatenate(([0], np.cumsum(real.to_numpy(zero_copy_only=False))))
+        lengths, words = np.diff(kept[np.concatenate(([0], np.cumsum(lengths)))]), words.filter(real)
+    coded = words.dictionary_encode()
+    code = np.full(len(words) + len(texts), len(coded.dictionary), np.int32)
+    is_word = np.ones(len(code), bool)
+    is_word[np.cumsum(lengths + 1) - 1] = False
+    code[is_word] = coded.indices.to_numpy(zero_copy_only=False)
+    return pa.concat_arrays([coded.dictionary, pa.array([END.decode()], coded.dictionary.type)]), code, lengths + 1
 
 
 def _partial_counts(batches):
-    held: Counter = Counter()
+    held, rows = [], 0
 
-    def flush():
-        out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()).cast(pa.string()),
-                                          pa.array(list(held.values()), pa.int64())], ["word", "c"])
-        held.clear()
-        return out
+    def summed():
+        both = pa.concat_tables(held).group_by("word").aggregate([("c", "sum")])
+        return pa.table({"word": both["word"], "c": both["c_sum"]})
 
     for batch in batches:
-        for text in textkit.text_bytes(batch.column("text")):
-            held.update(tokens(text))
-            if len(held) > COUNTER_WORDS:
-                yield flush()
+        for a, b in textkit.chunks(batch, "text"):
+            words, code, _ = tokens(batch.column("text").slice(a, b - a))
+            counted = np.bincount(code, minlength=len(words)).astype(np.int64)
+            held.append(pa.table({"word": words.cast(pa.string()), "c": counted}))
+            rows += len(words)
+            if rows > COUNTER_WORDS:
+                held = [summed()]
+                rows = len(held[0])
+                if rows > COUNTER_WORDS // 2:  # many are new: merging them again and again would not make them fewer
+                    yield from held[0].combine_chunks().to_batches()
+                    held, rows = [], 0
     if held:
-        yield flush()
-
-
-class ClassOf(dict):
-    """Class number of a word; remembers a bounded number of words."""
-
-    def __init__(self, shortlist: list[bytes], suffixes: list[str]):
-        super().__init__()
-        self.first = {w: i for i, w in enumerate(shortlist)}
-        self.suffix = {s: SHORTLIST + i for i, s in enumerate(suffixes)}
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > COUNTER_WORDS:
-            self.clear()
-        found = self.first.get(word)
-        if found is None:
-            found = self.suffix.get(word.decode()[-2:], CLASSES - 1)
-        self[word] = found
-        return found
+        yield from summed().combine_chunks().to_batches()
 
 
 class Units:
@@ -99,10 +96,10 @@ class Units:
 
     def __init__(self, shortlist: list[bytes], suffixes: list[str], own: list[tuple[bytes, int]],
                  mass: np.ndarray, kinds: np.ndarray, short_counts: list[int]):
-        class_of = self.class_of = ClassOf(shortlist, suffixes)
+        self.suffixes = pa.array(suffixes, pa.string())
         words: list[list[tuple[bytes, int]]] = [[] for _ in range(CLASSES)]
-        for w, c in own:
-            words[class_of[w]].append((w, c))
+        for (w, c), k in zip(own, self.class_of(pa.array([w for w, _ in own], pa.binary()).cast(pa.string())).tolist()):
+            words[k].append((w, c))
         self.start, self.number, logs = [], {}, []
         for k in range(CLASSES):
             self.start.append(len(logs))
@@ -123,25 +120,27 @@ class Units:
         self.kind = np.uint16 if self.total < 1 << 16 else np.int32  # short numbers sort by radix
         self.bias = ((self.share + self.head) * np.log(10)).astype(np.float32)
 
-    def fresh(self) -> UnitOf:
-        return UnitOf(self)
-
+        known = shortlist + list(self.number)
+        self.known = pa.array(known, pa.binary()).cast(pa.string())
+        self.unit_of_known = np.concatenate((self.rest[:len(shortlist)], list(self.number.values()))).astype(self.kind)
+
+    def class_of(self, words: pa.Array) -> np.ndarray:
+        """Classes of words that aren't on the shortlist."""
+        ends = pc.utf8_slice_codeunits(words, -2)
+        return SHORTLIST + _places(ends, self.suffixes, CLASSES - 1 - SHORTLIST)
+
+    def units_of(self, words: pa.Array) -> np.ndarray:
+        """Units of distinct words."""
+        at = _places(words, self.known, -1)
+        found, other = np.empty(len(words), self.kind), at < 0
+        found[~other] = self.unit_of_known[at[~other]]
+        found[other] = self.rest[self.class_of(words.filter(pa.array(other)))]
+        return found
 
-class UnitOf(dict):
-    """Unit number of a word; remembers a bounded number of words."""
 
-    def __init__(self, units: Units):
-        super().__init__()
-        self.units = units
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > COUNTER_WORDS:
-            self.clear()
-        found = self.units.number.get(word)
-        if found is None:
-            found = int(self.units.rest[self.units.class_of[word]])
-        self[word] = found
-        return found
+def _places(words: pa.Array, among: pa.Array, otherwise: int) -> np.ndarray:
+    """Each word's place among some, or another number."""
+    return pc.fill_null(pc.index_in(words, value_set=among.cast(words.type)), otherwise).to_numpy(zero_copy_only=False)
 
 
 class Inner:
@@ -156,62 +155,92 @@ class Inner:
             rows[u + 1:2 * u + 1, DIM] = units.bias
             rows[2 * u + 1:, :DIM] = 1
         self.rows = rows
-        self.before, self.target, self.places = rows[:u + 1, :DIM], rows[u + 1:2 * u + 1], rows[2 * u + 1:, :DIM]
+        self.target, self.places = rows[u + 1:2 * u + 1], rows[2 * u + 1:, :DIM]
 
     def start_training(self) -> None:
         self.squares, self.moved = np.ones_like(self.rows), np.zeros(len(self.rows))
 
+    def predict(self, near: list[np.ndarray]) -> np.ndarray:
+        """Predictions from the rows of the units before; a last 1 meets the biases."""
+        q = near[0] * self.rows[-CONTEXT]
+        for i in range(1, CONTEXT):
+            q += near[i] * self.rows[i - CONTEXT]
+        q[:, DIM] = 1
+        return q
+
     def log_probabilities(self, contexts: np.ndarray, k: int, at: np.ndarray | None = None) -> np.ndarray:
         """Normalised natural log-probabilities of the units of class ``k``, a row a context, or
         of one of them (``at``, counted from the class's first) a context."""
         own = self.target[self.units.start[k]:self.units.start[k + 1]]
-        z = sum(self.before[contexts[:, i]] * self.places[i] for i in range(CONTEXT)) @ own[:, :DIM].T + own[:, DIM]
-        z -= z.max(axis=1, keepdims=True)
-        if at is None:
-            return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
-        own = z[np.arange(len(at)), at]
-        return own - np.log(np.exp(z, out=z).sum(axis=1))
+        z = self.predict([self.rows.take(contexts[:, i], axis=0) for i in range(CONTEXT)]) @ own.T
+        logs = z.copy() if at is None else z[np.arange(len(at)), at]
+        shift, total = _exponentials(z)
+        total = shift + np.log(total)
+        return logs - (total[:, None] if at is None else total)
 
     def by_class(self, target: np.ndarray, order: np.ndarray, size: int):
         """(class, places of at most ``size`` of its tokens) for classes of several units."""
-        kind = self.units.class_of_unit[target[order]]
-        order = order[np.argsort(kind, kind="stable")]
+        kind = self.units.class_of_unit.take(target.take(order))
+        order = order.take(np.argsort(kind, kind="stable"))
         edges = np.append(0, np.cumsum(np.bincount(kind, minlength=CLASSES)))
         for k in np.flatnonzero((np.diff(edges) > 0) & (np.diff(self.units.start) > 1)).tolist():
             for lo in range(edges[k], edges[k + 1], size):
                 yield k, order[lo:min(lo + size, edges[k + 1])]
 
     def train(self, contexts: np.ndarray, target: np.ndarray, order: np.ndarray) -> None:
-        u = self.units.total
+        u, columns = self.units.total, np.ascontiguousarray(contexts.T)
         for k, at in self.by_class(target, order, INNER_BATCH):
             a, b = self.units.start[k], self.units.start[k + 1]
-            near = [self.before[contexts[at, i]] for i in range(CONTEXT)]
-            q = sum(n * w for n, w in zip(near, self.places))
+            before = [column.take(at) for column in columns]
+            q = self.predict([self.rows.take(x, axis=0) for x in before])
             own = self.target[a:b]
-            z = q @ own[:, :DIM].T + own[:, DIM]
-            z -= z.max(axis=1, keepdims=True)
-            np.exp(z, out=z)
-            up = z / -z.sum(axis=1, keepdims=True)
-            up[np.arange(len(at)), target[at] - a] += 1
+            up = q @ own.T
+            up *= (-1 / _exponentials(up)[1])[:, None]
+            up[np.arange(len(at)), target.take(at) - a] += 1
             dq = up @ own[:, :DIM]
-            self._step(slice(u + 1 + a, u + 1 + b), np.hstack([up.T @ q, up.sum(axis=0)[:, None]]), len(at))
+            self._step(slice(u + 1 + a, u + 1 + b), up.T @ q, len(at))
+            sums = [_sums(x, dq) for x in before]
             places = np.zeros((CONTEXT, DIM + 1), np.float32)
-            for i in range(CONTEXT):
-                places[i, :DIM] = np.einsum("ij,ij->j", dq, near[i])
-                sort = np.argsort(contexts[at, i], kind="stable")
-                keys = contexts[at, i][sort]
-                first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-                g = np.zeros((len(first), DIM + 1), np.float32)
-                g[:, :DIM] = np.add.reduceat((dq * self.places[i])[sort], first, axis=0)
-                self._step(keys[first], g, np.diff(np.append(first, len(keys))))
+            for i, (keys, g, _) in enumerate(sums):
+                places[i, :DIM] = np.einsum("ij,ij->j", g, self.rows.take(keys, axis=0)[:, :DIM])
+            for i, (keys, g, n) in enumerate(sums):
+                wide = np.zeros((len(keys), DIM + 1), np.float32)
+                np.multiply(g, self.places[i], out=wide[:, :DIM])
+                self._step(keys, wide, n)
             self._step(slice(2 * u + 1, None), places, len(at))
 
     def _step(self, at, g: np.ndarray, n) -> None:
-        self.squares[at] += g * g
-        self.rows[at] += INNER_RATE * g / np.sqrt(self.squares[at])
+        squares = self.squares[at] if isinstance(at, slice) else self.squares.take(at, axis=0)
+        squares += g * g
+        self.squares[at] = squares
+        g *= INNER_RATE
+        g /= np.sqrt(squares)
+        self.rows[at] += g
         self.moved[at] += n
 
 
+def _exponentials(z: np.ndarray) -> tuple[np.ndarray | np.float32, np.ndarray]:
+    """Puts the exponentials of scores in their place; the shift they are made with (one for all rows,
+    or each row's largest score where the scores lie far apart), and their sums."""
+    shift = z.max()
+    if shift - z.min() > 60:  # the sum of a row could vanish
+        shift = z.max(axis=1)
+    z -= shift[:, None] if shift.ndim else shift
+    np.exp(z, out=z)
+    return shift, z @ np.ones(z.shape[1], z.dtype)
+
+
+def _sums(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct places, the sums of their rows and how many they have."""
+    order = np.argsort(at, kind="stable")
+    keys, new = at.take(order), np.ones(len(at), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    # two numbers a step: a sum of complex numbers adds their parts
+    sums = np.add.reduceat(rows.take(order, axis=0).view(np.complex64), first, axis=0).view(np.float32)
+    return keys[first], sums, np.diff(first, append=len(at))
+
+
 class Model:
     """Parameters of the log-bilinear model: contexts, targets, position weights, biases."""
 
@@ -223,7 +252,8 @@ class Model:
             n = int(np.prod(shape))
             self.parts.append(flat[at:at + n].reshape(shape).astype(np.float32))
             at += n
-        self.noise = noise
+        self.noise_up_to = np.cumsum(noise)
+        self.noise_up_to /= self.noise_up_to[-1]
         self.log_noise = np.log(NOISE * noise).astype(np.float32)
 
     @classmethod
@@ -240,60 +270,69 @@ class Model:
         r, _, c, _ = self.parts
         return sum(r[contexts[:, i]] * c[i] for i in range(CONTEXT))
 
-    def log_probabilities(self, contexts: np.ndarray) -> np.ndarray:
-        """Normalised natural log-probabilities of all classes, a row a context."""
+    def log_probabilities(self, contexts: np.ndarray, at: np.ndarray | None = None, kind: np.ndarray | None = None) -> np.ndarray:
+        """Normalised natural log-probabilities of all classes, a row a context, or only of class
+        ``kind`` in the row ``at``."""
         z = self.predict(contexts) @ self.parts[1].T
         z += self.parts[3]
-        z -= z.max(axis=1, keepdims=True)
-        return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+        logs = z.copy() if at is None else z[at, kind]
+        shift, total = _exponentials(z)
+        total = shift + np.log(total)
+        return logs - (total[:, None] if at is None else total.take(at))
 
     def train(self, contexts: np.ndarray, target: np.ndarray, squares: list[np.ndarray], rate: float, rng) -> None:
         """One step of noise-contrastive estimation; the batch shares its noise classes."""
         r, t, c, b = self.parts
-        near = [r[contexts[:, i]] for i in range(CONTEXT)]
-        q = sum(n * w for n, w in zip(near, c))
-        noise = rng.choice(CLASSES, NOISE, p=self.noise)
-        own, other = t[target], t[noise]
-        s = np.einsum("ij,ij->i", q, own) + b[target] - self.log_noise[target]
-        up = 1 / (1 + np.exp(np.clip(s, -30, 30)))
-        down = -1 / (1 + np.exp(-np.clip(q @ other.T + b[noise] - self.log_noise[noise], -30, 30)))
-        dq = up[:, None] * own + down @ other
+        near = [np.ascontiguousarray(contexts[:, i]) for i in range(CONTEXT)]
+        wide = np.zeros((CLASSES + 1, DIM + 1), np.float32)  # a last 1 meets the biases
+        wide[:, DIM], q = 1, 0
+        for i in range(CONTEXT):
+            wide[:, :DIM] = r * c[i]
+            q += wide.take(near[i], axis=0)
+            wide[:, DIM] = 0
+        own = np.hstack([t, (b - self.log_noise)[:, None]])
+        noise = self.noise_up_to.searchsorted(rng.random(NOISE), side="right")  # as rng.choice draws
+        other = own[noise]
+        own = own.take(target, axis=0)
+        up = 1 / (1 + np.exp(np.clip(np.einsum("ij,ij->i", q, own), -30, 30)))
+        down = q @ -other.T
+        np.clip(down, -30, 30, out=down)
+        np.exp(down, out=down)
+        down += 1
+        np.divide(-1, down, out=down)
+        dq = down @ other[:, :DIM]
+        of_noise = down.T @ q
+        own *= up[:, None]
+        dq += own[:, :DIM]
         grads = [np.zeros_like(p) for p in self.parts]
         for i in range(CONTEXT):
-            _scatter(grads[0], contexts[:, i], dq * c[i])
-            grads[2][i] = np.einsum("ij,ij->j", dq, near[i])
-        _scatter(grads[1], target, up[:, None] * q)
-        np.add.at(grads[1], noise, down.T @ q)
+            keys, g, _ = _sums(near[i], dq)
+            grads[0][keys] += g * c[i]
+            grads[2][i] = np.einsum("ij,ij->j", g, r.take(keys, axis=0))
+        keys, g, _ = _sums(target, q[:, :DIM] * up[:, None])
+        grads[1][keys] = g
+        np.add.at(grads[1], noise, of_noise[:, :DIM])
         grads[3] += np.bincount(target, weights=up, minlength=CLASSES).astype(np.float32)
-        np.add.at(grads[3], noise, down.sum(axis=0))
+        np.add.at(grads[3], noise, of_noise[:, DIM])
         for p, g, a in zip(self.parts, grads, squares):
             a += g * g
             p += rate * g / np.sqrt(a + 1e-8)
 
 
-def _scatter(into: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    order = np.argsort(at, kind="stable")
-    keys = at[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    into[keys[first]] += np.add.reduceat(rows[order], first, axis=0)
-
-
-def unit_rows(texts: list[bytes | None], unit_of: UnitOf) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Contexts (the unit before comes last), units, and the tokens of each text."""
-    each = [tokens(t) for t in texts]
-    total = sum(map(len, each))
-    target = np.fromiter((unit_of[w] for ws in each for w in ws), unit_of.units.kind, total)
-    before = unit_of.units.total  # stands for what lies before a text
-    contexts = np.full((total, CONTEXT), before, unit_of.units.kind)
+def unit_rows(words: pa.Array, code: np.ndarray, lengths: np.ndarray, units: Units) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts (the unit before comes last) and units of the tokens of some texts."""
+    target, total = units.units_of(words).take(code), len(code)
+    before = units.total  # stands for what lies before a text
+    contexts = np.full((total, CONTEXT), before, units.kind)
     for i in range(1, CONTEXT + 1):
         contexts[i:, CONTEXT - i] = target[:-i]
-    starts = np.cumsum([0] + [len(ws) for ws in each[:-1]])
+    starts = np.cumsum(lengths) - lengths
     for i in range(CONTEXT):  # at place i of a text only i units lie before it
         at = starts + i
         at = at[at < total]
         keep = np.isin(at, np.append(starts[1:], total), invert=True) if i else np.ones(len(at), bool)
         contexts[at[keep], :CONTEXT - i] = before
-    return contexts, target, each
+    return contexts, target
 
 
 def train_models(texts: DataFrame, units: Units, noise: np.ndarray) -> tuple[Model, Inner]:
@@ -303,19 +342,19 @@ def train_models(texts: DataFrame, units: Units, noise: np.ndarray) -> tuple[Mod
         flat, rate, rows = model.flat(), RATES[k], inner.rows if k else None
 
         def one_task(batches, flat=flat, rate=rate, rows=rows):
-            own, seen, unit_of = Model(flat, noise), 0, units.fresh()
+            own, seen = Model(flat, noise), 0
             within = Inner(units, None if rows is None else rows.copy())
             within.start_training()
             squares = [np.zeros_like(p) for p in own.parts]
             rng = np.random.default_rng(17)
             for batch in batches:
                 for a, b in textkit.chunks(batch, "text"):
-                    contexts, target, _ = unit_rows(textkit.text_bytes(batch.column("text").slice(a, b - a)), unit_of)
+                    contexts, target = unit_rows(*tokens(batch.column("text").slice(a, b - a)), units)
                     order = rng.permutation(len(target))
-                    kinds, kind = units.class_of_unit[contexts], units.class_of_unit[target]
+                    kinds, kind = units.class_of_unit.take(contexts), units.class_of_unit.take(target)
                     for lo in range(0, len(order), BATCH):
                         at = order[lo:lo + BATCH]
-                        own.train(kinds[at], kind[at], squares, rate, rng)
+                        own.train(kinds.take(at, axis=0), kind.take(at), squares, rate, rng)
                     within.train(contexts, target, order)
                     seen += len(order)
             if seen:
@@ -348,36 +387,41 @@ def train_models(texts: DataFrame, units: Units, noise: np.ndarray) -> tuple[Mod
     return model, inner
 
 
-def score_rows(model: Model, inner: Inner, unit_of: UnitOf, head: dict[bytes, float], texts: list):
-    """Per text: tokens, known tokens and base sum over the head, class and unit score, tail counts."""
+def score_rows(model: Model, inner: Inner, head: tuple[pa.Array, np.ndarray], texts: pa.Array) -> list[pa.Array]:
+    """Per text: tokens, known tokens and base sum over the head, class and unit score, words of the tail and their counts."""
     units = inner.units
-    contexts, target, each = unit_rows(texts, unit_of)
-    before, kind = units.class_of_unit[contexts], units.class_of_unit[target]
-    packed = before[:, 0].astype(np.int64) * (CLASSES + 1) + before[:, 1]
-    kinds, at = np.unique(packed, return_inverse=True)
-    order = np.argsort(at, kind="stable")
-    edges = np.searchsorted(at[order], np.arange(0, len(kinds) + 4096, 4096))
+    words, code, lengths = tokens(texts)
+    contexts, target = unit_rows(words, code, lengths, units)
+    starts = np.cumsum(lengths) - lengths
+    before, kind = units.class_of_unit.take(contexts), units.class_of_unit.take(target)
+    packed = before[:, 0].astype(np.int32) * (CLASSES + 1) + before[:, 1]
+    occurs = np.zeros((CLASSES + 1) ** 2, bool)
+    occurs[packed] = True
+    kinds, number = np.flatnonzero(occurs), np.cumsum(occurs, dtype=np.int32) - 1
+    at = number[packed]
+    order = np.argsort((at // TABLE).astype(np.uint16), kind="stable")
+    edges = np.append(0, np.cumsum(np.bincount(at // TABLE)))
     log_p = np.empty(len(target))
-    for i, lo in enumerate(range(0, len(kinds), 4096)):
-        part = kinds[lo:lo + 4096]
-        table = model.log_probabilities(np.stack([part // (CLASSES + 1), part % (CLASSES + 1)], axis=1))
+    for i, lo in enumerate(range(0, len(kinds), TABLE)):
+        part = kinds[lo:lo + TABLE]
         mine = order[edges[i]:edges[i + 1]]
-        log_p[mine] = table[at[mine] - lo, kind[mine]]
+        log_p[mine] = model.log_probabilities(np.stack([part // (CLASSES + 1), part % (CLASSES + 1)], axis=1), at[mine] - lo, kind[mine])
     for k, mine in inner.by_class(target, np.arange(len(target)), INNER_BATCH):
-        log_p[mine] += inner.log_probabilities(contexts[mine], k, target[mine] - units.start[k])
+        log_p[mine] += inner.log_probabilities(contexts.take(mine, axis=0), k, target[mine] - units.start[k])
     # base and tail hold the count of every word: it stays for the words of a rest unit only
-    log_p = log_p / np.log(10) - units.share[target] - units.head[target]
-    begin, out = 0, []
-    for words in each:
-        tail = Counter()
-        known = [head.get(w) for w in words]
-        n_known = len(words) - known.count(None)
-        base = sum(v for v in known if v is not None)
-        if n_known < len(words):
-            tail.update(w for w, v in zip(words, known) if v is None)
-        out.append((len(words), n_known, base, float(log_p[begin:begin + len(words)].sum()), tail))
-        begin += len(words)
-    return out
+    log_p = log_p / np.log(10) - (units.share + units.head).take(target)
+    place = _places(words, head[0], -1)
+    text = np.repeat(np.arange(len(lengths)), lengths)
+    base = np.bincount(text, np.append(head[1], 0.0)[place].take(code), len(lengths))
+    rare = (place < 0).take(code)
+    pair = np.sort(text[rare] * len(words) + code[rare])
+    first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.empty(0, np.int64)
+    offsets = pa.array(np.searchsorted(pair[first] // len(words), np.arange(len(lengths) + 1)), pa.int32())
+    times = np.diff(np.append(first, len(pair)))
+    return [pa.array(lengths), pa.array(lengths - np.bincount(text[rare], minlength=len(lengths))), pa.array(base),
+            pa.array(np.add.reduceat(log_p, starts)),
+            pa.ListArray.from_arrays(offsets, words.take(pa.array(pair[first] % len(words))).cast(pa.string())),
+            pa.ListArray.from_arrays(offsets, pa.array(times, pa.int32()))]
 
 
 def log_bilinear_scores(docs: DataFrame) -> DataFrame:
@@ -390,12 +434,11 @@ def log_bilinear_scores(docs: DataFrame) -> DataFrame:
     scratch.free_shuffles(docs.sparkSession)
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     top = [(r.word.encode(), r.c) for r in counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()]
-    head = {w: float(np.log10(c + ADD)) for w, c in top}
     shortlist = [w for w, _ in top[:SHORTLIST - 1] if w != END] + [END]
     own = dict(top)
     if own and END not in own:
         own[END] = counts.where(F.col("word") == END.decode()).first().c
-        head[END] = float(np.log10(own[END] + ADD))
+    head = pa.array(list(own), pa.binary()).cast(pa.string()), np.log10(np.array(list(own.values()), np.float64) + ADD)
     rest = counts.where(~F.col("word").isin([w.decode() for w in shortlist]))
     by_suffix = rest.groupBy(F.right("word", F.lit(2)).alias("s")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v"))
     ends = by_suffix.orderBy(F.desc("c"), "s").limit(SUFFIXES).collect()
@@ -413,16 +456,11 @@ def log_bilinear_scores(docs: DataFrame) -> DataFrame:
     params, vectors = model.flat(), inner.rows
 
     def scored(batches):
-        known, net, within = units.fresh(), Model(params, noise), Inner(units, vectors)
+        net, within = Model(params, noise), Inner(units, vectors)
         for batch in batches:
             for a, b in textkit.chunks(batch, "text"):
-                rows = score_rows(net, within, known, head, textkit.text_bytes(batch.column("text").slice(a, b - a)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), pa.array([r[0] for r in rows], pa.int64()),
-                     pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64()),
-                     pa.array([r[3] for r in rows], pa.float64()),
-                     pa.array([[w.decode() for w in r[4]] for r in rows], pa.list_(pa.string())),
-                     pa.array([list(r[4].values()) for r in rows], pa.list_(pa.int32()))],
+                    [batch.column("doc_id").slice(a, b - a), *score_rows(net, within, head, batch.column("text").slice(a, b - a))],
                     ["doc_id", "n_tokens", "n_known", "base", "score", "words", "times"])
 
     seen = scratch.store(
