@@ -146,7 +146,8 @@ def near_links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     fps = classes.select("fp")
     filed = fps.mapInArrow(_keys(False), "key long, a long")
     asked = fps.mapInArrow(_keys(True), "key long, b long")
-    return (filed.join(asked, "key").where((F.col("a") < F.col("b")) &
+    # Spark sizes both sides by the table of classes, a tenth of the rows at most, and would broadcast them
+    return (filed.hint("merge").join(asked, "key").where((F.col("a") < F.col("b")) &
                                            (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits))
             .select("a", "b").distinct())
 
