@@ -223,7 +223,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
              .agg(F.collect_list(F.struct(F.col("src_at").alias("at"), "n")).alias("spans")))
     source = (with_text.select("rid", "text").join(asked.hint("shuffle_hash"), "rid")
               .mapInArrow(_source_digests, "src_rid long, src_at int, n int, digest binary"))
-    checked = (spans.join(source, ["src_rid", "src_at", "n"])
+    # the spans' file holds a few bytes a row: by its size Spark would broadcast millions of rows
+    checked = (spans.hint("merge").join(source, ["src_rid", "src_at", "n"])
                .groupBy("rid").agg(F.collect_list(F.struct("at", "n", "digest")).alias("spans")))
     carried = base.drop("text").columns
     kinds = base.drop("text").schema

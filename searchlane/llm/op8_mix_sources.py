@@ -243,13 +243,13 @@ def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     packed = scratch.store(pack(docs), "mix_packed")
     sources = scratch.store(plan_sources(packed, block), "mix_sources")
     # a table, whose size the planner knows: it takes exploded slots for the few rows they come from
-    # and would broadcast them
+    # and would broadcast them; the table too, whose file holds a few bytes a row
     times = scratch.store(draw(sources).groupBy("stream", "block").agg(F.count(F.lit(1)).alias("times")), "mix_times")
     known = bounded_broadcast(sources.select(F.col("source").alias("of"), "stream", "source_size", "target"),
                               MAX_SOURCES)
     keyed = packed.join(known, _same(F.col("source"), F.col("of"))).drop("of")
     taken = (pieces(keyed.select(F.col("stream").alias("source"), "size", "start"), block)
-             .withColumnRenamed("source", "stream").join(times, ["stream", "block"])
+             .withColumnRenamed("source", "stream").join(times.hint("merge"), ["stream", "block"])
              .groupBy("stream", "start").agg(F.sum(F.col("n") * F.col("times")).alias("taken")))
     return (keyed.withColumn("at", F.when(F.col("size") > 0, F.col("start")))
             .join(taken.withColumnRenamed("stream", "s").withColumnRenamed("start", "b"),
